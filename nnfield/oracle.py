@@ -19,10 +19,9 @@ EVENTS = """ev as materialized (
          cast((select (max(event_id) + 50) // 50 from events) as int) h
   from events),
 epx as materialized (
-  select 0 img, y, x, ch, [v0, v1, v2][ch + 1] v, h from ev, range(3) c(ch)
+  select cast(0 as bigint) img, y, x, v0, v1, v2 from ev
   union all
-  select 1, cast((y - 3 + h) % h as int), cast((x - 5 + 50) % 50 as int), ch, [v0, v1, v2][ch + 1], h
-  from ev, range(3) c(ch))"""
+  select 1, cast((y - 3 + h) % h as int), cast((x - 5 + 50) % 50 as int), v0, v1, v2 from ev)"""
 
 
 def with_(*ctes: str) -> str:
@@ -61,30 +60,29 @@ def start_cte(name: str = "n0", grid: str | None = None) -> str:
 
 
 def scored_cte(name: str, source: str, extra: str = "", patch: int = 3, pixels: str = "px",
-               channel: str = "0", double: bool = False, key: str = "") -> str:
+               values: tuple[str, ...] = ("v",), double: bool = False) -> str:
     """Distance of every row of ``source``: sum of squares over the clipped window by pixel count."""
     r = patch // 2
-    same = "" if channel == "0" else " and q.ch = a.ch"
-    count = "count(*)" if channel == "0" else "count(*) / 3"
-    aux, aux_join = "", ""
+    square = lambda p, q: " + ".join(f"({p}.{v} - {q}.{v}) * ({p}.{v} - {q}.{v})" for v in values)
+    total, aux_join = square("a", "q"), ""
     if double:
-        aux = " + (c.v - d.v) * (c.v - d.v)"
+        total += " + " + square("c", "d")
         aux_join = f"""
-    join {pixels} c on c.img = z.aa and c.y = a.y and c.x = a.x
-    join {pixels} d on d.img = z.bb and d.y = q.y and d.x = q.x"""
-    return f"""{name} as materialized (
+    join {pixels} c on c.img = s.aa and c.y = s.y1 and c.x = s.x1
+    join {pixels} d on d.img = s.bb and d.y = s.y2 and d.x = s.x2"""
+    return f"""{name}_at as materialized (
+  select s.*, z.a, z.b, z.aa, z.bb, cast(ay + dy as int) y1, cast(ax + dx as int) x1,
+         cast(by_ + dy as int) y2, cast(bx_ + dx as int) x2
+  from {source} s join prs z on z.pair_id = s.pair_id, range(-{r}, {r + 1}) oy(dy), range(-{r}, {r + 1}) ox(dx)),
+{name} as materialized (
   select s.pair_id, s.h, s.w, s.ay, s.ax, s.by_, s.bx_{extra},
-         cast(sum((a.v - q.v) * (a.v - q.v){aux}) as double) / cast({count} as double) d
-  from {source} s join prs z on z.pair_id = s.pair_id
-    cross join range(-{r}, {r + 1}) oy(dy) cross join range(-{r}, {r + 1}) ox(dx)
-    join {pixels} a on a.img = z.a and a.y = s.ay + dy and a.x = s.ax + dx
-    join {pixels} q on q.img = z.b and q.y = s.by_ + dy and q.x = s.bx_ + dx{same}{aux_join}
+         cast(sum({total}) as double) / cast(count(*) as double) d
+  from {name}_at s
+    join {pixels} a on a.img = s.a and a.y = s.y1 and a.x = s.x1
+    join {pixels} q on q.img = s.b and q.y = s.y2 and q.x = s.x2{aux_join}
   group by all)"""
 
 
-RADII = "[r for r in [{m} >> k for k in range(0, 31)] if r >= 1]"
-
-
 def random_rows(source: str, round_no: int, closed: bool, radius: str = "greatest(h, w)") -> str:
     extra = " + 1" if closed else ""
     low = lambda b: f"greatest({b} - mag, 0)"
@@ -148,7 +146,8 @@ def field_sql(mode: str, count: int, kind: str = "jump", closed: bool = True) ->
 
 
 # The event images make one pair with 3 channels.
-EVENT_PAIR = "prs as (select 0 pair_id, 0 a, 1 b, max(h) h, 50 w from ev)"
+EVENT_PAIR = """prs as materialized (
+  select 0 pair_id, 0 a, 1 b, cast(null as bigint) aa, cast(null as bigint) bb, max(h) h, 50 w from ev)"""
 EVENT_GRID = "(select 0 pair_id, h, 50 w, y ay, x ax from ev)"
 
 EVENT_TRUTH = """id as (
@@ -248,9 +247,7 @@ select g.pair_id, g.y, g.x, coalesce(l.v, 0) v from grid g
 
 ORACLE = {
     "pixels": f"{with_(IMAGES)}\nselect img image_id, y, x, v from px",
-    "event_image": f"""{with_(EVENTS)}
-select cast(img as bigint) image_id, y, x, max(case when ch = 0 then v end) v0,
-       max(case when ch = 1 then v end) v1, max(case when ch = 2 then v end) v2 from epx group by all""",
+    "event_image": f"{with_(EVENTS)}\nselect img image_id, y, x, v0, v1, v2 from epx",
     "image_files": f"{with_(IMAGES)}\nselect img image_id, y, x, v from px",
     "image_table": f"{with_(IMAGES, pairs_cte('double'))}\n{_ROLES}",
     "frames": f"""{with_(IMAGES)}
@@ -260,9 +257,7 @@ select img // 25 video_id, cast(img % 25 as int) frame_no,
     "normalize_roundtrip": f"""{with_(IMAGES)}
 select img image_id, y, x, cast(cast(v / 255.0::double as float) as double) unit,
        cast(floor(cast(v / 255.0::double as float) * cast(255 as float)) as int) v from px""",
-    "swap_channels": f"""{with_(EVENTS)}
-select cast(img as bigint) image_id, y, x, max(case when ch = 2 then v end) v0,
-       max(case when ch = 1 then v end) v1, max(case when ch = 0 then v end) v2 from epx group by all""",
+    "swap_channels": f"{with_(EVENTS)}\nselect img image_id, y, x, v2 v0, v1, v0 v2 from epx",
     "resize_bilinear_up": resize_sql(12, 12),
     "resize_bilinear_down": resize_sql(5, 3),
     "check_shapes": f"""{with_(IMAGES, pairs_cte('double'))},
@@ -287,7 +282,7 @@ select pair_id, cast(k as int) k, top >> cast(k as int) radius from t, range(0,
     "patch_distance_single": _distance_sql("single"),
     "patch_distance_double": _distance_sql("double"),
     "patch_distance_wide": _distance_sql("double", 5),
-    "patch_distance_planted": f"""{with_(EVENTS, EVENT_PAIR, EVENT_TRUTH, scored_cte('sc', 'id', pixels='epx', channel='ch'))}
+    "patch_distance_planted": f"""{with_(EVENTS, EVENT_PAIR, EVENT_TRUTH, scored_cte('sc', 'id', pixels='epx', values=('v0', 'v1', 'v2')))}
 select cast(pair_id as bigint) pair_id, ay, ax, by_ "by", bx_ bx, d from sc""",
     "neighbour_candidates": _candidates_sql(moved_rows("n0", [(1, 2, 0), (2, -2, 0), (3, 0, 2), (4, 0, -2)])),
     "random_candidates_closed": _candidates_sql(random_rows("n0", 1, True)),
@@ -301,7 +296,7 @@ select pair_id, ay, ax, m.by_ "by", m.bx_ bx, m.d from (
     "field_scan_2rounds": field_sql("single", 2, "scan", False),
     "field_double_2rounds": field_sql("double", 2),
     "field_large_image": f"""{with_(
-    EVENTS, EVENT_PAIR, *rounds(2, grid=EVENT_GRID, pixels='epx', channel='ch'))}
+    EVENTS, EVENT_PAIR, *rounds(2, grid=EVENT_GRID, pixels='epx', values=('v0', 'v1', 'v2')))}
 select cast(pair_id as bigint) pair_id, ay, ax, by_ "by", bx_ bx, d from s2""",
     "field_resume": field_sql("single", 2),
     "gather": f"{_field_ctes('analogy', 1)},\n{GATHERED.format(n=1)}\nselect pair_id, y, x, v from g",
