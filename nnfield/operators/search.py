@@ -112,14 +112,14 @@ def _present(columns: dict[str, str]) -> list[str]:
     """Columns that are never NULL, declared so: generated code then carries no null checks."""
     absent = "array(0Y)"
     return [
-        f"coalesce({source}, {absent}) as {name}" if name[:3] in ("pa_", "pb_") else f"coalesce({source}, 0) as {name}"
+        f"coalesce({source}, {absent}) as {name}" if name[:2] in ("p_", "pa", "pb") else f"coalesce({source}, 0) as {name}"
         for name, source in columns.items()
     ]
 
 
-def _role_arrays(names: dict[str, str], features: tuple[str, ...]) -> dict[str, str]:
+def _role_arrays(names: dict[str, str | int], features: tuple[str, ...]) -> dict[str, str]:
     """Array column per role; a pair without a second image repeats the first with weight 0."""
-    held = {n: f"get(filter(images, e -> e.role = '{role}'), 0).px" for n, role in names.items()}
+    held = {n: f"get(filter(images, e -> e.role = {role}), 0).px" for n, role in names.items()}
     out = {}
     for name, source in held.items():
         prefix, feature = name.split("_")
@@ -153,7 +153,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         held = bind_roles(small, blocks.select("image_id", "stride", "px")).groupBy("pair_id").agg(
             F.expr("max(stride) as stride"), F.expr("collect_list(struct(role, px)) as images")
         )
-        names = {"pa_main": "a", "pb_main": "b", "pa_aux": "aa", "pb_aux": "bb"}
+        names = {"pa_main": "'a'", "pb_main": "'b'", "pa_aux": "'aa'", "pb_aux": "'bb'"}
         numbers = {n: n for n in ("stride", "h", "w", *weights)}
         whole = held.join(small.select("pair_id", "h", "w", *weights), "pair_id").selectExpr(
             "pair_id", *_present({**numbers, **_role_arrays(names, features)})
@@ -163,22 +163,21 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
     if facts["any_large"]:
         big = pairs.where(large)
         blocks = pack_blocks(pixels.where(large), ["image_id"], options.halo, "clip", options.tile_edge)
-        bound = bind_roles(big, blocks)
         tile = ["h", "w", "ty", "tx", "y0", "x0", "bh", "bw", "stride"]
-
-        def side(names: dict[str, str]) -> DataFrame:
-            rows = bound.where(F.col("role").isin(*names.values())).groupBy("pair_id", *tile).agg(
-                F.expr("collect_list(struct(role, px)) as images")
-            )
-            numbers = {**{n: n for n in (*tile, *weights)}, "round": "0"}
-            return cut_lineage(
-                rows.join(big.select("pair_id", *weights), "pair_id").selectExpr(
-                    "pair_id", *_present({**numbers, **_role_arrays(names, features)})
-                )
+        rows = bind_roles(big, blocks).selectExpr(
+            "pair_id", "left(role, 1) as side", *tile, "struct(length(role) as role, px) as image"
+        ).groupBy("pair_id", "side", *tile).agg(F.expr("collect_list(image) as images"))
+        arrays = _role_arrays({"p_main": 1, "p_aux": 2}, features)
+        numbers = {**{n: n for n in (*tile, *weights)}, "round": "0"}
+        # both sides in one table: the pixels are read and packed once
+        tiled = cut_lineage(
+            rows.join(big.select("pair_id", *weights), "pair_id").selectExpr(
+                "pair_id", "side", *_present({**numbers, **arrays})
             )
-
-        tiled_a = side({"pa_main": "a", "pa_aux": "aa"})
-        tiled_b = side({"pb_main": "b", "pb_aux": "bb"})
+        )
+        kept = ["pair_id", *numbers]
+        tiled_a = tiled.where("side = 'a'").selectExpr(*kept, *[f"p_{f} as pa_{f}" for f in features])
+        tiled_b = tiled.where("side = 'b'").selectExpr(*kept, *[f"p_{f} as pb_{f}" for f in features])
     return BoundPairs(whole, tiled_a, tiled_b, partitions, features)
 
 
