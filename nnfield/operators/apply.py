@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from nnfield.functions.coords import clamp, visual_rgb
 from nnfield.functions.windows import balanced_sum, centred_offsets, even_offsets
-from nnfield.operators.blocks import BLOCK_EDGE, block_index, block_positions, lookup, pack_blocks
+from nnfield.operators.blocks import BLOCK_EDGE, block_index, block_positions, image_blocks, lookup, pack_blocks
 from nnfield.operators.pairs import bind_roles
 
 
 def pair_blocks(pairs: DataFrame, pixels: DataFrame, image_column: str, edge: int = BLOCK_EDGE) -> DataFrame:
     """Blocks of the image in one pair column, keyed ``pair_id``: few rows per image are shuffled."""
-    blocks = pack_blocks(pixels, ["image_id"], edge=edge)
-    return bind_roles(pairs, blocks, {"image": image_column}).drop("role", "image_id")
+    return bind_roles(pairs, image_blocks(pixels, edge=edge), {"image": image_column}).drop("role", "image_id")
 
 
 def gather(field: DataFrame, blocks: DataFrame, edge: int = BLOCK_EDGE) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from nnfield.functions.coords import images_of, in_bounds
+from nnfield.sources.images import explode_pixels
 
 BLOCK_EDGE = 64
 # Copies of the blocks of a large image, so that a tile which attracts most lookups is spread
@@ -84,6 +85,33 @@ def pack_blocks(
     )
 
 
+def pack_image_rows(images: DataFrame, halo: int = 0, edge: int = BLOCK_EDGE) -> DataFrame:
+    """Blocks of images that come as one row each and fit one block; no shuffle.
+
+    ``images(image_id, height, width, channels, data ARRAY)``. The halo holds arbitrary values: for
+    readers that never use what lies outside the image.
+    """
+    side = "array_repeat(data[0], {})"
+    line = f"concat({side.format(f'{halo} * c')}, slice(data, y * w * c + 1, w * c), {side.format(f'{halo} * c')})"
+    rim = side.format(f"{halo} * (w + {2 * halo}) * c")
+    px = f"concat({rim}, flatten(transform(sequence(0, h - 1), y -> {line})), {rim})" if halo else "data"
+    return images.selectExpr(
+        "image_id", "height as h", "width as w", "0 as ty", "0 as tx", "channels as c", "data"
+    ).selectExpr("image_id", "h", "w", "ty", "tx", *block_geometry(edge, halo), "c", f"{px} as px")
+
+
+def image_blocks(images: DataFrame, halo: int = 0, edge: int = BLOCK_EDGE) -> DataFrame:
+    """Blocks keyed ``image_id`` of pixel rows, or of image rows (``data`` holds the whole image).
+
+    Image rows that fit one block are packed where they are; larger ones are taken apart first.
+    """
+    if "data" not in images.columns:
+        return pack_blocks(images, ["image_id"], halo, "clip", edge)
+    fits = f"greatest(height, width) <= {edge}"
+    taken_apart = pack_blocks(explode_pixels(images.where(f"not ({fits})")), ["image_id"], halo, "clip", edge)
+    return pack_image_rows(images.where(fits), halo, edge).unionByName(taken_apart)
+
+
 def block_index(y: str, x: str, halo: int, channels: str = "c") -> str:
     """Position of channel 0 of pixel (y, x) in the ``px`` array of the block in scope."""
     return f"((({y}) - y0 + {halo}) * stride + (({x}) - x0 + {halo})) * {channels}"

@@ -32,8 +32,9 @@ from nnfield.functions.windows import (
     score_scale,
 )
 from nnfield.functions.text import subquery
-from nnfield.operators.blocks import block_positions, lookup_salt, pack_blocks, salted_blocks
+from nnfield.operators.blocks import block_positions, image_blocks, lookup_salt, salted_blocks
 from nnfield.operators.pairs import bind_roles
+from nnfield.sources.images import byte_values
 from nnfield.session import cut_lineage, partitions_for
 
 WHOLE_EDGE = 256
@@ -92,10 +93,13 @@ class BoundPairs:
         return [f"{p}_{f}" for p in ("pa", "pb") for f in self.features]
 
 
-def _byte_pixels(pixels: DataFrame) -> DataFrame:
+def _bytes(images: DataFrame) -> DataFrame:
     """0..255 shifted to a signed byte: differences stay the same, arrays shrink to a quarter."""
-    kept = [c for c in pixels.columns if c != "v"]
-    return pixels.selectExpr(*kept, "transform(v, e -> cast(e - 128 as tinyint)) as v")
+    values = "data" if "data" in images.columns else "v"
+    if dict(images.dtypes)[values] == "binary":
+        images = images.withColumn(values, F.expr(byte_values(values)))
+    kept = [c for c in images.columns if c != values]
+    return images.selectExpr(*kept, f"transform({values}, e -> cast(e - 128 as tinyint)) as {values}")
 
 
 def _weighted(pairs: DataFrame) -> DataFrame:
@@ -130,7 +134,11 @@ def _role_arrays(names: dict[str, str | int], features: tuple[str, ...]) -> dict
 
 
 def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> BoundPairs:
-    """Pack the images of all pairs and cut the lineage, so that every round reads them ready-made."""
+    """Pack the images of all pairs and cut the lineage, so that every round reads them ready-made.
+
+    ``pixels`` are pixel rows (image_id, h, w, y, x, v) or image rows (image_id, height, width,
+    channels, data).
+    """
     spark = pairs.sparkSession
     pairs = _weighted(pairs)
     large = f"greatest(h, w) > {options.whole_edge}"
@@ -142,14 +150,14 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         raise ValueError(f"pairs have {facts['least_c']}..{facts['c']} channels, the options say {options.channels}")
     features = ("main", "aux") if facts["aux"] else ("main",)
     partitions = partitions_for(spark, (facts["total"] or 0) * 2 * len(features))
-    pixels = _byte_pixels(pixels)
+    images = _bytes(pixels)
+    image_large = large if "h" in pixels.columns else large.replace("h, w", "height, width")
     weights = ["w_main", *(["w_aux"] if facts["aux"] else [])]
 
     whole = tiled_a = tiled_b = None
     if not facts["all_large"]:
         small = pairs.where(f"not ({large})")
-        fitting = pixels.where(f"not ({large})")
-        blocks = pack_blocks(fitting, ["image_id"], options.halo, "clip", options.whole_edge)
+        blocks = image_blocks(images.where(f"not ({image_large})"), options.halo, options.whole_edge)
         held = bind_roles(small, blocks.select("image_id", "stride", "px")).groupBy("pair_id").agg(
             F.expr("max(stride) as stride"), F.expr("collect_list(struct(role, px)) as images")
         )
@@ -162,7 +170,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         whole = cut_lineage(whole.repartition(partitions, "pair_id"))
     if facts["any_large"]:
         big = pairs.where(large)
-        blocks = pack_blocks(pixels.where(large), ["image_id"], options.halo, "clip", options.tile_edge)
+        blocks = image_blocks(images.where(image_large), options.halo, options.tile_edge)
         tile = ["h", "w", "ty", "tx", "y0", "x0", "bh", "bw", "stride"]
         rows = bind_roles(big, blocks).selectExpr(
             "pair_id", "left(role, 1) as side", *tile, "struct(length(role) as role, px) as image"

@@ -8,7 +8,6 @@ from nnfield import fixtures as fx
 from nnfield.functions.coords import clamp_radius, radius_schedule
 from nnfield.functions.pixels import denormalize, normalize, swap_channels
 from nnfield.operators.apply import block_copy, gather, pair_blocks, upsample_field, visualize, window_average
-from nnfield.operators.blocks import pack_blocks
 from nnfield.operators.pairs import bind_roles
 from nnfield.operators.patches import patches as cut_patches
 from nnfield.operators.resize import resize_bilinear
@@ -45,7 +44,7 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _field(spark, sf_dir, mode="single", rounds=1, options=OPTIONS) -> DataFrame:
     pairs = fx.pairs(spark, sf_dir, mode)
-    return search_rounds(bind_pairs(pairs, _pixels(spark, sf_dir), options), options, rounds)
+    return search_rounds(bind_pairs(pairs, fx.embedding_images(spark, sf_dir), options), options, rounds)
 
 
 def _shown(field: DataFrame) -> DataFrame:
@@ -146,7 +145,7 @@ def radius_schedule_query(spark, sf_dir):
 
 
 def field_init(spark, sf_dir):
-    return _shown(init_field(fx.pairs(spark, sf_dir, "single"), _pixels(spark, sf_dir), OPTIONS))
+    return _shown(init_field(fx.pairs(spark, sf_dir, "single"), fx.embedding_images(spark, sf_dir), OPTIONS))
 
 
 def _distance(mode, patch_size=3):
@@ -204,7 +203,7 @@ def field_large_image(spark, sf_dir):
 
 
 def field_full(spark, sf_dir):
-    return _shown(compute_field(fx.pairs(spark, sf_dir, "single"), _pixels(spark, sf_dir), OPTIONS, 10))
+    return _shown(compute_field(fx.pairs(spark, sf_dir, "single"), fx.embedding_images(spark, sf_dir), OPTIONS, 10))
 
 
 def field_resume(spark, sf_dir):
@@ -220,7 +219,7 @@ def field_resume(spark, sf_dir):
 
 def _gathered(spark, sf_dir):
     pairs = fx.pairs(spark, sf_dir, "analogy")
-    return gather(_field(spark, sf_dir, "analogy"), pair_blocks(pairs, _pixels(spark, sf_dir), "prime_img"))
+    return gather(_field(spark, sf_dir, "analogy"), pair_blocks(pairs, fx.embedding_images(spark, sf_dir), "prime_img"))
 
 
 def gather_query(spark, sf_dir):
@@ -253,7 +252,7 @@ def visualize_query(spark, sf_dir):
 
 
 def analogy_2rounds(spark, sf_dir):
-    made = analogy(fx.pairs(spark, sf_dir, "analogy"), _pixels(spark, sf_dir), OPTIONS, 2)
+    made = analogy(fx.pairs(spark, sf_dir, "analogy"), fx.embedding_images(spark, sf_dir), OPTIONS, 2)
     return _scalar(made, "pair_id", "y", "x")
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from nnfield import fixtures as fx
 from nnfield.functions.pixels import mask_blend, swap_channels
-from nnfield.operators.search import SearchOptions
+from nnfield.operators.search import SearchOptions, bind_pairs, search_rounds
 from nnfield.sources.files import encode_png
 from nnfield.sources.frames import MASK_SCHEMA, scan_frames, stream_frames, stream_to_files, write_frames
 from nnfield.sources.images import explode_pixels, scan_images
@@ -59,20 +59,31 @@ def test_large_static_sides_are_salted_by_frame(spark, sf_dir):
 
 def test_new_clips_are_matched_once_and_batches_can_run_again(spark, sf_dir, tmp_path):
     clips, options = fx.clip_frames(spark, sf_dir), SearchOptions()
-    late = clips.where("frame_no >= 20")
-    write_frames(clips.where("frame_no < 20 and clip_id < 2"), str(tmp_path / "f" / "day=1"))
     paths = [str(tmp_path / n) for n in ("fields", "out", "cp")]
-    frames = lambda: stream_frames(spark, str(tmp_path / "f" / "day=*"))
-    warp_new_videos(frames(), *paths, options, 1).awaitTermination()
-    write_frames(clips.where("frame_no < 20 and clip_id >= 2"), str(tmp_path / "f" / "day=2"))
-    write_frames(late, str(tmp_path / "f" / "day=3"))
-    warp_new_videos(frames(), *paths, options, 1).awaitTermination()
+
+    def arrive(part):
+        part.write.mode("append").partitionBy("clip_id").parquet(str(tmp_path / "f"))
+        warp_new_videos(stream_frames(spark, str(tmp_path / "f")), *paths, options, 1).awaitTermination()
+
+    arrive(clips.where("frame_no < 20 and clip_id < 2"))
+    arrive(clips.where("(frame_no < 20 and clip_id >= 2) or frame_no >= 20"))
     want = warp_frames(clips, clip_field(clips, options, 1))
     assert rows_of(spark.read.parquet(paths[1])) == rows_of(want)
     fields = spark.read.parquet(paths[0])
     assert fields.count() == fields.select("pair_id", "ay", "ax").distinct().count()
 
 
+def test_image_rows_and_pixel_rows_give_the_same_field(spark, sf_dir):
+    images, pairs = fx.embedding_images(spark, sf_dir), fx.pairs(spark, sf_dir, "analogy")
+    fields = [
+        search_rounds(bind_pairs(pairs, table, o), o, 1).drop("round")
+        for table in (images, explode_pixels(images))
+        for o in (SearchOptions(), SearchOptions(whole_edge=4))
+    ]
+    for other in fields[1:]:
+        assert fields[0].exceptAll(other).isEmpty() and other.count() == fields[0].count()
+
+
 def test_blend(spark):
     row = spark.sql("select array(0, 1) m, array(5, 6) v, array(7, 8) b")
     assert row.select(mask_blend(F.col("m"), F.col("v"), F.col("b")).alias("o")).first().o == [7.0, 6.0]
