@@ -37,7 +37,9 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("nnfield-bench")
         .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC")
+        # a round multiplies rows before the next shuffle: keep small inputs on all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from nnfield.functions.coords import clamp, visual_rgb
 from nnfield.functions.windows import balanced_sum, centred_offsets, even_offsets
 from nnfield.operators.blocks import BLOCK_EDGE, block_index, block_positions, image_blocks, lookup, pack_blocks
-from nnfield.operators.pairs import bind_roles
+from nnfield.operators.pairs import attach, bind_roles
 
 
 def pair_blocks(pairs: DataFrame, pixels: DataFrame, image_column: str, edge: int = BLOCK_EDGE) -> DataFrame:
@@ -56,52 +56,59 @@ def window_average(
 
 
 def _remainder(targets: DataFrame) -> DataFrame:
-    """Pixels of an (oh, ow) grid outside its upper-left (ch, cw) corner.
+    """Pixels of an (oh, ow) grid outside its upper-left (ch, cw) corner: (pair_id, ic, y, x).
 
-    ``targets(pair_id, oh, ow, ch, cw)``. The rows below and the columns to the right are
-    enumerated on their own, so the covered part is not generated.
+    ``targets(pair_id, ic, oh, ow, ch, cw)``. The rows below and the columns to the right are
+    enumerated on their own, so the covered part is not generated. Image rows are spread over tasks
+    before their pixels are made.
     """
-    below = targets.where("ch < oh").selectExpr("*", "explode(sequence(ch, oh - 1)) as y").selectExpr(
-        "pair_id", "y", "explode(sequence(0, ow - 1)) as x"
+    below = targets.where("ch < oh").selectExpr("*", "explode(sequence(ch, oh - 1)) as y", "0 as first")
+    right = targets.where("cw < ow and ch > 0").selectExpr(
+        "*", "explode(sequence(0, ch - 1)) as y", "cw as first"
     )
-    right = targets.where("cw < ow and ch > 0").selectExpr("*", "explode(sequence(0, ch - 1)) as y").selectExpr(
-        "pair_id", "y", "explode(sequence(cw, ow - 1)) as x"
-    )
-    return below.unionByName(right)
+    lines = below.unionByName(right).repartition("pair_id", "y")
+    return lines.selectExpr("pair_id", "ic", "y", "explode(sequence(first, ow - 1)) as x")
+
+
+def image_sizes(blocks: DataFrame) -> DataFrame:
+    """(pair_id, ih, iw, ic) read off the blocks."""
+    return blocks.where("ty = 0 and tx = 0").selectExpr("pair_id", "h as ih", "w as iw", "c as ic")
 
 
-def block_copy(field: DataFrame, pairs: DataFrame, blocks: DataFrame, edge: int = BLOCK_EDGE) -> DataFrame:
+def block_copy(field: DataFrame, pairs: DataFrame, blocks: DataFrame, sizes: DataFrame | None = None,
+               edge: int = BLOCK_EDGE) -> DataFrame:
     """``(pair_id, y, x, v)``: copy the block of the match to the block of every field pixel.
 
     ``blocks`` holds the source image (keyed ``pair_id``), at any scale of the field:
     scale = image height div field height. Blocks cut off by the image border are copied only when
-    source and target are cut alike; everything not copied is 0.
+    source and target are cut alike; everything not copied is 0. ``sizes(pair_id, ih, iw, ic)``
+    saves a pass over the blocks where the image sizes are known.
     """
-    sizes = blocks.where("ty = 0 and tx = 0").selectExpr("pair_id", "h as ih", "w as iw", "c as ic")
+    sizes = image_sizes(blocks) if sizes is None else sizes
     grid = pairs.selectExpr("pair_id", "h as fh", "w as fw").join(sizes, "pair_id").selectExpr(
         "*", "cast(ih div fh as int) as scale"
     )
     cut = lambda size, at: f"greatest(least({size} - {at} * scale, scale), 0)"
-    cells = field.select("pair_id", "ay", "ax", "by", "bx").join(grid, "pair_id").selectExpr(
+    cells = attach(field.select("pair_id", "ay", "ax", "by", "bx"), grid, ["pair_id"], ["ay", "ax"]).selectExpr(
         "*",
         f"{cut('ih', 'ay')} = {cut('ih', 'by')} and {cut('iw', 'ax')} = {cut('iw', 'bx')} as alike",
         f"{cut('ih', 'ay')} as th", f"{cut('iw', 'ax')} as tw",
     ).where("th > 0 and tw > 0")
+    # cells that are not copied still fill their place: they read any pixel, with weight 0
     spread = cells.selectExpr("*", "explode(sequence(0, th - 1)) as dy").selectExpr(
         "*", "explode(sequence(0, tw - 1)) as dx"
     ).selectExpr(
-        "pair_id", "ih as h", "iw as w", "ic", "alike", "ay * scale + dy as y", "ax * scale + dx as x",
-        "by * scale + dy as sy", "bx * scale + dx as sx",
+        "pair_id", "ih as h", "iw as w", "alike", "ay * scale + dy as y", "ax * scale + dx as x",
+        "if(alike, by * scale + dy, 0) as sy", "if(alike, bx * scale + dx, 0) as sx",
     )
-    copied = lookup(spread.where("alike").drop("ic"), blocks, ["pair_id"], "sy", "sx", ["y", "x"], edge)
-    zero = spread.where("not alike").selectExpr("pair_id", "y", "x", "array_repeat(0, ic) as v")
-    uncovered = grid.selectExpr(
-        "pair_id", "ih as oh", "iw as ow", "least(fh * scale, ih) as ch", "least(fw * scale, iw) as cw", "ic"
+    copied = lookup(spread, blocks, ["pair_id"], "sy", "sx", ["y", "x"], edge).selectExpr(
+        "pair_id", "y", "x", "if(alike, v, array_repeat(0, size(v))) as v"
     )
-    rest = _remainder(uncovered).join(uncovered.select("pair_id", "ic"), "pair_id").selectExpr(
-        "pair_id", "y", "x", "array_repeat(0, ic) as v"
+    uncovered = grid.selectExpr(
+        "pair_id", "ic", "ih as oh", "iw as ow", "least(fh * scale, ih) as ch", "least(fw * scale, iw) as cw"
     )
-    return copied.select("pair_id", "y", "x", "v").unionByName(zero).unionByName(rest)
+    rest = _remainder(uncovered).selectExpr("pair_id", "y", "x", "array_repeat(0, ic) as v")
+    return copied.unionByName(rest)
 
 
 def upsample_field(field: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -122,7 +129,7 @@ def upsample_field(field: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
     )
     ratio = f"cast({size} div h as int)"
     uncovered = pairs.selectExpr(
-        "pair_id", f"{size} as oh", f"{size} as ow", f"least(h * {ratio}, {size}) as ch",
+        "pair_id", "0 as ic", f"{size} as oh", f"{size} as ow", f"least(h * {ratio}, {size}) as ch",
         f"least(w * {ratio}, {size}) as cw",
     )
     rest = _remainder(uncovered).selectExpr("pair_id", "y as ay", "x as ax", "0 as by", "0 as bx")

@@ -9,6 +9,23 @@ ROLE_COLUMNS = {"a": "a_img", "aa": "aa_img", "b": "b_img", "bb": "bb_img"}
 # Uses of one image beyond which its copies are spread before they multiply.
 USES_PER_KEY = 64
 USE_SALTS = 256
+# A side is broadcast only up to this many rows (descriptor and field rows are about 40 bytes).
+BROADCAST_ROWS = 500_000
+ATTACH_SALTS = 16
+
+
+def attach(rows: DataFrame, static: DataFrame, keys: list[str], spread: list[str],
+           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join ``rows`` (stream or batch) to a smaller static table on ``keys``.
+
+    The static side is counted up to a bound and broadcast below it. Beyond, it is copied under salts
+    and the rows are spread by ``spread``, so that a key which holds most rows is met in many tasks.
+    """
+    if static.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(static), keys)
+    salted = static.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ATTACH_SALTS - 1))))
+    numbered = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(ATTACH_SALTS)).cast("int"))
+    return numbered.join(salted, [*keys, "salt"]).drop("salt")
 
 
 def pair_roles(pairs: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:

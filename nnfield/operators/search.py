@@ -33,9 +33,9 @@ from nnfield.functions.windows import (
 )
 from nnfield.functions.text import subquery
 from nnfield.operators.blocks import block_positions, image_blocks, lookup_salt, salted_blocks
-from nnfield.operators.pairs import bind_roles
-from nnfield.sources.images import byte_values
+from nnfield.operators.pairs import attach, bind_roles
 from nnfield.session import cut_lineage, partitions_for
+from nnfield.sources.images import byte_values
 
 WHOLE_EDGE = 256
 TILE_EDGE = 64
@@ -179,7 +179,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         numbers = {**{n: n for n in (*tile, *weights)}, "round": "0"}
         # both sides in one table: the pixels are read and packed once
         tiled = cut_lineage(
-            rows.join(big.select("pair_id", *weights), "pair_id").selectExpr(
+            attach(rows, big.select("pair_id", *weights), ["pair_id"], ["ty", "tx"]).selectExpr(
                 "pair_id", "side", *_present({**numbers, **arrays})
             )
         )

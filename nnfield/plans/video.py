@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from nnfield.operators.search import SearchOptions
+from nnfield.session import cut_lineage
 from nnfield.streaming.video import base_frame, blend_frames, clip_field, warp_frames
 
 
 def warp_video(clips: DataFrame, options: SearchOptions, rounds: int, masks: DataFrame | None = None) -> DataFrame:
     """``(clip_id, frame_no, ts, y, x, v ARRAY<DOUBLE>)``."""
-    warped = warp_frames(clips, clip_field(clips, options, rounds))
+    field = cut_lineage(clip_field(clips, options, rounds))
+    warped = warp_frames(clips, field)
     if masks is not None:
         return blend_frames(warped, masks, base_frame(clips))
     return warped.withColumn("v", F.col("v").cast("array<double>"))

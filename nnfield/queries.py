@@ -240,7 +240,8 @@ def block_copy_query(spark, sf_dir):
         "image_id", "19 as h", "17 as w", "y", "x", "transform(v, e -> cast(floor(e) as int)) as v"
     )
     blocks = pair_blocks(pairs, large, "prime_img")
-    return _scalar(block_copy(_field(spark, sf_dir, "analogy"), pairs, blocks), "pair_id", "y", "x")
+    sizes = pairs.selectExpr("pair_id", "19 as ih", "17 as iw", "1 as ic")
+    return _scalar(block_copy(_field(spark, sf_dir, "analogy"), pairs, blocks, sizes), "pair_id", "y", "x")
 
 
 def upsample_field_query(spark, sf_dir):

@@ -23,10 +23,10 @@ def stream_frames(
     return reader.parquet(path)
 
 
-def write_frames(frames: DataFrame, path: str, clip: str = "clip_id", slices: int = 1) -> None:
-    """Frames in order within each clip's files. ``slices`` spreads the frames of a clip over files."""
+def write_frames(frames: DataFrame, path: str, clip: str = "clip_id", frames_per_file: int = 64) -> None:
+    """Frames in order within each file; a file holds at most ``frames_per_file`` frames of a clip."""
     order = [c for c in (clip, "role", "frame_no", "y", "x") if c in frames.columns]
-    piece = F.expr(f"frame_no div greatest(1, {slices})") if slices > 1 else F.lit(0)
+    piece = F.expr(f"frame_no div {frames_per_file}")
     frames.repartition(clip, piece).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(clip).parquet(path)
 
 

@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from nnfield.functions.pixels import mask_blend
+from nnfield.operators.pairs import BROADCAST_ROWS, attach
 from nnfield.operators.search import SearchOptions, bind_pairs, search_rounds
 
-# A static side is broadcast only up to this many rows (a field row is about 40 bytes).
-BROADCAST_ROWS = 500_000
-# Copies of a larger static side, by frame number: a pixel that most of a field points to is then
-# met by the frames of a clip in as many tasks.
-FRAME_SALTS = 8
-
 
 def frame_pairs(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs and pixels to match frame 0 of b onto frame 0 of a, one pair per clip."""
@@ -34,19 +29,6 @@ def clip_field(clips: DataFrame, options: SearchOptions, rounds: int) -> DataFra
     return search_rounds(bind_pairs(pairs, pixels, options), options, rounds)
 
 
-def _is_small(static: DataFrame, bound: int = BROADCAST_ROWS) -> bool:
-    return static.limit(bound + 1).count() <= bound
-
-
-def _join_static(frames: DataFrame, static: DataFrame, keys: list[str], bound: int) -> DataFrame:
-    """Join frames (stream or batch) to a static table on keys: broadcast if small, else salted by frame."""
-    if _is_small(static, bound):
-        return frames.join(F.broadcast(static), keys)
-    salted = static.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(FRAME_SALTS - 1))))
-    numbered = frames.withColumn("salt", F.col("frame_no") % FRAME_SALTS)
-    return numbered.join(salted, [*keys, "salt"]).drop("salt")
-
-
 def warp_frames(frames: DataFrame, field: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``(clip_id, frame_no, ts, y, x, v)``: every frame of a' seen through the field of its clip.
 
@@ -55,7 +37,7 @@ def warp_frames(frames: DataFrame, field: DataFrame, broadcast_rows: int = BROAD
     """
     targets = field.selectExpr("pair_id as clip_id", "by as y", "bx as x", "ay", "ax")
     pixels = frames.where("role = 'a_prime'").select("clip_id", "frame_no", "ts", "y", "x", "v")
-    met = _join_static(pixels, targets, ["clip_id", "y", "x"], broadcast_rows)
+    met = attach(pixels, targets, ["clip_id", "y", "x"], ["frame_no"], broadcast_rows)
     return met.selectExpr("clip_id", "frame_no", "ts", "ay as y", "ax as x", "v")
 
 
@@ -74,7 +56,7 @@ def join_masks(warped: DataFrame, masks: DataFrame, delay: str = "10 seconds") -
 def blend_frames(warped: DataFrame, masks: DataFrame, base: DataFrame,
                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """mask * warped + (1 - mask) * base: ``(clip_id, frame_no, ts, y, x, v ARRAY<DOUBLE>)``."""
-    joined = _join_static(join_masks(warped, masks), base, ["clip_id", "y", "x"], broadcast_rows)
+    joined = attach(join_masks(warped, masks), base, ["clip_id", "y", "x"], ["frame_no"], broadcast_rows)
     return joined.select(
         "clip_id", "frame_no", "ts", "y", "x", mask_blend(F.col("m"), F.col("v"), F.col("base")).alias("v")
     )
