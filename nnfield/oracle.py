@@ -298,6 +298,7 @@ select pair_id, ay, ax, m.by_ "by", m.bx_ bx, m.d from (
     "field_large_image": f"""{with_(
     EVENTS, EVENT_PAIR, *rounds(2, grid=EVENT_GRID, pixels='epx', values=('v0', 'v1', 'v2')))}
 select cast(pair_id as bigint) pair_id, ay, ax, by_ "by", bx_ bx, d from s2""",
+    "field_full": field_sql("single", 40),
     "field_resume": field_sql("single", 2),
     "gather": f"{_field_ctes('analogy', 1)},\n{GATHERED.format(n=1)}\nselect pair_id, y, x, v from g",
     "window_average_clip": window_average_sql(3, "clip"),
