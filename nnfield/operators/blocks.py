@@ -75,13 +75,19 @@ def pack_blocks(
             *keys, "h", "w", "ty", "tx", "vy", "vx",
             f"if({in_bounds('vy', 'vx', 'h', 'w')}, v, {absent}) as v",
         )
+    # One shuffle by tile, then lines and tiles are put together where they are: a line is small, and
+    # a tile holds its lines as plain arrays, so the lists in memory stay short.
+    tile = [*keys, "h", "w", "ty", "tx"]
+    lines = (
+        placed.repartition(*keys, "ty", "tx")
+        .groupBy(*tile, "vy")
+        .agg(F.expr("array_sort(collect_list(struct(vx, v))) as cells"))
+        .selectExpr(*tile, "size(cells[0].v) as c", "struct(vy, flatten(cells.v) as line) as line")
+    )
     return (
-        placed.groupBy(*keys, "h", "w", "ty", "tx")
-        .agg(F.expr("array_sort(collect_list(struct(vy, vx, v))) as cells"))
-        .selectExpr(
-            *keys, "h", "w", "ty", "tx", *block_geometry(edge, halo),
-            "size(cells[0].v) as c", "flatten(cells.v) as px",
-        )
+        lines.groupBy(*tile)
+        .agg(F.expr("max(c) as c"), F.expr("array_sort(collect_list(line)) as lines"))
+        .selectExpr(*tile, *block_geometry(edge, halo), "c", "flatten(lines.line) as px")
     )
 
 
