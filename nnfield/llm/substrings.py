@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnfield.llm.common import batches, keyed, same_row, widest_partitions
+from nnfield.llm.common import batches, keyed, widest_partitions
 from nnfield.session import cut_lineage
 
 WINDOW = 20
@@ -45,7 +45,7 @@ _PHRASES = pa.schema([("block", pa.int64()), ("phrase", pa.int64()), ("doc_id",
                       ("start", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
 _PARTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
 _WINDOWS = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32())])
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_factors", pa.int64())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_factors", pa.int64())])
 
 
 class _WordHashes(dict):
@@ -133,6 +133,8 @@ def _phrases(window: int, chunk_phrases: int):
         parts = [x[keep] for x in (anchor, phrase, doc, text, start, n, kind)]
         more = [x[told & keep] for x in (anchor, phrase, doc, text, start, n)] + [np.full(int((told & keep).sum()), LOOKUP, np.int8)]
         anchor, phrase, doc, text, start, n, kind = (np.concatenate(x) for x in zip(parts, more))
+        order = np.lexsort((start, doc))  # neighbours alike: the shuffle compresses better
+        anchor, phrase, doc, text, start, n, kind = (x[order] for x in (anchor, phrase, doc, text, start, n, kind))
         spread = phrase ^ (doc.astype(np.uint64) * np.uint64(_BASE)) ^ start.astype(np.uint64)
         block = np.where(kind == LOOKUP, anchor, spread)
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), phrase.view(np.int64), doc, text, start, n, kind)], schema=_PHRASES)
@@ -219,36 +221,43 @@ def _window_rows(window: int):
     return run
 
 
-def factors(documents: DataFrame, window: int = WINDOW, chunk_phrases: int = CHUNK_PHRASES) -> tuple[DataFrame, DataFrame]:
-    """(keyed documents, rows doc_id, text_hash, spans): spans are arrays of (start, n), n window starts that occur earlier."""
+def _ambiguous(documents: DataFrame) -> bool:
+    """Whether a doc_id names two texts; otherwise the text's hash needn't travel with the phrases."""
+    ids = keyed(documents).groupBy("doc_id").agg((F.min("text_hash") != F.max("text_hash")).alias("several"))
+    return not ids.where("several").isEmpty()
+
+
+def factors(documents: DataFrame, window: int = WINDOW, chunk_phrases: int = CHUNK_PHRASES) -> tuple[DataFrame, DataFrame, bool]:
+    """(keyed documents, rows doc_id, text_hash, text, spans): the documents that share a phrase with another place, and
+    spans, arrays of (start, n): n window starts that occur earlier; whether text_hash tells rows apart, else it is 0).
+    A null doc_id is NO_ID in both."""
     spark = documents.sparkSession
-    docs = keyed(documents)
+    docs = keyed(documents).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    hashed = _ambiguous(documents)
+    if not hashed:
+        docs = docs.withColumn("text_hash", F.lit(0).cast("long"))
     width = widest_partitions(spark)
     phrases = docs.mapInArrow(_phrases(window, chunk_phrases), "block long, phrase long, doc_id long, text_hash long, start int, n int, kind byte")
     parts = (
         phrases.repartition(width, "block").sortWithinPartitions("block", "phrase", "doc_id", "start", "text_hash")
         .mapInArrow(_blocks, "doc_id long, text_hash long, start int, n int, kind byte")
     )
-    parts = cut_lineage(parts)
-    named = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    edges = (
-        parts.where(F.col("kind") == BOUNDARY).groupBy("doc_id", "text_hash")
-        .agg(F.collect_list(F.struct("start", "n")).alias("edges"))
-    )
-    asked = named.join(edges, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "edges")
-    windows = cut_lineage(asked.mapInArrow(_window_rows(window), "anchor long, window long, doc_id long, text_hash long, start int"))
+    place = F.struct("start", "n")
+    parts = parts.groupBy("doc_id", "text_hash").agg(
+        F.collect_list(F.when(F.col("kind") == BOUNDARY, place)).alias("edges"),
+        F.collect_list(F.when(F.col("kind") == DUPLICATE, place)).alias("known"))
+    asked = cut_lineage(docs.join(parts, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "edges", "known"))
+    windows = cut_lineage(asked.where(F.size("edges") > 0).mapInArrow(
+        _window_rows(window), "anchor long, window long, doc_id long, text_hash long, start int"))
     first = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
     first = cut_lineage(first.where("times > 1").select("anchor", "window", "first"))
-    here = F.struct("doc_id", "start")
     repeated = (
-        windows.join(first, ["anchor", "window"]).where(here > F.col("first"))
-        .select("doc_id", "text_hash", "start", F.lit(1).alias("n"))
+        windows.join(first, ["anchor", "window"]).where(F.struct("doc_id", "start") > F.col("first"))
+        .groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", F.lit(1).alias("n"))).alias("found"))
     )
-    spans = (
-        parts.where(F.col("kind") == DUPLICATE).select("doc_id", "text_hash", "start", "n").unionByName(repeated)
-        .groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    )
-    return docs, spans
+    none = F.array().cast("array<struct<start:int,n:int>>")
+    spans = F.concat("known", F.coalesce("found", none))
+    return docs, asked.join(repeated, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", spans.alias("spans")), hashed
 
 
 def _covered(n_words: int, spans: list[dict], window: int) -> tuple[np.ndarray, int]:
@@ -262,33 +271,41 @@ def _covered(n_words: int, spans: list[dict], window: int) -> tuple[np.ndarray,
     return inside, int(inside[0]) + int((inside[1:] & ~inside[:-1]).sum()) if n_words else 0
 
 
+def _kept(text: bytes | None, spans: list[dict], window: int) -> tuple[int, int, int, bytes]:
+    """Words, removed words, maximal factors and the kept words joined by one space."""
+    words = (text or b"").split()
+    if not spans:
+        return len(words), 0, 0, b" ".join(words)
+    inside, n_factors = _covered(len(words), spans, window)
+    return len(words), int(inside.sum()), n_factors, b" ".join(w for w, gone in zip(words, inside.tolist()) if not gone)
+
+
 def _summaries(window: int):
+    """From doc_id, text_hash, text and maybe spans."""
+
     def rows(parts: Iterator[pa.RecordBatch]):
         for part in parts:
-            for doc, text, spans in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist()):
-                words = (text.as_py() or b"").split()
-                removed = n_factors = 0
-                if spans:
-                    inside, n_factors = _covered(len(words), spans, window)
-                    removed = int(inside.sum())
-                    words_kept = [w for w, gone in zip(words, inside.tolist()) if not gone]
-                else:
-                    words_kept = words
-                yield doc, len(words), removed, hashlib.sha256(b" ".join(words_kept)).hexdigest(), n_factors
+            found = part.column(3).to_pylist() if part.num_columns > 3 else [[]] * part.num_rows
+            for doc, key, text, spans in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), found):
+                n_words, removed, n_factors, kept = _kept(text.as_py(), spans, window)
+                yield doc, key, n_words, removed, hashlib.sha256(kept).hexdigest(), n_factors
 
     return lambda parts: batches(rows(parts), _RESULT)
 
 
-def _with_spans(documents: DataFrame, window: int, chunk_phrases: int) -> DataFrame:
-    docs, spans = factors(documents, window, chunk_phrases)
-    spans = cut_lineage(spans.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))))
-    return docs.join(spans, same_row(docs, spans), "left").select(docs.doc_id, docs.text, spans.spans)
-
-
 def deduplicate(documents: DataFrame, window: int = WINDOW, chunk_phrases: int = CHUNK_PHRASES) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256, n_factors."""
-    return _with_spans(documents, window, chunk_phrases).mapInArrow(
-        _summaries(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long")
+    """One row per document: doc_id, n_words, n_removed, kept_sha256, n_factors.
+
+    Only texts that share a phrase meet their spans; the digest of the others needs no join with their text.
+    """
+    docs, asked, _ = factors(documents, window, chunk_phrases)
+    schema = "doc_id long, text_hash long, n_words long, n_removed long, kept_sha256 string, n_factors long"
+    every = docs.select("doc_id", "text_hash", "text").mapInArrow(_summaries(window), schema)
+    changed = cut_lineage(asked.where(F.size("spans") > 0).mapInArrow(_summaries(window), schema).dropDuplicates(["doc_id", "text_hash"]))
+    changed = changed.select("doc_id", "text_hash", *[F.col(c).alias(f"new_{c}") for c in ("n_removed", "kept_sha256", "n_factors")])
+    both = every.join(changed, ["doc_id", "text_hash"], "left")
+    return both.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), "n_words",
+                       *[F.coalesce(f"new_{c}", c).alias(c) for c in ("n_removed", "kept_sha256", "n_factors")])
 
 
 def cleaned(documents: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -296,18 +313,15 @@ def cleaned(documents: DataFrame, window: int = WINDOW) -> DataFrame:
 
     @F.arrow_udf("string")
     def kept(text: pa.Array, spans: pa.Array) -> pa.Array:
-        out = []
-        for value, found in zip(text.to_pylist(), spans.to_pylist()):
-            words = (value or b"").split()
-            inside, _ = _covered(len(words), found or [], window)
-            out.append(b" ".join(w for w, gone in zip(words, inside.tolist()) if not gone).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
-
-    _, spans = factors(documents, window)
-    spans = spans.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("_id"), F.col("text_hash").alias("_hash"), "spans")
-    spans = cut_lineage(spans.select("_id", "_hash", F.col("spans").alias("_spans")))
-    text = documents["text"].cast("binary")
-    out = documents.join(spans, documents["doc_id"].cast("long").eqNullSafe(spans["_id"]) & (F.xxhash64(text) == spans["_hash"]), "left")
-    new = F.when(spans["_spans"].isNotNull(), kept(text, spans["_spans"])).otherwise(documents["text"])
+        return pa.array([_kept(t, x, window)[3].decode("utf-8", "replace") for t, x in zip(text.to_pylist(), spans.to_pylist())], pa.string())
+
+    _, asked, hashed = factors(documents, window)
+    asked = asked.where(F.size("spans") > 0).withColumn("kept", kept("text", "spans")).dropDuplicates(["doc_id", "text_hash"])
+    asked = cut_lineage(asked.select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("_id"), F.col("text_hash").alias("_hash"), F.col("kept").alias("_kept")))
+    match = documents["doc_id"].cast("long").eqNullSafe(asked["_id"])
+    if hashed:
+        match &= F.xxhash64(documents["text"].cast("binary")) == asked["_hash"]
+    out = documents.join(asked, match, "left")
+    new = F.coalesce(asked["_kept"], documents["text"])
     out = out.select(*[new.alias(c) if c == "text" else documents[c] for c in documents.columns])
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out

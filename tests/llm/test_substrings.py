@@ -49,7 +49,8 @@ def planted(seed, n=120):
     rows += [(1000 + i, rows[i][1]) for i in range(20)]
     rows += [(2000, "a " * 300), (2001, "a b " * 90), (2002, "a b " * 40 + "c " * 45), (2003, None), (2004, ""), (2005, "\x0b\x1c \t\n"),
              (2006, "é ü " * 30), (None, rows[3][1]), (2000, "a " * 300), (2007, " ".join(passages[0] * 400))]
-    return rows
+    # One doc_id with two texts.
+    return rows if seed == 2 else [*rows, (7, "x " + rows[11][1]), (7, " ".join(passages[1]))]
 
 
 def test_equals_brute_force(docs_of):
@@ -71,7 +72,7 @@ def test_cleaned_keeps_rows_and_columns(docs_of):
     assert out.columns == docs.columns and out.count() == len(rows)
     kept = {r.doc_id: r for r in out.collect()}
     for doc, n, gone, digest in brute(rows, 20):
-        if doc is None:
+        if doc is None or doc == 7:
             continue
         text = kept[doc].text
         if gone:
