@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nnfield.llm import decontamination, simhash, substrings
+from nnfield.llm import decontamination, sharding, simhash, substrings, topk
 from nnfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,10 +20,19 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_simhash_near_dedup, op10_benchmark_decontamination,
+    op1_substring_dedup, op2_simhash_near_dedup, op5_kd_sharding, op8_exact_topk,
+    op10_benchmark_decontamination,
 )}
