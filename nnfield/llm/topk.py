@@ -162,7 +162,8 @@ def _scan(best: _Best, queries: np.ndarray, ids: np.ndarray, numbers: np.ndarray
     q, x = queries.astype(np.float64) @ turn, numbers.astype(np.float64) @ turn
     length_q, length_x = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1)
     slack = 1e-9 * (length_q.max(initial=0) * length_x.max(initial=0) + 1)
-    floor = best.floor.astype(np.float64)
+    # A score at the low end of 64 bits may stand for a lower one.
+    floor = np.where(best.floor <= -(1 << 63) + 1, -np.inf, best.floor.astype(np.float64))
     alive = np.flatnonzero(length_q * length_x.max(initial=0) + slack >= floor)
     if not len(alive):
         return
@@ -229,7 +230,7 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K, block: int = B
                 length = np.linalg.norm(rows.astype(np.float64), axis=1)
                 # A vector shorter than this can't reach any query's k-th score.
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    least = np.where(length > 0, best.floor / length, -np.inf)
+                    least = np.where((length > 0) & (best.floor > -(1 << 63) + 1), best.floor / length, -np.inf)
                 out.append((best.floor.tobytes(), float(least.min(initial=np.inf)) * (1 - 1e-9)))
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out]), part.column(5)],
                                              ["dim", "qids", "qnumbers", "floors", "least", "asked"])
