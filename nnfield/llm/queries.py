@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nnfield.llm import decontamination, sharding, simhash, substrings, topk
+from nnfield.llm import decontamination, packing, sharding, simhash, substrings, topk
 from nnfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op7_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"))
 
@@ -33,6 +37,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_simhash_near_dedup, op5_kd_sharding, op8_exact_topk,
+    op1_substring_dedup, op2_simhash_near_dedup, op5_kd_sharding, op7_first_fit_packing, op8_exact_topk,
     op10_benchmark_decontamination,
 )}
