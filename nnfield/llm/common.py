@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nnfield.session import scratch_path
+
 # Characters that end a word, as bytes.split() has them: space and \x09 to \x0D.
 ROWS_PER_BATCH = 4096
 
@@ -50,3 +52,10 @@ def batches(rows: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written as a compressed table below the shared folder and read again: like a checkpoint, but smaller on disk."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nnfield.llm import decontamination, packing, sharding, simhash, substrings, topk
+from nnfield.llm import decontamination, language, packing, sharding, simhash, substrings, topk
 from nnfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +32,15 @@ def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(read(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash_near_dedup, op5_kd_sharding, op7_first_fit_packing, op8_exact_topk,
-    op10_benchmark_decontamination,
+    op9_language_id, op10_benchmark_decontamination,
 )}

@@ -9,8 +9,7 @@ covers it starts earlier, in a smaller doc_id or in the same document.
 
 Steps: (1) map: phrases per document; each task drops phrases it has seen earlier itself, so that a passage of a third of
 all rows reaches a block once per task; (2) blocks: phrases meet by anchor, sorted, and are read as a stream;
-(3) boundary phrases give window hashes, of which the first place is an aggregate with map-side combine;
-(4) spans go back to their documents.
+(3) the windows of boundary phrases meet by their hash in the same way; (4) spans go back to their documents.
 
 Nulls: a null text has no words; a null doc_id counts as the smallest. Rows that repeat doc_id and text are one document.
 """
@@ -26,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnfield.llm.common import batches, keyed, widest_partitions
+from nnfield.llm.common import batches, keyed, stored, widest_partitions
 from nnfield.session import cut_lineage
 
 WINDOW = 20
@@ -43,8 +42,8 @@ DUPLICATE, BOUNDARY, LOOKUP = 0, 1, 2
 
 _PHRASES = pa.schema([("block", pa.int64()), ("phrase", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()),
                       ("start", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
+_PHRASES_SQL = "block long, phrase long, doc_id long, text_hash long, start int, n int, kind byte"
 _PARTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("kind", pa.int8())])
-_WINDOWS = pa.schema([("anchor", pa.int64()), ("window", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32())])
 _RESULT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("n_factors", pa.int64())])
 
 
@@ -111,33 +110,38 @@ def _ids(column: pa.Array) -> list[int]:
     return [NO_ID if x is None else x for x in column.to_pylist()]
 
 
-def _phrases(window: int, chunk_phrases: int):
-    """Phrases of whole texts; those that a chunk has already seen earlier leave as duplicates."""
-
-    def chunk(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        anchor, phrase, doc, text, start, n, own = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((text, start, doc, phrase, anchor))
-        anchor, phrase, doc, text, start, n, own = (x[order] for x in (anchor, phrase, doc, text, start, n, own))
-        new_anchor = np.append(True, anchor[1:] != anchor[:-1])
-        first = new_anchor | np.append(True, phrase[1:] != phrase[:-1])
-        at_first = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
-        # A repeated row stands at the place of the first and isn't later than it.
-        again = ~first & (doc == doc[at_first]) & (start == start[at_first])
+def _chunk(held: list[tuple[np.ndarray, ...]], boundaries: bool) -> pa.RecordBatch:
+    """Sorts what a task holds: what it has seen earlier itself leaves as a duplicate and the first of each goes to its
+    block. ``boundaries``: phrases whose anchor has several here are boundary phrases already."""
+    anchor, phrase, doc, text, start, n, own = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((text, start, doc, phrase, anchor))
+    anchor, phrase, doc, text, start, n, own = (x[order] for x in (anchor, phrase, doc, text, start, n, own))
+    new_anchor = np.append(True, anchor[1:] != anchor[:-1])
+    first = new_anchor | np.append(True, phrase[1:] != phrase[:-1])
+    at_first = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    # A repeated row stands at the place of the first and isn't later than it.
+    keep = first | (doc != doc[at_first]) | (start != start[at_first])
+    kind = np.where(first, LOOKUP, DUPLICATE).astype(np.int8)
+    told = np.zeros(len(first), bool)
+    if boundaries:
         groups = np.cumsum(new_anchor) - 1
         many = (np.bincount(groups, weights=first) > 1)[groups] | (np.bincount(groups, weights=own) > 0)[groups]
-        kind = np.where(first, np.where(many, BOUNDARY, LOOKUP), DUPLICATE).astype(np.int8)
+        kind[first & many] = BOUNDARY
         # A block needs two phrases of an anchor at most to know that it has several.
         rank = np.cumsum(first)
         told = many & first & (rank - rank[np.flatnonzero(new_anchor)][groups] < 2)
-        keep = ~again
-        parts = [x[keep] for x in (anchor, phrase, doc, text, start, n, kind)]
-        more = [x[told & keep] for x in (anchor, phrase, doc, text, start, n)] + [np.full(int((told & keep).sum()), LOOKUP, np.int8)]
-        anchor, phrase, doc, text, start, n, kind = (np.concatenate(x) for x in zip(parts, more))
-        order = np.lexsort((start, doc))  # neighbours alike: the shuffle compresses better
-        anchor, phrase, doc, text, start, n, kind = (x[order] for x in (anchor, phrase, doc, text, start, n, kind))
-        spread = phrase ^ (doc.astype(np.uint64) * np.uint64(_BASE)) ^ start.astype(np.uint64)
-        block = np.where(kind == LOOKUP, anchor, spread)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), phrase.view(np.int64), doc, text, start, n, kind)], schema=_PHRASES)
+    parts = [x[keep] for x in (anchor, phrase, doc, text, start, n, kind)]
+    more = [x[told] for x in (anchor, phrase, doc, text, start, n)] + [np.full(int(told.sum()), LOOKUP, np.int8)]
+    anchor, phrase, doc, text, start, n, kind = (np.concatenate(x) for x in zip(parts, more))
+    order = np.lexsort((start, doc))  # neighbours alike: the shuffle compresses better
+    anchor, phrase, doc, text, start, n, kind = (x[order] for x in (anchor, phrase, doc, text, start, n, kind))
+    spread = phrase ^ (doc.astype(np.uint64) * np.uint64(_BASE)) ^ start.astype(np.uint64)
+    block = np.where(kind == LOOKUP, anchor, spread)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (block.view(np.int64), phrase.view(np.int64), doc, text, start, n, kind)], schema=_PHRASES)
+
+
+def _phrases(window: int, chunk_phrases: int):
+    """Phrases of whole texts."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, held, count = _Hasher(window), [], 0
@@ -158,10 +162,10 @@ def _phrases(window: int, chunk_phrases: int):
                 held.append((anchors[start], phrase, np.full(k, doc), np.full(k, key), start.astype(np.int32), n.astype(np.int32), own))
                 count += k
                 if count >= chunk_phrases:
-                    yield chunk(held)
+                    yield _chunk(held, True)
                     held, count = [], 0
         if held:
-            yield chunk(held)
+            yield _chunk(held, True)
 
     return run
 
@@ -203,24 +207,36 @@ def _blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PARTS)], schema=_PARTS)
 
 
-def _window_rows(window: int):
-    """Hashes of the windows in boundary phrases."""
+def _window_rows(window: int, chunk_rows: int):
+    """The windows of boundary phrases, as phrases of one window in the block of their hash."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = _Hasher(window)
+        hasher, held, count = _Hasher(window), [], 0
         for part in parts:
-            out = []
             for doc, text, key, edges in zip(_ids(part.column(0)), part.column(1), part.column(2).to_pylist(), part.column(3).to_pylist()):
                 _, hashes, anchors = hasher.windows(text.as_py().split())
-                at = np.concatenate([np.arange(e["start"], e["start"] + e["n"]) for e in edges])
-                at = np.unique(at)
-                out.append((anchors[at].view(np.int64), hashes[at].view(np.int64), np.full(len(at), doc), np.full(len(at), key), at.astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=_WINDOWS)
+                at = np.unique(np.concatenate([np.arange(e["start"], e["start"] + e["n"]) for e in edges]))
+                k = len(at)
+                held.append((hashes[at], anchors[at], np.full(k, doc), np.full(k, key), at.astype(np.int32), np.ones(k, np.int32), np.zeros(k, bool)))
+                count += k
+                if count >= chunk_rows:
+                    yield _chunk(held, False)
+                    held, count = [], 0
+        if held:
+            yield _chunk(held, False)
 
     return run
 
 
+def _met(phrases: DataFrame) -> DataFrame:
+    """Phrases after they met in their blocks: doc_id, text_hash, start, n, kind."""
+    width = widest_partitions(phrases.sparkSession)
+    return (
+        phrases.repartition(width, "block").sortWithinPartitions("block", "phrase", "doc_id", "start", "text_hash")
+        .mapInArrow(_blocks, "doc_id long, text_hash long, start int, n int, kind byte")
+    )
+
+
 def _ambiguous(documents: DataFrame) -> bool:
     """Whether a doc_id names two texts; otherwise the text's hash needn't travel with the phrases."""
     ids = keyed(documents).groupBy("doc_id").agg((F.min("text_hash") != F.max("text_hash")).alias("several"))
@@ -231,30 +247,18 @@ def factors(documents: DataFrame, window: int = WINDOW, chunk_phrases: int = CHU
     """(keyed documents, rows doc_id, text_hash, text, spans): the documents that share a phrase with another place, and
     spans, arrays of (start, n): n window starts that occur earlier; whether text_hash tells rows apart, else it is 0).
     A null doc_id is NO_ID in both."""
-    spark = documents.sparkSession
     docs = keyed(documents).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     hashed = _ambiguous(documents)
     if not hashed:
         docs = docs.withColumn("text_hash", F.lit(0).cast("long"))
-    width = widest_partitions(spark)
-    phrases = docs.mapInArrow(_phrases(window, chunk_phrases), "block long, phrase long, doc_id long, text_hash long, start int, n int, kind byte")
-    parts = (
-        phrases.repartition(width, "block").sortWithinPartitions("block", "phrase", "doc_id", "start", "text_hash")
-        .mapInArrow(_blocks, "doc_id long, text_hash long, start int, n int, kind byte")
-    )
+    parts = _met(docs.mapInArrow(_phrases(window, chunk_phrases), _PHRASES_SQL))
     place = F.struct("start", "n")
     parts = parts.groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.when(F.col("kind") == BOUNDARY, place)).alias("edges"),
         F.collect_list(F.when(F.col("kind") == DUPLICATE, place)).alias("known"))
-    asked = cut_lineage(docs.join(parts, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "edges", "known"))
-    windows = cut_lineage(asked.where(F.size("edges") > 0).mapInArrow(
-        _window_rows(window), "anchor long, window long, doc_id long, text_hash long, start int"))
-    first = windows.groupBy("anchor", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"))
-    first = cut_lineage(first.where("times > 1").select("anchor", "window", "first"))
-    repeated = (
-        windows.join(first, ["anchor", "window"]).where(F.struct("doc_id", "start") > F.col("first"))
-        .groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", F.lit(1).alias("n"))).alias("found"))
-    )
+    asked = stored(docs.join(parts, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "edges", "known"), "asked")
+    windows = _met(asked.where(F.size("edges") > 0).select("doc_id", "text", "text_hash", "edges").mapInArrow(_window_rows(window, chunk_phrases), _PHRASES_SQL))
+    repeated = windows.where(F.col("kind") == DUPLICATE).groupBy("doc_id", "text_hash").agg(F.collect_list(place).alias("found"))
     none = F.array().cast("array<struct<start:int,n:int>>")
     spans = F.concat("known", F.coalesce("found", none))
     return docs, asked.join(repeated, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", spans.alias("spans")), hashed
