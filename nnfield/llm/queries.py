@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nnfield.llm import decontamination, language, packing, sharding, simhash, substrings, topk
+from nnfield.llm import decontamination, language, packing, quality, sharding, simhash, substrings, topk
 from nnfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op7_first_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -41,6 +45,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_simhash_near_dedup, op5_kd_sharding, op7_first_fit_packing, op8_exact_topk,
+    op1_substring_dedup, op2_simhash_near_dedup, op5_kd_sharding, op6_quality_votes, op7_first_fit_packing, op8_exact_topk,
     op9_language_id, op10_benchmark_decontamination,
 )}
