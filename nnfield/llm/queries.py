@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nnfield.llm import decontamination, html, language, packing, quality, sharding, simhash, substrings, topk
+from nnfield.llm import decontamination, html, language, licenses, packing, quality, sharding, simhash, substrings, topk
 from nnfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op4_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
@@ -49,6 +53,6 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_substring_dedup, op2_simhash_near_dedup, op4_html_consensus, op5_kd_sharding, op6_quality_votes, op7_first_fit_packing, op8_exact_topk,
+    op1_substring_dedup, op2_simhash_near_dedup, op3_license_scan, op4_html_consensus, op5_kd_sharding, op6_quality_votes, op7_first_fit_packing, op8_exact_topk,
     op9_language_id, op10_benchmark_decontamination,
 )}
