@@ -54,6 +54,16 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Like stored(), dealt by ``keys``: a later join on them reads the rows where they are. Where the rows come
+    from a sort-merge join on the same keys, writing needs no shuffle either."""
+    path = scratch_path(df.sparkSession, name)
+    table = f"{name}_{path.rpartition('-')[2]}"
+    writer = df.write.bucketBy(widest_partitions(df.sparkSession), *keys).sortBy(*keys)
+    writer.option("path", path).option("compression", "zstd").format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written as a compressed table below the shared folder and read again: like a checkpoint, but smaller on disk."""
     path = scratch_path(df.sparkSession, name)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnfield.llm.common import batches, keyed, stored, widest_partitions
+from nnfield.llm.common import batches, bucketed, keyed, widest_partitions
 from nnfield.session import cut_lineage
 
 WINDOW = 20
@@ -256,12 +256,14 @@ def factors(documents: DataFrame, window: int = WINDOW, chunk_phrases: int = CHU
     parts = parts.groupBy("doc_id", "text_hash").agg(
         F.collect_list(F.when(F.col("kind") == BOUNDARY, place)).alias("edges"),
         F.collect_list(F.when(F.col("kind") == DUPLICATE, place)).alias("known"))
-    asked = stored(docs.join(parts, ["doc_id", "text_hash"]).select("doc_id", "text", "text_hash", "edges", "known"), "asked")
+    key = ["doc_id", "text_hash"]
+    met = docs.join(parts.hint("merge"), key)
+    asked = bucketed(met.select("doc_id", "text", "text_hash", "edges", "known"), "asked", key)
     windows = _met(asked.where(F.size("edges") > 0).select("doc_id", "text", "text_hash", "edges").mapInArrow(_window_rows(window, chunk_phrases), _PHRASES_SQL))
     repeated = windows.where(F.col("kind") == DUPLICATE).groupBy("doc_id", "text_hash").agg(F.collect_list(place).alias("found"))
     none = F.array().cast("array<struct<start:int,n:int>>")
     spans = F.concat("known", F.coalesce("found", none))
-    return docs, asked.join(repeated, ["doc_id", "text_hash"], "left").select("doc_id", "text_hash", "text", spans.alias("spans")), hashed
+    return docs, asked.join(repeated.hint("merge"), key, "left").select("doc_id", "text_hash", "text", spans.alias("spans")), hashed
 
 
 def _covered(n_words: int, spans: list[dict], window: int) -> tuple[np.ndarray, int]:
