@@ -60,24 +60,24 @@ def event_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Videos of 25 frames at 25 fps, one row per pixel."""
+def frames(spark: SparkSession, sf_dir: str, frame_millis: int = FRAME_MILLIS) -> DataFrame:
+    """Videos of 25 frames, at 25 fps unless stated, one row per pixel."""
     from nnfield.sources.images import explode_pixels
 
     return explode_pixels(embedding_images(spark, sf_dir)).select(
         F.expr(f"image_id div {FRAMES_PER_VIDEO}").alias("video_id"),
         (F.col("image_id") % FRAMES_PER_VIDEO).cast("int").alias("frame_no"),
         F.expr(
-            f"timestamp_millis(unix_millis(timestamp'{START} UTC') + {FRAME_MILLIS} * (image_id % {FRAMES_PER_VIDEO}))"
+            f"timestamp_millis(unix_millis(timestamp'{START} UTC') + {frame_millis} * (image_id % {FRAMES_PER_VIDEO}))"
         ).alias("ts"),
         "h", "w", "y", "x", "v",
     )
 
 
-def clip_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clip_frames(spark: SparkSession, sf_dir: str, frame_millis: int = FRAME_MILLIS) -> DataFrame:
     """The videos in groups of four: clip k uses videos 4k..4k+3 as a, b, a' and mask source."""
     role = F.element_at(F.array(*[F.lit(r) for r in CLIP_ROLES]), (F.col("video_id") % 4 + 1).cast("int"))
-    return frames(spark, sf_dir).select(
+    return frames(spark, sf_dir, frame_millis).select(
         F.expr("video_id div 4").alias("clip_id"), role.alias("role"), "frame_no", "ts", "h", "w", "y", "x", "v"
     )
 

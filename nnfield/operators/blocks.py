@@ -118,6 +118,16 @@ def image_blocks(images: DataFrame, halo: int = 0, edge: int = BLOCK_EDGE) -> Da
     return pack_image_rows(images.where(fits), halo, edge).unionByName(taken_apart)
 
 
+def blocks_of(images: DataFrame, keys: list[str], halo: int, border: str, edge: int = BLOCK_EDGE) -> DataFrame:
+    """Blocks of pixel rows under a border rule, or of image rows keyed ``image_id`` for readers that don't
+    depend on what lies outside the image."""
+    if "data" not in images.columns:
+        return pack_blocks(images, keys, halo, border, edge)
+    fits = f"greatest(height, width) <= {edge}"
+    apart = pack_blocks(explode_pixels(images.where(f"not ({fits})"), keys), keys, halo, border, edge)
+    return pack_image_rows(images.where(fits), halo, edge).unionByName(apart)
+
+
 def block_index(y: str, x: str, halo: int, channels: str = "c") -> str:
     """Position of channel 0 of pixel (y, x) in the ``px`` array of the block in scope."""
     return f"((({y}) - y0 + {halo}) * stride + (({x}) - x0 + {halo})) * {channels}"

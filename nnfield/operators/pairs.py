@@ -11,6 +11,7 @@ USES_PER_KEY = 64
 USE_SALTS = 256
 # A side is broadcast only up to this many rows (descriptor and field rows are about 40 bytes).
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 * 1024 * 1024
 ATTACH_SALTS = 16
 
 
@@ -18,10 +19,14 @@ def attach(rows: DataFrame, static: DataFrame, keys: list[str], spread: list[str
            broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join ``rows`` (stream or batch) to a smaller static table on ``keys``.
 
-    The static side is counted up to a bound and broadcast below it. Beyond, it is copied under salts
-    and the rows are spread by ``spread``, so that a key which holds most rows is met in many tasks.
+    The static side's rows and array elements are counted; it is broadcast below ``broadcast_rows`` and
+    BROADCAST_BYTES. Beyond, it is copied under salts and the rows are spread by ``spread``, so that a key
+    which holds most rows is met in many tasks.
     """
-    if static.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    arrays = [F.coalesce(F.size(c), F.lit(0)) for c, kind in static.dtypes if kind.startswith("array")]
+    width = F.lit(8 * len(static.columns)) + sum((8 * a for a in arrays), F.lit(0))
+    held = static.agg(F.count(F.lit(1)).alias("n"), F.sum(width.cast("long")).alias("bytes")).first()
+    if held.n <= broadcast_rows and (held.bytes or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(static), keys)
     salted = static.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(ATTACH_SALTS - 1))))
     numbered = rows.withColumn("salt", F.pmod(F.xxhash64(*spread), F.lit(ATTACH_SALTS)).cast("int"))

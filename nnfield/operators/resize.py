@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from nnfield.operators.blocks import BLOCK_EDGE, block_index, pack_blocks
+from nnfield.operators.blocks import BLOCK_EDGE, block_index, blocks_of
 
 
 def _source(target: str, size: str, target_size: int) -> str:
@@ -33,9 +33,10 @@ def resize_bilinear(
     """``(keys.., y, x, v ARRAY<DOUBLE>)`` on a height x width grid.
 
     Every target pixel is made by the block that holds its upper-left source neighbour; a halo of
-    one gives the other three, so packing is the only shuffle.
+    one gives the other three, so packing pixel rows is the only shuffle, and image rows that fit a
+    block need none: what lies beyond the image has weight 0.
     """
-    blocks = pack_blocks(pixels, keys, halo=1, border="edge", edge=edge)
+    blocks = blocks_of(pixels, keys, 1, "edge", edge)
     made = (
         blocks.selectExpr("*", f"explode({_targets('y0', 'bh', 'h', height)}) as y")
         .selectExpr("*", f"explode({_targets('x0', 'bw', 'w', width)}) as x")

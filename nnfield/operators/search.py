@@ -34,6 +34,7 @@ from nnfield.functions.windows import (
 from nnfield.functions.text import subquery
 from nnfield.operators.blocks import block_positions, image_blocks, lookup_salt, salted_blocks
 from nnfield.operators.pairs import attach, bind_roles
+from nnfield.operators.validate import pair_violations
 from nnfield.session import cut_lineage, partitions_for
 from nnfield.sources.images import byte_values
 
@@ -76,13 +77,17 @@ class SearchOptions:
 
 @dataclass(frozen=True)
 class BoundPairs:
-    """Pairs with their images packed: ``whole`` and ``tiled`` are None where no pair needs them."""
+    """Pairs with their images packed: ``whole`` and ``tiled`` are None where no pair needs them.
+
+    ``violations(pair_id, reason)`` are the pairs that can't be searched and have no rows in any field.
+    """
 
     whole: DataFrame | None
     tiled_a: DataFrame | None
     tiled_b: DataFrame | None
     partitions: int
     features: tuple[str, ...]
+    violations: DataFrame
 
     @property
     def weights(self) -> list[str]:
@@ -137,14 +142,18 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
     """Pack the images of all pairs and cut the lineage, so that every round reads them ready-made.
 
     ``pixels`` are pixel rows (image_id, h, w, y, x, v) or image rows (image_id, height, width,
-    channels, data).
+    channels, data). Pairs whose images are missing, incomplete, of other shapes than stated or unlike each
+    other are left out and listed in ``violations``.
     """
     spark = pairs.sparkSession
+    violations = cut_lineage(pair_violations(pairs, pixels))
+    if not violations.isEmpty():
+        pairs = pairs.join(violations, "pair_id", "left_anti")
     pairs = _weighted(pairs)
     large = f"greatest(h, w) > {options.whole_edge}"
     facts = pairs.selectExpr(
         f"max({large}) as any_large", f"min({large}) as all_large", "max(w_aux) as aux",
-        "min(c) as least_c", "max(c) as c", "sum(cast(h * w * c as bigint)) as total",
+        "min(c) as least_c", "max(c) as c", "sum(cast(h as bigint) * w * c) as total",
     ).first()
     if facts["c"] is not None and not facts["c"] == facts["least_c"] == options.channels:
         raise ValueError(f"pairs have {facts['least_c']}..{facts['c']} channels, the options say {options.channels}")
@@ -155,7 +164,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
     weights = ["w_main", *(["w_aux"] if facts["aux"] else [])]
 
     whole = tiled_a = tiled_b = None
-    if not facts["all_large"]:
+    if not facts["all_large"]:  # also without any pair
         small = pairs.where(f"not ({large})")
         blocks = image_blocks(images.where(f"not ({image_large})"), options.halo, options.whole_edge)
         held = bind_roles(small, blocks.select("image_id", "stride", "px")).groupBy("pair_id").agg(
@@ -186,7 +195,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         kept = ["pair_id", *numbers]
         tiled_a = tiled.where("side = 'a'").selectExpr(*kept, *[f"p_{f} as pa_{f}" for f in features])
         tiled_b = tiled.where("side = 'b'").selectExpr(*kept, *[f"p_{f} as pb_{f}" for f in features])
-    return BoundPairs(whole, tiled_a, tiled_b, partitions, features)
+    return BoundPairs(whole, tiled_a, tiled_b, partitions, features, violations)
 
 
 # ---------------------------------------------------------------- scoring

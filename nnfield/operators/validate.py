@@ -9,6 +9,31 @@ from nnfield.operators.pairs import bind_roles
 VIDEO_ROLES = ("a", "b", "a_prime")
 
 
+def descriptors(images: DataFrame) -> DataFrame:
+    """(image_id, height, width, channels) of pixel rows or image rows; incomplete images have height 0."""
+    if "data" in images.columns:
+        whole = "height > 0 and width > 0 and coalesce({}, -1) = cast(height as bigint) * width * channels"
+        size = "length(data)" if dict(images.dtypes)["data"] == "binary" else "size(data)"
+        return images.selectExpr("image_id", f"if({whole.format(size)}, height, 0) as height", "width", "channels").distinct()
+    seen = images.groupBy("image_id").agg(
+        F.min("h").alias("h0"), F.max("h").alias("height"), F.min("w").alias("w0"), F.max("w").alias("width"),
+        F.min(F.size("v")).alias("c0"), F.max(F.size("v")).alias("channels"), F.count("*").alias("n"),
+        F.min(F.expr("y >= 0 and x >= 0 and y < h and x < w")).alias("inside"),
+    )
+    whole = "h0 = height and w0 = width and c0 = channels and inside and n = cast(height as bigint) * width"
+    return seen.selectExpr("image_id", f"if({whole}, height, 0) as height", "width", "channels")
+
+
+def pair_violations(pairs: DataFrame, images: DataFrame) -> DataFrame:
+    """(pair_id, reason) of the pairs whose images are missing, incomplete, unlike each other or unlike the pair."""
+    held = descriptors(images)
+    unlike = check_shapes(pairs, held).selectExpr("pair_id", "if(images < wanted, 'missing image', 'unequal shapes') as reason")
+    stated = bind_roles(pairs, held, {"a": "a_img"}).join(pairs.select("pair_id", "h", "w", "c"), "pair_id").where(
+        "not (height <=> h and width <=> w and channels <=> c) or height = 0"
+    ).selectExpr("pair_id", "if(height = 0, 'incomplete image', 'unlike the pair') as reason")
+    return unlike.unionByName(stated).groupBy("pair_id").agg(F.min("reason").alias("reason"))
+
+
 def check_shapes(pairs: DataFrame, images: DataFrame) -> DataFrame:
     """Pairs whose images differ in height, width or channels, or are missing.
 

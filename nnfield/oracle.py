@@ -234,6 +234,7 @@ _BLEND_CTE = """masked as (
       using (clip_id, frame_no, ts_ms, y, x)
     join (select clip_id, y, x, v from fr where role = 'a_prime' and frame_no = 0) b using (clip_id, y, x))"""
 _MASKED = f"{with_(*warp_ctes(2), _BLEND_CTE)}\nselect clip_id, frame_no, ts_ms, y, x, v from masked"
+_MASKED_LONG = _MASKED.replace("40 * (img % 25)", "1000 * (img % 25)")
 _ROLES = """select pair_id, role, image_id, p.y, p.x, p.v from (
     select pair_id, 'a' role, a image_id from prs union all select pair_id, 'aa', aa from prs
     union all select pair_id, 'b', b from prs union all select pair_id, 'bb', bb from prs) r
@@ -245,6 +246,14 @@ select g.pair_id, g.y, g.x, coalesce(l.v, 0) v from grid g
   left join s1 s on s.pair_id = g.pair_id and s.ay = g.y // 2 and s.ax = g.x // 2
   left join large l on l.image_id = g.prime and l.y = s.by_ * 2 + g.y % 2 and l.x = s.bx_ * 2 + g.x % 2"""
 
+# A pair with an image of 7 lines is unlike itself, one with a missing image lacks it.
+_VIOLATIONS = f"""{_field_ctes('double', 1)},
+bad as (
+  select pair_id, case when bool_or(i % 22 = 9) then 'missing image' else 'unequal shapes' end reason
+  from (select pair_id, unnest([a, aa, b, bb]) i from prs) group by pair_id having bool_or(i % 22 = 9 or i % 10 = 7))
+select pair_id, ay, ax, by_ "by", bx_ bx, d, cast(null as varchar) reason from s1 where pair_id not in (select pair_id from bad)
+union all select pair_id, null, null, null, null, null, reason from bad"""
+
 ORACLE = {
     "pixels": f"{with_(IMAGES)}\nselect img image_id, y, x, v from px",
     "event_image": f"{with_(EVENTS)}\nselect img image_id, y, x, v0, v1, v2 from epx",
@@ -318,5 +327,8 @@ select pair_id, ay y, ax x, cast(floor(255 * (bx_ / w)) as int) r, 0 g, cast(flo
     "warp_stream": f"{with_(*warp_ctes(2))}\n{_WARPED}",
     "warp_stream_masked": _MASKED,
     "warp_new_videos": f"{with_(*warp_ctes(2))}\n{_WARPED}",
+    "warp_stream_masked_long": _MASKED_LONG,
+    "warp_new_videos_late_start": _MASKED,
     "warp_batch_masked": _MASKED,
+    "field_with_violations": _VIOLATIONS,
 }

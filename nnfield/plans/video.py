@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, functions as F
 
 from nnfield.operators.search import SearchOptions
+from nnfield.operators.validate import check_frame_counts
 from nnfield.session import cut_lineage
 from nnfield.streaming.video import base_frame, blend_frames, clip_field, warp_frames
 
 
-def warp_video(clips: DataFrame, options: SearchOptions, rounds: int, masks: DataFrame | None = None) -> DataFrame:
-    """``(clip_id, frame_no, ts, y, x, v ARRAY<DOUBLE>)``."""
+class Warped(NamedTuple):
+    """``frames(clip_id, frame_no, ts, y, x, v ARRAY<DOUBLE>)`` and the clips of unequal length, which have none."""
+
+    frames: DataFrame
+    violations: DataFrame
+
+
+def warp_video(clips: DataFrame, options: SearchOptions, rounds: int, masks: DataFrame | None = None) -> Warped:
+    """All clips whose videos (and masks) have equally many frames."""
+    violations = cut_lineage(check_frame_counts(clips, masks))
+    if not violations.isEmpty():
+        clips = clips.join(violations, "clip_id", "left_anti")
+    return Warped(_warp(clips, options, rounds, masks), violations)
+
+
+def _warp(clips: DataFrame, options: SearchOptions, rounds: int, masks: DataFrame | None) -> DataFrame:
     field = cut_lineage(clip_field(clips, options, rounds))
     warped = warp_frames(clips, field)
     if masks is not None:

@@ -104,11 +104,11 @@ def swap_channels_query(spark, sf_dir):
 
 
 def resize_up(spark, sf_dir):
-    return _scalar(resize_bilinear(_pixels(spark, sf_dir), ["image_id"], 12, 12), "image_id", "y", "x")
+    return _scalar(resize_bilinear(fx.embedding_images(spark, sf_dir), ["image_id"], 12, 12), "image_id", "y", "x")
 
 
 def resize_down(spark, sf_dir):
-    return _scalar(resize_bilinear(_pixels(spark, sf_dir), ["image_id"], 5, 3), "image_id", "y", "x")
+    return _scalar(resize_bilinear(fx.embedding_images(spark, sf_dir), ["image_id"], 5, 3), "image_id", "y", "x")
 
 
 def check_shapes(spark, sf_dir):
@@ -127,7 +127,7 @@ def check_frame_counts(spark, sf_dir):
 
 
 def patches(spark, sf_dir):
-    cut = cut_patches(_pixels(spark, sf_dir), ["image_id"], 3)
+    cut = cut_patches(fx.embedding_images(spark, sf_dir), ["image_id"], 3)
     return cut.select("image_id", "y", "x", F.posexplode("pv").alias("k", "e")).select(
         "image_id", "y", "x", "k", F.col("e")[0].alias("v")
     )
@@ -150,7 +150,7 @@ def field_init(spark, sf_dir):
 
 def _distance(mode, patch_size=3):
     def query(spark, sf_dir):
-        """Identity candidates: every pixel against the pixel at its own place."""
+        """Every pixel against the pixel at its place in the image turned upside down."""
         options = SearchOptions(patch_size=patch_size)
         pairs, px = fx.pairs(spark, sf_dir, mode), _pixels(spark, sf_dir)
         grid = px.join(pairs.select("pair_id", F.col("a_img").alias("image_id")), "image_id")
@@ -236,7 +236,7 @@ def _average(patch_size, border):
 def block_copy_query(spark, sf_dir):
     """The field of 8x8 pairs applied to primed images enlarged to 19x17."""
     pairs = fx.pairs(spark, sf_dir, "analogy")
-    large = resize_bilinear(_pixels(spark, sf_dir), ["image_id"], 19, 17).selectExpr(
+    large = resize_bilinear(fx.embedding_images(spark, sf_dir), ["image_id"], 19, 17).selectExpr(
         "image_id", "19 as h", "17 as w", "y", "x", "transform(v, e -> cast(floor(e) as int)) as v"
     )
     blocks = pair_blocks(pairs, large, "prime_img")
@@ -299,33 +299,74 @@ def _stored(spark, name):
     return run
 
 
-def warp_stream_masked(spark, sf_dir):
-    """The same blended over frame 0 by a stream of masks."""
-    path, out, mask_path = _clip_files(spark, sf_dir), scratch_path(spark, "blended"), scratch_path(spark, "masks")
-    clips = fx.clip_frames(spark, sf_dir)
-    fx.masks(clips).write.parquet(mask_path)
+def _masked_stream(spark, sf_dir, frame_millis, files_per_trigger):
+    """Frames blended over frame 0 by a stream of masks."""
+    clips = fx.clip_frames(spark, sf_dir, frame_millis)
+    path, out, mask_path = (scratch_path(spark, n) for n in ("frames", "blended", "masks"))
+    # one file per clip: clips arrive one after the other, each over its whole time
+    fx.masks(clips).repartition("clip_id").write.partitionBy("clip_id").parquet(mask_path)
+    write_frames(clips, path)
     field = streams.clip_field(clips, OPTIONS, 2).transform(_stored(spark, "field"))
     base = streams.base_frame(clips).transform(_stored(spark, "base"))
-    warped = streams.warp_frames(stream_frames(spark, path), field)
-    blended = streams.blend_frames(warped, stream_frames(spark, mask_path, MASK_SCHEMA), base)
-    stream_to_files(blended, out, scratch_path(spark, "checkpoint")).awaitTermination()
+    warped = streams.warp_frames(stream_frames(spark, path, files_per_trigger=files_per_trigger), field)
+    masks = stream_frames(spark, mask_path, MASK_SCHEMA, files_per_trigger)
+    streams.blend_stream(warped, masks, base, out, scratch_path(spark, "held"), scratch_path(spark, "checkpoint")).awaitTermination()
     return _with_millis(spark.read.parquet(out))
 
 
-def warp_new_videos(spark, sf_dir):
-    """Clips arriving over several micro-batches; each is matched when first seen."""
-    path, out = _clip_files(spark, sf_dir), scratch_path(spark, "warped-new")
-    query = streams.warp_new_videos(
-        stream_frames(spark, path, files_per_trigger=8), scratch_path(spark, "fields"), out,
-        scratch_path(spark, "checkpoint"), OPTIONS, 2,
-    )
-    query.awaitTermination()
+def warp_stream_masked(spark, sf_dir):
+    return _masked_stream(spark, sf_dir, fx.FRAME_MILLIS, None)
+
+
+def warp_stream_masked_long(spark, sf_dir):
+    """Clips of 25 seconds with one start, a few files per trigger: rows far behind the newest time."""
+    return _masked_stream(spark, sf_dir, 1000, 8)
+
+
+def _new_videos(spark, parts, masks=None, files_per_trigger=8):
+    """Clips whose frames were written in the order of ``parts``."""
+    path, out = scratch_path(spark, "frames"), scratch_path(spark, "warped-new")
+    for part in parts:
+        part.write.mode("append").partitionBy("clip_id").parquet(path)
+    mask_stream = None
+    if masks is not None:
+        mask_path = scratch_path(spark, "masks")
+        masks.write.partitionBy("clip_id").parquet(mask_path)
+        mask_stream = stream_frames(spark, mask_path, MASK_SCHEMA, files_per_trigger)
+    streams.warp_new_videos(
+        stream_frames(spark, path, files_per_trigger=files_per_trigger), scratch_path(spark, "store"), out,
+        scratch_path(spark, "checkpoint"), OPTIONS, 2, mask_stream,
+    ).awaitTermination()
     return _with_millis(spark.read.parquet(out))
 
 
+def warp_new_videos(spark, sf_dir):
+    """Clips arriving over several micro-batches; each is matched when its first frames are whole."""
+    return _new_videos(spark, [fx.clip_frames(spark, sf_dir).repartition("clip_id")], files_per_trigger=2)
+
+
+def warp_new_videos_late_start(spark, sf_dir):
+    """Later frames come first, and masks come with them: nothing is lost."""
+    clips = fx.clip_frames(spark, sf_dir)
+    parts = [clips.where("frame_no >= 15"), clips.where("frame_no < 15 and role <> 'a'"), clips.where("frame_no < 15 and role = 'a'")]
+    return _new_videos(spark, [p.repartition("clip_id") for p in parts], fx.masks(clips).repartition("clip_id"), 4)
+
+
 def warp_batch_masked(spark, sf_dir):
     clips = fx.clip_frames(spark, sf_dir)
-    return _with_millis(warp_video(clips, OPTIONS, 2, fx.masks(clips)))
+    return _with_millis(warp_video(clips, OPTIONS, 2, fx.masks(clips)).frames)
+
+
+def field_with_violations(spark, sf_dir):
+    """Images of which some have lost a line and some are missing: their pairs are named, the others searched."""
+    pairs = fx.pairs(spark, sf_dir, "double")
+    images = fx.embedding_images(spark, sf_dir).where("image_id % 22 <> 9").selectExpr(
+        "image_id", "if(image_id % 10 = 7, height - 1, height) as height", "width", "channels",
+        "if(image_id % 10 = 7, slice(data, 1, size(data) - width), data) as data",
+    )
+    bound = bind_pairs(pairs, images, OPTIONS)
+    found = _shown(search_rounds(bound, OPTIONS, 1)).withColumn("reason", F.lit(None).cast("string"))
+    return found.unionByName(bound.violations.select("pair_id", "reason"), allowMissingColumns=True)
 
 
 QUERIES = {
@@ -371,6 +412,9 @@ QUERIES = {
     "analogy_2rounds": analogy_2rounds,
     "warp_stream": warp_stream,
     "warp_stream_masked": warp_stream_masked,
+    "warp_stream_masked_long": warp_stream_masked_long,
     "warp_new_videos": warp_new_videos,
+    "warp_new_videos_late_start": warp_new_videos_late_start,
+    "field_with_violations": field_with_violations,
     "warp_batch_masked": warp_batch_masked,
 }

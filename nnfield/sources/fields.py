@@ -18,5 +18,11 @@ def write_field(field: DataFrame, path: str, buckets: int = FIELD_BUCKETS, mode:
     ).parquet(path)
 
 
-def read_field(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("pair_bucket")
+def read_field(spark: SparkSession, path: str, pairs: DataFrame | None = None, buckets: int = FIELD_BUCKETS) -> DataFrame:
+    """The stored field, or that of ``pairs(pair_id)`` only: folders of other buckets aren't read."""
+    field = spark.read.parquet(path)
+    if pairs is not None:
+        wanted = pairs.select("pair_id").distinct()
+        used = wanted.select(F.pmod("pair_id", F.lit(buckets)).cast("int").alias("b")).distinct().collect()
+        field = field.where(F.col("pair_bucket").isin([r.b for r in used])).join(wanted, "pair_id", "left_semi")
+    return field.drop("pair_bucket")

@@ -31,14 +31,18 @@ def encode_png(values: np.ndarray) -> bytes:
 def write_png(images: DataFrame, path: str, key: str) -> int:
     """Write ``images(key, height, width, channels, data ARRAY<INT>)`` as ``path/key=<value>.png``.
 
-    ``path`` is a folder all executors reach, under any scheme pyarrow knows. A task that runs again
-    writes the same files again. Returns the number of files.
+    ``path`` is a folder all executors reach, under any scheme pyarrow knows; one without a scheme is
+    resolved by Spark's default filesystem, as the image source does. A task that runs again writes the
+    same files again. Returns the number of files.
     """
+    spark = images.sparkSession
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        files, folder = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        files, folder = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
         files.create_dir(folder, recursive=True)
         for batch in batches:
             for row in batch.itertuples(index=False):

@@ -23,11 +23,13 @@ def stream_frames(
     return reader.parquet(path)
 
 
-def write_frames(frames: DataFrame, path: str, clip: str = "clip_id", frames_per_file: int = 64) -> None:
-    """Frames in order within each file; a file holds at most ``frames_per_file`` frames of a clip."""
+def write_frames(frames: DataFrame, path: str, clip: str = "clip_id", frames_per_file: int = 64,
+                 rows_per_file: int = 256) -> None:
+    """Frames in order within each file, for one role, ``frames_per_file`` frames and a band of pixel rows."""
     order = [c for c in (clip, "role", "frame_no", "y", "x") if c in frames.columns]
-    piece = F.expr(f"frame_no div {frames_per_file}")
-    frames.repartition(clip, piece).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(clip).parquet(path)
+    role = [c for c in ("role",) if c in frames.columns]
+    pieces = [F.expr(f"frame_no div {frames_per_file}"), F.expr(f"y div {rows_per_file}")]
+    frames.repartition(clip, *role, *pieces).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(clip).parquet(path)
 
 
 def stream_to_files(stream: DataFrame, path: str, checkpoint: str, name: str | None = None):

@@ -6,20 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """Image files as (path, height, width, channels, data BINARY); the decoder gives BGR order."""
-    return spark.read.format("image").option("dropInvalid", "true").load(path).select(
+    """Image files as (path, height, width, channels, data BINARY, valid); the decoder gives BGR order.
+
+    A file that is no image stays, with ``valid`` false and no pixels.
+    """
+    return spark.read.format("image").option("dropInvalid", "false").load(path).select(
         F.col("image.origin").alias("path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"),
         F.col("image.data").alias("data"),
+        (F.col("image.height") > 0).alias("valid"),
     )
 
 
 def byte_values(data: str) -> str:
-    """BINARY to ARRAY<INT> of 0..255, as SQL text."""
-    byte = f"cast(conv(substring(hex({data}), 2 * i + 1, 2), 16, 10) as int)"
-    return f"transform(sequence(0, length({data}) - 1), i -> {byte})"
+    """BINARY to ARRAY<INT> of 0..255, as SQL text; in one pass, each byte as one Latin-1 character."""
+    return f"transform(split(decode({data}, 'ISO-8859-1'), ''), e -> ascii(e))"
 
 
 def explode_pixels(images: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -28,6 +31,7 @@ def explode_pixels(images: DataFrame, keys: list[str] | None = None) -> DataFram
     ``images(keys.., height, width, channels, data)`` with ``data`` an ARRAY<INT> or BINARY.
     """
     keys = keys or ["image_id"]
+    images = images.where("height > 0 and width > 0")
     if dict(images.dtypes)["data"] == "binary":
         images = images.withColumn("data", F.expr(byte_values("data")))
     at = images.selectExpr(
@@ -39,6 +43,20 @@ def explode_pixels(images: DataFrame, keys: list[str] | None = None) -> DataFram
     )
 
 
+def assemble_images(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """(keys.., height, width, channels, data ARRAY<INT>) from pixel rows (keys.., h, w, y, x, value), row-major.
+
+    Pixels become lines and lines become images, so that a list in memory holds one line's pixels or one
+    image's lines. Values outside 0..255 are cut off, fractions are dropped.
+    """
+    byte = f"transform({value}, e -> cast(least(greatest(floor(e), 0), 255) as int))"
+    rows = pixels.selectExpr(*keys, "h", "w", "y", "x", f"{byte} as v").repartition(*keys)
+    lines = rows.groupBy(*keys, "h", "w", "y").agg(F.expr("array_sort(collect_list(struct(x, v))) as cells"))
+    lines = lines.selectExpr(*keys, "h", "w", "size(cells[0].v) as channels", "struct(y, flatten(cells.v) as line) as line")
+    images = lines.groupBy(*keys, "h", "w").agg(F.expr("max(channels) as channels"), F.expr("array_sort(collect_list(line)) as lines"))
+    return images.selectExpr(*keys, "h as height", "w as width", "channels", "flatten(lines.line) as data")
+
+
 def write_images(pixels: DataFrame, path: str) -> None:
     """Pixel rows with a ``role`` column to Parquet, one folder per role."""
     pixels.write.mode("overwrite").partitionBy("role").parquet(path)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from nnfield.functions.pixels import mask_blend
 from nnfield.operators.pairs import BROADCAST_ROWS, attach
 from nnfield.operators.search import SearchOptions, bind_pairs, search_rounds
+from nnfield.session import cut_lineage
+from nnfield.sources.fields import read_field, write_field
 
 
 def frame_pairs(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -46,65 +48,148 @@ def base_frame(clips: DataFrame) -> DataFrame:
     return clips.where("frame_no = 0 and role = 'a_prime'").selectExpr("clip_id", "y", "x", "v as base")
 
 
-def join_masks(warped: DataFrame, masks: DataFrame, delay: str = "10 seconds") -> DataFrame:
-    """Pair frame i with mask frame i. Streams keep state only for ``delay`` of event time."""
-    if warped.isStreaming:
-        warped, masks = warped.withWatermark("ts", delay), masks.withWatermark("ts", delay)
-    return warped.join(masks, ["clip_id", "frame_no", "ts", "y", "x"])
+FRAME_KEYS = ["clip_id", "frame_no", "ts", "y", "x"]
+_HELD = "clip_id BIGINT, role STRING, frame_no INT, ts TIMESTAMP, h INT, w INT, y INT, x INT, v ARRAY<INT>"
+
+
+def join_masks(warped: DataFrame, masks: DataFrame) -> DataFrame:
+    """Pair frame i with mask frame i, in batch. Streams use ``blend_stream``, which loses no late row."""
+    return warped.join(masks, FRAME_KEYS)
 
 
 def blend_frames(warped: DataFrame, masks: DataFrame, base: DataFrame,
                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """mask * warped + (1 - mask) * base: ``(clip_id, frame_no, ts, y, x, v ARRAY<DOUBLE>)``."""
     joined = attach(join_masks(warped, masks), base, ["clip_id", "y", "x"], ["frame_no"], broadcast_rows)
-    return joined.select(
-        "clip_id", "frame_no", "ts", "y", "x", mask_blend(F.col("m"), F.col("v"), F.col("base")).alias("v")
-    )
+    return joined.select(*FRAME_KEYS, mask_blend(F.col("m"), F.col("v"), F.col("base")).alias("v"))
+
 
+# ---------------------------------------------------------------- micro-batches
+#
+# Rows that wait for others are kept in ``held/batch=N``, written anew by every micro-batch: what batch N has
+# to look at is its own rows and those of N - 1. There is no watermark, so nothing is ever late, and the
+# state is only what waits. A batch that runs again replaces what it wrote.
 
-def warp_new_videos(frames: DataFrame, field_path: str, out_path: str, checkpoint: str,
-                    options: SearchOptions, rounds: int):
-    """Stream of complete clips: match clips not seen before, keep their field, warp their frames.
 
-    Field and output are written to one folder per micro-batch, so a batch that is run again
-    replaces what it wrote before. A clip must bring frame 0 of a and b in its first micro-batch.
+def _as_rows(df: DataFrame, role: str, value: str = "v") -> DataFrame:
+    """Masks and warped frames in the shape of frame rows."""
+    size = [c if c in df.columns else f"cast(null as int) as {c}" for c in ("h", "w")]
+    return df.selectExpr("clip_id", f"'{role}' as role", "frame_no", "ts", *size, "y", "x", f"{value} as v")
+
+
+def _folder(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def held_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Rows that still waited after the last micro-batch (before ``before``); empty if there was none."""
+    empty = spark.createDataFrame([], _HELD)
+    if not _folder(spark, path):
+        return empty
+    rows = spark.read.schema(f"{_HELD}, batch BIGINT").parquet(path)
+    if before is not None:
+        return rows.where(F.col("batch") == before - 1).drop("batch")
+    last = rows.agg(F.max("batch")).first()[0]
+    return empty if last is None else rows.where(F.col("batch") == last).drop("batch")
+
+
+def _blend_met(warped: DataFrame, masks: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blended rows, rows of either side whose partner hasn't come), from rows in the shape of frames."""
+    m = masks.select(*FRAME_KEYS, F.col("v").alias("m"))
+    blended = blend_frames(warped.select(*FRAME_KEYS, "v"), m, base)
+    rest = warped.join(m, FRAME_KEYS, "left_anti").unionByName(masks.join(warped, FRAME_KEYS, "left_anti"))
+    return blended, rest
+
+
+def blend_stream(warped: DataFrame, masks: DataFrame, base: DataFrame, out_path: str, held_path: str, checkpoint: str):
+    """Stream of warped frames and stream of masks, blended over a stored base whenever both have come.
+
+    ``held_rows(spark, held_path)`` shows what waits at the end.
     """
+    both = _as_rows(warped, "warped").unionByName(_as_rows(masks, "mask", "m"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        clips = batch.persist()
+        rows = batch.unionByName(held_rows(batch.sparkSession, held_path, batch_id)).persist()
         try:
-            arrived = clips.select("clip_id").distinct()
-            known = _stored_fields(spark, field_path, before=batch_id)
-            fresh = arrived if known is None else arrived.join(
-                known.selectExpr("pair_id as clip_id").distinct(), "clip_id", "left_anti"
-            )
-            unseen = clips.join(fresh, "clip_id", "left_semi")
-            if not unseen.where("frame_no = 0 and role = 'b'").isEmpty():
-                found = clip_field(unseen, options, rounds)
-                found.write.mode("overwrite").parquet(f"{field_path}/batch={batch_id}")
-            field = _stored_fields(spark, field_path, before=batch_id + 1)
-            if field is not None:
-                needed = field.join(arrived.withColumnRenamed("clip_id", "pair_id"), "pair_id", "left_semi")
-                warp_frames(clips, needed).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            blended, rest = _blend_met(rows.where("role = 'warped'"), rows.where("role = 'mask'"), base)
+            blended.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            rest.select(*[c.split()[0] for c in _HELD.split(", ")]).write.mode("overwrite").parquet(f"{held_path}/batch={batch_id}")
         finally:
-            clips.unpersist()
+            rows.unpersist()
 
+    return _started(both, handle, checkpoint)
+
+
+def _started(rows: DataFrame, handle, checkpoint: str):
     return (
-        frames.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        rows.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
-def _stored_fields(spark, path: str, before: int) -> DataFrame | None:
-    """Fields of all earlier micro-batches, None when there are none."""
-    schema = (
-        "pair_id BIGINT, h INT, w INT, ay INT, ax INT, by INT, bx INT, d DOUBLE, round INT, batch BIGINT"
+def _whole_first_frames(rows: DataFrame, roles: tuple[str, ...]) -> DataFrame:
+    """Clips of which frame 0 is complete in all ``roles``."""
+    per_role = rows.where((F.col("frame_no") == 0) & F.col("role").isin(*roles)).groupBy("clip_id", "role").agg(
+        F.countDistinct("y", "x").alias("n"), F.max(F.expr("cast(h as bigint) * w")).alias("size")
     )
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return None
-    return spark.read.schema(schema).parquet(path).where(F.col("batch") < before).drop("batch")
+    return per_role.where("n = size").groupBy("clip_id").count().where(F.col("count") == len(roles)).select("clip_id")
+
+
+def _registered(spark: SparkSession, path: str, before: int) -> DataFrame:
+    """Clips that have a field, from the registry alone."""
+    if not _folder(spark, f"{path}/clips"):
+        return spark.createDataFrame([], "clip_id BIGINT")
+    rows = spark.read.schema("clip_id BIGINT, batch BIGINT").parquet(f"{path}/clips")
+    return rows.where(F.col("batch") < before).select("clip_id")
+
+
+def warp_new_videos(frames: DataFrame, store: str, out_path: str, checkpoint: str, options: SearchOptions,
+                    rounds: int, masks: DataFrame | None = None):
+    """Stream of clips in any order: a clip is matched once frame 0 of a and b (with masks also of a') is
+    complete, its frames wait until then, and masked frames wait for their mask. All rows come out.
+
+    Below ``store`` lie ``clips`` (a small registry), ``fields`` and ``bases`` (by bucket of the clip, so that a
+    micro-batch reads only those of the clips it has) and ``held``. Frame rows of a and b beyond frame 0 have
+    no use and aren't kept.
+    """
+    roles = ("a", "b") if masks is None else ("a", "b", "a_prime")
+    stream = frames.where("role in ('a', 'b', 'a_prime')").select(*[c.split()[0] for c in _HELD.split(", ")])
+    if masks is not None:
+        stream = stream.unionByName(_as_rows(masks, "mask", "m"))
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.unionByName(held_rows(spark, f"{store}/held", batch_id)).where(
+            "frame_no = 0 or role not in ('a', 'b')"
+        ).persist()
+        try:
+            known = _registered(spark, store, batch_id)
+            fresh = cut_lineage(_whole_first_frames(rows.where("role in ('a', 'b', 'a_prime')"), roles).join(known, "clip_id", "left_anti"))
+            if not fresh.isEmpty():
+                found = clip_field(rows.join(fresh, "clip_id", "left_semi"), options, rounds)
+                write_field(found, f"{store}/fields/batch={batch_id}")
+                if masks is not None:
+                    write_field(base_frame(rows.join(fresh, "clip_id", "left_semi")).selectExpr(
+                        "clip_id as pair_id", "y as ay", "x as ax", "base"), f"{store}/bases/batch={batch_id}")
+            fresh.write.mode("overwrite").parquet(f"{store}/clips/batch={batch_id}")
+            ready = _registered(spark, store, batch_id + 1)
+            usable = rows.join(ready, "clip_id", "left_semi")
+            rest = rows.join(ready, "clip_id", "left_anti")
+            arrived = rows.select(F.col("clip_id").alias("pair_id")).distinct().join(ready.withColumnRenamed("clip_id", "pair_id"), "pair_id")
+            if not arrived.isEmpty():
+                arrived = cut_lineage(arrived)
+                field = read_field(spark, f"{store}/fields", arrived)
+                warped = warp_frames(usable, field)
+                out = warped.withColumn("v", F.col("v").cast("array<double>"))
+                if masks is not None:
+                    base = read_field(spark, f"{store}/bases", arrived).selectExpr("pair_id as clip_id", "ay as y", "ax as x", "base")
+                    waiting = _as_rows(warped, "warped").unionByName(usable.where("role = 'warped'"))
+                    out, unmet = _blend_met(cut_lineage(waiting), usable.where("role = 'mask'"), base)
+                    rest = rest.unionByName(unmet)
+                out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            rest.write.mode("overwrite").parquet(f"{store}/held/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return _started(stream, handle, checkpoint)
