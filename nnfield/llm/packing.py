@@ -29,7 +29,7 @@ from nnfield.session import cut_lineage
 LENGTH = 4096
 END_ID = 2
 GROUP_PIECES = 4096
-# Words a worker remembers, at about 200 bytes each.
+# Words a worker remembers, at about 200 bytes each, and as many stems at most.
 CACHED_WORDS = 400_000
 TOKENIZER = "word_bpe_49k.json"
 
@@ -37,6 +37,11 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 _PIECES_SQL = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PLACES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
+# Signs that may follow letters; the apostrophe, digits and < > | begin pieces of their own.
+SIGNS = ".,!?*&%$#;:"
+# Byte-level vocabularies write a byte that can't be shown as a character from 256 on, in the order of such bytes.
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -54,15 +59,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.model, self.signs, self.stems = self.tokenizer.model, {}, {}
+        self.bytes_of = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+
+    def _plain(self, word: str) -> bytes | None:
+        """Ids of Latin-1 letters with signs after them: the normaliser only lower-cases these, and they are one piece of
+        letters and one of signs, so the merges can be asked directly. None for all other words."""
+        letters = word.rstrip(SIGNS)
+        if not letters:
+            return self._signs(word)
+        if not (letters.isalpha() and max(letters) < "\u0100"):
+            return None
+        stem = letters.lower()
+        ids = self.stems.get(stem)
+        if ids is None:
+            ids = self.stems[stem] = self._merged(stem if stem.isascii() else stem.encode().decode("latin-1").translate(_SHOWN))
+        return ids + self._signs(word[len(letters) :]) if len(letters) < len(word) else ids
+
+    def _signs(self, signs: str) -> bytes:
+        ids = self.signs.get(signs)
+        if ids is None:
+            if len(self.signs) >= 10_000:
+                self.signs.clear()
+            ids = self.signs[signs] = self._merged(signs) if signs else b""
+        return ids
+
+    def _merged(self, piece: str) -> bytes:
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(piece)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         new = list(set(chain.from_iterable(words)).difference(self.known))
         if len(self.known) + len(new) > CACHED_WORDS:
             self.known.clear()
+            self.stems.clear()
             new = list(set(chain.from_iterable(words)))
-        for at in range(0, len(new), 20_000):
-            few = new[at : at + 20_000]
+        other = []
+        for word in new:
+            ids = self._plain(word)
+            if ids is None:
+                other.append(word)
+            else:
+                self.known[word] = ids
+        for at in range(0, len(other), 20_000):
+            few = other[at : at + 20_000]
             for word, found in zip(few, self.tokenizer.encode_batch(few, add_special_tokens=False)):
                 self.known[word] = np.array(found.ids, "<u4").tobytes()
         get = self.known.__getitem__

@@ -23,6 +23,19 @@ def test_ids_equal_whole_texts():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_plain_words_equal_the_tokenizer():
+    plain, encoder = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    rnd = random.Random(4)
+    letters = [chr(c) for c in range(0x100) if chr(c).isalpha()]
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 9))) + "".join(rnd.choice(packing.SIGNS) for _ in range(rnd.randint(0, 4))) for _ in range(4000)]
+    words += ["".join(rnd.choice("etaonrish") for _ in range(rnd.randint(1, 12))) for _ in range(2000)] + ["", "...", "a" * 3000, "It's", "x1", "a.b"]
+    for word in words:
+        ids = encoder._plain(word)
+        if ids is not None:
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(word, add_special_tokens=False).ids, word
+    assert encoder._plain("It's") is None and encoder._plain("x1") is None and encoder._plain("word!!") is not None
+
+
 def test_first_fit_is_plain_first_fit():
     rnd = random.Random(2)
     for _ in range(30):
