@@ -58,7 +58,8 @@ def has_letter(text: bytes | None) -> bool:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    # exp is the fast one of numpy's functions; it may pass the largest number, which gives 0 as it should.
+    return 1 / (1 + np.exp(-x))
 
 
 class Network:
@@ -74,6 +75,7 @@ class Network:
             self.w |= {f"X{side}": rng.normal(0, 1 / np.sqrt(E), (E, 3 * H)), f"H{side}": rng.normal(0, scale, (H, 3 * H)), f"B{side}": np.zeros(3 * H)}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
+    @np.errstate(over="ignore")
     def _run(self, codes: np.ndarray, side: str, keep: bool) -> tuple[np.ndarray, list]:
         """codes: words of one length, (n, T). Hidden states (T, n, H) in reading order of the text."""
         H = HIDDEN
@@ -85,7 +87,7 @@ class Network:
             x = inputs[codes[:, t]]
             gates = _sigmoid(x[:, : 2 * H] + h @ U[:, : 2 * H])
             z, r = gates[:, :H], gates[:, H:]
-            g = np.tanh(x[:, 2 * H :] + (r * h) @ U[:, 2 * H :])
+            g = 2 * _sigmoid(2 * (x[:, 2 * H :] + (r * h) @ U[:, 2 * H :])) - 1  # tanh
             if keep:
                 saved.append((t, h, z, r, g))
             h = h + z * (g - h)
