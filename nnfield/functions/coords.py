@@ -16,10 +16,6 @@ def clamp_radius(radius: str, h: str, w: str) -> str:
     return f"least(coalesce({radius}, greatest({h}, {w})), greatest({h}, {w}))"
 
 
-def radius_steps(radius: str) -> str:
-    """How many radii ``radius, radius/2, .., 1`` there are."""
-    return f"if({radius} < 1, 0, length(bin({radius})))"
-
 
 def radius_schedule(radius: str) -> str:
     """ARRAY of radius, radius/2, .., 1 (integer halving)."""

@@ -24,14 +24,6 @@ def even_offsets(patch_size: int) -> range:
     return range(-(patch_size // 2), patch_size - patch_size // 2)
 
 
-def overlap(a: str, b: str, size: str, r: int) -> str:
-    """Positions of a window of half width r that lie inside the image around both centres."""
-    return f"(least({a}, {b}, {r}) + least({size} - 1 - {a}, {size} - 1 - {b}, {r}) + 1)"
-
-
-def window_count(ay: str, ax: str, by: str, bx: str, h: str, w: str, r: int) -> str:
-    """Pixels in the window clipped to both images."""
-    return f"({overlap(ay, by, h, r)} * {overlap(ax, bx, w, r)})"
 
 
 def score_scale(patch_size: int, channels: int, images: int = 2) -> int | None:

@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from nnfield.functions.coords import clamp, visual_rgb
 from nnfield.functions.windows import balanced_sum, centred_offsets, even_offsets
-from nnfield.operators.blocks import BLOCK_EDGE, block_index, block_positions, image_blocks, lookup, pack_blocks
+from nnfield.operators.blocks import (
+    BLOCK_EDGE,
+    block_index,
+    block_positions,
+    image_blocks,
+    lookup,
+    lookup_salt,
+    pack_blocks,
+    salted_blocks,
+)
 from nnfield.operators.pairs import attach, bind_roles
 
 
@@ -28,31 +37,35 @@ def gather(field: DataFrame, blocks: DataFrame, edge: int = BLOCK_EDGE) -> DataF
 
 
 def window_average(
-    gathered: DataFrame, patch_size: int, border: str = "clip", channels: int = 1, edge: int = BLOCK_EDGE
+    gathered: DataFrame, patch_size: int, border: str = "clip", channels: int | None = None, edge: int = BLOCK_EDGE
 ) -> DataFrame:
     """Mean over the window around each pixel of a gathered image: ``(pair_id, y, x, v ARRAY<DOUBLE>)``.
 
     ``clip`` averages what lies inside and treats an even size as the next odd one; ``edge`` repeats
     the border pixels and ``reflect`` mirrors them, both over exactly ``patch_size`` squared values.
-    One shuffle packs blocks whose halo already follows the border rule.
+    One shuffle packs blocks whose halo already follows the border rule. The number of channels is each
+    image's own; ``channels``, if given, writes the sums out for that many and raises where an image has others.
     """
     offsets = centred_offsets(patch_size) if border == "clip" else even_offsets(patch_size)
     halo = patch_size // 2
     blocks = pack_blocks(gathered, ["pair_id"], halo=halo, border=border, edge=edge)
-    at = block_positions(blocks, "pair_id", "h", "w", "y0", "x0", "stride", "px")
-    values = []
-    for ch in range(channels):
-        terms = [
-            f"coalesce(get(px, {block_index(f'y + {dy}', f'x + {dx}', halo, str(channels))} + {ch}), 0)"
+    at = block_positions(blocks, "pair_id", "h", "w", "y0", "x0", "stride", "c", "px")
+
+    def total(channel: str, width: str) -> str:
+        return balanced_sum([
+            f"coalesce(get(px, {block_index(f'y + {dy}', f'x + {dx}', halo, width)} + {channel}), 0)"
             for dy in offsets for dx in offsets
-        ]
-        values.append(balanced_sum(terms))
+        ])
+
     count = f"{patch_size * patch_size}"
     if border == "clip":
         inside = lambda p, size: f"(least({p}, {halo}) + least({size} - 1 - {p}, {halo}) + 1)"
         count = f"({inside('y', 'h')} * {inside('x', 'w')})"
-    means = ", ".join(f"cast({v} as double) / {count}" for v in values)
-    return at.selectExpr("pair_id", "y", "x", f"array({means}) as v")
+    if channels is None:
+        return at.selectExpr("pair_id", "y", "x", f"transform(sequence(0, c - 1), k -> cast({total('k', 'c')} as double) / {count}) as v")
+    means = ", ".join(f"cast({total(str(ch), str(channels))} as double) / {count}" for ch in range(channels))
+    other = f"raise_error(concat('image of ', c, ' channels, {channels} stated'))"
+    return at.selectExpr("pair_id", "y", "x", f"if(c = {channels}, array({means}), {other}) as v")
 
 
 def _remainder(targets: DataFrame) -> DataFrame:
@@ -94,16 +107,23 @@ def block_copy(field: DataFrame, pairs: DataFrame, blocks: DataFrame, sizes: Dat
         f"{cut('ih', 'ay')} = {cut('ih', 'by')} and {cut('iw', 'ax')} = {cut('iw', 'bx')} as alike",
         f"{cut('ih', 'ay')} as th", f"{cut('iw', 'ax')} as tw",
     ).where("th > 0 and tw > 0")
-    # cells that are not copied still fill their place: they read any pixel, with weight 0
-    spread = cells.selectExpr("*", "explode(sequence(0, th - 1)) as dy").selectExpr(
+    # A source block may lie over several tiles: it is cut at their borders, and what crosses the shuffle is
+    # one row per part, not per pixel. Cells that are not copied are made of zeros without a lookup.
+    part = lambda low, high: f"sequence(cast({low} div {edge} as int), cast(({high}) div {edge} as int))"
+    parts = cells.where("alike").selectExpr(
+        "pair_id", "ih as h", "iw as w", "ay", "ax", "scale", "by * scale as sy", "bx * scale as sx", "th", "tw"
+    ).selectExpr("*", f"explode({part('sy', 'sy + th - 1')}) as ty").selectExpr("*", f"explode({part('sx', 'sx + tw - 1')}) as tx")
+    wanted = parts.selectExpr("*", f"{lookup_salt(['ay', 'ax'], edge)} as salt")
+    held = salted_blocks(blocks, edge).select("pair_id", "ty", "tx", "salt", "y0", "x0", "bh", "bw", "stride", "c", "px")
+    inside = lambda at, size, from_, length: f"sequence(greatest({at}, {from_}), least({at} + {size}, {from_} + {length}) - 1)"
+    met = wanted.join(held, ["pair_id", "ty", "tx", "salt"])
+    copied = met.selectExpr("*", f"explode({inside('sy', 'th', 'y0', 'bh')}) as gy").selectExpr(
+        "*", f"explode({inside('sx', 'tw', 'x0', 'bw')}) as gx"
+    ).selectExpr("pair_id", "ay * scale + gy - sy as y", "ax * scale + gx - sx as x", f"slice(px, {block_index('gy', 'gx', 0)} + 1, c) as v")
+    empty = cells.where("not alike").selectExpr("*", "explode(sequence(0, th - 1)) as dy").selectExpr(
         "*", "explode(sequence(0, tw - 1)) as dx"
-    ).selectExpr(
-        "pair_id", "ih as h", "iw as w", "alike", "ay * scale + dy as y", "ax * scale + dx as x",
-        "if(alike, by * scale + dy, 0) as sy", "if(alike, bx * scale + dx, 0) as sx",
-    )
-    copied = lookup(spread, blocks, ["pair_id"], "sy", "sx", ["y", "x"], edge).selectExpr(
-        "pair_id", "y", "x", "if(alike, v, array_repeat(0, size(v))) as v"
-    )
+    ).selectExpr("pair_id", "ay * scale + dy as y", "ax * scale + dx as x", "array_repeat(0, ic) as v")
+    copied = copied.unionByName(empty)
     uncovered = grid.selectExpr(
         "pair_id", "ic", "ih as oh", "iw as ow", "least(fh * scale, ih) as ch", "least(fw * scale, iw) as cw"
     )
@@ -139,8 +159,3 @@ def upsample_field(field: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
 def visualize(field: DataFrame) -> DataFrame:
     """``(pair_id, y, x, r, g, b)``."""
     return field.selectExpr("pair_id", "ay as y", "ax as x", *visual_rgb("by", "bx", "h", "w"))
-
-
-def in_field_bounds(field: DataFrame) -> DataFrame:
-    """Field rows whose match lies inside the image."""
-    return field.where((F.col("by").between(0, F.col("h") - 1)) & (F.col("bx").between(0, F.col("w") - 1)))

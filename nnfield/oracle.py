@@ -254,6 +254,37 @@ bad as (
 select pair_id, ay, ax, by_ "by", bx_ bx, d, cast(null as varchar) reason from s1 where pair_id not in (select pair_id from bad)
 union all select pair_id, null, null, null, null, null, reason from bad"""
 
+_RGB = ("v0", "v1", "v2")
+_EVENT_ROUNDS = lambda n: rounds(n, grid=EVENT_GRID, pixels="epx", values=_RGB)
+
+
+def _event_gather(n: int, image: int, source: str | None = None) -> str:
+    at = "greatest(least(s.by_, h - 1), 0)", "greatest(least(s.bx_, 49), 0)"
+    return f"""eg as materialized (
+  select cast(0 as bigint) pair_id, s.h, s.ay y, s.ax x, p.v0, p.v1, p.v2 from {source or f's{n}'} s
+    join epx p on p.img = {image} and p.y = {at[0]} and p.x = {at[1]})"""
+
+
+def _event_average(border: str) -> str:
+    near = {
+        "clip": ("c.y + dy", "c.x + dx"),
+        "edge": ("greatest(least(c.y + dy, c.h - 1), 0)", "greatest(least(c.x + dx, 49), 0)"),
+        "reflect": ("c.h - 1 - abs(c.h - 1 - abs(c.y + dy))", "49 - abs(49 - abs(c.x + dx))"),
+    }[border]
+    means = ", ".join(f"cast(sum(q.{v}) as double) / cast(count(*) as double) {v}" for v in _RGB)
+    return f"""{with_(EVENTS, EVENT_PAIR, *_EVENT_ROUNDS(1), _event_gather(1, 1))}
+select c.pair_id, c.y, c.x, {means} from eg c cross join range(-1, 2) oy(dy) cross join range(-1, 2) ox(dx)
+  join eg q on q.y = {near[0]} and q.x = {near[1]} group by c.pair_id, c.y, c.x"""
+
+
+_SHOWN_RGB = "select pair_id, y, x, v0, v1, v2 from eg"
+_OUTSIDE = "far as (select h, y ay, x ax, 2 * y - h // 2 by_, 2 * x - 25 bx_ from ev)"
+_COPY_RGB = f"""{with_(EVENTS)},
+cell as (select h, y, x, (7 * y + x) % h sy, (3 * x + y) % 50 sx from ev)
+select cast(0 as bigint) pair_id, cast(2 * c.y + dy as int) y, cast(2 * c.x + dx as int) x,
+       {', '.join(f'cast((p.{v} + 2 * dy + dx) % 256 as int) {v}' for v in _RGB)}
+from cell c join epx p on p.img = 1 and p.y = c.sy and p.x = c.sx, range(2) a(dy), range(2) b(dx)"""
+
 ORACLE = {
     "pixels": f"{with_(IMAGES)}\nselect img image_id, y, x, v from px",
     "event_image": f"{with_(EVENTS)}\nselect img image_id, y, x, v0, v1, v2 from epx",
@@ -324,6 +355,15 @@ select g.pair_id, g.ay, g.ax, coalesce(s.by_ * 2, 0) "by", coalesce(s.bx_ * 2, 0
     "visualize": f"""{_field_ctes('single', 1)}
 select pair_id, ay y, ax x, cast(floor(255 * (bx_ / w)) as int) r, 0 g, cast(floor(255 * (by_ / h)) as int) b from s1""",
     "analogy_2rounds": f"{_field_ctes('analogy', 2)},\n{GATHERED.format(n=2)}\nselect pair_id, y, x, v from g",
+    "gather_rgb": f"{with_(EVENTS, EVENT_PAIR, *_EVENT_ROUNDS(1), _event_gather(1, 1))}\n{_SHOWN_RGB}",
+    "gather_outside": f"{with_(EVENTS, _OUTSIDE, _event_gather(1, 1, 'far'))}\n{_SHOWN_RGB}",
+    "window_average_clip_rgb": _event_average("clip"),
+    "window_average_edge_rgb": _event_average("edge"),
+    "window_average_reflect_rgb": _event_average("reflect"),
+    "block_copy_rgb": _COPY_RGB,
+    "analogy_rgb": f"{with_(EVENTS, EVENT_PAIR, *_EVENT_ROUNDS(2), _event_gather(2, 0))}\n{_SHOWN_RGB}",
+    "analogy_files": f"{_field_ctes('analogy', 2)},\n{GATHERED.format(n=2)}\nselect pair_id, y, x, cast(floor(cast(v / 255.0::double as float) * cast(255 as float)) as int) v from g",
+    "image_files_rgb": f"{with_(EVENTS)}\nselect img image_id, y, x, v0, v1, v2 from epx",
     "warp_stream": f"{with_(*warp_ctes(2))}\n{_WARPED}",
     "warp_stream_masked": _MASKED,
     "warp_new_videos": f"{with_(*warp_ctes(2))}\n{_WARPED}",

@@ -30,7 +30,7 @@ from nnfield.session import scratch_path
 from nnfield.sources.fields import read_field, write_field
 from nnfield.sources.files import write_png
 from nnfield.sources.frames import MASK_SCHEMA, stream_frames, stream_to_files, write_frames
-from nnfield.sources.images import explode_pixels, read_images, scan_images, write_images
+from nnfield.sources.images import assemble_images, explode_pixels, read_images, scan_images, write_images
 from nnfield.streaming import video as streams
 
 OPTIONS = SearchOptions()
@@ -257,6 +257,73 @@ def analogy_2rounds(spark, sf_dir):
     return _scalar(made, "pair_id", "y", "x")
 
 
+# ------------------------------------------------------------ the non-square image with 3 channels
+
+
+def _event_gathered(spark, sf_dir):
+    """The moved image seen through the field of one round."""
+    px, pairs = fx.event_pixels(spark, sf_dir), fx.event_pair(spark, sf_dir)
+    field = search_rounds(bind_pairs(pairs, px, EVENT_OPTIONS), EVENT_OPTIONS, 1)
+    return gather(field, pair_blocks(pairs, px, "b_img"))
+
+
+def _three(df: DataFrame) -> DataFrame:
+    return df.select("pair_id", "y", "x", *[F.col("v")[k].alias(f"v{k}") for k in range(3)])
+
+
+def gather_rgb(spark, sf_dir):
+    return _three(_event_gathered(spark, sf_dir))
+
+
+def gather_outside(spark, sf_dir):
+    """Matches beyond every border are clamped to it."""
+    px, pairs = fx.event_pixels(spark, sf_dir), fx.event_pair(spark, sf_dir)
+    field = px.where("image_id = 0").selectExpr("0L as pair_id", "h", "w", "y as ay", "x as ax", "2 * y - h div 2 as by", "2 * x - w div 2 as bx")
+    return _three(gather(field, pair_blocks(pairs, px, "b_img")))
+
+
+def _average_rgb(border):
+    def query(spark, sf_dir):
+        return _three(window_average(_event_gathered(spark, sf_dir), 3, border))
+
+    return query
+
+
+def analogy_rgb(spark, sf_dir):
+    """The first image itself seen through the field, as the primed one."""
+    px, pairs = fx.event_pixels(spark, sf_dir), fx.event_pair(spark, sf_dir).withColumn("prime_img", F.col("a_img"))
+    return _three(analogy(pairs, px, EVENT_OPTIONS, 2))
+
+
+def block_copy_rgb(spark, sf_dir):
+    """Known matches, image enlarged by bands: blocks of 2x2 pixels of the image of twice the size."""
+    px, pairs = fx.event_pixels(spark, sf_dir), fx.event_pair(spark, sf_dir)
+    twice = px.where("image_id = 1").selectExpr("image_id", "2 * h as h", "2 * w as w", "explode(sequence(2 * y, 2 * y + 1)) as y", "x", "v").selectExpr(
+        "image_id", "h", "w", "y", "explode(sequence(2 * x, 2 * x + 1)) as x", "v").selectExpr(
+        "image_id", "h", "w", "y", "x", "transform(v, e -> cast((e + 2 * (y % 2) + x % 2) % 256 as int)) as v")
+    field = px.where("image_id = 0").selectExpr("0L as pair_id", "h", "w", "y as ay", "x as ax", "(7 * y + x) % h as by", "(3 * x + y) % w as bx")
+    return _three(block_copy(field, pairs, pair_blocks(pairs, twice, "b_img")))
+
+
+def analogy_files(spark, sf_dir):
+    """The result of an analogy as PNG files: values to 0..1 and back, pixel rows to images, files read again."""
+    path = scratch_path(spark, "analogy")
+    made = analogy(fx.pairs(spark, sf_dir, "analogy"), fx.embedding_images(spark, sf_dir), OPTIONS, 2)
+    bytes_ = made.withColumn("v", denormalize(normalize(F.col("v"))))
+    write_png(assemble_images(bytes_, ["pair_id"]), path, "pair_id")
+    files = scan_images(spark, path).withColumn("pair_id", F.regexp_extract("path", r"pair_id=(\d+)\.png$", 1).cast("long"))
+    return _scalar(explode_pixels(files, ["pair_id"]), "pair_id", "y", "x")
+
+
+def image_files_rgb(spark, sf_dir):
+    """The two large images as RGB files, read back in the order of the decoder."""
+    path = scratch_path(spark, "png-rgb")
+    write_png(assemble_images(fx.event_pixels(spark, sf_dir), ["image_id"]), path, "image_id")
+    files = scan_images(spark, path).withColumn("image_id", F.regexp_extract("path", r"image_id=(\d+)\.png$", 1).cast("long"))
+    back = explode_pixels(files, ["image_id"]).withColumn("v", swap_channels(F.col("v")))
+    return back.select("image_id", "y", "x", *[F.col("v")[k].alias(f"v{k}") for k in range(3)])
+
+
 # ------------------------------------------------------------ video
 
 
@@ -410,6 +477,15 @@ QUERIES = {
     "upsample_field": upsample_field_query,
     "visualize": visualize_query,
     "analogy_2rounds": analogy_2rounds,
+    "gather_rgb": gather_rgb,
+    "gather_outside": gather_outside,
+    "window_average_clip_rgb": _average_rgb("clip"),
+    "window_average_edge_rgb": _average_rgb("edge"),
+    "window_average_reflect_rgb": _average_rgb("reflect"),
+    "block_copy_rgb": block_copy_rgb,
+    "analogy_rgb": analogy_rgb,
+    "analogy_files": analogy_files,
+    "image_files_rgb": image_files_rgb,
     "warp_stream": warp_stream,
     "warp_stream_masked": warp_stream_masked,
     "warp_stream_masked_long": warp_stream_masked_long,

@@ -94,19 +94,34 @@ def test_block_copy_of_images_at_a_larger_scale(spark, height, width):
     pixels = spark.createDataFrame(image_rows({9: source}), PIXELS)
     pairs = spark.createDataFrame([(0, 9, None, 9, None, 5, 7, 1)], PAIRS)
     rule = lambda y, x: ((y * 3 + 1) % 5, (x * 2 + y) % 7)
-    scale, want = height // 5, np.zeros_like(source)
-    for y in range(5):
-        for x in range(7):
-            by, bx = rule(y, x)
-            cut = lambda i, j: np.s_[scale * i:scale * (i + 1), scale * j:scale * (j + 1)]
-            if want[cut(y, x)].shape == source[cut(by, bx)].shape:
-                want[cut(y, x)] = source[cut(by, bx)]
+    scale = height // 5
+    # One formula per pixel: its cell is copied if the lengths of both cells agree on both axes, else it is 0.
+    length = lambda size, cell: max(0, min(scale, size - cell * scale))
+
+    def wanted(y, x):
+        if not scale or y // scale >= 5 or x // scale >= 7:
+            return 0
+        by, bx = rule(y // scale, x // scale)
+        alike = length(height, y // scale) == length(height, by) and length(width, x // scale) == length(width, bx)
+        return source[by * scale + y % scale, bx * scale + x % scale, 0] if alike else 0
+
+    want = np.array([[[wanted(y, x)] for x in range(width)] for y in range(height)])
     got = np.full_like(source, -1)
-    rows = block_copy(field_of(spark, rule), pairs, pair_blocks(pairs, pixels, "b_img")).collect()
-    assert len(rows) == height * width
-    for r in rows:
-        got[r.y, r.x] = r.v
-    assert (got == want).all()
+    for edge in (4, 64):
+        rows = block_copy(field_of(spark, rule), pairs, pair_blocks(pairs, pixels, "b_img", edge), edge=edge).collect()
+        assert len(rows) == height * width and len({(r.y, r.x) for r in rows}) == len(rows)
+        for r in rows:
+            got[r.y, r.x] = r.v
+        assert (got == want).all()
+
+
+def test_averages_take_the_channels_of_each_image(spark):
+    pixels = [(0, 1, 3, 0, x, [9 * x, 100, 200]) for x in range(3)] + [(1, 1, 2, 0, x, [x]) for x in range(2)]
+    gathered = spark.createDataFrame(pixels, "pair_id BIGINT, h INT, w INT, y INT, x INT, v ARRAY<INT>")
+    got = {(r.pair_id, r.x): r.v for r in window_average(gathered, 3).collect()}
+    assert got == {(0, 0): [4.5, 100, 200], (0, 1): [9, 100, 200], (0, 2): [13.5, 100, 200], (1, 0): [0.5], (1, 1): [0.5]}
+    with pytest.raises(Exception, match="channels"):
+        window_average(gathered, 3, channels=1).collect()
 
 
 @pytest.mark.parametrize("size", [5, 10, 13, 16, 3])

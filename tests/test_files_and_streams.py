@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -5,9 +7,19 @@ from nnfield import fixtures as fx
 from nnfield.functions.pixels import mask_blend, swap_channels
 from nnfield.operators.search import SearchOptions, bind_pairs, search_rounds
 from nnfield.sources.files import encode_png
-from nnfield.sources.frames import MASK_SCHEMA, scan_frames, stream_frames, stream_to_files, write_frames
-from nnfield.sources.images import explode_pixels, scan_images
-from nnfield.streaming.video import base_frame, blend_frames, clip_field, warp_frames, warp_new_videos
+from nnfield.plans.video import warp_video
+from nnfield.sources.fields import read_field, write_field
+from nnfield.sources.frames import MASK_SCHEMA, scan_frames, stream_frames, write_frames
+from nnfield.sources.images import assemble_images, byte_values, explode_pixels, scan_images
+from nnfield.streaming.video import (
+    base_frame,
+    blend_frames,
+    blend_stream,
+    clip_field,
+    held_rows,
+    warp_frames,
+    warp_new_videos,
+)
 
 KEYS = ["clip_id", "frame_no", "ts", "y", "x"]
 
@@ -41,11 +53,27 @@ def test_masked_stream_equals_batch(spark, sf_dir, tmp_path):
     masks = fx.masks(clips)
     write_frames(clips, str(tmp_path / "f"))
     masks.write.parquet(str(tmp_path / "m"))
-    stream = warp_frames(stream_frames(spark, str(tmp_path / "f"), files_per_trigger=3), field)
-    blended = blend_frames(stream, stream_frames(spark, str(tmp_path / "m"), MASK_SCHEMA), base_frame(clips))
-    stream_to_files(blended, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    stream = warp_frames(stream_frames(spark, str(tmp_path / "f"), files_per_trigger=12), field)
+    mask_stream = stream_frames(spark, str(tmp_path / "m"), MASK_SCHEMA)
+    paths = [str(tmp_path / n) for n in ("out", "held", "cp")]
+    blend_stream(stream, mask_stream, base_frame(clips), *paths).awaitTermination()
     batch = blend_frames(warp_frames(clips, field), masks, base_frame(clips))
-    assert rows_of(spark.read.parquet(str(tmp_path / "out"))) == rows_of(batch)
+    assert rows_of(spark.read.parquet(paths[0])) == rows_of(batch)
+    assert held_rows(spark, paths[1]).isEmpty()
+
+
+def test_frames_without_a_mask_wait(spark, sf_dir, tmp_path):
+    clips = fx.clip_frames(spark, sf_dir).where("clip_id = 0 and frame_no < 4")
+    field = clip_field(clips, SearchOptions(), 0)
+    field.write.parquet(str(tmp_path / "field"))
+    field = spark.read.parquet(str(tmp_path / "field"))
+    write_frames(clips, str(tmp_path / "f"))
+    fx.masks(clips).where("frame_no <> 2").write.parquet(str(tmp_path / "m"))
+    paths = [str(tmp_path / n) for n in ("out", "held", "cp")]
+    stream = warp_frames(stream_frames(spark, str(tmp_path / "f")), field)
+    blend_stream(stream, stream_frames(spark, str(tmp_path / "m"), MASK_SCHEMA), base_frame(clips), *paths).awaitTermination()
+    assert {r.frame_no for r in spark.read.parquet(paths[0]).select("frame_no").distinct().collect()} == {0, 1, 3}
+    assert {(r.role, r.frame_no) for r in held_rows(spark, paths[1]).collect()} == {("warped", 2)}
 
 
 def test_large_static_sides_are_salted_by_frame(spark, sf_dir):
@@ -57,20 +85,62 @@ def test_large_static_sides_are_salted_by_frame(spark, sf_dir):
     assert rows_of(blend_frames(near, masks, base)) == rows_of(blend_frames(far, masks, base, broadcast_rows=10))
 
 
-def test_new_clips_are_matched_once_and_batches_can_run_again(spark, sf_dir, tmp_path):
-    clips, options = fx.clip_frames(spark, sf_dir), SearchOptions()
-    paths = [str(tmp_path / n) for n in ("fields", "out", "cp")]
+def test_new_clips_are_matched_once_in_any_order(spark, sf_dir, tmp_path):
+    clips, options = fx.clip_frames(spark, sf_dir).where("frame_no < 8 and clip_id < 3"), SearchOptions()
+    store, out, cp = (str(tmp_path / n) for n in ("store", "out", "cp"))
 
     def arrive(part):
-        part.write.mode("append").partitionBy("clip_id").parquet(str(tmp_path / "f"))
-        warp_new_videos(stream_frames(spark, str(tmp_path / "f")), *paths, options, 1).awaitTermination()
+        part.repartition("clip_id").write.mode("append").partitionBy("clip_id").parquet(str(tmp_path / "f"))
+        warp_new_videos(stream_frames(spark, str(tmp_path / "f")), store, out, cp, options, 1).awaitTermination()
 
-    arrive(clips.where("frame_no < 20 and clip_id < 2"))
-    arrive(clips.where("(frame_no < 20 and clip_id >= 2) or frame_no >= 20"))
+    arrive(clips.where("frame_no >= 4 or clip_id = 0"))
+    arrive(clips.where("frame_no < 4 and clip_id > 0 and role = 'a'"))
+    arrive(clips.where("frame_no < 4 and clip_id > 0 and role <> 'a'"))
     want = warp_frames(clips, clip_field(clips, options, 1))
-    assert rows_of(spark.read.parquet(paths[1])) == rows_of(want)
-    fields = spark.read.parquet(paths[0])
-    assert fields.count() == fields.select("pair_id", "ay", "ax").distinct().count()
+    assert rows_of(spark.read.parquet(out)) == rows_of(want)
+    fields = read_field(spark, f"{store}/fields")
+    assert fields.count() == fields.select("pair_id", "ay", "ax").distinct().count() == 3 * 64
+
+
+def test_video_names_clips_of_unequal_length(spark, sf_dir):
+    clips = fx.clip_frames(spark, sf_dir).where("clip_id < 3 and frame_no < 3")
+    short = fx.masks(clips).where("not (clip_id = 1 and frame_no = 2)")
+    warped = warp_video(clips, SearchOptions(), 0, short)
+    assert [r.clip_id for r in warped.violations.collect()] == [1]
+    assert {r.clip_id for r in warped.frames.select("clip_id").distinct().collect()} == {0, 2}
+
+
+def test_fields_are_read_by_bucket(spark, sf_dir, tmp_path):
+    write_field(clip_field(fx.clip_frames(spark, sf_dir).where("frame_no = 0"), SearchOptions(), 0), str(tmp_path / "f"))
+    some = read_field(spark, str(tmp_path / "f"), spark.createDataFrame([(1,), (3,)], "pair_id BIGINT"))
+    assert {r.pair_id for r in some.select("pair_id").distinct().collect()} == {1, 3}
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*pair_bucket", plan)
+
+
+def test_all_byte_values_and_undecodable_files(spark, tmp_path):
+    got = spark.createDataFrame([(bytearray(range(256)) * 3,)], "data BINARY").selectExpr(f"{byte_values('data')} as v").first().v
+    assert got == list(range(256)) * 3
+    picture = np.arange(96 * 96 * 3).reshape(96, 96, 3) * 7 % 256
+    (tmp_path / "p.png").write_bytes(encode_png(picture))
+    (tmp_path / "q.png").write_bytes(b"no image")
+    files = scan_images(spark, f"file://{tmp_path}")
+    assert {r.path.rpartition("/")[2]: r.valid for r in files.collect()} == {"p.png": True, "q.png": False}
+    back = assemble_images(explode_pixels(files, ["path"]).withColumn("v", swap_channels(F.col("v"))), ["path"]).collect()
+    assert [(r.height, r.width, r.channels, r.data) for r in back] == [(96, 96, 3, picture.ravel().tolist())]
+
+
+def test_bad_pairs_are_named_and_the_rest_searched(spark, sf_dir):
+    images, pairs = fx.embedding_images(spark, sf_dir), fx.pairs(spark, sf_dir, "single").where("pair_id < 5")
+    pixels = explode_pixels(images).where("not (image_id = 2 and y = 3 and x = 3) and image_id not in (4, 8, 9)")
+    wrong = pairs.withColumn("h", F.when(F.col("pair_id") == 3, 7).otherwise(F.col("h")))
+    bound = bind_pairs(wrong, pixels, SearchOptions())
+    assert {r.pair_id: r.reason for r in bound.violations.collect()} == {1: "incomplete image", 2: "missing image", 3: "unlike the pair", 4: "missing image"}
+    assert {r.pair_id for r in search_rounds(bound, SearchOptions(), 0).select("pair_id").distinct().collect()} == {0}
+    huge = spark.createDataFrame([(0, 1, None, 2, None, 30000, 30000, 3)], "pair_id BIGINT, a_img BIGINT, aa_img BIGINT, b_img BIGINT, bb_img BIGINT, h INT, w INT, c INT")
+    bare = spark.createDataFrame([], "image_id BIGINT, h INT, w INT, y INT, x INT, v ARRAY<INT>")
+    assert bind_pairs(huge, bare, SearchOptions(channels=3)).violations.count() == 1
+    assert huge.selectExpr("sum(cast(h as bigint) * w * c) as n").first().n == 2_700_000_000
 
 
 def test_image_rows_and_pixel_rows_give_the_same_field(spark, sf_dir):
