@@ -48,6 +48,21 @@ def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def square_pair(spark: SparkSession, sf_dir: str, side: int = 224) -> tuple[DataFrame, DataFrame]:
+    """(pair, pixels) of a side x side x 3 image from the first events and its moved copy; needs side**2 events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id") < side * side)
+    image = events.select(
+        F.expr(f"cast(event_id div {side} as int)").alias("y"), (F.col("event_id") % side).cast("int").alias("x"),
+        F.array((F.col("user_id") % 256).cast("int"), F.least(F.floor("value"), F.lit(255)).cast("int"), F.length("event_type") * 20).alias("v"),
+    )
+    dy, dx = EVENT_SHIFT
+    moved = image.select(F.lit(1).cast("long").alias("image_id"), ((F.col("y") + dy) % side).alias("y"), ((F.col("x") + dx) % side).alias("x"), "v")
+    pixels = image.select(F.lit(0).cast("long").alias("image_id"), "y", "x", "v").unionByName(moved)
+    pixels = pixels.select("image_id", F.lit(side).alias("h"), F.lit(side).alias("w"), "y", "x", "v")
+    pair = spark.range(1).selectExpr("0L as pair_id", "0L as a_img", "cast(null as long) as aa_img", "1L as b_img", "cast(null as long) as bb_img", f"{side} as h", f"{side} as w", "3 as c")
+    return pair, pixels
+
+
 def event_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one pair of the two event images."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

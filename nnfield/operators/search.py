@@ -32,7 +32,7 @@ from nnfield.functions.windows import (
     score_scale,
 )
 from nnfield.functions.text import subquery
-from nnfield.operators.blocks import block_positions, image_blocks, lookup_salt, salted_blocks
+from nnfield.operators.blocks import LOOKUP_SALTS, block_positions, image_blocks, lookup_salt, salted_blocks
 from nnfield.operators.pairs import attach, bind_roles
 from nnfield.operators.validate import pair_violations
 from nnfield.session import cut_lineage, partitions_for
@@ -86,6 +86,7 @@ class BoundPairs:
     tiled_a: DataFrame | None
     tiled_b: DataFrame | None
     partitions: int
+    tile_partitions: int
     features: tuple[str, ...]
     violations: DataFrame
 
@@ -159,6 +160,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         raise ValueError(f"pairs have {facts['least_c']}..{facts['c']} channels, the options say {options.channels}")
     features = ("main", "aux") if facts["aux"] else ("main",)
     partitions = partitions_for(spark, (facts["total"] or 0) * 2 * len(features))
+    tile_partitions = partitions_for(spark, (facts["total"] or 0) * len(features) * LOOKUP_SALTS)
     images = _bytes(pixels)
     image_large = large if "h" in pixels.columns else large.replace("h, w", "height, width")
     weights = ["w_main", *(["w_aux"] if facts["aux"] else [])]
@@ -195,7 +197,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         kept = ["pair_id", *numbers]
         tiled_a = tiled.where("side = 'a'").selectExpr(*kept, *[f"p_{f} as pa_{f}" for f in features])
         tiled_b = tiled.where("side = 'b'").selectExpr(*kept, *[f"p_{f} as pb_{f}" for f in features])
-    return BoundPairs(whole, tiled_a, tiled_b, partitions, features, violations)
+    return BoundPairs(whole, tiled_a, tiled_b, partitions, tile_partitions, features, violations)
 
 
 # ---------------------------------------------------------------- scoring
@@ -296,7 +298,11 @@ def _frames_of(bound: BoundPairs, options: SearchOptions, whole: bool) -> dict[s
     b_tiles = salted_blocks(bound.tiled_b, options.tile_edge).selectExpr(
         "pair_id", "ty as bty", "tx as btx", "salt", "y0", "x0", "stride", *[f"pb_{f}" for f in bound.features]
     )
-    return {"a_tiles": a_tiles, "b_tiles": b_tiles}
+    # The number of partitions follows the packed bytes: a hash build doesn't spill.
+    return {
+        "a_tiles": a_tiles.repartition(bound.partitions, "pair_id", "aty", "atx"),
+        "b_tiles": b_tiles.repartition(bound.tile_partitions, "pair_id", "bty", "btx", "salt"),
+    }
 
 
 def _scored_rows(bound: BoundPairs, options: SearchOptions, keep: list[str], whole: bool) -> str:
