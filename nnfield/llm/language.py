@@ -2,10 +2,11 @@
 
 The network reads the bytes of one word at a time, a blank on either side, forwards and backwards, and labels every
 position; its state begins anew at each word. So equal words have equal labels, and a worker runs each distinct word once
-and remembers it, while every word of every whole text counts. A word is a run of letter bytes (a-z after lower-casing
-A-Z, or bytes of non-ASCII characters), cut after ``WORD_BYTES``. A word's log-probabilities are the mean over its
-positions; a document's are their sum over all its words, normalised: ``lang_pred`` is the largest, ``score`` its
-probability.
+and remembers it, while every byte of every word of every whole text counts. A word is a run of letter bytes (a-z after
+lower-casing A-Z, or bytes of non-ASCII characters); a run longer than ``WORD_BYTES``, such as a paragraph of a script
+without blanks, is cut at character borders into consecutive words of at most that length, in training as in prediction.
+A word's log-probabilities are the sum over its positions, so that long words weigh more than short ones; a document's
+are their sum over all its words, normalised: ``lang_pred`` is the largest, ``score`` its probability.
 
 Training: back-propagation through time with Adam, on words of a sample of at most ``SAMPLE`` documents per language (all
 languages of the table, up to ``LANGUAGES`` by frequency), their first ``SAMPLE_BYTES`` bytes, drawn by a hash of doc_id
@@ -42,10 +43,16 @@ UNKNOWN = "und"
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _BLANK = 32
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
+# The longest piece that ends at a character border; bytes that are no UTF-8 are cut where they are.
+_PIECE = re.compile(rb"(?s:.{1,%d})(?![\x80-\xbf])|(?s:.{1,%d})" % (WORD_BYTES, WORD_BYTES))
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(_LETTERS).split()
+    """All words of a text, long ones in pieces."""
+    words = text.translate(_LETTERS).split()
+    if max(map(len, words), default=0) <= WORD_BYTES:
+        return words
+    return [piece for w in words for piece in ((w,) if len(w) <= WORD_BYTES else _PIECE.findall(w))]
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -100,16 +107,16 @@ class Network:
         return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True))
 
     def words(self, words: list[bytes]) -> np.ndarray:
-        """Mean log-probabilities over the positions of each word."""
+        """Sums of log-probabilities over the positions of each word."""
         out = np.zeros((len(words), len(self.languages)), np.float32)
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by_length.setdefault(min(len(w), WORD_BYTES), []).append(i)
+            by_length.setdefault(len(w), []).append(i)
         for size, rows in by_length.items():
             for at in range(0, len(rows), 4096):
                 few = rows[at : at + 4096]
-                codes = self.codes([words[i][:size] for i in few], size)
-                out[few] = self._log_probabilities(self._run(codes, "f", False)[0], self._run(codes, "b", False)[0]).mean(axis=0)
+                codes = self.codes([words[i] for i in few], size)
+                out[few] = self._log_probabilities(self._run(codes, "f", False)[0], self._run(codes, "b", False)[0]).sum(axis=0)
         return out
 
     @staticmethod
@@ -154,7 +161,7 @@ class Network:
     def train(self, words: list[bytes], labels: np.ndarray, seed: int = 11) -> "Network":
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}
-        size = np.array([min(len(w), WORD_BYTES) for w in words])
+        size = np.array([len(w) for w in words])
         step = 0
         for epoch in range(EPOCHS):
             batches = []
@@ -163,7 +170,7 @@ class Network:
                 batches += [(s, rows[a : a + BATCH]) for a in range(0, len(rows), BATCH)]
             for k in rng.permutation(len(batches)):
                 s, rows = batches[k]
-                _, grad = self.gradients(self.codes([words[i][:s] for i in rows], s), labels[rows])
+                _, grad = self.gradients(self.codes([words[i] for i in rows], s), labels[rows])
                 step += 1
                 rate = RATE * min(1.0, step / 50) * (0.4 if epoch >= EPOCHS - 2 else 1.0) * np.sqrt(len(rows) / BATCH)
                 for name, g in grad.items():

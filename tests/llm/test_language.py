@@ -33,6 +33,26 @@ def test_remembered_words_count_as_often_as_they_occur():
     assert np.allclose(labels.total(words), want, atol=1e-4)
 
 
+def test_long_runs_are_cut_into_pieces_that_all_count():
+    for text in ("中文没有空格" * 30, "донаудампфшифффартсгезельшафт", "a" * 24 + "é", "x" * 100 + " kurz " + "ß" * 25):
+        pieces = language.words_of(text.encode())
+        assert b"".join(pieces) == text.replace(" ", "").encode() and max(map(len, pieces)) <= language.WORD_BYTES
+        assert all(p.decode() for p in pieces)
+    assert b"".join(language.words_of(b"\x80" * 100)) == b"\x80" * 100
+
+
+def test_text_without_blanks_outweighs_a_few_words(spark):
+    rng = np.random.default_rng(1)
+    signs, words = [chr(0x4E00 + k) for k in range(60)], ["the", "and", "of", "house", "river", "with"]
+    rows = [(i, "".join(rng.choice(signs, 150)) if i % 2 else " ".join(rng.choice(words, 40)), ["en", "zh"][i % 2]) for i in range(120)]
+    mixed = "".join(rng.choice(signs, 300))
+    # Its first pieces are of the other language, and a few English words stand beside them.
+    rows += [(900, "the " * 12 + mixed, None), (901, "theriverandhouse" * 2 + mixed, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in language.predictions(docs).collect()}
+    assert found[900] == "zh" and found[901] == "zh"
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "lang").join(language.predictions(docs), "doc_id").collect()
