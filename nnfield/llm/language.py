@@ -8,9 +8,10 @@ without blanks, is cut at character borders into consecutive words of at most th
 A word's log-probabilities are the sum over its positions, so that long words weigh more than short ones; a document's
 are their sum over all its words, normalised: ``lang_pred`` is the largest, ``score`` its probability.
 
-Training: back-propagation through time with Adam, on words of a sample of at most ``SAMPLE`` documents per language (all
-languages of the table, up to ``LANGUAGES`` by frequency), their first ``SAMPLE_BYTES`` bytes, drawn by a hash of doc_id
-from rows that are not held out. Only text and lang are seen.
+Training: back-propagation through time with Adam, on words of a sample of about ``SAMPLE`` documents per language, the
+first ``SAMPLE_BYTES`` bytes from their first letter on, drawn by a hash of doc_id from rows that have a letter and are not
+held out. Every language with such a row is learned; ``SAMPLE_ROWS`` and ``SAMPLE_WORDS`` bound what all languages give
+together, so that each of very many gives less. Only text and lang are seen.
 
 A text that is null or has no letter gets ``und`` and score 0, as does every row if there is nothing to learn from.
 """
@@ -23,19 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nnfield.llm.common import held_out, keyed
 
 SAMPLE = 400
 SAMPLE_BYTES = 3000
-LANGUAGES = 64
-WORDS_A_LANGUAGE = 6000
+# Rows and words of all languages together; with very many languages each has fewer, at least one row.
+SAMPLE_ROWS = 25_600
+WORDS_A_LANGUAGE, SAMPLE_WORDS = 6000, 384_000
 WORD_BYTES = 24
 EMBEDDING, HIDDEN = 12, 16
 EPOCHS, BATCH, RATE = 6, 256, 0.01
-CACHED_WORDS = 400_000
+CACHED_WORDS, CACHED_VALUES = 400_000, 25_600_000
 # Words of a text that are looked up at once.
 STRETCH = 200_000
 UNKNOWN = "und"
@@ -113,8 +115,9 @@ class Network:
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
         for size, rows in by_length.items():
-            for at in range(0, len(rows), 4096):
-                few = rows[at : at + 4096]
+            step = max(1, min(4096, 4096 * 64 // len(self.languages)))
+            for at in range(0, len(rows), step):
+                few = rows[at : at + step]
                 codes = self.codes([words[i] for i in few], size)
                 out[few] = self._log_probabilities(self._run(codes, "f", False)[0], self._run(codes, "b", False)[0]).sum(axis=0)
         return out
@@ -188,21 +191,25 @@ class Network:
 
 
 def sample(documents: DataFrame, per_language: int = SAMPLE) -> list[tuple[bytes, str]]:
-    """(text, lang) of a bounded sample of rows that may be learned from, alike for every language."""
-    rows = documents.select(F.col("doc_id"), F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    """(text, lang) of a bounded sample of rows that may be learned from, alike for every language; every language has one."""
+    text = F.col("text").cast("binary").cast("string")
+    rows = documents.select(F.col("doc_id"), text.alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("draw").alias("least")).collect()
     if not counts:
         return []
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    share = None
-    for r in counts:
-        most = F.lit(int(min(1.0, per_language / r["count"]) * (1 << 30)))
-        share = F.when(F.col("lang") == r.lang, most) if share is None else share.when(F.col("lang") == r.lang, most)
-    drawn = rows.withColumn("draw", draw).where(F.col("draw") < share)
-    text = F.substring("text", 1, SAMPLE_BYTES)
-    drawn = drawn.select("draw", text.alias("text"), "lang").orderBy("draw", "lang", "text").limit(2 * per_language * len(counts))
-    return [(bytes(r.text), r.lang) for r in drawn.collect()]
+    per_language = max(1, min(per_language, SAMPLE_ROWS // len(counts)))
+    # The row of smallest draw is in, whatever the share.
+    most = [(r.lang, max(int(min(1.0, per_language / r.n) * (1 << 30)), r.least + 1)) for r in counts]
+    most = documents.sparkSession.createDataFrame(most, "lang string, most long")
+    drawn = rows.join(F.broadcast(most), "lang").where(F.col("draw") < F.col("most"))
+    start = F.regexp_replace("text", r"^[^\p{L}]+", "").cast("binary")
+    drawn = drawn.select("draw", F.substring(start, 1, SAMPLE_BYTES).alias("text"), "lang")
+    # Equal draws, as of null doc_ids, are bounded as well.
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    drawn = drawn.withColumn("k", order).where(F.col("k") <= 2 * per_language).select("draw", "text", "lang")
+    return [(bytes(r.text), r.lang) for r in sorted(drawn.collect(), key=lambda r: (r.draw, r.lang, r.text))]
 
 
 def learn(documents: DataFrame) -> Network | None:
@@ -210,11 +217,12 @@ def learn(documents: DataFrame) -> Network | None:
     rows = sample(documents)
     languages = sorted({lang for _, lang in rows})
     rng = np.random.default_rng(5)
+    most = max(1, min(WORDS_A_LANGUAGE, SAMPLE_WORDS // max(1, len(languages))))
     words, labels = [], []
     for k, lang in enumerate(languages):
         own = sorted(w for text, x in rows if x == lang for w in words_of(text))
         if own:
-            picked = rng.choice(len(own), min(WORDS_A_LANGUAGE, len(own)), replace=False)
+            picked = rng.choice(len(own), min(most, len(own)), replace=False)
             words += [own[i] for i in picked]
             labels += [k] * len(picked)
     return Network(languages).train(words, np.array(labels)) if words else None
@@ -230,25 +238,27 @@ class _Labels:
         self.network = network
         if name not in _labelled:
             _labelled.clear()
-            _labelled[name] = ({}, np.zeros((CACHED_WORDS, len(network.languages)), np.float32))
+            room = max(1, min(CACHED_WORDS, CACHED_VALUES // len(network.languages)))
+            _labelled[name] = ({}, np.zeros((room, len(network.languages)), np.float32))
         self.rows, self.values = _labelled[name]
+        self.stretch = min(STRETCH, len(self.values))
 
     def know(self, words: set[bytes]) -> None:
+        """Labels of at most ``stretch`` distinct words."""
         new = sorted(words.difference(self.rows))
-        if len(self.rows) + len(new) > CACHED_WORDS:
+        if len(self.rows) + len(new) > len(self.values):
             self.rows.clear()
             new = sorted(words)
-        for at in range(0, len(new), CACHED_WORDS):
-            few = new[at : at + CACHED_WORDS]
+        if new:
             base = len(self.rows)
-            self.values[base : base + len(few)] = self.network.words(few)
-            self.rows.update(zip(few, range(base, base + len(few))))
+            self.values[base : base + len(new)] = self.network.words(new)
+            self.rows.update(zip(new, range(base, base + len(new))))
 
     def total(self, words: list[bytes]) -> np.ndarray:
         """Sum over the words of a text; a text of any length is taken in stretches."""
         out = np.zeros(self.values.shape[1])
-        for at in range(0, len(words), STRETCH):
-            few = words[at : at + STRETCH]
+        for at in range(0, len(words), self.stretch):
+            few = words[at : at + self.stretch]
             self.know(set(few))
             out += self.values[np.fromiter(map(self.rows.__getitem__, few), np.int64, len(few))].sum(axis=0, dtype=np.float64)
         return out
@@ -267,7 +277,7 @@ def identify(documents: DataFrame, network: Network | None = None) -> DataFrame:
                 texts = part.column(1).slice(at, 256).to_pylist()
                 words = [words_of(t) if t and has_letter(t) else [] for t in texts]
                 if labels:  # the new words of many short texts at once
-                    labels.know(set().union(*(w for w in words if len(w) <= STRETCH // 256)))
+                    labels.know(set().union(*(w for w in words if len(w) <= labels.stretch // 256)))
                 for own in words:
                     if not own or not labels:
                         found.append(UNKNOWN)

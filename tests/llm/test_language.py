@@ -53,6 +53,26 @@ def test_text_without_blanks_outweighs_a_few_words(spark):
     assert found[900] == "zh" and found[901] == "zh"
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "EPOCHS", 1)
+    tongue = [f"l{k:02d}" for k in range(70)]
+    # 69 common ones, and one whose only rows have no doc_id or begin with many digits.
+    rows = [(100 * k + i, f"{chr(97 + k % 26)}{chr(97 + k // 26)} word", x) for k, x in enumerate(tongue[:-1]) for i in range(9)]
+    rows += [(None, "12 " * 2000 + "wort", tongue[-1]), (None, "12", tongue[-1]), (None, None, "none"), (1, "--", "signs")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.learn(docs).languages == tongue
+    few = language.sample(docs, 1)
+    assert {x for _, x in few} == set(tongue) and len(few) <= 2 * 70
+
+
+def test_memory_of_many_languages_is_bounded(monkeypatch):
+    monkeypatch.setattr(language, "CACHED_VALUES", 12)
+    net = language.Network(["a", "b", "c"])
+    labels = language._Labels(net, "small")
+    words = [b"w%d" % (k % 7) for k in range(50)] + [b"w1"]
+    assert labels.values.shape == (4, 3) and np.allclose(labels.total(words), net.words(words).sum(axis=0), atol=1e-3)
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = docs.select("doc_id", "lang").join(language.predictions(docs), "doc_id").collect()
