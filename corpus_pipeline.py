@@ -15,8 +15,9 @@ from nnfield.session import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those labelled ``und`` (null or no letter) go; null doc_ids are kept by their text."""
-    rejected = language.identify(docs).where(F.col("lang_pred") == language.UNKNOWN)
+    """Documents in a language: those that are null or have no letter go; null doc_ids are kept by their text. The label
+    isn't asked: it is ``und`` for all documents of a table without labels to learn from."""
+    rejected = language.identify(docs).where(~F.col("has_letter"))
     rejected = cut_lineage(rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
     same = docs["doc_id"].cast("long").eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"].cast("binary")) == rejected["_hash"])
     return docs.join(rejected, same, "left_anti")

@@ -265,20 +265,21 @@ class _Labels:
 
 
 def identify(documents: DataFrame, network: Network | None = None) -> DataFrame:
-    """doc_id, text_hash, lang_pred, score of every document."""
+    """doc_id, text_hash, lang_pred, score, has_letter of every document."""
     network = network or learn(documents)
     name = network.name() if network else ""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels = _Labels(network, name) if network else None
         for part in parts:
-            found, scores = [], []
+            found, scores, lettered = [], [], []
             for at in range(0, part.num_rows, 256):
                 texts = part.column(1).slice(at, 256).to_pylist()
                 words = [words_of(t) if t and has_letter(t) else [] for t in texts]
                 if labels:  # the new words of many short texts at once
                     labels.know(set().union(*(w for w in words if len(w) <= labels.stretch // 256)))
                 for own in words:
+                    lettered.append(bool(own))
                     if not own or not labels:
                         found.append(UNKNOWN)
                         scores.append(0.0)
@@ -288,9 +289,9 @@ def identify(documents: DataFrame, network: Network | None = None) -> DataFrame:
                     best = int(total.argmax())
                     found.append(network.languages[best])
                     scores.append(float(p[best] / p.sum()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "text_hash", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())], ["doc_id", "text_hash", "lang_pred", "score", "has_letter"])
 
-    return keyed(documents).mapInArrow(run, "doc_id long, text_hash long, lang_pred string, score double")
+    return keyed(documents).mapInArrow(run, "doc_id long, text_hash long, lang_pred string, score double, has_letter boolean")
 
 
 def predictions(documents: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on its own input."""
 
 import re
+import zlib
 
 import corpus_pipeline
 from test_decontamination import brute as contaminated
@@ -56,3 +57,12 @@ def test_run_and_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_table_without_labels_keeps_its_documents(spark):
+    # The only labelled row is held out.
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for lang in (None, "en"):
+        rows = [(held, "words of one", lang, "x", 12), (1000, "ß", None, "x", 1), (1001, "12 --", None, "x", 5), (1002, None, None, "x", 0), (None, "more", None, "x", 4)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        assert sorted(r.text for r in corpus_pipeline.language_id(spark, docs, "").collect()) == ["more", "words of one", "ß"]
