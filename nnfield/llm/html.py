@@ -1,11 +1,14 @@
 """Main text of web pages by consensus paths of their hosts.
 
-Every page is read into blocks of text and the containers around them. A container's score is the text in it that is no
-link and in no part that is never article text (menus, forms, adverts, comments and the like, by tag, class or id). From
-the body down, the container that still holds ``SHARE`` of its parent's score is the page's own choice; ``article`` and
-``main`` end the way down. Each page votes for the generalised path of its choice (tags with their classes, numbers in
-them replaced) with its score, Spark adds the votes by host and path, and the page is read again for the winning path of
-its host. Pages without that path keep their own choice.
+Every page is read into blocks of text and the containers around them. Parts that are never article text (menus, hidden
+ones) are left out. A part that a class, id, role or form marks as noise (adverts, comments and the like) is left out unless it
+holds most of the page's text that is no link, or the only article; marks of comments and consent (``STRONG``) stay unless
+nothing else has text. A page's own choice is its largest ``article`` or ``main``, else the lowest container of all its text
+that is not mostly links; mostly linked blocks count only within the container that has ``SHARE`` of it. Each page votes for
+the generalised path of its choice (tags with their classes, numbers in them replaced) with its score, and names the text of
+its small parts; Spark adds both by host. A host's path is used for the pages whose own main text it covers, the others keep
+their own choice. Small parts that say the same on most different pages of a host are its template: their path is left out
+on every page of the host that names no article.
 
 Inside a block white space is one space; blocks are joined by two line ends in page order; character references are
 decoded. ``header`` counts as a page header only outside the chosen container. Nulls: a null page is empty, a null url has
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -32,13 +36,16 @@ DEPTH = 40
 CONTAINERS = frozenset("html body main article section div td table tbody tr center fieldset details figure".split())
 BLOCKS = CONTAINERS | frozenset("""p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre address header footer nav aside form
     hr th thead tfoot caption figcaption summary menu hgroup search dialog title""".split())
-NEVER = frozenset("nav footer aside form menu search dialog head title noscript template button select svg iframe object canvas audio video map".split())
+NEVER = frozenset("nav footer aside menu search dialog head title noscript template button select svg iframe object canvas audio video map".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 # Words of a class or id that mark parts which are no article text.
 NOISE = frozenset("""ad ads advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments
     commentlist cookie cookies consent disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter
     notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply
     respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets""".split())
+# Marks that stay even on most of a page's text, by last word, or by first word before a word for a part.
+STRONG = frozenset("comment comments commentlist consent cookie cookies disqus gdpr replies reply respond".split())
+PARTS = frozenset("area banner body box list section thread wrapper".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _TOKEN = re.compile(
@@ -50,14 +57,18 @@ _NUMBER = re.compile(r"\d+")
 
 
 class Page:
-    """Containers [path, parent, tag, noise] and blocks [container, text, link characters, noise] in page order."""
+    """Containers [path, parent, tag, mark] and blocks [container, text, link characters] in page order.
+
+    Text in parts marked as noise by name or form is kept with its mark until the whole page is read.
+    """
 
     def __init__(self, html: str | None) -> None:
-        self.elements: list[tuple[str, int, str, bool]] = [("", -1, "", False)]
-        self.blocks: list[tuple[int, str, int, bool]] = []
-        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, False, True)]  # tag, container, noise, is a block
-        self._pieces: list[str] = []
-        self._linked = 0
+        self.elements: list[tuple[str, int, str, int]] = [("", -1, "", 0)]
+        self.blocks: list[tuple[int, str, int]] = []
+        self.marks: list[tuple[int, bool]] = [(-1, False)]  # mark around it, strong
+        self._stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, True, 0)]  # tag, container, never text, is a block, mark
+        self._pieces: list[tuple[int, str, bool]] = []  # mark, text, in a link
+        self._raw: list[tuple[int, list[tuple[int, str, bool]]]] = []
         self._link = False
         html = html or ""
         at = 0
@@ -75,23 +86,72 @@ class Page:
         if at < len(html):
             self._text(html[at:])
         self._flush()
+        self._resolve()
 
     def _text(self, raw: str) -> None:
         if self._stack[-1][2]:
             return
         text = unescape(raw) if "&" in raw else raw
-        self._pieces.append(text)
-        if self._link:
-            self._linked += len(text)
+        self._pieces.append((self._stack[-1][4], text, self._link))
 
     def _flush(self) -> None:
         if self._pieces:
-            text = " ".join("".join(self._pieces).split())
-            if text:
-                top = self._stack[-1]
-                self.blocks.append((top[1], text, min(self._linked, len(text)), top[2]))
+            self._raw.append((self._stack[-1][1], self._pieces))
             self._pieces = []
-        self._linked = 0
+
+    def _resolve(self) -> None:
+        """Which marks hold, and the blocks without the text of those that do."""
+        n = len(self.marks)
+        self.noisy, self.rescued = [False] * n, False
+        if n > 1:
+            self._judge()
+        for container, pieces in self._raw:
+            kept = [p for p in pieces if not self.noisy[p[0]]]
+            text = " ".join("".join(p[1] for p in kept).split())
+            if text:
+                self.blocks.append((container, text, min(sum(len(p[1]) for p in kept if p[2]), len(text))))
+        self._raw = []
+
+    def _judge(self) -> None:
+        n = len(self.marks)
+        chars, weight = [0] * n, [0] * len(self.elements)
+        for container, pieces in self._raw:
+            for mark, text, link in pieces:
+                if not link:
+                    size = len("".join(text.split()))
+                    chars[mark] += size
+                    if mark == self.elements[container][3]:
+                        weight[container] += size
+        for k in range(n - 1, 0, -1):
+            if not self.marks[k][1]:
+                chars[self.marks[k][0]] += chars[k]
+        for k in range(len(self.elements) - 1, 0, -1):
+            if self.elements[self.elements[k][1]][3] == self.elements[k][3]:
+                weight[self.elements[k][1]] += weight[k]
+        # A part with most of the page's text isn't noise by its name.
+        holds = [k > 0 and (self.marks[k][1] or 2 * chars[k] <= chars[0]) for k in range(n)]
+        articles = []
+        for k, (_, _, tag, mark) in enumerate(self.elements):
+            if tag in ("article", "main") and weight[k] > 0:
+                around = []
+                while mark > 0:
+                    around += [mark] if holds[mark] else []
+                    mark = self.marks[mark][0]
+                if not any(self.marks[m][1] for m in around):
+                    articles.append((-len(around), weight[k], around))
+        # Nor is one around the article, if no article stands outside.
+        if articles:
+            around = max(articles, key=lambda a: a[:2])[2]
+            self.rescued = bool(around)
+            for mark in around:
+                holds[mark] = False
+        self._spread(holds)
+        if not any(not self.noisy[m] and text.strip() for _, pieces in self._raw for m, text, _ in pieces):
+            self._spread([False] * n)
+
+    def _spread(self, holds: list[bool]) -> None:
+        for k in range(1, len(holds)):
+            self.noisy[k] = holds[k] or self.noisy[self.marks[k][0]]
 
     def _pop_to(self, k: int) -> None:
         if any(s[3] for s in self._stack[k:]):
@@ -111,24 +171,29 @@ class Page:
         block = tag in BLOCKS
         if block:
             self._close_open(tag)
-        noise, classes = tag in NEVER, ()
+        never, marked, strong, classes = tag in NEVER, tag == "form", False, ()
         if attributes and ("=" in attributes or "hidden" in attributes):
-            more, classes = _named(attributes)
+            hidden, named, by, classes = _named(attributes)
             # The body and the whole page are never noise by name.
-            noise |= more and tag not in ("html", "body", "main", "article")
-        if not block and not noise:
+            if tag not in ("html", "body", "main", "article"):
+                never, marked, strong = never or hidden, marked or named, by
+        if not block and not never and not marked:
             return
-        _, container, inside, _ = self._stack[-1]
+        _, container, inside, _, mark = self._stack[-1]
+        never |= inside
         if block:
             self._flush()
-        if tag in CONTAINERS or tag == "header":
+        if marked and not never:
+            self.marks.append((mark, strong))
+            mark = len(self.marks) - 1
+        if not never and (tag in CONTAINERS or tag == "header"):
             path, parent = self.elements[container][0], container
             label = ".".join((tag, *classes))
             if path.count("/") < DEPTH:
                 path = f"{path}/{label}"
-            self.elements.append((path, parent, tag, inside or noise))
+            self.elements.append((path, parent, tag, mark))
             container = len(self.elements) - 1
-        self._stack.append((tag, container, inside or noise, block))
+        self._stack.append((tag, container, never, block, mark))
 
     def _close_open(self, tag: str) -> None:
         """End tags that may be left out."""
@@ -151,45 +216,98 @@ class Page:
                 self._pop_to(k)
                 return
 
-    def choice(self) -> tuple[str, float]:
-        """Path and score of the page's own container."""
-        own = [0.0] * len(self.elements)
-        for container, text, linked, noise in self.blocks:
-            if not noise:
+    def _main(self, templates: frozenset[str] = frozenset()) -> tuple[int, float, int]:
+        """The page's own container, its score, and the container within it whose lists of links belong to the text."""
+        own, plain = [0.0] * len(self.elements), [0.0] * len(self.elements)
+        for container, text, linked in self.blocks:
+            if self.elements[container][0] not in templates:
                 own[container] += len(text) - linked
+                if 2 * linked <= len(text):
+                    plain[container] += len(text) - linked
         children: dict[int, list[int]] = {}
         for k in range(len(self.elements) - 1, 0, -1):
-            _, parent, tag, noise = self.elements[k]
-            if tag == "header" or noise:
+            _, parent, tag, mark = self.elements[k]
+            if tag == "header" or self.noisy[mark]:
                 continue
             own[parent] += own[k]
+            plain[parent] += plain[k]
             children.setdefault(parent, []).append(k)
         # Parts that name themselves as the article win over their surroundings.
-        named = [k for k in range(1, len(self.elements)) if self.elements[k][2] in ("article", "main") and not self.elements[k][3] and own[k] > 0]
+        named = [k for k in range(1, len(self.elements)) if self.elements[k][2] in ("article", "main") and not self.noisy[self.elements[k][3]] and own[k] > 0]
         if named:
             best = max(named, key=lambda k: (own[k], k))
-            return self.elements[best][0], own[best]
-        at = 0
-        while True:
-            best = max(children.get(at, []), key=lambda k: own[k], default=None)
-            if best is None or own[at] <= 0 or own[best] < SHARE * own[at]:
-                return self.elements[at][0], own[at]
-            at = best
+            if not self.rescued or 2 * own[best] >= own[0]:
+                return best, own[best], best
+        chosen = core = 0
+        while True:  # down to the lowest container of all text that is not mostly links
+            best = max(children.get(chosen, []), key=lambda k: own[k], default=None)
+            if best is None or own[best] <= 0 or plain[best] < plain[chosen] or own[best] < SHARE * own[chosen]:
+                break
+            chosen = core = best
+        while True:  # and on to the container of most of it
+            best = max(children.get(core, []), key=lambda k: own[k], default=None)
+            if best is None or own[core] <= 0 or own[best] < SHARE * own[core]:
+                return core, own[core], core
+            core = best
 
-    def text(self, path: str) -> str | None:
+    def choice(self) -> tuple[str, float]:
+        """Path and score of the page's own container."""
+        at, score, _ = self._main()
+        return self.elements[at][0], score
+
+    def repeats(self) -> list[tuple[str, int, int]]:
+        """Path, hash of its text and of the page's text for every container with text of its own, if nothing is named as the
+        article. A text that is more than a small part of the page never counts as repeated: it has the page's hash."""
+        at = self._main()[0]
+        if self.elements[at][2] in ("article", "main"):
+            return []
+        texts: dict[str, list[str]] = {}
+        for container, text, _ in self.blocks:
+            texts.setdefault(self.elements[container][0], []).append(text)
+        page, size = _hash("\n".join(t for _, t, _ in self.blocks)), sum(len(t) for _, t, _ in self.blocks)
+        return [(p, _hash("\n".join(t)) if sum(map(len, t)) < (1 - SHARE) * size else page, page) for p, t in texts.items()]
+
+    def _kept(self, path: str, templates: frozenset[str] = frozenset()) -> list[int] | None:
         """Blocks in the containers of a path; None if there is none."""
-        inside = [False] * len(self.elements)
-        headed = [False] * len(self.elements)
+        inside, headed = [False] * len(self.elements), [False] * len(self.elements)
+        cored = [False] * len(self.elements)
         found = False
+        core = self._main(templates)[2]
         for k, (own, parent, tag, _) in enumerate(self.elements):
             within = parent >= 0 and inside[parent]
             inside[k] = within or own == path
+            cored[k] = k == core or tag in ("article", "main") or (parent >= 0 and cored[parent])
             # A header around or beside the article is the page's.
             headed[k] = (parent >= 0 and headed[parent]) or (tag == "header" and not within)
             found |= inside[k]
         if not found:
             return None
-        return "\n\n".join(t for c, t, _, noise in self.blocks if inside[c] and not noise and not headed[c])
+        kept = enumerate(self.blocks)
+        return [i for i, (c, t, linked) in kept if inside[c] and not headed[c] and (cored[c] or 2 * linked <= len(t)) and self.elements[c][0] not in templates]
+
+    def text(self, path: str) -> str | None:
+        """Text of the blocks in the containers of a path; None if there is none."""
+        kept = self._kept(path)
+        return None if kept is None else "\n\n".join(self.blocks[i][1] for i in kept)
+
+    def extract(self, winner: str | None, templates: frozenset[str]) -> tuple[str, str]:
+        """Text and path: the host's path where it covers the page's own main text, else the page's own."""
+        at = self._main(templates)[0]
+        if templates and self.elements[at][2] in ("article", "main"):
+            return self.extract(winner, frozenset())
+        path = self.elements[at][0]
+        own = self._kept(path, templates) or []
+        if not own and templates:
+            return self.extract(winner, frozenset())
+        if winner:
+            kept = self._kept(winner, templates)
+            if kept:
+                path, own = winner, kept
+        return "\n\n".join(self.blocks[i][1] for i in own), path
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
 def _is_noise(token: str) -> bool:
@@ -202,20 +320,27 @@ def _is_noise(token: str) -> bool:
     return words[0] in NOISE - {"header"} or words[-1] in NOISE
 
 
-def _named(attributes: str) -> tuple[bool, tuple[str, ...]]:
-    noise, classes = False, ()
+def _is_strong(token: str) -> bool:
+    words = _WORD.findall(token)
+    return _is_noise(token) and (words[-1] in STRONG or words[0] in STRONG and words[-1] in PARTS)
+
+
+def _named(attributes: str) -> tuple[bool, bool, bool, tuple[str, ...]]:
+    hidden, noise, strong, classes = False, False, False, ()
     for m in _NAMES.finditer(attributes):
         name, value = m.group(1).lower(), next((g for g in m.groups()[1:] if g is not None), "")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            noise = noise or name == "hidden" or value.lower() == "true"
+        if name == "hidden" or name == "aria-hidden":
+            hidden = hidden or name == "hidden" or value.lower() == "true"
             continue
-        noise = noise or any(map(_is_noise, value.lower().split()))
+        tokens = value.lower().split()
+        noise = noise or any(map(_is_noise, tokens))
+        strong = strong or noise and any(map(_is_strong, tokens))
         if name == "class":
             classes = tuple(sorted({_NUMBER.sub("#", c) for c in value.lower().replace("/", " ").split()}))[:3]
-    return noise, classes
+    return hidden, noise, strong, classes
 
 
-_VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("weight", pa.float64())])
+_VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("part", pa.int64()), ("page", pa.int64()), ("weight", pa.float64())])
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("path", pa.string())])
 
 
@@ -225,41 +350,43 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """host, path, votes, pages: the winning path of each host; ties go to the longer, then the greater path."""
+    """host, path, votes, templates: the winning path of each host, ties to the longer, then the greater path; and the paths
+    of small parts that say the same on most of its different pages, three at least."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
                 tally: dict[tuple[str, str], float] = {}
                 for html, host in zip(part.column(0), part.column(1).to_pylist()):
-                    path, score = Page(html.as_py()).choice()
+                    page = Page(html.as_py())
+                    path, score = page.choice()
                     if score > 0:
                         tally[host, path] = tally.get((host, path), 0.0) + score
-                yield from ((h, p, w) for (h, p), w in tally.items())
+                        yield from ((host, p, h, whole, 0.0) for p, h, whole in page.repeats())
+                yield from ((h, p, None, None, w) for (h, p), w in tally.items())
 
         return batches(rows(), _VOTES)
 
-    votes = _hosted(pages).select("html", "host").mapInArrow(run, "host string, path string, weight double")
-    paths = votes.groupBy("host", "path").agg(F.sum("weight").alias("votes"))
+    votes = _hosted(pages).select("html", "host").mapInArrow(run, "host string, path string, part long, page long, weight double")
+    once = votes.groupBy("host", "path", "part", "page").agg(F.sum("weight").alias("votes"))
+    said = once.groupBy("host", "path", "part").agg(F.sum("votes").alias("votes"), F.count("page").alias("pages"))
+    paths = said.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.max("pages").alias("most"), F.sum("pages").alias("pages"))
     order = F.struct("votes", F.length("path"), "path")
-    return paths.groupBy("host").agg(F.max_by("path", order).alias("path"), F.max("votes").alias("votes"))
+    template = F.when((F.col("most") >= 3) & (2 * F.col("most") > F.col("pages")), F.col("path"))
+    return paths.groupBy("host").agg(F.max_by("path", order).alias("path"), F.max("votes").alias("votes"), F.array().cast("array<string>").alias("templates"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path of every page."""
-    winners = cut_lineage(consensus(pages).select(F.col("host").alias("_host"), F.col("path").alias("winner")))
+    winners = cut_lineage(consensus(pages).select(F.col("host").alias("_host"), F.col("path").alias("winner"), "templates"))
     hosted = _hosted(pages)
-    met = hosted.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "winner")
+    met = hosted.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "winner", "templates")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
-                for page_id, url, html, winner in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist()):
-                    page, path = Page(html.as_py()), winner
-                    text = page.text(winner) if winner else None
-                    if not text:
-                        path = page.choice()[0]
-                        text = page.text(path) or ""
+                for page_id, url, html, winner, templates in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), part.column(3).to_pylist(), part.column(4).to_pylist()):
+                    text, path = Page(html.as_py()).extract(winner, frozenset(templates or ()))
                     yield page_id, url, text, len(text), path
 
         return batches(rows(), _TEXTS)

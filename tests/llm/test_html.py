@@ -33,6 +33,16 @@ def test_names_of_parts():
     assert main_text(page) == "T\n\ntext"
 
 
+def test_noise_marks_on_the_whole_page():
+    text = "long words here " * 20
+    block = text.strip()
+    for mark in ("div id=page class='sidebar-right'", "div class='ad-free'", "div class='comments-open'", "div class='social-studies'", "form action=x"):
+        end = mark.split()[0]
+        for article in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
+            assert main_text(f"<body><{mark}>{article}<div class=ad>Buy</div></{end}><p><a href=x>link</a></p></body>") == block
+    assert main_text(f"<body><div class=post><p>Post <span class=ad>Buy</span> here</p></div><div id=comments class='comments-area'><p>{text}</p></div></body>") == "Post here"
+
+
 def test_odd_pages():
     for page in (None, "", "<", "<p", "</p>", "plain", "<div>" * 3000 + "deep", "<a <b>", "<script>x", "<!-- x", "a<br>b", "<p hidden>x</p>"):
         p = html.Page(page)
