@@ -247,7 +247,7 @@ class Page:
         while True:  # and on to the container of most of it
             best = max(children.get(core, []), key=lambda k: own[k], default=None)
             if best is None or own[core] <= 0 or own[best] < SHARE * own[core]:
-                return core, own[core], core
+                return chosen, own[chosen], core
             core = best
 
     def choice(self) -> tuple[str, float]:
@@ -301,7 +301,7 @@ class Page:
             return self.extract(winner, frozenset())
         if winner:
             kept = self._kept(winner, templates)
-            if kept:
+            if kept and set(own) <= set(kept):
                 path, own = winner, kept
         return "\n\n".join(self.blocks[i][1] for i in own), path
 
@@ -373,7 +373,7 @@ def consensus(pages: DataFrame) -> DataFrame:
     paths = said.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.max("pages").alias("most"), F.sum("pages").alias("pages"))
     order = F.struct("votes", F.length("path"), "path")
     template = F.when((F.col("most") >= 3) & (2 * F.col("most") > F.col("pages")), F.col("path"))
-    return paths.groupBy("host").agg(F.max_by("path", order).alias("path"), F.max("votes").alias("votes"), F.array().cast("array<string>").alias("templates"))
+    return paths.groupBy("host").agg(F.max_by("path", order).alias("path"), F.max("votes").alias("votes"), F.collect_list(template).alias("templates"))
 
 
 def extract(pages: DataFrame) -> DataFrame:

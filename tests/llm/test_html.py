@@ -40,9 +40,25 @@ def test_noise_marks_on_the_whole_page():
         end = mark.split()[0]
         for article in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
             assert main_text(f"<body><{mark}>{article}<div class=ad>Buy</div></{end}><p><a href=x>link</a></p></body>") == block
+    assert main_text(f"<body><div class='ad-free'><article><p>One</p></article></div><p>{text}</p></body>") == f"One\n\n{block}"
     assert main_text(f"<body><div class=post><p>Post <span class=ad>Buy</span> here</p></div><div id=comments class='comments-area'><p>{text}</p></div></body>") == "Post here"
 
 
+def test_text_beside_the_largest_container():
+    text = "long words here " * 20
+    block = text.strip()
+    links = "<div class=list><a href=x>link link link</a></div>"
+    page = f"<body><div class=post><div class=entry-header><h1>Title</h1></div><div class=lead><p>Lead</p></div><div class=entry-content>{text}</div><div class=end>End</div>{links}</div></body>"
+    assert main_text(page) == f"Title\n\nLead\n\n{block}\n\nEnd"
+
+
+def test_the_path_of_the_host_has_to_cover_the_page(spark):
+    good, parts = "<body><div class=a><p>{}</p></div></body>", "<body><div class=a><p>{}</p></div><div class=b><p>{}</p></div></body>"
+    rows = [(i, f"http://one.example/{i}", good.format(f"story number {i} " * 30)) for i in range(6)] + [(9, "http://one.example/9", parts.format("first " * 40, "second " * 60))]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[9] == ("first " * 40).strip() + "\n\n" + ("second " * 60).strip()
+
+
 def test_odd_pages():
     for page in (None, "", "<", "<p", "</p>", "plain", "<div>" * 3000 + "deep", "<a <b>", "<script>x", "<!-- x", "a<br>b", "<p hidden>x</p>"):
         p = html.Page(page)
