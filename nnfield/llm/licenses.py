@@ -25,36 +25,69 @@ from nnfield.llm.common import batches, keyed
 SHORT = 12
 TOLERANCE = 0.1
 
-# Names of licenses and the wordings by which texts state them.
+_BINARY = "other materials provided with the distribution"
+_ENDORSE = ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+            " derived from this software without specific prior written permission")
+
+
+def _gnu(kind: str, version: str) -> str:
+    return ("is free software: you can redistribute it and/or modify it under the terms of the GNU"
+            f" {kind} License as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version")
+
+
+def _stated(name: str) -> tuple[str, str]:
+    return f"Licensed under {name}", f"Released under {name}"
+
+
+# Names of licenses and the wordings by which texts state them. A wording tells its license from its kin: the
+# sentence that all BSD licenses share is none.
 WORDINGS: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": (*_stated("the GNU Affero General Public License, version 3"), _gnu("Affero General Public", "3")),
     "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0",
+        *_stated("the Apache License, Version 2.0"),
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
         " You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ),
-    "BSD-3-Clause": (
-        "Released under the BSD 3-Clause License",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-2-Clause": (
+        *_stated("the BSD 2-Clause License"),
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer"
+        f" in the documentation and/or {_BINARY}. This software is provided by the copyright holders and contributors \"as is\" and any"
+        " express or implied warranties",
+    ),
+    "BSD-3-Clause": (*_stated("the BSD 3-Clause License"), f"{_BINARY}. 3. {_ENDORSE}", f"{_BINARY}. {_ENDORSE}"),
+    "BSD-4-Clause": ("All advertising materials mentioning features or use of this software must display the following acknowledgement",),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0", "Licensed under CC BY version 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "Licensed under CC BY-NC version 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "Licensed under CC BY-SA version 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        *_stated("the GNU General Public License, version 2"),
+        _gnu("General Public", "2"),
     ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2",),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as"
-        " published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        *_stated("the GNU General Public License, version 3"),
+        _gnu("General Public", "3"),
+    ),
+    "ISC": (
+        *_stated("the ISC License"),
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided"
+        " that the above copyright notice and this permission notice appear in all copies",
     ),
+    "LGPL-2.0": (_gnu("Library General Public", "2"),),
+    "LGPL-2.1": (*_stated("the GNU Lesser General Public License, version 2.1"), _gnu("Lesser General Public", "2.1")),
+    "LGPL-3.0": (*_stated("the GNU Lesser General Public License, version 3"), _gnu("Lesser General Public", "3")),
     "MIT": (
         "Released under the MIT License",
+        "Licensed under the MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
         ' (the "Software"), to deal in the Software without restriction',
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
 }
 # Every wording has one of these, lower-case.
-MARKS = (b"licens", b"licenc", b"redistribution and use", b"permission is hereby")
-KEY = frozenset("apache bsd mit gnu mozilla attribution noncommercial sharealike nc sa by cc affero lesser".split())
+MARKS = (b"licens", b"licenc", b"redistribution and use", b"permission is hereby", b"permission to use", b"redistributions in binary", b"neither the name of", b"all advertising materials")
+KEY = frozenset("apache bsd mit gnu mozilla attribution noncommercial sharealike nc sa by cc affero lesser library".split())
 
 _WORD = re.compile(rb"[a-z0-9]+(?:\.[0-9]+)*")
 _MARK = re.compile(b"|".join(map(re.escape, MARKS)))

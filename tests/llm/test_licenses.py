@@ -27,6 +27,27 @@ def test_wordings_and_changes():
     assert scanner.scan(None) == scanner.scan(b"") == (None, 0, 0, 0, 0)
 
 
+def test_kin_and_altered_notices():
+    name = lambda text: licenses.Scanner().scan(text.encode())[0]
+    start = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+    following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions
+    and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+    and the following disclaimer in the documentation and/or other materials provided with the distribution. """
+    neither = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+    derived from this software without specific prior written permission. """
+    end = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING'
+    advert = "3. All advertising materials mentioning features or use of this software must display the following acknowledgement: Us. "
+    assert name(start + end) == name((start + end).replace("must reproduce", "shall reproduce")) == "BSD-2-Clause"
+    assert name(start + "3. " + neither + end) == name(start + neither + end) == "BSD-3-Clause"
+    assert name(start + advert + "4. " + neither + end) == "BSD-4-Clause"
+    gnu = """This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} License as published
+    by the Free Software Foundation; either version {} of the License, or (at your option) any later version."""
+    for kind, version, want in (("General Public", "2", "GPL-2.0"), ("General Public", "3", "GPL-3.0"), ("Lesser General Public", "2.1", "LGPL-2.1"), ("Lesser General Public", "3", "LGPL-3.0"), ("Affero General Public", "3", "AGPL-3.0"), ("Library General Public", "2", "LGPL-2.0")):
+        assert name(gnu.format(kind, version)) == want
+        assert name(gnu.format(kind, version).replace("and/or modify", "or modify")) == want
+    assert name("Licensed under the MIT License.") == "MIT" and name("Licensed under CC-BY version 4.0") == "CC-BY-4.0"
+
+
 def test_given_documents_by_plain_search(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     short = [(n, " ".join(w.decode() for w in licenses.words_of(t.encode()))) for n, texts in licenses.WORDINGS.items() for t in texts]
