@@ -1,9 +1,10 @@
 """Plain SQL of the queries that SQL can express on whole tables.
 
 The others have none: fingerprints (op2), compression (op3), page parsing (op4), narrowing medians (op5), trained models
-(op6, op9), the tokenizer (op7) and the pipeline made of them. They are tested against brute force in tests/llm.
+(op6, op9), the tokenizer (op7), checksums that choose a document's words (op13) and the pipeline made of them. They are tested against brute force in tests/llm.
 """
 
+from nnfield.llm.audit import MAX_CAPITALS_PERCENT, MIN_DISTINCT_PERCENT, MIN_WORDS, SPECIAL
 from nnfield.llm.decontamination import WINDOW as BENCHMARK_WINDOW
 from nnfield.llm.substrings import WINDOW
 from nnfield.llm.topk import EVERY, K
@@ -73,8 +74,42 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """
 
+AUDIT = rf"""
+WITH text AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), fail AS (
+  SELECT doc_id, part,
+         if(len(w) < {MIN_WORDS}, 1, 0) + if(100 * len(list_distinct(w)) < {MIN_DISTINCT_PERCENT} * len(w), 2, 0)
+         + if(100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > {MAX_CAPITALS_PERCENT} * length(t), 4, 0)
+         + if(regexp_matches(t, '{SPECIAL}'), 8, 0) + if(coalesce(min(doc_id) OVER (PARTITION BY t) < doc_id, false), 16, 0) AS bits
+  FROM text
+), label AS (
+  SELECT doc_id, max(if(quality = 1, 1, 0)) AS good, max(if(toxic = 1, 1, 0)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), combination AS (
+  SELECT part, bits, count(*) AS docs, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+  FROM fail LEFT JOIN label USING (doc_id) GROUP BY part, bits
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letter AS a, letter AS b, letter AS c, letter AS d, letter AS e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, 1 << (ascii(filter_order[i]) - 65) AS bit,
+         list_sum(list_transform(range(1, i), lambda k: 1 << (ascii(filter_order[k]) - 65))) AS sums
+  FROM orders, unnest(range(1, 6)) AS r(i)
+), step AS (SELECT filter_order, step, bit, CAST(coalesce(sums, 0) AS INTEGER) AS before FROM steps)
+SELECT part, filter_order, step,
+       CAST(sum(if(bits & (before | bit) = 0, docs, 0)) AS BIGINT) AS kept,
+       CAST(sum(if(bits & bit > 0 AND bits & before = 0, docs, 0)) AS BIGINT) AS removed,
+       CAST(sum(if(bits & bit > 0 AND bits & before > 0, docs, 0)) AS BIGINT) AS redundant,
+       CAST(sum(if(bits = bit, docs, 0)) AS BIGINT) AS unique_fails,
+       CAST(sum(if(bits & bit > 0 AND bits & before = 0, good, 0)) AS BIGINT) AS good_lost,
+       CAST(sum(if(bits & bit > 0 AND bits & before = 0, toxic, 0)) AS BIGINT) AS toxic_lost,
+       CAST(sum(if(bits & bit > 0, docs * (120 // bit_count(bits)), 0)) AS BIGINT) AS shapley
+FROM combination, step GROUP BY part, filter_order, step
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRINGS,
     "op8_exact_topk": TOPK,
     "op10_benchmark_decontamination": CONTAMINATION,
+    "op12_filter_audit": AUDIT,
 }
