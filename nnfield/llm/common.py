@@ -54,6 +54,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+# Rows of one key from which on it counts as hot, and the most keys that can be hot.
+HOT_ROWS = 2_000
+HOT_KEYS = 200_000
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row per ``key`` whose column ``times`` says how many of the ``total`` rows
+    have it. Keys of very many rows are met by broadcast, so that they need no shuffle: as ``times`` add up to the total,
+    there are ``HOT_KEYS`` of them at most."""
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot = F.broadcast(table.where(F.col("times") >= least))
+    others = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("times") < least), key)
+    return rows.join(hot, key).unionByName(others)
+
+
 def bucketed(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     """Like stored(), dealt by ``keys``: a later join on them reads the rows where they are. Where the rows come
     from a sort-merge join on the same keys, writing needs no shuffle either."""

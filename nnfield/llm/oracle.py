@@ -6,6 +6,7 @@ The others have none: fingerprints (op2), compression (op3), page parsing (op4),
 
 from nnfield.llm.audit import MAX_CAPITALS_PERCENT, MIN_DISTINCT_PERCENT, MIN_WORDS, SPECIAL
 from nnfield.llm.decontamination import WINDOW as BENCHMARK_WINDOW
+from nnfield.llm.minhash import PERCENT, SHINGLE
 from nnfield.llm.substrings import WINDOW
 from nnfield.llm.topk import EVERY, K
 
@@ -107,9 +108,30 @@ SELECT part, filter_order, step,
 FROM combination, step GROUP BY part, filter_order, step
 """
 
+# Links are counted on numbers of distinct shingles; reach walks them from every document.
+NEAR = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_sort(list_distinct(if(len(w) < {SHINGLE}, list_filter([array_to_string(w, ' ')], lambda x: len(w) > 0),
+         list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i : i + {SHINGLE - 1}], ' '))))) AS s FROM d
+), class AS (SELECT s, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY s
+), item AS (SELECT node, len(s) AS n, unnest(s) AS x FROM class
+), pair AS (
+  SELECT a.node AS a, b.node AS b FROM item AS a JOIN item AS b ON a.x = b.x AND a.node <> b.node
+  GROUP BY a.node, b.node HAVING 100 * count(*) >= {PERCENT} * (max(a.n) + max(b.n) - count(*))
+), reach(node, found) AS (
+  SELECT node, node FROM class UNION SELECT reach.node, pair.b FROM reach JOIN pair ON reach.found = pair.a
+), least AS (SELECT node, min(found) AS component_id FROM reach GROUP BY node)
+SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component_id, sets.doc_id) AS component_id,
+       sets.doc_id = coalesce(component_id, sets.doc_id) AS kept
+FROM sets LEFT JOIN class ON sets.s = class.s LEFT JOIN least USING (node)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": SUBSTRINGS,
     "op8_exact_topk": TOPK,
     "op10_benchmark_decontamination": CONTAMINATION,
+    "op11_minhash_near_dedup": NEAR,
     "op12_filter_audit": AUDIT,
 }

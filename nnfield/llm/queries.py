@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nnfield.llm import audit, decontamination, html, language, licenses, packing, quality, runs, sharding, simhash, substrings, topk
+from nnfield.llm import audit, decontamination, html, language, licenses, minhash, packing, quality, runs, sharding, simhash, substrings, topk
 from nnfield.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontamination.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -62,5 +66,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash_near_dedup, op3_license_scan, op4_html_consensus, op5_kd_sharding, op6_quality_votes, op7_first_fit_packing, op8_exact_topk,
-    op9_language_id, op10_benchmark_decontamination, op12_filter_audit, op13_periodic_runs,
+    op9_language_id, op10_benchmark_decontamination, op11_minhash_near_dedup, op12_filter_audit, op13_periodic_runs,
 )}
