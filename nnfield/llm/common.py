@@ -62,10 +62,10 @@ HOT_KEYS = 200_000
 def join_unique(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with a table of one row per ``key`` whose column ``times`` says how many of the ``total`` rows
     have it. Keys of very many rows are met by broadcast, so that they need no shuffle: as ``times`` add up to the total,
-    there are ``HOT_KEYS`` of them at most."""
+    there are ``HOT_KEYS`` of them at most. All others are shuffled: tables that grow aren't sent through the driver."""
     least = max(HOT_ROWS, -(-total // HOT_KEYS))
     hot = F.broadcast(table.where(F.col("times") >= least))
-    others = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("times") < least), key)
+    others = rows.join(hot.select(key), key, "left_anti").join(table.where(F.col("times") < least).hint("merge"), key)
     return rows.join(hot, key).unionByName(others)
 
 

@@ -1,11 +1,15 @@
-"""Connected components of an edge table by alternating large-star and small-star steps, all state in Spark."""
+"""Connected components of an edge table by alternating large-star and small-star steps, all state in Spark.
+
+Every step is written as a table and read again: a checkpoint would keep the estimated size of its plan, which for a join is the
+product of both sides, so that in a loop the number itself grows without bound on the driver.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnfield.session import cut_lineage
+from nnfield.llm.common import stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -14,13 +18,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         around = around.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     # The smallest neighbours are written, so that the join meets two plain exchanges and a node of very many edges can be split.
-    least = cut_lineage(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+    least = stored(around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = around.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return cut_lineage(out.where("a <> b").distinct())
+    return stored(out.where("a <> b").distinct(), "edges")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     Loops, repeated edges and either direction are fine; an empty table gives an empty table.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    pairs = cut_lineage(pairs.distinct())
+    pairs = stored(pairs.distinct(), "edges")
     before = None
     while True:
         now = pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()

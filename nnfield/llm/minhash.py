@@ -8,13 +8,15 @@ its ``K`` smallest shingle hashes, or all of them. Documents are linked whose se
    sketches are whole sets, else up to a chance of ``LOSS`` per pair, by the hypergeometric tail for the set's size. So a pair
    meets already among the size - needed + 1 rarest values of each sketch, and only those are listed; values of a
    single node drop out. What many documents have in common (a line, a passage) is at the end of that order.
-2. Overlaps and union sketches. In the lists, sketches are compared block by block; a pair is looked at in one list
-   only. Pairs go on with ``needed`` common values among the K smallest of both sketches together.
-3. Exact Jaccard on the full sets of shingles, from the texts. Each node's best candidate comes first; once the
-   components are known, only candidates between different components are left to verify.
+2. Overlaps and union sketches. In the lists, sketches are compared cell by cell; a pair is looked at in one list
+   only. A node goes on if it has ``needed`` common values with another among the K smallest of both sketches together.
+3. Exact Jaccard on the full sets of shingles: the texts of those nodes come to their cells, where the pairs are
+   verified from the most alike on. Pairs that verified ones tie together already are left out, so that a cell gives
+   fewer links than it has nodes, and no pair of different components stays unverified.
 
-Lists of more than ``LONG`` nodes, as of a passage with very many versions, first meet ``CENTERS`` of their own nodes: where
-that ties them together nothing else is compared, else blocks of ``BLOCK`` nodes meet each other in as many tasks.
+A list of up to ``BLOCK`` nodes, and no more than ``BLOCK_SHINGLES`` shingles, is one cell; of a longer one any two blocks meet. A
+list of more than ``LONG`` nodes, as of a passage with very many versions, first meets ``CENTERS`` of its own nodes, block by
+block: where that ties it together nothing else is compared.
 
 Nulls: a null text has no words; without words the set is empty and linked with nothing. A null doc_id is never a
 component's smallest: component_id is null if there is none, and kept is false. Repeated rows are rows of one node. Rows of one
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnfield.llm.common import HOT_KEYS, join_unique, keyed, stored, widest_partitions
+from nnfield.llm.common import join_unique, keyed, stored, widest_partitions
 from nnfield.llm.components import components
 from nnfield.session import cut_lineage
 
@@ -41,11 +43,12 @@ SHINGLE = 4
 PERCENT = 80
 K = 64
 LOSS = 1e-9
-BLOCK = 512
+BLOCK = 256
+BLOCK_SHINGLES = 500_000
 LONG = 1024
 CENTERS = 4
-# Pairs that share a node beyond which its text is copied, one copy for each that many.
-PAIRS_PER_COPY = 1_000
+# Rows of a cell up to which pairs are compared one by one.
+FEW = 12
 # Sets a task remembers to have seen.
 SEEN_SETS = 500_000
 
@@ -121,171 +124,196 @@ def members(classes: DataFrame, k: int = K) -> DataFrame:
     shared = stored(values.groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "shared")
     total = shared.agg(F.sum("times")).first()[0] or 0
     held = join_unique(values, shared, "value", total).groupBy("node").agg(F.collect_list(F.struct("times", "value")).alias("held"))
-    listed = held.join(classes.select("node", "n", "needed", "sketch"), "node").where("size(held) >= needed")
+    listed = held.join(classes.select("node", "n", "needed", "sketch").hint("merge"), "node").where("size(held) >= needed")
     upper = "transform(sketch, v -> cast(shiftrightunsigned(v, 32) as bigint))"
     return listed.selectExpr("node", "n", "needed", "slice(array_sort(held), 1, size(held) - needed + 1).value as listed", f"{upper} as sketch")
 
 
-def _alike(percent: int):
-    """SQL condition on sizes n and m."""
-    return f"100 * least(n, m) >= {percent} * greatest(n, m)"
+_ROW = ["component", "n", "needed", "listed", "sketch"]
 
 
-def center_pairs(rows: DataFrame, lengths: DataFrame, total: int, percent: int, long: int = LONG, centers: int = CENTERS) -> DataFrame:
-    """(a, b) of the nodes in long lists with a few nodes of their list, as far as their sketches allow a link."""
-    in_long = join_unique(rows.withColumn("value", F.explode("listed")), lengths.where(F.col("times") > long), "value", total)
-    in_long = in_long.withColumn("salts", F.ceil(F.col("times") / long).cast("int"))
-    chosen = in_long.groupBy("value").agg(
-        F.max("salts").alias("salts"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(centers)])
-    chosen = chosen.select("value", "salts", F.explode(F.array(*[f"c{i}" for i in range(centers)])).alias("center")).distinct()
-    known = rows.select(F.col("node").alias("center"), F.col("n").alias("m"), F.col("needed").alias("c_needed"), F.col("sketch").alias("c_sketch"))
-    chosen = chosen.join(known, "center").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    asked = in_long.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
-    met = asked.join(chosen, ["value", "salt"]).where(f"node <> center and {_alike(percent)}")
-    near = met.where("size(array_intersect(sketch, c_sketch)) >= greatest(needed, c_needed)")
-    return near.select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b")).distinct()
+def list_lengths(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """value, times (its nodes) and blocks of every list of two nodes or more."""
+    lengths = rows.select(F.explode("listed").alias("value"), "n").groupBy("value").agg(F.count(F.lit(1)).alias("times"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.col("times") / block), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    return lengths.where("times > 1").select("value", "times", blocks.alias("blocks"))
 
 
-def cells(rows: DataFrame, lengths: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
-    """List rows dealt to cells: a list of up to ``block`` nodes is one, a longer one is cut into blocks of which any two meet."""
+def cells(rows: DataFrame, lengths: DataFrame, total: int) -> DataFrame:
+    """List rows dealt to cells (value, i, j): any two blocks of a list meet."""
     found = join_unique(rows.withColumn("value", F.explode("listed")), lengths, "value", total)
-    found = found.withColumn("blocks", F.ceil(F.col("times") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    found = found.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     found = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return found.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"),
-                        "node", "component", "n", "needed", "listed", "sketch")
-
-
-class _Cell:
-    """The nodes of one list, or of two blocks of one, that meet."""
-
-    def __init__(self, value: int, diagonal: bool) -> None:
-        self.value, self.diagonal, self.rows = value, diagonal, []
-
-    def pairs(self, k: int, percent: int) -> list[tuple[int, int, int]]:
-        """(a, b, common values of the union sketch) of the pairs that this list answers for and that may be similar."""
-        rows = list({r["node"]: r for r in self.rows}.values())
-        if len(rows) < 2:
-            return []
-        n = np.array([r["n"] for r in rows])
-        least = np.array([r["needed"] for r in rows])
-        component = np.array([r["component"] for r in rows])
-        able = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
-        able &= component[:, None] != component[None, :]
-        if not self.diagonal:
-            side = np.array([r["second"] for r in rows])
-            able &= side[:, None] != side[None, :]
-        able = np.triu(able, 1)
-        if not able.any():
-            return []
-        # The smallest value that lists both nodes answers for them, and only there are they compared.
-        able &= _common([[v for v in r["listed"] if v < self.value] for r in rows]) == 0
-        able &= _common([r["sketch"] for r in rows]) >= np.maximum.outer(least, least)
-        out = []
-        for x, y in zip(*np.nonzero(able)):
-            a, b = (np.array(rows[i]["sketch"]) for i in (x, y))
-            union, both = np.union1d(a, b), np.intersect1d(a, b)
-            hits = int(np.searchsorted(both, union[k - 1], "right")) if len(union) >= k else len(both)
-            if hits >= max(least[x], least[y]):
-                out.append((*sorted((rows[x]["node"], rows[y]["node"])), hits))
-        return out
+    place = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second")]
+    return found.select("value", *place, "node", *_ROW)
+
+
+def center_cells(rows: DataFrame, lengths: DataFrame, total: int, centers: int = CENTERS) -> DataFrame:
+    """The same for long lists, but every block meets a few nodes of the list only, which stand in each cell."""
+    found = join_unique(rows.withColumn("value", F.explode("listed")), lengths, "value", total)
+    chosen = found.groupBy("value").agg(F.max("blocks").alias("blocks"), *[F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"c{i}") for i in range(centers)])
+    chosen = chosen.select("value", "blocks", F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(centers)]))).alias("node"))
+    chosen = chosen.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(rows.hint("merge"), "node")
+    here = [F.lit(-1).alias("j"), F.lit(True).alias("second"), "node", *_ROW]
+    blocks = found.select("value", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("i"), F.lit(-1).alias("j"), F.lit(False).alias("second"), "node", *_ROW)
+    return blocks.unionByName(chosen.select("value", "i", *here))
+
+
+class _Node:
+    """A row of a cell."""
+
+    def __init__(self, second: bool, node: int, component: int, n: int, needed: int, listed: list[int], sketch: list[int], text: bytes | None = None) -> None:
+        self.second, self.node, self.component, self.n, self.needed, self.text = second, node, component, n, needed, text
+        self.listed, self.sketch = set(listed), set(sketch)
+
+    def hits(self, other: _Node, k: int) -> int:
+        """Common values among the k smallest of both sketches together."""
+        both = self.sketch & other.sketch
+        union = sorted(self.sketch | other.sketch)
+        return len(both) if len(union) <= k else sum(v <= union[k - 1] for v in both)
+
+
+def _cell_pairs(value: int, diagonal: bool, rows: list[_Node], k: int, percent: int) -> list[tuple[int, int, int]]:
+    """(hits, places of both rows) of the pairs of a cell that its list answers for and that may be similar. The
+    smallest value that lists both nodes answers for them."""
+    if len(rows) <= FEW:
+        near = [
+            (i, j) for i, x in enumerate(rows) for j, y in enumerate(rows[:i])
+            if (diagonal or x.second != y.second) and x.component != y.component
+            and 100 * min(x.n, y.n) >= percent * max(x.n, y.n) and min(x.listed & y.listed) == value
+        ]
+    else:
+        near = _near(value, diagonal, rows, percent)
+    found = ((rows[i].hits(rows[j], k), i, j) for i, j in near)
+    return [(hits, i, j) for hits, i, j in found if hits >= max(rows[i].needed, rows[j].needed)]
+
+
+def _near(value: int, diagonal: bool, rows: list[_Node], percent: int) -> list[tuple[int, int]]:
+    """Places of the pairs of many rows that share enough values at all, by products of matrices."""
+    n, least, component, side = (np.array(x) for x in zip(*((r.n, r.needed, r.component, r.second) for r in rows)))
+    able = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
+    able &= component[:, None] != component[None, :]
+    if not diagonal:
+        able &= side[:, None] != side[None, :]
+    able = np.triu(able, 1)
+    if able.any():
+        able &= _common([[v for v in r.listed if v < value] for r in rows]) == 0
+        able &= _common([list(r.sketch) for r in rows]) >= np.maximum.outer(least, least)
+    return list(zip(*(x.tolist() for x in np.nonzero(able))))
 
 
 def _common(lists: list[list[int]]) -> np.ndarray:
     """Matrix of the number of values that any two lists of distinct values share."""
     owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     if not len(owner):
-        return np.zeros((len(lists), len(lists)), np.int64)
+        return np.zeros((len(lists), len(lists)), np.int32)
     _, column, times = np.unique(np.concatenate([np.asarray(x, np.int64) for x in lists]), return_inverse=True, return_counts=True)
     several = np.cumsum(times > 1) - 1
     kept = (times > 1)[column]
     held = np.zeros((len(lists), int((times > 1).sum())), np.float32)
     held[owner[kept], several[column[kept]]] = 1
-    return (held @ held.T).astype(np.int64)
-
-
-def candidates(dealt: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """(a, b, hits) of the pairs that meet in a cell and may be similar, each from one list."""
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, at = None, None
-
-        def done():
-            found = cell.pairs(k, percent)
+    return (held @ held.T).astype(np.int32)
+
+
+def _tied(rows: list[_Node], pairs: list[tuple[int, int, int]], percent: int, shingle: int) -> list[tuple[int, int]]:
+    """(a, b) of verified pairs that tie the rows of a cell together as all similar pairs do."""
+    above = {r.component: r.component for r in rows}
+
+    def root(x: int) -> int:
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    sets: dict[int, set[bytes]] = {}
+    out = []
+    for _, i, j in sorted(pairs, reverse=True):
+        x, y = root(rows[i].component), root(rows[j].component)
+        if x == y:
+            continue
+        for at in (i, j):
+            if at not in sets:
+                sets[at] = set(shingles(rows[at].text, shingle))
+        common = len(sets[i] & sets[j])
+        if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+            above[x] = y
+            out.append((rows[i].node, rows[j].node))
+    return out
+
+
+def _lists(column: pa.ListArray) -> Iterator[list[int]]:
+    values, ends = column.values.to_pylist(), column.offsets.to_pylist()
+    return (values[s:e] for s, e in zip(ends, ends[1:]))
+
+
+def _by_cell(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[_Node]]]:
+    """((value, i, j), rows) of each cell, from rows sorted by it. Repeated rows of a node are one."""
+    at, rows = None, {}
+    for part in parts:
+        for piece in (part.slice(k, 512) for k in range(0, part.num_rows, 512)):
+            plain = [piece.column(c).to_pylist() for c in ("value", "i", "j", "second", "node", "component", "n", "needed")]
+            texts = piece.column("text").to_pylist() if "text" in piece.schema.names else [None] * piece.num_rows
+            for value, i, j, *own, listed, sketch, text in zip(*plain, _lists(piece.column("listed")), _lists(piece.column("sketch")), texts):
+                if (value, i, j) != at:
+                    if len(rows) > 1:
+                        yield at, list(rows.values())
+                    at, rows = (value, i, j), {}
+                # of a center that stands in the block too only the center counts
+                if own[0] or own[1] not in rows:
+                    rows[own[1]] = _Node(*own, listed, sketch, text)
+    if len(rows) > 1:
+        yield at, list(rows.values())
+
+
+def ties(dealt: DataFrame, texts: DataFrame, k: int = K, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """Verified (a, b) that tie together, within every cell, all nodes that similar pairs connect. ``texts(node, text)``."""
+
+    def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (value, i, j), rows in _by_cell(parts):
+            at = sorted({x for _, *pair in _cell_pairs(value, i == j, rows, k, percent) for x in pair})
+            if at:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([value] * len(at)), pa.array([i] * len(at), pa.int32()), pa.array([j] * len(at), pa.int32()), *[
+                        pa.array([getattr(rows[x], c) for x in at], kind) for c, kind in (
+                            ("second", pa.bool_()), ("node", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("needed", pa.int32()))],
+                     *[pa.array([list(getattr(rows[x], c)) for x in at], pa.list_(pa.int64())) for c in ("listed", "sketch")]], names)
+
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (value, i, j), rows in _by_cell(parts):
+            found = _tied(rows, _cell_pairs(value, i == j, rows, k, percent), percent, shingle)
             if found:
-                a, b, hits = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(hits, pa.int32())], ["a", "b", "hits"])
-
-        for part in parts:
-            for row in part.to_pylist():
-                here = (row["value"], row["i"], row["j"])
-                if here != at:
-                    if cell is not None:
-                        yield from done()
-                    cell, at = _Cell(row["value"], row["i"] == row["j"]), here
-                cell.rows.append(row)
-        if cell is not None:
-            yield from done()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
 
+    names = ["value", "i", "j", "second", "node", *_ROW]
+    schema = "value long, i int, j int, second boolean, node long, component long, n long, needed int, listed array<long>, sketch array<long>"
     width = widest_partitions(dealt.sparkSession)
-    together = dealt.repartition(width, "value", "i", "j").sortWithinPartitions("value", "i", "j")
-    return together.mapInArrow(run, "a long, b long, hits int").distinct()
 
+    def together(rows: DataFrame) -> DataFrame:
+        return rows.repartition(width, "value", "i", "j").sortWithinPartitions("value", "i", "j")
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The (a, b) whose full sets are similar. ``texts(node, text)``: a node of very many pairs has its text copied."""
+    some = together(dealt).mapInArrow(alike, schema)
+    return stored(together(some.join(texts.hint("merge"), "node")).mapInArrow(verify, "a long, b long"), "ties")
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, own = None, set()
-        for part in parts:
-            keep = []
-            for a, x, y in zip(part.column(0).to_pylist(), part.column(2), part.column(3)):
-                if a != held:
-                    held, own = a, set(shingles(x.as_py(), shingle))
-                other = set(shingles(y.as_py(), shingle))
-                common = len(own & other)
-                keep.append(100 * common >= percent * (len(own) + len(other) - common))
-            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = cut_lineage(pairs)
-    least = max(PAIRS_PER_COPY, -(-pairs.count() // HOT_KEYS))
-    for side, other, name in (("a", "b", "text_a"), ("b", "a", "text_b")):
-        hot = pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"), F.count(F.lit(1)).alias("times"))
-        hot = F.broadcast(cut_lineage(hot.where(F.col("times") >= least).select(side, "copies")))
-        some = texts.select(F.col("node").alias(side), F.col("text").alias(name)).join(hot, side, "left")
-        some = some.select(side, name, F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-        pairs = pairs.join(hot, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), F.coalesce("copies", F.lit(1))).cast("int"))
-        pairs = pairs.drop("copies").join(some, [side, "copy"]).drop("copy")
-    both = pairs.select("a", "b", "text_a", "text_b").sortWithinPartitions("a")
-    return cut_lineage(both.mapInArrow(run, "a long, b long"))
-
-
-def _labelled(rows: DataFrame, edges: DataFrame, node: str = "node", name: str = "component") -> DataFrame:
-    """The component of each row's node by the links so far; a node without links is its own."""
-    labels = cut_lineage(components(edges)).select(F.col("node").alias(node), F.col("component").alias("label"))
-    return rows.join(labels, node, "left").withColumn(name, F.coalesce("label", node)).drop("label")
-
-
-def links(documents: DataFrame, classes: DataFrame, k: int = K, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, long: int = LONG) -> DataFrame:
-    """Verified (a, b) that tie together all similar nodes: links within a component may be left out, none between two."""
-    rows = stored(members(classes, k), "members")
-    lengths = stored(rows.select(F.explode("listed").alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "lengths")
+
+def linked_nodes(documents: DataFrame, classes: DataFrame, k: int = K, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, long: int = LONG) -> DataFrame:
+    """(node, component) of all nodes that are linked."""
+    rows = stored(members(classes, k).withColumn("component", F.col("node")), "members")
+    lengths = stored(list_lengths(rows, block), "lengths")
     total, longest = lengths.agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.max("times"), F.lit(0))).first()
-    found = rows.sparkSession.createDataFrame([], "a long, b long")
-    if total == 0:
-        return found
     docs = keyed(documents).select("doc_id", "text_hash", "text")
-    wanted = rows.select("node").join(classes.select("node", "first_id", "first_hash"), "node")
+    wanted = rows.select("node").join(classes.select("node", "first_id", "first_hash").hint("merge"), "node")
     same = docs.doc_id.eqNullSafe(wanted.first_id) & (docs.text_hash == wanted.first_hash)
     texts = stored(docs.join(wanted, same).select("node", "text").dropDuplicates(["node"]), "texts")
-    if longest > long:
-        found = verified(center_pairs(rows, lengths, total, percent, long), texts, percent, shingle)
-    met = stored(candidates(cells(_labelled(rows, found), lengths, total, block), k, percent), "candidates")
-    either = met.select(F.col("a").alias("node"), "hits", "a", "b").unionByName(met.select(F.col("b").alias("node"), "hits", "a", "b"))
-    best = cut_lineage(either.groupBy("node").agg(F.max(F.struct("hits", "a", "b")).alias("m")).select("m.a", "m.b").distinct())
-    found = found.unionByName(verified(best, texts, percent, shingle))
-    rest = _labelled(_labelled(met.select("a", "b"), found, "a", "of_a"), found, "b", "of_b").where("of_a <> of_b")
-    rest = rest.select("a", "b").join(best, ["a", "b"], "left_anti")
-    return found.unionByName(verified(rest, texts, percent, shingle))
+    if longest <= long:
+        return components(ties(cells(rows, lengths, total), texts, k, percent, shingle))
+    first = ties(center_cells(rows, lengths.where(F.col("times") > long), total), texts, k, percent, shingle)
+    labels = stored(components(first), "labels").withColumnRenamed("component", "label")
+    rows = rows.join(labels.hint("merge"), "node", "left").withColumn("component", F.coalesce("label", "node")).drop("label")
+    # lists that are one component by now are done
+    open_lists = join_unique(rows.select("component", F.explode("listed").alias("value")), lengths, "value", total)
+    open_lists = open_lists.groupBy("value").agg(F.first("times").alias("times"), F.first("blocks").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"))
+    open_lists = stored(open_lists.where("x < y").select("value", "times", "blocks"), "open")
+    return components(first.unionByName(ties(cells(rows, open_lists, total), texts, k, percent, shingle)))
 
 
 def near_duplicates(documents: DataFrame, k: int = K, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, long: int = LONG) -> DataFrame:
@@ -295,10 +323,10 @@ def near_duplicates(documents: DataFrame, k: int = K, percent: int = PERCENT, sh
         F.max("n").alias("n"), F.max("needed").alias("needed"), F.first("sketch", True).alias("sketch"), F.min("doc_id").alias("least"),
         F.count(F.lit(1)).alias("times"), F.first(F.struct("doc_id", "text_hash")).alias("who"),
     ).selectExpr("*", "who.doc_id as first_id", "who.text_hash as first_hash"), "classes")
-    linked = cut_lineage(components(links(documents, classes, k, percent, shingle, block, long)))
-    smallest = classes.join(linked, "node").groupBy("component").agg(F.min("least").alias("smallest"))
-    tied = linked.join(smallest, "component").select("node", "smallest")
-    labels = classes.select("node", "least", "times").join(tied, "node", "left").select(
+    linked = stored(linked_nodes(documents, classes, k, percent, shingle, block, long), "linked")
+    smallest = classes.join(linked.hint("merge"), "node").groupBy("component").agg(F.min("least").alias("smallest"))
+    tied = linked.join(smallest.hint("merge"), "component").select("node", "smallest")
+    labels = classes.select("node", "least", "times").join(tied.hint("merge"), "node", "left").select(
         "node", "times", F.when(F.col("smallest").isNull(), F.col("least")).otherwise(F.col("smallest")).alias("component_id"))
     known = marks.select("doc_id", "node", "n")
     full = join_unique(known.where("n > 0"), cut_lineage(labels), "node", known.count()).select("doc_id", "n", "component_id")

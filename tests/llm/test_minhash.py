@@ -110,16 +110,18 @@ def test_sketches_of_similar_sets_share_what_is_needed(k):
             assert hits >= max(minhash.needed(len(one), k), minhash.needed(len(other), k)), (n, union)
 
 
-def test_hot_nodes_of_pairs_have_copies(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "PAIRS_PER_COPY", 5)
-    words = [f"w{i}" for i in range(40)]
-    texts = [(i, " ".join(words + [f"x{i}_{j}" for j in range(i % 15)]).encode()) for i in range(60)]
-    pairs = [(a, b) for a in (0, 30, 59) for b in range(60) if a != b]
-    pairs = {(min(p), max(p)) for p in pairs}
-    sets = {i: set(minhash.shingles(t)) for i, t in texts}
-    want = sorted(p for p in pairs if 100 * len(sets[p[0]] & sets[p[1]]) >= 80 * len(sets[p[0]] | sets[p[1]]))
-    found = minhash.verified(spark.createDataFrame(sorted(pairs), "a long, b long"), spark.createDataFrame(texts, "node long, text binary"))
-    assert 0 < len(want) < len(pairs) and sorted(map(tuple, found.collect())) == want
+@pytest.mark.parametrize("count", [5, 40])
+def test_a_cell_gives_fewer_links_than_nodes(count):
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(count):
+        text = " ".join(words + [f"x{i}_{j}" for j in range(i % 20)]).encode()
+        sketch = sorted(hash(x) & 0xFFFFFFFF for x in set(minhash.shingles(text)))
+        rows.append(minhash._Node(i % 2 == 1, i, i, len(sketch), minhash.needed(len(sketch)), [7], sketch[: minhash.K], text))
+    for diagonal in (True, False):
+        found = minhash._tied(rows, minhash._cell_pairs(7, diagonal, rows, minhash.K, 80), 80, 4)
+        assert 0 < len(found) < count
+        assert minhash._cell_pairs(8, diagonal, rows, minhash.K, 80) == [] or count > minhash.FEW
 
 
 def test_empty_table(docs_of):
