@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nnfield.llm.common import join_unique, keyed, stored, widest_partitions
+from nnfield.llm.common import batches, join_unique, keyed, stored, widest_partitions
 from nnfield.llm.components import components
 from nnfield.session import cut_lineage
 
@@ -129,6 +129,9 @@ def members(classes: DataFrame, k: int = K) -> DataFrame:
     return listed.selectExpr("node", "n", "needed", "slice(array_sort(held), 1, size(held) - needed + 1).value as listed", f"{upper} as sketch")
 
 
+_CELL = pa.schema([("value", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("second", pa.bool_()), ("node", pa.int64()), ("component", pa.int64()),
+                   ("n", pa.int64()), ("needed", pa.int32()), ("listed", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _ROW = ["component", "n", "needed", "listed", "sketch"]
 
 
@@ -242,8 +245,9 @@ def _tied(rows: list[_Node], pairs: list[tuple[int, int, int]], percent: int, sh
 
 
 def _lists(column: pa.ListArray) -> Iterator[list[int]]:
-    values, ends = column.values.to_pylist(), column.offsets.to_pylist()
-    return (values[s:e] for s, e in zip(ends, ends[1:]))
+    values, ends = column.flatten().to_pylist(), column.offsets.to_pylist()
+    first = ends[0]
+    return (values[s - first : e - first] for s, e in zip(ends, ends[1:]))
 
 
 def _by_cell(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], list[_Node]]]:
@@ -268,31 +272,24 @@ def _by_cell(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int,
 def ties(dealt: DataFrame, texts: DataFrame, k: int = K, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Verified (a, b) that tie together, within every cell, all nodes that similar pairs connect. ``texts(node, text)``."""
 
-    def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (value, i, j), rows in _by_cell(parts):
-            at = sorted({x for _, *pair in _cell_pairs(value, i == j, rows, k, percent) for x in pair})
-            if at:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([value] * len(at)), pa.array([i] * len(at), pa.int32()), pa.array([j] * len(at), pa.int32()), *[
-                        pa.array([getattr(rows[x], c) for x in at], kind) for c, kind in (
-                            ("second", pa.bool_()), ("node", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("needed", pa.int32()))],
-                     *[pa.array([list(getattr(rows[x], c)) for x in at], pa.list_(pa.int64())) for c in ("listed", "sketch")]], names)
-
-    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for at in sorted({x for _, *pair in _cell_pairs(value, i == j, rows, k, percent) for x in pair}):
+                row = rows[at]
+                yield value, i, j, row.second, row.node, row.component, row.n, row.needed, list(row.listed), list(row.sketch)
+
+    def verify(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (value, i, j), rows in _by_cell(parts):
-            found = _tied(rows, _cell_pairs(value, i == j, rows, k, percent), percent, shingle)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+            yield from _tied(rows, _cell_pairs(value, i == j, rows, k, percent), percent, shingle)
 
-    names = ["value", "i", "j", "second", "node", *_ROW]
     schema = "value long, i int, j int, second boolean, node long, component long, n long, needed int, listed array<long>, sketch array<long>"
     width = widest_partitions(dealt.sparkSession)
 
     def together(rows: DataFrame) -> DataFrame:
         return rows.repartition(width, "value", "i", "j").sortWithinPartitions("value", "i", "j")
 
-    some = together(dealt).mapInArrow(alike, schema)
-    return stored(together(some.join(texts.hint("merge"), "node")).mapInArrow(verify, "a long, b long"), "ties")
+    some = together(dealt).mapInArrow(lambda parts: batches(alike(parts), _CELL), schema)
+    return stored(together(some.join(texts.hint("merge"), "node")).mapInArrow(lambda parts: batches(verify(parts), _LINK), "a long, b long"), "ties")
 
 
 def linked_nodes(documents: DataFrame, classes: DataFrame, k: int = K, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK, long: int = LONG) -> DataFrame:
