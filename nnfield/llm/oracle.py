@@ -41,7 +41,7 @@ WITH e AS (
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-  FROM e AS q JOIN e AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0
+  FROM (SELECT DISTINCT vec_id, v FROM e) AS q JOIN e AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % {EVERY} = 0
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= {K}

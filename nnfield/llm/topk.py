@@ -12,7 +12,8 @@ Queries are a stated set, ``vec_id`` divisible by ``every``; they and the vector
 size, nothing is broadcast whole. Vectors that are null, empty or hold null or non-finite components take no part; vectors
 of different length meet only their own kind. Rows without vec_id take no part as queries and count as candidates after
 all others in ties. Products that could pass 2**53 are summed
-in whole numbers; a score beyond 64 bits is held at their end.
+in whole numbers; a score beyond 64 bits is held at their end, a component beyond 2**62 (times 256) at that. Equal query rows
+are one query; the different vectors of one vec_id share one ranking.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ BLOCKS_A_TASK = 16
 LEAD = 16
 NO_ID = (1 << 63) - 1
 EXACT = 2.0**53
+LARGEST = 2.0**62
 
 # Packed numbers take 2 or 8 bytes.
 _KINDS = {2: np.int16, 8: np.int64}
@@ -47,9 +49,8 @@ _FOUND = "query_id long, vec_id long, score long"
 def whole_vectors(embeddings: DataFrame) -> DataFrame:
     """vec_id, v (array of long), dim, length; only vectors that take part."""
     x = F.col("embedding").cast("array<double>")
-    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) > 1e15))
-    # Beyond 1e15 a product of two components passes 64 bits; infinities are caught here too.
-    v = F.transform(x, lambda e: F.floor(e * 256.0).cast("long"))
+    fine = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
+    v = F.transform(x, lambda e: F.floor(F.greatest(F.least(e * 256.0, F.lit(LARGEST)), F.lit(-LARGEST))).cast("long"))
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double")))
     return (embeddings.where(fine).select(F.coalesce(F.col("vec_id").cast("long"), F.lit(NO_ID)).alias("vec_id"), v.alias("v"))
             .withColumn("dim", F.size("v")).withColumn("length", length))
@@ -209,7 +210,7 @@ def search(embeddings: DataFrame, every: int = EVERY, k: int = K, block: int = B
     vectors = cut_lineage(whole_vectors(embeddings))
     turns = rotations(vectors)
     width = widest_partitions(spark)
-    queries = vectors.where((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID))
+    queries = vectors.where((F.col("vec_id") % every == 0) & (F.col("vec_id") != NO_ID)).dropDuplicates(["vec_id", "v"])
     slices = vectors.repartitionByRange(max(width, -(-vectors.count() // (block * BLOCKS_A_TASK))), "dim", F.desc("length"), "vec_id").sortWithinPartitions("dim", F.desc("length"), "vec_id")
     blocks = cut_lineage(slices.select("vec_id", "v", "dim").mapInArrow(_pack(block), _PACKED))
     asked = cut_lineage(queries.select("vec_id", "v", "dim").repartition(max(1, -(-queries.count() // query_block)), "vec_id").mapInArrow(_pack(query_block), _PACKED))

@@ -40,3 +40,14 @@ def test_large_numbers_and_empty_table(spark):
     beyond = spark.createDataFrame([(0, [1e14]), (1, [1e14]), (3, [-1e14])], "vec_id long, embedding array<double>")
     assert [(r.vec_id, r.score) for r in topk.search(beyond, 50).orderBy("rank").collect()] == [(1, 2**63 - 1), (3, -(2**63) + 1)]
     assert topk.search(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_repeated_queries_and_large_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0])] + [(i, [float(i), 1.0]) for i in range(1, 8)] + [(9, [2e15, 0.0]), (9, [2e15, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [(r.query_id, r["rank"], r.vec_id) for r in topk.search(table, 50, 5).orderBy("rank").collect()]
+    assert found == [(0, 1, 9), (0, 2, 9), (0, 3, 7), (0, 4, 6), (0, 5, 5)]
+    # scores beyond 64 bits are held at their end and tie
+    huge = spark.createDataFrame([(0, [2e15, 0.0]), (1, [3.0, 0.0]), (2, [1e300, 0.0]), (3, [-1e300, 0.0]), (4, [1 / 256, 0.0])], "vec_id long, embedding array<double>")
+    most = 2**63 - 1
+    assert [(r.vec_id, r.score) for r in topk.search(huge, 50).orderBy("rank").collect()] == [(1, most), (2, most), (4, 512 * 10**15), (3, -most)]
