@@ -15,12 +15,14 @@ from nnfield.session import cut_lineage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those that are null or have no letter go; null doc_ids are kept by their text. The label
-    isn't asked: it is ``und`` for all documents of a table without labels to learn from."""
-    rejected = language.identify(docs).where(~F.col("has_letter"))
-    rejected = cut_lineage(rejected.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = docs["doc_id"].cast("long").eqNullSafe(rejected["_id"]) & (F.xxhash64(docs["text"].cast("binary")) == rejected["_hash"])
-    return docs.join(rejected, same, "left_anti")
+    """Documents in a language, ``lang`` being the network's prediction; those that are null or have no letter go. Where
+    nothing is labelled there is no network, and ``lang`` stays as it is. Null doc_ids are told apart by their text."""
+    found = language.identify(docs).where("has_letter").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang_pred").alias("_lang")).dropDuplicates(["_id", "_hash"])
+    found = cut_lineage(found)
+    same = docs["doc_id"].cast("long").eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"].cast("binary")) == found["_hash"])
+    lang = F.when(found["_lang"] == language.UNKNOWN, docs["lang"]).otherwise(found["_lang"])
+    return docs.join(found, same).select(*[lang.alias(c) if c == "lang" else docs[c] for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
