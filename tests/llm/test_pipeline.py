@@ -4,6 +4,7 @@ import re
 import zlib
 
 import corpus_pipeline
+from nnfield.llm import language
 from test_decontamination import brute as contaminated
 from test_packing import check
 from test_simhash import plain, smallest
@@ -21,7 +22,11 @@ def test_stages(spark, sf_dir):
     out = stages[0](spark, docs, sf_dir)
     before, rows = docs.collect(), out.cache().collect()
     assert out.columns == docs.columns
-    assert sorted(map(str, rows)) == sorted(str(r) for r in before if re.search(r"[^\W\d_]", r.text or ""))
+    predicted = {(r.doc_id, r.text_hash): r.lang_pred for r in language.identify(docs).collect()}
+    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "xxhash64(cast(text as binary)) as h").collect()}
+    want = [r.asDict() | {"lang": predicted[r.doc_id, hashes[r.doc_id, r.text]]} for r in before if re.search(r"[^\W\d_]", r.text or "")]
+    assert sorted(str(r.asDict()) for r in rows) == sorted(map(str, want))
+    assert any(r.lang is None for r in before) and all(r.lang not in (None, language.UNKNOWN) for r in rows)
 
     docs, before = out, rows
     out = stages[1](spark, docs, sf_dir).cache()
