@@ -9,7 +9,6 @@ from nnfield.functions.windows import balanced_sum, centred_offsets, even_offset
 from nnfield.operators.blocks import (
     BLOCK_EDGE,
     block_index,
-    block_positions,
     image_blocks,
     lookup,
     lookup_salt,
@@ -17,6 +16,7 @@ from nnfield.operators.blocks import (
     salted_blocks,
 )
 from nnfield.operators.pairs import attach, bind_roles
+from nnfield.session import cut_lineage
 
 
 def pair_blocks(pairs: DataFrame, pixels: DataFrame, image_column: str, edge: int = BLOCK_EDGE) -> DataFrame:
@@ -43,29 +43,34 @@ def window_average(
 
     ``clip`` averages what lies inside and treats an even size as the next odd one; ``edge`` repeats
     the border pixels and ``reflect`` mirrors them, both over exactly ``patch_size`` squared values.
-    One shuffle packs blocks whose halo already follows the border rule. The number of channels is each
-    image's own; ``channels``, if given, writes the sums out for that many and raises where an image has others.
+    One shuffle packs blocks whose halo already follows the border rule. Columns of the window are added up
+    once per line and its sums then along the line, so work and code grow with the window's side, not its area.
+    The number of channels is each image's own; ``channels``, if given, raises where an image has others.
     """
     offsets = centred_offsets(patch_size) if border == "clip" else even_offsets(patch_size)
     halo = patch_size // 2
     blocks = pack_blocks(gathered, ["pair_id"], halo=halo, border=border, edge=edge)
-    at = block_positions(blocks, "pair_id", "h", "w", "y0", "x0", "stride", "c", "px")
-
-    def total(channel: str, width: str) -> str:
-        return balanced_sum([
-            f"coalesce(get(px, {block_index(f'y + {dy}', f'x + {dx}', halo, width)} + {channel}), 0)"
-            for dy in offsets for dx in offsets
-        ])
+    lines = blocks.selectExpr("*", "explode(sequence(y0, y0 + bh - 1)) as y")
+    down = balanced_sum([f"coalesce(get(px, (y - y0 + {halo + dy}) * stride * c + i), 0)" for dy in offsets])
+    summed = lines.selectExpr("pair_id", "h", "w", "x0", "bw", "c", "y", f"transform(sequence(0, stride * c - 1), i -> {down}) as sums")
+    at = summed.selectExpr("pair_id", "h", "w", "x0", "c", "y", "sums", "explode(sequence(x0, x0 + bw - 1)) as x")
 
     count = f"{patch_size * patch_size}"
     if border == "clip":
         inside = lambda p, size: f"(least({p}, {halo}) + least({size} - 1 - {p}, {halo}) + 1)"
         count = f"({inside('y', 'h')} * {inside('x', 'w')})"
+
+    def mean(channel: str, width: str) -> str:
+        across = balanced_sum([f"get(sums, (x - x0 + {halo + dx}) * {width} + {channel})" for dx in offsets])
+        return f"cast({across} as double) / {count}"
+
+    written = lambda width: "array(" + ", ".join(mean(str(k), str(width)) for k in range(width)) + ")"
     if channels is None:
-        return at.selectExpr("pair_id", "y", "x", f"transform(sequence(0, c - 1), k -> cast({total('k', 'c')} as double) / {count}) as v")
-    means = ", ".join(f"cast({total(str(ch), str(channels))} as double) / {count}" for ch in range(channels))
-    other = f"raise_error(concat('image of ', c, ' channels, {channels} stated'))"
-    return at.selectExpr("pair_id", "y", "x", f"if(c = {channels}, array({means}), {other}) as v")
+        # grey and RGB images have compiled code of their own
+        value = f"case c when 1 then {written(1)} when 3 then {written(3)} else transform(sequence(0, c - 1), k -> {mean('k', 'c')}) end"
+    else:
+        value = f"if(c = {channels}, {written(channels)}, raise_error(concat('image of ', c, ' channels, {channels} stated')))"
+    return at.selectExpr("pair_id", "y", "x", f"{value} as v")
 
 
 def _remainder(targets: DataFrame) -> DataFrame:
@@ -97,7 +102,8 @@ def block_copy(field: DataFrame, pairs: DataFrame, blocks: DataFrame, sizes: Dat
     source and target are cut alike; everything not copied is 0. ``sizes(pair_id, ih, iw, ic)``
     saves a pass over the blocks where the image sizes are known.
     """
-    sizes = image_sizes(blocks) if sizes is None else sizes
+    # read off the blocks once: the grid is counted before it is joined
+    sizes = cut_lineage(image_sizes(blocks)) if sizes is None else sizes
     grid = pairs.selectExpr("pair_id", "h as fh", "w as fw").join(sizes, "pair_id").selectExpr(
         "*", "cast(ih div fh as int) as scale"
     )
