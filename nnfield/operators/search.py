@@ -144,20 +144,22 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
 
     ``pixels`` are pixel rows (image_id, h, w, y, x, v) or image rows (image_id, height, width,
     channels, data). Pairs whose images are missing, incomplete, of other shapes than stated or unlike each
-    other are left out and listed in ``violations``.
+    other, or that have other channels than the options, are left out and listed in ``violations``. Where no pair
+    at all has the channels of the options, that is an error.
     """
     spark = pairs.sparkSession
-    violations = cut_lineage(pair_violations(pairs, pixels))
+    counts = pairs.agg(F.collect_set("c")).first()[0]
+    if counts and options.channels not in counts:
+        raise ValueError(f"pairs have {sorted(counts)} channels, the options say {options.channels}")
+    violations = cut_lineage(pair_violations(pairs, pixels, options.channels))
     if not violations.isEmpty():
         pairs = pairs.join(violations, "pair_id", "left_anti")
     pairs = _weighted(pairs)
     large = f"greatest(h, w) > {options.whole_edge}"
     facts = pairs.selectExpr(
         f"max({large}) as any_large", f"min({large}) as all_large", "max(w_aux) as aux",
-        "min(c) as least_c", "max(c) as c", "sum(cast(h as bigint) * w * c) as total",
+        "sum(cast(h as bigint) * w * c) as total",
     ).first()
-    if facts["c"] is not None and not facts["c"] == facts["least_c"] == options.channels:
-        raise ValueError(f"pairs have {facts['least_c']}..{facts['c']} channels, the options say {options.channels}")
     features = ("main", "aux") if facts["aux"] else ("main",)
     partitions = partitions_for(spark, (facts["total"] or 0) * 2 * len(features))
     tile_partitions = partitions_for(spark, (facts["total"] or 0) * len(features) * LOOKUP_SALTS)

@@ -185,6 +185,17 @@ def test_identity_field_returns_the_image_and_wrong_channels_are_refused(spark):
         bind_pairs(pairs, pixels, SearchOptions(channels=3))
 
 
+def test_pairs_of_other_channels_are_named(spark):
+    grey, colour = random_images(2, 4, 5, 1), random_images(2, 4, 5, 3, seed=8)
+    pixels = spark.createDataFrame(image_rows({**grey, 2: colour[0], 3: colour[1]}), PIXELS)
+    pairs = spark.createDataFrame([(0, 0, None, 1, None, 4, 5, 1), (1, 2, None, 3, None, 4, 5, 3), (2, 2, None, 3, None, 4, 5, 1)], PAIRS)
+    for channels, searched, others in ((1, 0, {1: "other channels", 2: "unlike the pair"}), (3, 1, {0: "other channels", 2: "other channels"})):
+        options = SearchOptions(channels=channels)
+        bound = bind_pairs(pairs, pixels, options)
+        assert {r.pair_id: r.reason for r in bound.violations.collect()} == others
+        assert {r.pair_id for r in search_rounds(bound, options, 1).select("pair_id").distinct().collect()} == {searched}
+
+
 def test_draws_are_the_documented_hash(spark):
     def mix(pair, y, x, n, salt):
         value = sum(k * m for k, m in zip((pair, y, x, n, salt), draws.KEY_WEIGHTS)) & draws.MASK
