@@ -24,13 +24,16 @@ def descriptors(images: DataFrame) -> DataFrame:
     return seen.selectExpr("image_id", f"if({whole}, height, 0) as height", "width", "channels")
 
 
-def pair_violations(pairs: DataFrame, images: DataFrame) -> DataFrame:
-    """(pair_id, reason) of the pairs whose images are missing, incomplete, unlike each other or unlike the pair."""
+def pair_violations(pairs: DataFrame, images: DataFrame, channels: int | None = None) -> DataFrame:
+    """(pair_id, reason) of the pairs whose images are missing, incomplete, unlike each other or unlike the pair, or of
+    other ``channels`` than wanted."""
     held = descriptors(images)
     unlike = check_shapes(pairs, held).selectExpr("pair_id", "if(images < wanted, 'missing image', 'unequal shapes') as reason")
     stated = bind_roles(pairs, held, {"a": "a_img"}).join(pairs.select("pair_id", "h", "w", "c"), "pair_id").where(
         "not (height <=> h and width <=> w and channels <=> c) or height = 0"
     ).selectExpr("pair_id", "if(height = 0, 'incomplete image', 'unlike the pair') as reason")
+    if channels is not None:
+        stated = stated.unionByName(pairs.where(F.col("c") != channels).select("pair_id", F.lit("other channels").alias("reason")))
     return unlike.unionByName(stated).groupBy("pair_id").agg(F.min("reason").alias("reason"))
 
 
@@ -59,6 +62,38 @@ def check_shapes(pairs: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
+def frame_gaps(frames: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """(clip_id, frame_no, missing, unlike_ts): frames that some video (or mask) of a clip lacks, and frames of
+    a' whose mask has another time.
+
+    ``frames(clip_id, role, frame_no, ts, ..)``. ``missing`` names the roles, sorted and joined by commas. Equal counts
+    with unlike numbers show here. Two aggregations, whose partial results have one row per clip, role and frame.
+    """
+    roles = list(VIDEO_ROLES)
+    used = frames.where(F.col("role").isin(*VIDEO_ROLES)).select("clip_id", "role", "frame_no", "ts")
+    if masks is not None:
+        used = used.unionByName(masks.select("clip_id", F.lit("mask").alias("role"), "frame_no", "ts"))
+        roles.append("mask")
+    each = used.groupBy("clip_id", "role", "frame_no").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    at = lambda role, end: F.max(F.when(F.col("role") == role, F.col(end)))
+    unlike = ~(at("a_prime", "first").eqNullSafe(at("mask", "first")) & at("a_prime", "last").eqNullSafe(at("mask", "last")))
+    there = lambda role: F.max((F.col("role") == role).cast("int")) == 1
+    seen = each.groupBy("clip_id", "frame_no").agg(
+        F.concat_ws(",", *[F.when(~there(r), F.lit(r)) for r in sorted(roles)]).alias("missing"),
+        (there("a_prime") & there("mask") & unlike).alias("unlike_ts"),
+    )
+    return seen.where((F.col("missing") != "") | F.col("unlike_ts"))
+
+
+def clip_violations(frames: DataFrame, masks: DataFrame | None = None) -> DataFrame:
+    """(clip_id, frames, first_frame, missing): clips with gaps, how many frames have one, and what the first lacks;
+    ``ts`` where only the mask's time differs."""
+    gaps = frame_gaps(frames, masks).withColumn("what", F.when(F.col("missing") == "", F.lit("ts")).otherwise(F.col("missing")))
+    return gaps.groupBy("clip_id").agg(
+        F.count("*").cast("int").alias("frames"), F.min("frame_no").alias("first_frame"), F.min_by("what", "frame_no").alias("missing")
+    )
+
+
 def check_frame_counts(frames: DataFrame, masks: DataFrame | None = None) -> DataFrame:
     """Clips whose videos differ in their number of frames.
 

@@ -164,10 +164,13 @@ CLIP_PAIRS = """prs as materialized (
          img // 100 * 100 + 25 aa, img // 100 * 100 bb, 8 h, 8 w from px)"""
 
 
+_SEEN = """warped as (
+  select f.clip_id, f.frame_no, f.ts_ms, s.ay y, s.ax x, f.v from s{n} s
+    join fr f on f.clip_id = s.pair_id and f.role = 'a_prime' and f.y = s.by_ and f.x = s.bx_)"""
+
+
 def warp_ctes(count: int) -> list[str]:
-    return [IMAGES, CLIPS, CLIP_PAIRS, *rounds(count, double=True), f"""warped as (
-  select f.clip_id, f.frame_no, f.ts_ms, s.ay y, s.ax x, f.v from s{count} s
-    join fr f on f.clip_id = s.pair_id and f.role = 'a_prime' and f.y = s.by_ and f.x = s.bx_)"""]
+    return [IMAGES, CLIPS, CLIP_PAIRS, *rounds(count, double=True), _SEEN.format(n=count)]
 
 
 def window_average_sql(patch: int, border: str) -> str:
@@ -311,6 +314,16 @@ used as (select clip_id, role, frame_no from fr where not (role = 'mask' and cli
 per as (select clip_id, role, cast(count(distinct frame_no) as int) n from used group by all)
 select clip_id, cast(count(*) as int) roles, min(n) min_frames, max(n) max_frames from per
 group by clip_id having min(n) <> max(n) or count(*) < 4""",
+    "frame_gaps": f"""{with_(IMAGES, CLIPS)},
+used as (select distinct clip_id, role, case when role = 'mask' and clip_id % 2 = 1 then frame_no + 1 else frame_no end frame_no,
+           case when role = 'mask' and clip_id % 2 = 0 and frame_no = 7 then ts_ms + 1 else ts_ms end ts_ms from fr),
+per as (select clip_id, frame_no,
+          concat_ws(',', case when not bool_or(role = 'a') then 'a' end, case when not bool_or(role = 'a_prime') then 'a_prime' end,
+                    case when not bool_or(role = 'b') then 'b' end, case when not bool_or(role = 'mask') then 'mask' end) missing,
+          coalesce(max(ts_ms) filter (role = 'a_prime') <> max(ts_ms) filter (role = 'mask'), false) unlike_ts
+        from used group by all)
+select clip_id, cast(frame_no as int) frame_no, missing, unlike_ts from per where missing <> '' or unlike_ts""",
+    "frames_from_files_stream": f"{with_(IMAGES, CLIPS)}\nselect clip_id, role, frame_no, ts_ms, y, x, v from fr",
     "patches": f"""{with_(IMAGES)}
 select c.img image_id, c.y, c.x, cast((dy + 1) * 3 + dx + 1 as int) k, p.v
 from px c cross join range(-1, 2) oy(dy) cross join range(-1, 2) ox(dx)
@@ -347,6 +360,9 @@ select cast(pair_id as bigint) pair_id, ay, ax, by_ "by", bx_ bx, d from s2""",
     "window_average_edge_even": window_average_sql(4, "edge"),
     "window_average_reflect": window_average_sql(3, "reflect"),
     "window_average_reflect_even": window_average_sql(4, "reflect"),
+    "window_average_clip_15": window_average_sql(15, "clip"),
+    "window_average_edge_31": window_average_sql(31, "edge"),
+    "window_average_reflect_15": window_average_sql(15, "reflect"),
     "block_copy": _COPY,
     "upsample_field": f"""{_field_ctes('single', 1)},
 grid as (select pair_id, cast(ty as int) ay, cast(tx as int) ax from prs, range(21) a(ty), range(21) b(tx))
@@ -370,5 +386,6 @@ select pair_id, ay y, ax x, cast(floor(255 * (bx_ / w)) as int) r, 0 g, cast(flo
     "warp_stream_masked_long": _MASKED_LONG,
     "warp_new_videos_late_start": _MASKED,
     "warp_batch_masked": _MASKED,
+    "warp_batch_single": f"{with_(IMAGES, CLIPS, CLIP_PAIRS, *rounds(2, double=False), _SEEN.format(n=2))}\n{_WARPED}",
     "field_with_violations": _VIOLATIONS,
 }

@@ -23,13 +23,13 @@ from nnfield.operators.search import (
     score_candidates,
     search_rounds,
 )
-from nnfield.operators.validate import check_frame_counts as frame_counts, check_shapes as shapes
+from nnfield.operators.validate import check_frame_counts as frame_counts, check_shapes as shapes, frame_gaps as gaps_of
 from nnfield.plans.analogy import analogy
 from nnfield.plans.video import warp_video
 from nnfield.session import scratch_path
 from nnfield.sources.fields import read_field, write_field
 from nnfield.sources.files import write_png
-from nnfield.sources.frames import MASK_SCHEMA, stream_frames, stream_to_files, write_frames
+from nnfield.sources.frames import MASK_SCHEMA, frame_files_to_table, scan_frames, stream_frame_files, stream_frames, stream_to_files, write_frames
 from nnfield.sources.images import assemble_images, explode_pixels, read_images, scan_images, write_images
 from nnfield.streaming import video as streams
 
@@ -126,6 +126,14 @@ def check_frame_counts(spark, sf_dir):
     return frame_counts(clips, short)
 
 
+def frame_gaps(spark, sf_dir):
+    """Masks of every second clip one frame late: as many as frames, but not the same ones; others with a later time."""
+    clips = fx.clip_frames(spark, sf_dir)
+    moved = fx.masks(clips).withColumn("frame_no", F.expr("if(clip_id % 2 = 1, frame_no + 1, frame_no)")).withColumn(
+        "ts", F.expr("if(clip_id % 2 = 0 and frame_no = 7, ts + interval 1 millisecond, ts)"))
+    return gaps_of(clips, moved)
+
+
 def patches(spark, sf_dir):
     cut = cut_patches(fx.embedding_images(spark, sf_dir), ["image_id"], 3)
     return cut.select("image_id", "y", "x", F.posexplode("pv").alias("k", "e")).select(
@@ -339,6 +347,18 @@ def frames(spark, sf_dir):
     )
 
 
+def frames_from_files_stream(spark, sf_dir):
+    """Frames as PNG files, read as a stream into a frame table."""
+    path, table = scratch_path(spark, "frame-files"), scratch_path(spark, "frame-table")
+    role = "element_at(array('a', 'b', 'a_prime', 'mask'), cast(image_id div 25 % 4 + 1 as int))"
+    write_png(fx.embedding_images(spark, sf_dir).selectExpr(
+        f"concat(image_id div 100, '-', {role}, '-', image_id % 25) as frame", "height", "width", "channels", "data"), path, "frame")
+    files = stream_frame_files(spark, path, files_per_trigger=100_000)
+    frame_files_to_table(files, table, scratch_path(spark, "rejected"), scratch_path(spark, "checkpoint"), fx.FRAME_MILLIS, fx.START).awaitTermination()
+    return scan_frames(spark, table).select(
+        "clip_id", "role", "frame_no", F.unix_millis("ts").alias("ts_ms"), "y", "x", F.col("v")[0].alias("v"))
+
+
 def _clip_files(spark, sf_dir):
     path = scratch_path(spark, "frames")
     write_frames(fx.clip_frames(spark, sf_dir), path)
@@ -424,6 +444,11 @@ def warp_batch_masked(spark, sf_dir):
     return _with_millis(warp_video(clips, OPTIONS, 2, fx.masks(clips)).frames)
 
 
+def warp_batch_single(spark, sf_dir):
+    """Frames seen through a field that compares one image each."""
+    return _with_millis(warp_video(fx.clip_frames(spark, sf_dir), OPTIONS, 2, mode="single").frames)
+
+
 def field_with_violations(spark, sf_dir):
     """Images of which some have lost a line and some are missing: their pairs are named, the others searched."""
     pairs = fx.pairs(spark, sf_dir, "double")
@@ -449,6 +474,8 @@ QUERIES = {
     "resize_bilinear_down": resize_down,
     "check_shapes": check_shapes,
     "check_frame_counts": check_frame_counts,
+    "frame_gaps": frame_gaps,
+    "frames_from_files_stream": frames_from_files_stream,
     "patches": patches,
     "radius_schedule": radius_schedule_query,
     "field_init": field_init,
@@ -473,6 +500,9 @@ QUERIES = {
     "window_average_edge_even": _average(4, "edge"),
     "window_average_reflect": _average(3, "reflect"),
     "window_average_reflect_even": _average(4, "reflect"),
+    "window_average_clip_15": _average(15, "clip"),
+    "window_average_edge_31": _average(31, "edge"),
+    "window_average_reflect_15": _average(15, "reflect"),
     "block_copy": block_copy_query,
     "upsample_field": upsample_field_query,
     "visualize": visualize_query,
@@ -493,4 +523,5 @@ QUERIES = {
     "warp_new_videos_late_start": warp_new_videos_late_start,
     "field_with_violations": field_with_violations,
     "warp_batch_masked": warp_batch_masked,
+    "warp_batch_single": warp_batch_single,
 }

@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from nnfield.sources.images import explode_pixels
+
 FRAME_SCHEMA = (
     "clip_id BIGINT, role STRING, frame_no INT, ts TIMESTAMP, h INT, w INT, y INT, x INT, v ARRAY<INT>"
 )
+FRAME_ROLES = ("a", "b", "a_prime", "mask")
+# The end of a frame file's path: clip, role, frame number.
+FRAME_PATH = r"(\d+)[-/](a|b|a_prime|mask)[-/](\d+)\.\w+$"
+# The columns of Spark's image source.
+_IMAGE_SCHEMA = "image STRUCT<origin: STRING, height: INT, width: INT, nChannels: INT, mode: INT, data: BINARY>"
 MASK_SCHEMA = "clip_id BIGINT, frame_no INT, ts TIMESTAMP, y INT, x INT, m ARRAY<INT>"
 
 
@@ -23,6 +30,50 @@ def stream_frames(
     return reader.parquet(path)
 
 
+def stream_frame_files(
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, pattern: str = FRAME_PATH
+) -> DataFrame:
+    """Image files below ``path`` as they arrive: (path, clip_id, role, frame_no, height, width, channels, data, reason).
+
+    Clip, role and frame number are the groups of ``pattern`` in the path. ``reason`` names why a file is no
+    frame: no image, or a path that says nothing; else it is null. Pixels have the decoder's channel order.
+    """
+    reader = spark.readStream.schema(_IMAGE_SCHEMA).option("dropInvalid", "false").option("recursiveFileLookup", "true")
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    files = reader.format("image").load(path)
+    part = lambda k: F.regexp_extract("image.origin", pattern, k)
+    named = files.select(
+        F.col("image.origin").alias("path"), part(1).try_cast("bigint").alias("clip_id"), part(2).alias("role"), part(3).try_cast("int").alias("frame_no"),
+        F.col("image.height").alias("height"), F.col("image.width").alias("width"),
+        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
+    )
+    known = F.col("clip_id").isNotNull() & F.col("frame_no").isNotNull() & F.col("role").isin(*FRAME_ROLES)
+    reason = F.when(~F.coalesce(known, F.lit(False)), "unknown path").when(F.coalesce(F.col("height"), F.lit(0)) <= 0, "not an image")
+    return named.withColumn("reason", reason)
+
+
+def frame_pixels(files: DataFrame, frame_millis: int, start: str = "1970-01-01 00:00:00") -> DataFrame:
+    """Frame rows (``FRAME_SCHEMA``) of the files that are frames; frame n is ``frame_millis`` * n after ``start`` (UTC)."""
+    at = f"timestamp_millis(unix_millis(timestamp'{start} UTC') + {frame_millis} * cast(frame_no as bigint))"
+    keyed = files.where("reason is null").selectExpr("clip_id", "role", "frame_no", f"{at} as ts", "height", "width", "channels", "data")
+    return explode_pixels(keyed, ["clip_id", "role", "frame_no", "ts"])
+
+
+def frame_files_to_table(files: DataFrame, path: str, rejected: str, checkpoint: str, frame_millis: int, start: str = "1970-01-01 00:00:00"):
+    """Append a stream of files to a frame table at ``path`` and what is no frame to ``rejected(path, reason)``.
+
+    A micro-batch that runs again replaces what it wrote. All available files, then stop.
+    """
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        frame_pixels(batch, frame_millis, start).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.where("reason is not null").select("path", "reason").write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
+
+    writer = files.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
 def write_frames(frames: DataFrame, path: str, clip: str = "clip_id", frames_per_file: int = 64,
                  rows_per_file: int = 256) -> None:
     """Frames in order within each file, for one role, ``frames_per_file`` frames and a band of pixel rows."""

@@ -11,23 +11,29 @@ from nnfield.session import cut_lineage
 from nnfield.sources.fields import read_field, write_field
 
 
-def frame_pairs(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs and pixels to match frame 0 of b onto frame 0 of a, one pair per clip."""
+def frame_pairs(clips: DataFrame, mode: str = "double") -> tuple[DataFrame, DataFrame]:
+    """Pairs and pixels to match frame 0 of b onto frame 0 of a, one pair per clip.
+
+    ``double`` compares each image a second time as its own partner, ``single`` has no second images.
+    """
+    if mode not in ("single", "double"):
+        raise ValueError(f"mode {mode}")
+    second = (lambda image: image) if mode == "double" else (lambda image: "cast(null as bigint)")
     first = clips.where("frame_no = 0 and role in ('a', 'b')")
     pixels = first.selectExpr("clip_id * 2 + if(role = 'a', 0, 1) as image_id", "h", "w", "y", "x", "v")
     pairs = first.where("role = 'b'").groupBy("clip_id").agg(
         F.max("h").alias("h"), F.max("w").alias("w"), F.max(F.size("v")).alias("c")
     )
     pairs = pairs.selectExpr(
-        "clip_id as pair_id", "clip_id * 2 + 1 as a_img", "clip_id * 2 + 1 as aa_img",
-        "clip_id * 2 as b_img", "clip_id * 2 as bb_img", "h", "w", "c",
+        "clip_id as pair_id", "clip_id * 2 + 1 as a_img", f"{second('clip_id * 2 + 1')} as aa_img",
+        "clip_id * 2 as b_img", f"{second('clip_id * 2')} as bb_img", "h", "w", "c",
     )
     return pairs, pixels
 
 
-def clip_field(clips: DataFrame, options: SearchOptions, rounds: int) -> DataFrame:
+def clip_field(clips: DataFrame, options: SearchOptions, rounds: int, mode: str = "double") -> DataFrame:
     """Field of frame 0 of every clip: ``pair_id`` is the clip."""
-    pairs, pixels = frame_pairs(clips)
+    pairs, pixels = frame_pairs(clips, mode)
     return search_rounds(bind_pairs(pairs, pixels, options), options, rounds)
 
 
@@ -57,6 +63,15 @@ def join_masks(warped: DataFrame, masks: DataFrame) -> DataFrame:
     return warped.join(masks, FRAME_KEYS)
 
 
+def unmet_pixels(warped: DataFrame, masks: DataFrame) -> DataFrame:
+    """(clip_id, frame_no, ts, no_mask, no_frame): how many pixels ``join_masks`` leaves out, per frame that has some."""
+    sides = warped.select(*FRAME_KEYS, F.lit(1).alias("side")).unionByName(masks.select(*FRAME_KEYS, F.lit(2).alias("side")))
+    met = sides.groupBy(*FRAME_KEYS).agg(F.min("side").alias("low"), F.max("side").alias("high")).where("low = high")
+    return met.groupBy("clip_id", "frame_no", "ts").agg(
+        F.count_if(F.col("low") == 1).alias("no_mask"), F.count_if(F.col("low") == 2).alias("no_frame")
+    )
+
+
 def blend_frames(warped: DataFrame, masks: DataFrame, base: DataFrame,
                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """mask * warped + (1 - mask) * base: ``(clip_id, frame_no, ts, y, x, v ARRAY<DOUBLE>)``."""
@@ -145,7 +160,7 @@ def _registered(spark: SparkSession, path: str, before: int) -> DataFrame:
 
 
 def warp_new_videos(frames: DataFrame, store: str, out_path: str, checkpoint: str, options: SearchOptions,
-                    rounds: int, masks: DataFrame | None = None):
+                    rounds: int, masks: DataFrame | None = None, mode: str = "double"):
     """Stream of clips in any order: a clip is matched once frame 0 of a and b (with masks also of a') is
     complete, its frames wait until then, and masked frames wait for their mask. All rows come out.
 
@@ -167,7 +182,7 @@ def warp_new_videos(frames: DataFrame, store: str, out_path: str, checkpoint: st
             known = _registered(spark, store, batch_id)
             fresh = cut_lineage(_whole_first_frames(rows.where("role in ('a', 'b', 'a_prime')"), roles).join(known, "clip_id", "left_anti"))
             if not fresh.isEmpty():
-                found = clip_field(rows.join(fresh, "clip_id", "left_semi"), options, rounds)
+                found = clip_field(rows.join(fresh, "clip_id", "left_semi"), options, rounds, mode)
                 write_field(found, f"{store}/fields/batch={batch_id}")
                 if masks is not None:
                     write_field(base_frame(rows.join(fresh, "clip_id", "left_semi")).selectExpr(

@@ -7,7 +7,7 @@ from nnfield.functions.coords import clamp_radius, radius_schedule
 from nnfield.operators.apply import block_copy, gather, pair_blocks, upsample_field, visualize, window_average
 from nnfield.operators.patches import patches
 from nnfield.operators.resize import resize_bilinear
-from nnfield.operators.validate import check_frame_counts, check_shapes
+from nnfield.operators.validate import check_frame_counts, check_shapes, clip_violations, frame_gaps
 
 # the hand-made image for border rules
 RAMP = (np.arange(35).reshape(5, 7, 1) * 7) % 256
@@ -53,6 +53,24 @@ def test_window_average_of_three_channels(spark):
         assert np.allclose(r.v, part.mean(axis=0))
 
 
+@pytest.mark.parametrize("edge", [64, 4])
+@pytest.mark.parametrize("patch_size", [8, 15, 31])
+def test_wide_windows_of_several_channel_counts(spark, patch_size, edge):
+    """Grey and RGB have code of their own, other counts the general one; blocks are narrower than the window."""
+    low, high = patch_size // 2, patch_size - 1 - patch_size // 2
+    images = {c: random_images(1, 9, 11, c, seed=c)[0] for c in (1, 2, 3)}
+    seen = spark.createDataFrame(image_rows(images), PIXELS).withColumnRenamed("image_id", "pair_id")
+    for border in ("clip", "edge"):
+        got = {(r.pair_id, r.y, r.x): r.v for r in window_average(seen, patch_size, border, edge=edge).collect()}
+        assert len(got) == 3 * 9 * 11
+        for c, image in images.items():
+            pad = np.pad(image, ((low, high), (low, high), (0, 0)), mode="edge")
+            for y, x in ((0, 0), (4, 5), (8, 10), (0, 7), (8, 1)):
+                part = image[max(0, y - low):y + low + 1, max(0, x - low):x + low + 1]
+                part = part if border == "clip" else pad[y:y + patch_size, x:x + patch_size]
+                assert np.allclose(got[c, y, x], part.reshape(-1, c).mean(axis=0)), (border, c, y, x)
+
+
 def test_reflection_beyond_a_very_small_image(spark):
     image = np.array([[[1], [5]]])
     seen = spark.createDataFrame(image_rows({0: image}), PIXELS).withColumnRenamed("image_id", "pair_id")
@@ -163,3 +181,18 @@ def test_shape_and_frame_violations(spark):
     assert check_frame_counts(clips).isEmpty()
     assert [r.clip_id for r in check_frame_counts(clips, masks).collect()] == [1]
     assert [r.clip_id for r in check_frame_counts(clips.where("clip_id = 0 or role <> 'b'")).collect()] == [1]
+
+
+def test_frame_sets_not_only_counts_are_compared(spark):
+    import datetime as dt
+
+    ts = lambda n: dt.datetime(2024, 1, 1, 0, 0, n)
+    rows = [(c, role, n, ts(n)) for c in range(4) for role in ("a", "b", "a_prime") for n in range(4)]
+    clips = spark.createDataFrame(rows, "clip_id BIGINT, role STRING, frame_no INT, ts TIMESTAMP")
+    masks = [(c, n + (c == 1), ts(n + (c == 1) + 9 * (c == 2 and n == 3))) for c in range(4) for n in range(4)]
+    masks = spark.createDataFrame(masks, "clip_id BIGINT, frame_no INT, ts TIMESTAMP")
+    assert check_frame_counts(clips, masks).isEmpty()
+    got = {(r.clip_id, r.frame_no): (r.missing, r.unlike_ts) for r in frame_gaps(clips, masks).collect()}
+    assert got == {(1, 0): ("mask", False), (1, 4): ("a,a_prime,b", False), (2, 3): ("", True)}
+    assert {tuple(r) for r in clip_violations(clips, masks).collect()} == {(1, 2, 0, "mask"), (2, 1, 3, "ts")}
+    assert frame_gaps(clips).isEmpty() and frame_gaps(clips.limit(0), masks.limit(0)).isEmpty()

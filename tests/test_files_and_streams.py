@@ -9,7 +9,7 @@ from nnfield.operators.search import SearchOptions, bind_pairs, search_rounds
 from nnfield.sources.files import encode_png
 from nnfield.plans.video import warp_video
 from nnfield.sources.fields import read_field, write_field
-from nnfield.sources.frames import MASK_SCHEMA, scan_frames, stream_frames, write_frames
+from nnfield.sources.frames import MASK_SCHEMA, frame_files_to_table, scan_frames, stream_frame_files, stream_frames, write_frames
 from nnfield.sources.images import assemble_images, byte_values, explode_pixels, scan_images
 from nnfield.streaming.video import (
     base_frame,
@@ -110,6 +110,52 @@ def test_video_names_clips_of_unequal_length(spark, sf_dir):
     assert {r.clip_id for r in warped.frames.select("clip_id").distinct().collect()} == {0, 2}
 
 
+def test_pixels_without_a_mask_are_named(spark, sf_dir):
+    clips = fx.clip_frames(spark, sf_dir).where("clip_id < 2 and frame_no < 3")
+    masks = fx.masks(clips)
+    made = warp_video(clips, SearchOptions(), 0, masks.where("not (clip_id = 1 and frame_no = 2 and y = 3)"))
+    assert made.violations.isEmpty()
+    assert [(r.clip_id, r.frame_no, r.no_mask, r.no_frame) for r in made.unmet.collect()] == [(1, 2, 8, 0)]
+    assert made.frames.count() == 2 * 3 * 64 - 8
+    moved = masks.withColumn("frame_no", F.expr("if(clip_id = 1, frame_no + 1, frame_no)"))
+    late = warp_video(clips, SearchOptions(), 0, moved)
+    assert [(r.clip_id, r.missing) for r in late.violations.collect()] == [(1, "mask")]
+    assert late.unmet.isEmpty() and late.frames.select("clip_id").distinct().count() == 1
+
+
+def test_single_mode_halves_the_distance_of_a_clip(spark, sf_dir):
+    clips = fx.clip_frames(spark, sf_dir).where("clip_id = 0 and frame_no = 0")
+    both = {m: {(r.ay, r.ax): (r.by, r.bx, r.d) for r in clip_field(clips, SearchOptions(), 1, m).collect()} for m in ("single", "double")}
+    assert {k: (y, x, 2 * d) for k, (y, x, d) in both["single"].items()} == both["double"]
+
+
+def test_frame_files_arrive_as_a_stream(spark, tmp_path):
+    draw = np.random.default_rng(3)
+    pictures = {(c, role, n): draw.integers(0, 256, (2, 3, 3)) for c in (4, 5) for role in ("a", "mask") for n in (0, 11)}
+    folder = tmp_path / "files"
+    for (c, role, n), picture in list(pictures.items())[:5]:
+        (folder / str(c) / role).mkdir(parents=True, exist_ok=True)
+        (folder / str(c) / role / f"{n:04d}.png").write_bytes(encode_png(picture))
+    (folder / "4" / "a" / "0007.png").write_bytes(b"no image")
+    (folder / "cover.png").write_bytes(encode_png(draw.integers(0, 256, (2, 2, 3))))
+
+    def arrive():
+        table, rejected, checkpoint = (str(tmp_path / n) for n in ("table", "rejected", "checkpoint"))
+        frame_files_to_table(stream_frame_files(spark, str(folder), 2), table, rejected, checkpoint, 40).awaitTermination()
+        rows = scan_frames(spark, table).select("*", F.unix_millis("ts").alias("ms")).collect()
+        got = {(r.clip_id, r.role, r.frame_no, r.y, r.x): r.v[::-1] for r in rows}
+        assert len(got) == len(rows) and all(r.ms == 40 * r.frame_no for r in rows)
+        return got, sorted((r.path.rsplit("/", 1)[1], r.reason) for r in spark.read.parquet(rejected).collect())
+
+    pixels = lambda some: {(*k, y, x): p[y, x].tolist() for k, p in some for y in range(2) for x in range(3)}
+    bad = [("0007.png", "not an image"), ("cover.png", "unknown path")]
+    assert arrive() == (pixels(list(pictures.items())[:5]), bad)
+    for (c, role, n), picture in list(pictures.items())[5:]:
+        (folder / str(c) / role).mkdir(parents=True, exist_ok=True)
+        (folder / str(c) / role / f"{n:04d}.png").write_bytes(encode_png(picture))
+    assert arrive() == (pixels(pictures.items()), bad)
+
+
 def test_fields_are_read_by_bucket(spark, sf_dir, tmp_path):
     write_field(clip_field(fx.clip_frames(spark, sf_dir).where("frame_no = 0"), SearchOptions(), 0), str(tmp_path / "f"))
     some = read_field(spark, str(tmp_path / "f"), spark.createDataFrame([(1,), (3,)], "pair_id BIGINT"))
