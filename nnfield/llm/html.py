@@ -12,7 +12,8 @@ on every page of the host that names no article.
 
 Inside a block white space is one space; blocks are joined by two line ends in page order; character references are
 decoded. ``header`` counts as a page header only outside the chosen container. Nulls: a null page is empty, a null url has
-the empty host. A page without text gives the empty string. Repeated rows are extracted once each.
+the empty host. A page without text gives the empty string. Repeated rows are extracted once each. Pages of any length,
+nesting and number of unclosed tags are read forward once; a < that opens no tag is text. Extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ from nnfield.llm.common import batches
 from nnfield.session import cut_lineage
 
 SHARE = 0.8
-DEPTH = 40
 
 # Elements by their part in a page.
 CONTAINERS = frozenset("html body main article section div td table tbody tr center fieldset details figure".split())
@@ -48,41 +48,106 @@ STRONG = frozenset("comment comments commentlist consent cookie cookies disqus g
 PARTS = frozenset("area banner body box list section thread wrapper".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-_TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|xmp)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>""", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[\"'>]")
+_RAW = re.compile(r"(script|style|textarea|xmp)\b", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "xmp")}
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"\d+")
 
 
+def _tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag name or None, is an end tag, attributes) of the markup, in one pass forward.
+
+    A tag ends at the first > outside quotes; a < from which none is reached is text. A failed search is remembered by the
+    quotes it opened: a later one that opens the same quote fails alike, so no part is read more than a few times.
+    """
+    dead: set[int] = set()
+    known = -1  # the first quote or > from any place since the last search; len(html) if there is none
+    closing = html.find(">")  # the first > from any place since the last search; -1 if there is none
+    at = html.find("<")
+    while at >= 0:
+        follow = html[at + 1 : at + 2]
+        if follow and follow in "!?":
+            if html.startswith("<!--", at):
+                end = html.find("-->", at + 4)
+                end = len(html) if end < 0 else end + 3
+            else:
+                if 0 <= closing < at:
+                    closing = html.find(">", at)
+                end = closing + 1
+            if end > 0:
+                yield at, end, None, False, ""
+        else:
+            raw, end = _RAW.match(html, at + 1), 0
+            name = None if raw else _NAME.match(html, at + 2 if follow == "/" else at + 1)
+            if raw:
+                if 0 <= closing < at:
+                    closing = html.find(">", at)
+                if closing >= 0:
+                    found = _RAW_END[raw.group(1).lower()].search(html, closing + 1)
+                    end = found.end() if found else len(html)
+                    yield at, end, None, False, ""
+            elif name:
+                opened = []
+                if known < name.end():
+                    stop = _STOP.search(html, name.end())
+                    known = stop.start() if stop else len(html)
+                place = known
+                while place < len(html) and html[place] != ">" and place not in dead:
+                    opened.append(place)
+                    shut = html.find(html[place], place + 1)
+                    stop = _STOP.search(html, shut + 1) if shut >= 0 else None
+                    place = stop.start() if stop else len(html)
+                if place < len(html) and html[place] == ">":
+                    end = place + 1
+                    yield at, end, name.group().lower(), follow == "/", html[name.end() : place]
+                else:
+                    dead.update(opened)
+        at = html.find("<", max(end, at + 1))
+
+
+def _key(path: str) -> int:
+    """The hash of a path: that of its parent's and its own last part, so that paths of any depth are told apart."""
+    key = 0
+    for label in path.split("/")[1:]:
+        key = _step(key, label)
+    return key
+
+
+def _step(parent: int, label: str) -> int:
+    return _hash(f"{parent}/{label}")
+
+
 class Page:
-    """Containers [path, parent, tag, mark] and blocks [container, text, link characters] in page order.
+    """Containers [hash of the path, parent, tag, mark] and blocks [container, text, link characters] in page order.
 
     Text in parts marked as noise by name or form is kept with its mark until the whole page is read.
     """
 
     def __init__(self, html: str | None) -> None:
-        self.elements: list[tuple[str, int, str, int]] = [("", -1, "", 0)]
+        self.elements: list[tuple[int, int, str, int]] = [(0, -1, "", 0)]
+        self._labels, self._depths = [""], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.marks: list[tuple[int, bool]] = [(-1, False)]  # mark around it, strong
         self._stack: list[tuple[str, int, bool, bool, int]] = [("", 0, False, True, 0)]  # tag, container, never text, is a block, mark
+        self._blocks = [0]  # places of the blocks on the stack
+        self._open: dict[str, int] = {}
         self._pieces: list[tuple[int, str, bool]] = []  # mark, text, in a link
         self._raw: list[tuple[int, list[tuple[int, str, bool]]]] = []
         self._link = False
         html = html or ""
         at = 0
-        for token in _TOKEN.finditer(html):
-            if token.start() > at:
-                self._text(html[at : token.start()])
-            at = token.end()
-            name = token.group(3)
-            if name is None:
-                continue
-            if token.group(2):
-                self._end(name.lower())
-            else:
-                self._start(name.lower(), token.group(4))
+        for start, end, name, closes, attributes in _tokens(html):
+            if start > at:
+                self._text(html[at:start])
+            at = end
+            if name is not None:
+                if closes:
+                    self._end(name)
+                else:
+                    self._start(name, attributes)
         if at < len(html):
             self._text(html[at:])
         self._flush()
@@ -130,21 +195,20 @@ class Page:
                 weight[self.elements[k][1]] += weight[k]
         # A part with most of the page's text isn't noise by its name.
         holds = [k > 0 and (self.marks[k][1] or 2 * chars[k] <= chars[0]) for k in range(n)]
-        articles = []
-        for k, (_, _, tag, mark) in enumerate(self.elements):
-            if tag in ("article", "main") and weight[k] > 0:
-                around = []
-                while mark > 0:
-                    around += [mark] if holds[mark] else []
-                    mark = self.marks[mark][0]
-                if not any(self.marks[m][1] for m in around):
-                    articles.append((-len(around), weight[k], around))
+        held, strong = [0] * n, [False] * n  # marks that hold around each one, itself included
+        for k in range(1, n):
+            held[k] = held[self.marks[k][0]] + holds[k]
+            strong[k] = strong[self.marks[k][0]] or (holds[k] and self.marks[k][1])
+        articles = [
+            (-held[mark], weight[k], -k) for k, (_, _, tag, mark) in enumerate(self.elements)
+            if tag in ("article", "main") and weight[k] > 0 and not strong[mark]
+        ]
         # Nor is one around the article, if no article stands outside.
         if articles:
-            around = max(articles, key=lambda a: a[:2])[2]
-            self.rescued = bool(around)
-            for mark in around:
-                holds[mark] = False
+            mark = self.elements[-max(articles)[2]][3]
+            self.rescued = held[mark] > 0
+            while mark > 0:
+                holds[mark], mark = False, self.marks[mark][0]
         self._spread(holds)
         if not any(not self.noisy[m] and text.strip() for _, pieces in self._raw for m, text, _ in pieces):
             self._spread([False] * n)
@@ -156,6 +220,10 @@ class Page:
     def _pop_to(self, k: int) -> None:
         if any(s[3] for s in self._stack[k:]):
             self._flush()
+        for tag, *_ in self._stack[k:]:
+            self._open[tag] -= 1
+        while self._blocks[-1] >= k:
+            self._blocks.pop()
         del self._stack[k:]
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -187,36 +255,36 @@ class Page:
             self.marks.append((mark, strong))
             mark = len(self.marks) - 1
         if not never and (tag in CONTAINERS or tag == "header"):
-            path, parent = self.elements[container][0], container
             label = ".".join((tag, *classes))
-            if path.count("/") < DEPTH:
-                path = f"{path}/{label}"
-            self.elements.append((path, parent, tag, mark))
+            self.elements.append((_step(self.elements[container][0], label), container, tag, mark))
+            self._labels.append(label)
+            self._depths.append(self._depths[container] + 1)
             container = len(self.elements) - 1
+        if block:
+            self._blocks.append(len(self._stack))
+        self._open[tag] = self._open.get(tag, 0) + 1
         self._stack.append((tag, container, never, block, mark))
 
     def _close_open(self, tag: str) -> None:
         """End tags that may be left out."""
         ends = ("p", *CLOSES.get(tag, ()))
-        for k in range(len(self._stack) - 1, 0, -1):
-            open_tag = self._stack[k][0]
-            if open_tag in ends:
-                self._pop_to(k)
-                if open_tag == "p" and len(ends) > 1:
-                    continue
-                return
-            if open_tag in BLOCKS:
+        while len(self._blocks) > 1 and self._stack[self._blocks[-1]][0] in ends:
+            open_tag = self._stack[self._blocks[-1]][0]
+            self._pop_to(self._blocks[-1])
+            if open_tag != "p" or len(ends) == 1:
                 return
 
     def _end(self, tag: str) -> None:
         if tag == "a":
             self._link = False
+        if not self._open.get(tag):
+            return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == tag:
                 self._pop_to(k)
                 return
 
-    def _main(self, templates: frozenset[str] = frozenset()) -> tuple[int, float, int]:
+    def _main(self, templates: frozenset[int] = frozenset()) -> tuple[int, float, int]:
         """The page's own container, its score, and the container within it whose lists of links belong to the text."""
         own, plain = [0.0] * len(self.elements), [0.0] * len(self.elements)
         for container, text, linked in self.blocks:
@@ -253,21 +321,33 @@ class Page:
     def choice(self) -> tuple[str, float]:
         """Path and score of the page's own container."""
         at, score, _ = self._main()
-        return self.elements[at][0], score
+        return self._path(at), score
+
+    def vote(self) -> tuple[int, int, float]:
+        """Hash of the path, depth and score of the page's own container."""
+        at, score, _ = self._main()
+        return self.elements[at][0], self._depths[at], score
+
+    def _path(self, at: int) -> str:
+        labels = []
+        while at > 0:
+            labels.append(self._labels[at])
+            at = self.elements[at][1]
+        return "".join(f"/{label}" for label in reversed(labels))
 
-    def repeats(self) -> list[tuple[str, int, int]]:
-        """Path, hash of its text and of the page's text for every container with text of its own, if nothing is named as the
+    def repeats(self) -> list[tuple[int, int, int, int]]:
+        """Path, its depth, hash of its text and of the page's text for every container with text of its own, if nothing is named as the
         article. A text that is more than a small part of the page never counts as repeated: it has the page's hash."""
         at = self._main()[0]
         if self.elements[at][2] in ("article", "main"):
             return []
-        texts: dict[str, list[str]] = {}
+        texts: dict[tuple[int, int], list[str]] = {}
         for container, text, _ in self.blocks:
-            texts.setdefault(self.elements[container][0], []).append(text)
+            texts.setdefault((self.elements[container][0], self._depths[container]), []).append(text)
         page, size = _hash("\n".join(t for _, t, _ in self.blocks)), sum(len(t) for _, t, _ in self.blocks)
-        return [(p, _hash("\n".join(t)) if sum(map(len, t)) < (1 - SHARE) * size else page, page) for p, t in texts.items()]
+        return [(*p, _hash("\n".join(t)) if sum(map(len, t)) < (1 - SHARE) * size else page, page) for p, t in texts.items()]
 
-    def _kept(self, path: str, templates: frozenset[str] = frozenset()) -> list[int] | None:
+    def _kept(self, path: int, templates: frozenset[int] = frozenset()) -> list[int] | None:
         """Blocks in the containers of a path; None if there is none."""
         inside, headed = [False] * len(self.elements), [False] * len(self.elements)
         cored = [False] * len(self.elements)
@@ -287,23 +367,22 @@ class Page:
 
     def text(self, path: str) -> str | None:
         """Text of the blocks in the containers of a path; None if there is none."""
-        kept = self._kept(path)
+        kept = self._kept(_key(path))
         return None if kept is None else "\n\n".join(self.blocks[i][1] for i in kept)
 
-    def extract(self, winner: str | None, templates: frozenset[str]) -> tuple[str, str]:
+    def extract(self, winner: int | None, templates: frozenset[int]) -> tuple[str, str]:
         """Text and path: the host's path where it covers the page's own main text, else the page's own."""
         at = self._main(templates)[0]
         if templates and self.elements[at][2] in ("article", "main"):
             return self.extract(winner, frozenset())
-        path = self.elements[at][0]
-        own = self._kept(path, templates) or []
+        own = self._kept(self.elements[at][0], templates) or []
         if not own and templates:
             return self.extract(winner, frozenset())
         if winner:
             kept = self._kept(winner, templates)
             if kept and set(own) <= set(kept):
-                path, own = winner, kept
-        return "\n\n".join(self.blocks[i][1] for i in own), path
+                at, own = next(k for k, e in enumerate(self.elements) if e[0] == winner), kept
+        return "\n\n".join(self.blocks[i][1] for i in own), self._path(at)
 
 
 def _hash(text: str) -> int:
@@ -336,11 +415,11 @@ def _named(attributes: str) -> tuple[bool, bool, bool, tuple[str, ...]]:
         noise = noise or any(map(_is_noise, tokens))
         strong = strong or noise and any(map(_is_strong, tokens))
         if name == "class":
-            classes = tuple(sorted({_NUMBER.sub("#", c) for c in value.lower().replace("/", " ").split()}))[:3]
+            classes = tuple(sorted({_NUMBER.sub("#", c) for c in value.lower().replace("/", " ").split()}))
     return hidden, noise, strong, classes
 
 
-_VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("part", pa.int64()), ("page", pa.int64()), ("weight", pa.float64())])
+_VOTES = pa.schema([("host", pa.string()), ("path", pa.int64()), ("depth", pa.int32()), ("part", pa.int64()), ("page", pa.int64()), ("weight", pa.float64())])
 _TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("path", pa.string())])
 
 
@@ -350,28 +429,29 @@ def _hosted(pages: DataFrame) -> DataFrame:
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """host, path, votes, templates: the winning path of each host, ties to the longer, then the greater path; and the paths
-    of small parts that say the same on most of its different pages, three at least."""
+    """host, path, votes, templates: the winning path of each host, ties to the deeper, then the greater hash; and the paths
+    of small parts that say the same on most of its different pages, three at least. Paths are their hashes."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for part in parts:
-                tally: dict[tuple[str, str], float] = {}
+                tally: dict[tuple[str, int, int], float] = {}
                 for html, host in zip(part.column(0), part.column(1).to_pylist()):
                     page = Page(html.as_py())
-                    path, score = page.choice()
+                    path, depth, score = page.vote()
                     if score > 0:
-                        tally[host, path] = tally.get((host, path), 0.0) + score
-                        yield from ((host, p, h, whole, 0.0) for p, h, whole in page.repeats())
-                yield from ((h, p, None, None, w) for (h, p), w in tally.items())
+                        tally[host, path, depth] = tally.get((host, path, depth), 0.0) + score
+                        yield from ((host, p, d, h, whole, 0.0) for p, d, h, whole in page.repeats())
+                yield from ((h, p, d, None, None, w) for (h, p, d), w in tally.items())
 
         return batches(rows(), _VOTES)
 
-    votes = _hosted(pages).select("html", "host").mapInArrow(run, "host string, path string, part long, page long, weight double")
-    once = votes.groupBy("host", "path", "part", "page").agg(F.sum("weight").alias("votes"))
-    said = once.groupBy("host", "path", "part").agg(F.sum("votes").alias("votes"), F.count("page").alias("pages"))
-    paths = said.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.max("pages").alias("most"), F.sum("pages").alias("pages"))
-    order = F.struct("votes", F.length("path"), "path")
+    votes = _hosted(pages).select("html", "host").mapInArrow(run, "host string, path long, depth int, part long, page long, weight double")
+    once = votes.groupBy("host", "path", "part", "page").agg(F.sum("weight").alias("votes"), F.max("depth").alias("depth"))
+    said = once.groupBy("host", "path", "part").agg(F.sum("votes").alias("votes"), F.count("page").alias("pages"), F.max("depth").alias("depth"))
+    paths = said.groupBy("host", "path").agg(
+        F.sum("votes").alias("votes"), F.max("pages").alias("most"), F.sum("pages").alias("pages"), F.max("depth").alias("depth"))
+    order = F.struct("votes", "depth", "path")
     template = F.when((F.col("most") >= 3) & (2 * F.col("most") > F.col("pages")), F.col("path"))
     return paths.groupBy("host").agg(F.max_by("path", order).alias("path"), F.max("votes").alias("votes"), F.collect_list(template).alias("templates"))
 
