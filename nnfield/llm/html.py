@@ -31,6 +31,8 @@ from nnfield.llm.common import batches
 from nnfield.session import cut_lineage
 
 SHARE = 0.8
+# Winning paths up to this many bytes are broadcast, so that pages needn't be shuffled by host.
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 # Elements by their part in a page.
 CONTAINERS = frozenset("html body main article section div td table tbody tr center fieldset details figure".split())
@@ -460,6 +462,9 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, path of every page."""
     winners = cut_lineage(consensus(pages).select(F.col("host").alias("_host"), F.col("path").alias("winner"), "templates"))
     hosted = _hosted(pages)
+    size = winners.agg(F.sum(F.length("_host") + 8 * F.size("templates") + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        winners = F.broadcast(winners)
     met = hosted.join(winners, F.col("host") == F.col("_host"), "left").select("page_id", "url", "html", "winner", "templates")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """HTML extraction: hand-made pages, host consensus, and the given pages against their one template."""
 
+import random
 import re
+import time
 from html import unescape
 
 from nnfield.llm import html
@@ -89,3 +91,61 @@ def test_given_pages(spark, sf_dir):
         article = re.search(r"<article>(.*)</article>", page, re.S).group(1)
         blocks = [" ".join(unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert found[page_id] == "\n\n".join(b for b in blocks if b)
+
+
+def test_malformed_pages_are_read_once():
+    """About 1 MB each; a search that starts anew at every < would take hours."""
+    pages = ["<a " * 350000, "a <b 'x " * 125000, "if x <y and z then " * 55000, "<a \"b\" " * 140000 + "'>", "<a '\" " * 150000,
+             "<script" * 100000, "<p><div>" + "<select>" * 50000 + "<h1></h1>" * 50000, "<div class=ad>" * 30000 + "<article>x" * 30000]
+    began = time.perf_counter()
+    found = [html.Page(p).extract(None, frozenset())[0] for p in pages]
+    assert time.perf_counter() - began < 60
+    assert found[0] == ("<a " * 350000).strip() and found[2] == ("if x <y and z then " * 55000).strip()
+
+
+def test_tags_end_outside_quotes():
+    page = """<p title="a > b">one</p>2 < 3 <b x='>'>two</b> <i "> three"""
+    assert html.Page(page).extract(None, frozenset())[0] == "one\n\n2 < 3 two <i \"> three"
+    assert [t[2:4] for t in html._tokens("<P a='<'></p ><!-- <b> --><br/><!doctype x><style> <b> </STYLE >")] == [("p", False), ("p", True), (None, False), ("br", False), (None, False), (None, False)]
+
+
+def test_depth_does_not_change_the_text():
+    text, side = "<p>" + "long words here " * 40 + "</p>", "<div class=x>" + "side text " * 30 + "</div>"
+    want = main_text(f"<body><article>{text}</article>{side}</body>")
+    for depth in (5, 45, 3000):
+        page = "<body>" + "<div>" * depth + f"<article>{text}</article>{side}" + "</div>" * depth + "</body>"
+        assert html.Page(page).extract(None, frozenset())[0] == want
+        assert html.Page(page).choice()[0] == "/body" + "/div" * depth + "/article"
+
+
+def test_all_classes_count():
+    a, b = html.Page("<body><div class='a b c d'><p>text</p></div></body>"), html.Page("<body><div class='a b c e'><p>text</p></div></body>")
+    assert a.vote()[0] != b.vote()[0]
+
+
+def test_votes_of_hosts_against_a_plain_count(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = []
+    for i in range(120):
+        host = draw.choice(["one.example", "two.example", "three.example"])
+        kind = draw.choice(["a", "a", "b 12", "c"])
+        story = "".join(f"<p>{i} {draw.random()} " + "word " * draw.randint(5, 60) + "</p>" for _ in range(3))
+        rows.append((i, f"https://{host}/{i}", f"<body><div class='{kind}'>{story}</div><div class=end><p>Written here.</p></div></body>"))
+    pages = spark.createDataFrame(rows + rows[:2] + [(500, None, None), (501, "https://one.example/", "")], "page_id long, url string, html string").repartition(5)
+    votes, said = {}, {}
+    for _, url, page in rows + rows[:2]:
+        host, read = url.split("/")[2], html.Page(page)
+        path, depth, score = read.vote()
+        votes.setdefault(host, {}).setdefault((depth, path), []).append(score)
+        for p, _, part, whole in read.repeats():
+            said.setdefault((host, p), {}).setdefault(part, set()).add(whole)
+    got = {r.host: r for r in html.consensus(pages).collect() if r.host}
+    assert set(got) == set(votes)
+    for host, paths in votes.items():
+        best = max(paths, key=lambda k: (round(sum(paths[k]), 6), *k))
+        assert got[host].path == best[1] and abs(got[host].votes - sum(paths[best])) < 1e-6
+        often = {p for (h, p), parts in said.items() if h == host and max(map(len, parts.values())) >= 3 and 2 * max(map(len, parts.values())) > sum(map(len, parts.values()))}
+        assert set(got[host].templates) == often
+    near = sorted(map(tuple, html.extract(pages).collect()), key=str)
+    monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, html.extract(pages).collect()), key=str) == near and len(near) == 124
