@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -51,9 +52,12 @@ PARTS = frozenset("area banner body box list section thread wrapper".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+# A tag whose attributes hold no < or >: nearly all are, and a try never reads past the next <.
+_PLAIN = re.compile(r"""<(/?)([a-zA-Z][^\s/<>"']*+)((?:[^"'<>]++|"[^"<>]*+"|'[^'<>]*+')*+)>""")
 _STOP = re.compile("[\"'>]")
-_RAW = re.compile(r"(script|style|textarea|xmp)\b", re.I)
-_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in ("script", "style", "textarea", "xmp")}
+_RAW_NAMES = ("script", "style", "textarea", "xmp")
+_RAW = re.compile(rf"({'|'.join(_RAW_NAMES)})\b", re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW_NAMES}
 _NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _NUMBER = re.compile(r"\d+")
@@ -70,6 +74,14 @@ def _tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
     closing = html.find(">")  # the first > from any place since the last search; -1 if there is none
     at = html.find("<")
     while at >= 0:
+        plain = _PLAIN.match(html, at)
+        if plain:
+            slash, name, attributes = plain.groups()
+            name, end = name.lower(), plain.end()
+            if slash or not name.startswith(_RAW_NAMES):
+                yield at, end, name, slash == "/", attributes
+                at = html.find("<", end)
+                continue
         follow = html[at + 1 : at + 2]
         if follow and follow in "!?":
             if html.startswith("<!--", at):
@@ -118,6 +130,7 @@ def _key(path: str) -> int:
     return key
 
 
+@lru_cache(1 << 16)
 def _step(parent: int, label: str) -> int:
     return _hash(f"{parent}/{label}")
 
