@@ -1,9 +1,10 @@
-"""Substring dedup by a relative Lempel-Ziv parse whose dictionary is every earlier document.
+"""Substring dedup against every earlier document, by hashed phrases and windows in blocks that the text cuts. No greedy
+relative Lempel-Ziv parse is done; its cost has not been measured.
 
 The dictionary is cut at places the text itself decides: every window of ``WINDOW`` words has a smallest ``GRAM``-word
 hash (its anchor), and a phrase is a stretch of neighbouring windows with one anchor. Equal windows have equal anchors,
 so the dictionary block that holds an anchor holds every phrase in which such a window can occur, and one lookup per
-phrase asks all blocks. A document is factored from left to right: phrases that occur earlier join into factors; where
+phrase asks all blocks. Phrases that occur earlier join into factors, the maximal runs of removed words; where
 the phrases differ, at the boundaries of factors, single windows are compared. A word is a duplicate if a window that
 covers it starts earlier, in a smaller doc_id or in the same document.
 
