@@ -11,9 +11,9 @@ from nnfield.operators.blocks import (
     block_index,
     image_blocks,
     lookup,
-    lookup_salt,
+    meet_copies,
+    met_tiles,
     pack_blocks,
-    salted_blocks,
 )
 from nnfield.operators.pairs import attach, bind_roles
 from nnfield.session import cut_lineage
@@ -24,15 +24,21 @@ def pair_blocks(pairs: DataFrame, pixels: DataFrame, image_column: str, edge: in
     return bind_roles(pairs, image_blocks(pixels, edge=edge), {"image": image_column}).drop("role", "image_id")
 
 
-def gather(field: DataFrame, blocks: DataFrame, edge: int = BLOCK_EDGE) -> DataFrame:
+def longest_side(sizes: DataFrame, h: str = "h", w: str = "w") -> int:
+    return sizes.agg(F.max(F.greatest(h, w))).first()[0] or 0
+
+
+def gather(field: DataFrame, blocks: DataFrame, edge: int = BLOCK_EDGE, pairs: DataFrame | None = None) -> DataFrame:
     """``(pair_id, h, w, y, x, v)``: the matched pixel of the image in ``blocks`` at every field pixel.
 
-    Matches outside the image are clamped to its border.
+    Matches outside the image are clamped to its border. Where images may be larger than a block the field is
+    checkpointed and its matches counted per block; ``pairs`` tells where none is.
     """
     rows = field.selectExpr(
         "pair_id", "h", "w", "ay as y", "ax as x", f"{clamp('by', 'h')} as by", f"{clamp('bx', 'w')} as bx"
     )
-    found = lookup(rows, blocks, ["pair_id"], "by", "bx", ["y", "x"], edge)
+    largest = edge + 1 if pairs is None else longest_side(pairs)
+    found = lookup(rows, blocks, ["pair_id"], "by", "bx", ["y", "x"], largest, edge)
     return found.select("pair_id", "h", "w", "y", "x", "v")
 
 
@@ -119,10 +125,10 @@ def block_copy(field: DataFrame, pairs: DataFrame, blocks: DataFrame, sizes: Dat
     parts = cells.where("alike").selectExpr(
         "pair_id", "ih as h", "iw as w", "ay", "ax", "scale", "by * scale as sy", "bx * scale as sx", "th", "tw"
     ).selectExpr("*", f"explode({part('sy', 'sy + th - 1')}) as ty").selectExpr("*", f"explode({part('sx', 'sx + tw - 1')}) as tx")
-    wanted = parts.selectExpr("*", f"{lookup_salt(['ay', 'ax'], edge)} as salt")
-    held = salted_blocks(blocks, edge).select("pair_id", "ty", "tx", "salt", "y0", "x0", "bh", "bw", "stride", "c", "px")
+    wanted, hot = met_tiles(parts, ["pair_id"], longest_side(sizes, "ih", "iw"), edge)
+    held = blocks.select("pair_id", "ty", "tx", "y0", "x0", "bh", "bw", "stride", "c", "px")
     inside = lambda at, size, from_, length: f"sequence(greatest({at}, {from_}), least({at} + {size}, {from_} + {length}) - 1)"
-    met = wanted.join(held, ["pair_id", "ty", "tx", "salt"])
+    met = meet_copies(wanted, held, ["pair_id"], hot, ["ay", "ax"])
     copied = met.selectExpr("*", f"explode({inside('sy', 'th', 'y0', 'bh')}) as gy").selectExpr(
         "*", f"explode({inside('sx', 'tw', 'x0', 'bw')}) as gx"
     ).selectExpr("pair_id", "ay * scale + gy - sy as y", "ax * scale + gx - sx as x", f"slice(px, {block_index('gy', 'gx', 0)} + 1, c) as v")

@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from nnfield.functions.coords import images_of, in_bounds
+from nnfield.session import cut_lineage
 from nnfield.sources.images import explode_pixels
 
 BLOCK_EDGE = 64
-# Copies of the blocks of a large image, so that a tile which attracts most lookups is spread
-# over that many shuffle keys. A block costs one value per pixel, a lookup row far more.
-LOOKUP_SALTS = 16
+# Tiles that have copies: at most that many, so that their table can be broadcast.
+HOT_TILES = 10_000
 
 
 def _placements(position: str, size: str, edge: int, halo: int, border: str) -> str:
@@ -140,15 +140,57 @@ def block_positions(blocks: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def salted_blocks(blocks: DataFrame, edge: int = BLOCK_EDGE, salts: int = LOOKUP_SALTS) -> DataFrame:
-    """Copies of the blocks of large images under ``salt`` 0..salts-1; small images keep one."""
-    return blocks.selectExpr("*", f"explode(sequence(0, if(h > {edge} or w > {edge}, {salts - 1}, 0))) as salt")
+def hot_tiles(times: DataFrame, keys: list[str], tasks: int, edge: int = BLOCK_EDGE, around: bool = False) -> DataFrame | None:
+    """``(keys.., ty, tx, copies)`` of the tiles that need copies, None if none does.
+
+    ``times(keys.., ty, tx, times)`` says how many lookups meet each tile. One copy answers a quarter of a task's
+    share of all lookups, but never more than twice the pixels of a tile nor, as all tiles together have no more than
+    all lookups, so few that over HOT_TILES tiles had copies. Tiles met less than that have one copy and aren't listed.
+    ``around`` lets the four tiles beside a listed one have as many copies.
+    """
+    total = times.agg(F.sum("times")).first()[0] or 0
+    answered = max(min(-(-total // (4 * tasks)), 2 * edge * edge), -(-total // HOT_TILES), 1)
+    hot = times.where(F.col("times") > answered)
+    if around:
+        beside = "array(struct(0 as dy, 0 as dx), struct(1, 0), struct(-1, 0), struct(0, 1), struct(0, -1))"
+        hot = hot.selectExpr(*keys, "ty", "tx", "times", f"inline({beside})").selectExpr(*keys, "ty + dy as ty", "tx + dx as tx", "times")
+        hot = hot.groupBy(*keys, "ty", "tx").agg(F.max("times").alias("times"))
+    hot = cut_lineage(hot.selectExpr(*keys, "ty", "tx", f"cast(ceil(times / {answered}) as int) as copies"))
+    return None if hot.isEmpty() else hot
+
+
+def copied_blocks(blocks: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+    """Blocks under ``salt`` 0 to copies - 1; those that aren't hot once, under 0."""
+    if hot is None:
+        return blocks.withColumn("salt", F.lit(0))
+    met = blocks.join(F.broadcast(hot), [*keys, "ty", "tx"], "left")
+    return met.selectExpr(*blocks.columns, "explode(sequence(0, coalesce(copies, 1) - 1)) as salt")
+
+
+def copy_of(pixel: list[str]) -> str:
+    """Which copy a lookup row uses, from the ``copies`` of its tile (NULL: one)."""
+    return f"cast(pmod(xxhash64({', '.join(pixel)}), coalesce(copies, 1)) as int)"
+
+
+def met_tiles(rows: DataFrame, keys: list[str], largest: int, edge: int = BLOCK_EDGE) -> tuple[DataFrame, DataFrame | None]:
+    """Lookup rows ``(keys.., h, w, ty, tx, ..)`` and the tiles that need copies for them.
+
+    The rows are counted per tile, for which they are checkpointed first, unless no image is larger than a tile
+    (``largest``: the longest side): its one block is met wherever the rows of its image are.
+    """
+    if largest <= edge:
+        return rows, None
+    rows = cut_lineage(rows)
+    times = rows.where(f"h > {edge} or w > {edge}").groupBy(*keys, "ty", "tx").agg(F.count(F.lit(1)).alias("times"))
+    return rows, hot_tiles(times, keys, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), edge)
 
 
-def lookup_salt(pixel: list[str], edge: int = BLOCK_EDGE, salts: int = LOOKUP_SALTS) -> str:
-    """Which copy a lookup row uses."""
-    spread = f"cast(pmod(xxhash64({', '.join(pixel)}), {salts}) as int)"
-    return f"if(h > {edge} or w > {edge}, {spread}, 0)"
+def meet_copies(rows: DataFrame, blocks: DataFrame, keys: list[str], hot: DataFrame | None, spread_by: list[str]) -> DataFrame:
+    """Rows next to a copy of their block: an equi-join on image, tile and copy."""
+    if hot is None:
+        return rows.join(blocks, [*keys, "ty", "tx"])
+    numbered = rows.join(F.broadcast(hot), [*keys, "ty", "tx"], "left").withColumn("salt", F.expr(copy_of(spread_by)))
+    return numbered.drop("copies").join(copied_blocks(blocks, keys, hot), [*keys, "ty", "tx", "salt"])
 
 
 def lookup(
@@ -158,17 +200,18 @@ def lookup(
     y: str,
     x: str,
     spread_by: list[str],
+    largest: int,
     edge: int = BLOCK_EDGE,
 ) -> DataFrame:
     """Attach ``v``, the pixel at (y, x) of the image ``keys``, to rows that carry ``h`` and ``w``.
 
-    ``blocks`` is packed without a halo. Equi-join on image, tile and salt.
+    ``blocks`` is packed without a halo; ``largest`` is the longest side of any image.
     """
     wanted = rows.selectExpr(
         "*", f"{y} as gy", f"{x} as gx",
         f"cast(({y}) div {edge} as int) as ty", f"cast(({x}) div {edge} as int) as tx",
-        f"{lookup_salt(spread_by, edge)} as salt",
     )
-    held = salted_blocks(blocks, edge).select(*keys, "ty", "tx", "salt", "y0", "x0", "stride", "c", "px")
-    found = wanted.join(held, [*keys, "ty", "tx", "salt"])
+    wanted, hot = met_tiles(wanted, keys, largest, edge)
+    held = blocks.select(*keys, "ty", "tx", "y0", "x0", "stride", "c", "px")
+    found = meet_copies(wanted, held, keys, hot, spread_by)
     return found.selectExpr(*rows.columns, f"slice(px, {block_index('gy', 'gx', 0)} + 1, c) as v")

@@ -10,9 +10,11 @@ Two layouts give the same field:
 * ``whole``: both images of the pair fit one block. Field and images are partitioned by
   ``pair_id`` once, and all rounds up to the next checkpoint run in that partitioning with no
   further shuffle.
-* ``tiled``: larger images, as blocks. Candidates meet the blocks of A, then those of B, through
-  equi-joins on pair and tile, so one huge image spreads over the cluster. Lookups into B carry a
-  salt because a single tile may attract most matches.
+* ``tiled``: larger images, as blocks, so that one huge image spreads over the cluster. The field stays
+  partitioned by pair and tile of A over all rounds, and each tile holds, beside its own pixels, those
+  from which the moves of the next round reach into it. So a round cuts the patches of A where the
+  field is, sends the candidates to the tiles of B once, and sends back the best of each pixel and tile of B.
+  A tile of B that attracts many matches is copied as often as a count of the field asks for.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from nnfield.functions.windows import (
     score_scale,
 )
 from nnfield.functions.text import subquery
-from nnfield.operators.blocks import LOOKUP_SALTS, block_positions, image_blocks, lookup_salt, salted_blocks
+from nnfield.operators.blocks import block_positions, copied_blocks, copy_of, hot_tiles, image_blocks
 from nnfield.operators.pairs import attach, bind_roles
 from nnfield.operators.validate import pair_violations
 from nnfield.session import cut_lineage, partitions_for
@@ -47,6 +49,9 @@ _STATE = ["pair_id", "h", "w", "ay", "ax", "by", "bx", "score", "round"]
 _PLACE = ["pair_id", "h", "w", "ay", "ax", "by", "bx"]
 _CANDIDATE = ["pair_id", "h", "w", "ay", "ax", "by", "bx", "pri"]
 _CODE_BASE = 2**31
+_A_TILE = ["pair_id", "aty", "atx"]
+# Candidates and their patches that meet a byte of an image: what the partitions of tiles are sized by.
+TILE_BYTES = 16
 
 
 @dataclass(frozen=True)
@@ -162,7 +167,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
     ).first()
     features = ("main", "aux") if facts["aux"] else ("main",)
     partitions = partitions_for(spark, (facts["total"] or 0) * 2 * len(features))
-    tile_partitions = partitions_for(spark, (facts["total"] or 0) * len(features) * LOOKUP_SALTS)
+    tile_partitions = partitions_for(spark, (facts["total"] or 0) * len(features) * TILE_BYTES)
     images = _bytes(pixels)
     image_large = large if "h" in pixels.columns else large.replace("h, w", "height, width")
     weights = ["w_main", *(["w_aux"] if facts["aux"] else [])]
@@ -262,34 +267,42 @@ def _scored_whole(source: str, bound: BoundPairs, options: SearchOptions, keep:
     )
 
 
-def _scored_tiled(source: str, bound: BoundPairs, options: SearchOptions, keep: list[str]) -> str:
-    """The same for ``tiled``: the patch is cut from the block of A, then meets the block of B."""
+def _in_tiles(source: str, options: SearchOptions) -> str:
+    """The tile of A of every row, for rows that don't carry it."""
+    edge = options.tile_edge
+    return subquery(["*", f"cast(ay div {edge} as int) as aty", f"cast(ax div {edge} as int) as atx"], source)
+
+
+def _scored_tiled(source: str, bound: BoundPairs, options: SearchOptions, keep: list[str], hot: bool) -> str:
+    """The same for ``tiled``, from rows that carry their tile of A: the patch is cut from that tile, then
+    meets the tile of B, or one of its copies if there is a table ``hot``."""
     edge, r, c = options.tile_edge, options.halo, options.channels
     length = (2 * r + 1) * c
-    placed = subquery(["*", f"cast(ay div {edge} as int) as aty", f"cast(ax div {edge} as int) as atx"], source)
     carry = list(dict.fromkeys([*keep, *_PLACE]))
     met_a = subquery(
         ["/*+ shuffle_hash(t) */ " + carry[0], *carry[1:], *bound.weights, *[f"pa_{f}" for f in bound.features],
          *_row_bases("ia", "ay", "ax", "y0", "x0", options)],
-        f"{placed} join {{a_tiles}} t using (pair_id, aty, atx)",
+        f"{source} join {{a_tiles}} t using (pair_id, aty, atx)",
     )
     cut = {
         f: ", ".join(f"slice(pa_{f}, ia{row} + 1, {length})" for row in range(2 * r + 1)) for f in bound.features
     }
     carried = subquery(
         [*carry, *bound.weights, *[f"concat({v}) as pa_{f}" for f, v in cut.items()],
-         f"cast(by div {edge} as int) as bty", f"cast(bx div {edge} as int) as btx",
-         f"{lookup_salt(['ay', 'ax'], edge)} as salt"],
+         f"cast(by div {edge} as int) as bty", f"cast(bx div {edge} as int) as btx"],
         met_a,
     )
+    if hot:
+        carried = f"(select /*+ broadcast(k) */ * from {carried} r left join {{hot}} k using (pair_id, bty, btx))"
+    salted = subquery(["*", f"{copy_of(['ay', 'ax']) if hot else '0'} as salt"], carried)
     return subquery(
-        ["/*+ shuffle_hash(t) */ " + carry[0], *carry[1:], *bound.weights, *bound.arrays, *_row_flags(options),
-         *_row_bases("ib", "by", "bx", "y0", "x0", options)],
-        f"{carried} join {{b_tiles}} t using (pair_id, bty, btx, salt)",
+        ["/*+ shuffle_hash(t) */ " + carry[0], *carry[1:], "bty", "btx", "salt", *bound.weights, *bound.arrays,
+         *_row_flags(options), *_row_bases("ib", "by", "bx", "y0", "x0", options)],
+        f"{salted} join {{b_tiles}} t using (pair_id, bty, btx, salt)",
     )
 
 
-def _frames_of(bound: BoundPairs, options: SearchOptions, whole: bool) -> dict[str, DataFrame]:
+def _frames_of(bound: BoundPairs, options: SearchOptions, whole: bool, hot: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables a statement refers to."""
     if whole:
         return {"images": bound.whole.repartition(bound.partitions, "pair_id")}
@@ -297,23 +310,35 @@ def _frames_of(bound: BoundPairs, options: SearchOptions, whole: bool) -> dict[s
         "pair_id", "ty as aty", "tx as atx", "y0", "x0", "stride", *bound.weights,
         *[f"pa_{f}" for f in bound.features],
     )
-    b_tiles = salted_blocks(bound.tiled_b, options.tile_edge).selectExpr(
+    b_tiles = copied_blocks(bound.tiled_b, ["pair_id"], hot).selectExpr(
         "pair_id", "ty as bty", "tx as btx", "salt", "y0", "x0", "stride", *[f"pb_{f}" for f in bound.features]
     )
     # The number of partitions follows the packed bytes: a hash build doesn't spill.
-    return {
-        "a_tiles": a_tiles.repartition(bound.partitions, "pair_id", "aty", "atx"),
+    frames = {
+        "a_tiles": a_tiles.repartition(bound.tile_partitions, *_A_TILE),
         "b_tiles": b_tiles.repartition(bound.tile_partitions, "pair_id", "bty", "btx", "salt"),
     }
+    if hot is not None:
+        frames["hot"] = hot.withColumnsRenamed({"ty": "bty", "tx": "btx"})
+    return frames
+
 
+def matched_tiles(field: DataFrame, bound: BoundPairs, options: SearchOptions) -> DataFrame | None:
+    """Tiles of B that need copies for the candidates of a field, see ``hot_tiles``. Moves may carry the
+    matches of a tile to the tiles beside it, which get as many copies."""
+    edge = options.tile_edge
+    tiles = field.selectExpr("pair_id", f"cast(by div {edge} as int) as ty", f"cast(bx div {edge} as int) as tx")
+    times = tiles.groupBy("pair_id", "ty", "tx").agg(F.count(F.lit(1)).alias("times"))
+    return hot_tiles(times, ["pair_id"], bound.tile_partitions, edge, around=True)
 
-def _scored_rows(bound: BoundPairs, options: SearchOptions, keep: list[str], whole: bool) -> str:
+
+def _scored_rows(bound: BoundPairs, options: SearchOptions, keep: list[str], whole: bool, hot: bool = False) -> str:
     """Statement scoring the rows of table ``rows`` as ``score``."""
     if whole:
         joined = f"(select /*+ shuffle_hash(i) */ r.*, {_image_columns(bound)} from {{rows}} r join {{images}} i using (pair_id))"
         source = _scored_whole(joined, bound, options, keep)
     else:
-        source = _scored_tiled("{rows}", bound, options, keep)
+        source = _scored_tiled(_in_tiles("{rows}", options), bound, options, keep, hot)
     return subquery([*keep, f"{_fresh_score(bound, options, not whole)} as score"], source)
 
 
@@ -379,11 +404,11 @@ def _tries(options: SearchOptions, incumbent: bool = True, moves: bool = True, r
     return parts[0] if len(parts) == 1 else f"concat({', '.join(parts)})"
 
 
-def _stride_of_round(options: SearchOptions) -> str:
+def _stride_of_round(options: SearchOptions, round_: str = "round") -> str:
     """How far moves go in the round of column ``round``: the jump, or forward and backward in turn."""
     if options.propagation == "jump":
-        return f"get(array({', '.join(map(str, options.jumps))}), (round - 1) % {len(options.jumps)})"
-    return "(1 - (round - 1) % 2 * 2)"
+        return f"get(array({', '.join(map(str, options.jumps))}), ({round_} - 1) % {len(options.jumps)})"
+    return f"(1 - ({round_} - 1) % 2 * 2)"
 
 
 def _offered(source: str, options: SearchOptions, passed: list[str], random: bool = True) -> str:
@@ -488,11 +513,64 @@ def _next_whole(state: str, bound: BoundPairs, options: SearchOptions) -> str:
     return _settled(source, _fresh_score(bound, options, False), options)
 
 
-def _next_tiled(state: str, bound: BoundPairs, options: SearchOptions) -> str:
-    rows = subquery(["*", f"{_tries(options)} as tries"], _ahead(state))
-    offered = _offered(rows, options, ["round"])
-    source = _scored_tiled(offered, bound, options, [*_PLACE, "round", "pri"])
-    return _settled(source, _fresh_score(bound, options, True), options)
+def _offered_in_tile(state: str, options: SearchOptions) -> str:
+    """Candidates of the next round for the pixels of each tile of A, from the field rows the tile holds."""
+    edge = options.tile_edge
+    rows = subquery([*_PLACE, "round + 1 as round", "aty", "atx", f"{_tries(options)} as tries"], state)
+    offered = _offered(rows, options, ["round", "aty", "atx"])
+    return subquery(["*"], offered, f"ay div {edge} = aty and ax div {edge} = atx")
+
+
+def _tiles_in_need(options: SearchOptions) -> str:
+    """ARRAY of (aty, atx): the tile of a pixel, and those into which the moves of the next round take its match."""
+    edge, far = options.tile_edge, "far"
+    tile = lambda y, x: f"struct(cast(({y}) div {edge} as int) as aty, cast(({x}) div {edge} as int) as atx)"
+    own = tile("ay", "ax")
+    ends = [(f"ay + {s}{far}", "ax") for s in ("", "-")] + [("ay", f"ax + {s}{far}") for s in ("", "-")]
+    reached = ", ".join(f"if({in_bounds(y, x, 'h', 'w')}, {tile(y, x)}, {own})" for y, x in ends)
+    inner = " and ".join(f"{p} % {edge} >= {far} and {p} % {edge} < {edge} - {far}" for p in ("ay", "ax"))
+    return f"if({inner}, array({own}), array_distinct(array({own}, {reached})))"
+
+
+def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, more: bool) -> str:
+    """The best candidate per pixel, back in the tiles of A: combined where the tile of B is, then sent, then
+    combined again. ``more``: another round follows, so that tiles beside a pixel get its match as well."""
+    keys = ["pair_id", "h", "w", "ay", "ax", "round"]
+    here = [*keys, "bty", "btx", "salt"]
+    fresh = _fresh_score(bound, options, True)
+    if options.scale is None:
+        held = ["m"]
+        combined = subquery([*here, f"min(struct({fresh} as score, pri, by, bx)) as m"], source, group_by=here)
+        best = ["min(m) as m"]
+    else:
+        held = ["rank", "code"]
+        rank = f"{fresh} * {PRIORITY_SLOTS} + pri"
+        combined = subquery(
+            [*here, f"min({rank}) as rank", f"min_by(by * {_CODE_BASE}L + bx, {rank}) as code"], source, group_by=here
+        )
+        best = ["min(rank) as rank", "min_by(code, rank) as code"]
+    if more:
+        ahead = subquery([*keys, *held, f"abs(coalesce({_stride_of_round(options, '(round + 1)')}, 0)) as far"], combined)
+        spread = subquery([*keys, *held, f"inline({_tiles_in_need(options)})"], ahead)
+    else:
+        spread = _in_tiles(combined, options)
+    sent = subquery([f"/*+ repartition({bound.tile_partitions}, {', '.join(_A_TILE)}) */ *"], spread)
+    tiled = list(dict.fromkeys([*_A_TILE, *keys]))
+    settled = subquery([*tiled, *best], sent, group_by=tiled)
+    columns = {n: n for n in _STATE[1:]}
+    if options.scale is None:
+        columns = {n: n if n in keys else f"m.{n}" for n in columns}
+    else:
+        columns |= {
+            "by": f"cast(code div {_CODE_BASE}L as int)", "bx": f"cast(code % {_CODE_BASE}L as int)",
+            "score": f"rank div {PRIORITY_SLOTS}",
+        }
+    return subquery([*_A_TILE, *_present(columns)], settled)
+
+
+def _next_tiled(state: str, bound: BoundPairs, options: SearchOptions, more: bool, hot: bool) -> str:
+    source = _scored_tiled(_offered_in_tile(state, options), bound, options, [*_PLACE, "round", "pri"], hot)
+    return _settled_in_tiles(source, bound, options, more)
 
 
 def _declared(state: DataFrame) -> DataFrame:
@@ -500,34 +578,25 @@ def _declared(state: DataFrame) -> DataFrame:
     return state.selectExpr("pair_id", *_present({n: n for n in _STATE[1:]}))
 
 
-def _start(bound: BoundPairs, options: SearchOptions, given: DataFrame | None, whole: bool) -> DataFrame:
+def _start_whole(bound: BoundPairs, options: SearchOptions, given: DataFrame | None, tables: dict[str, DataFrame]) -> DataFrame:
     """Random matches, or those of a field, with their scores."""
     keep = [*_PLACE, "round"]
-    tables = _frames_of(bound, options, whole)
     if given is not None:
-        rows = given.select(*keep)
-        tables["rows"] = rows.repartition(bound.partitions, "pair_id") if whole else rows
-        text = _scored_rows(bound, options, keep, whole)
-    elif whole:
-        # drawn and scored from the packed pair alone, without a join
-        place = ["pair_id", "h", "w", "ay", "ax", "round", "stride", *bound.weights, *bound.arrays]
-        pixels = subquery(["*", "explode(sequence(0, h * w - 1)) as p"], "{images}")
-        placed = subquery(["*", "cast(p div w as int) as ay", "p % w as ax"], pixels)
-        drawn = subquery(["*", "0 as pri"], _random_start(placed, place))
-        source = _scored_whole(drawn, bound, options, [*keep, "pri"])
-        text = _settled(source, _fresh_score(bound, options, False), options)
-    else:
-        pixels = block_positions(bound.tiled_a, "pair_id", "h", "w", "round").withColumnsRenamed({"y": "ay", "x": "ax"})
-        drawn = _run_sql(_random_start("{pixels}", pixels.columns), {"pixels": pixels})
-        tables["rows"] = drawn.select(*keep)
-        text = _scored_rows(bound, options, keep, whole)
-    return _declared(_run_sql(text, tables))
-
-
-def _run(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFrame | None, whole: bool) -> DataFrame:
-    tables = _frames_of(bound, options, whole)
-    state = _start(bound, options, given, whole)
-    statement = (_next_whole if whole else _next_tiled)("{state}", bound, options)
+        rows = given.select(*keep).repartition(bound.partitions, "pair_id")
+        return _declared(_run_sql(_scored_rows(bound, options, keep, True), {**tables, "rows": rows}))
+    # drawn and scored from the packed pair alone, without a join
+    place = ["pair_id", "h", "w", "ay", "ax", "round", "stride", *bound.weights, *bound.arrays]
+    pixels = subquery(["*", "explode(sequence(0, h * w - 1)) as p"], "{images}")
+    placed = subquery(["*", "cast(p div w as int) as ay", "p % w as ax"], pixels)
+    drawn = subquery(["*", "0 as pri"], _random_start(placed, place))
+    source = _scored_whole(drawn, bound, options, [*keep, "pri"])
+    return _declared(_run_sql(_settled(source, _fresh_score(bound, options, False), options), tables))
+
+
+def _run_whole(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFrame | None) -> DataFrame:
+    tables = _frames_of(bound, options, True)
+    state = _start_whole(bound, options, given, tables)
+    statement = _next_whole("{state}", bound, options)
     left = rounds
     while left > 0:
         batch = min(left, options.rounds_per_checkpoint)
@@ -535,9 +604,45 @@ def _run(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFram
             state = _run_sql(statement, {"state": state, **tables})
         left -= batch
         if left > 0:
+            state = cut_lineage(state).repartition(bound.partitions, "pair_id")
+    return state
+
+
+def _start_tiled(bound: BoundPairs, options: SearchOptions, given: DataFrame | None, tables: dict[str, DataFrame], more: bool) -> DataFrame:
+    """The same in the tiles of A."""
+    keep = [*_PLACE, "round"]
+    if given is not None:
+        rows = given.select(*keep)
+    else:
+        pixels = block_positions(bound.tiled_a, "pair_id", "h", "w", "round").withColumnsRenamed({"y": "ay", "x": "ax"})
+        rows = _run_sql(_random_start("{pixels}", pixels.columns), {"pixels": pixels}).select(*keep)
+    placed = subquery(["*", "0 as pri"], _in_tiles("{rows}", options))
+    source = _scored_tiled(placed, bound, options, [*keep, "pri"], "hot" in tables)
+    return _run_sql(_settled_in_tiles(source, bound, options, more), {**tables, "rows": rows})
+
+
+def _run_tiled(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFrame | None) -> DataFrame:
+    edge = options.tile_edge
+    if given is not None:
+        hot = matched_tiles(given, bound, options)
+    else:  # random matches meet each tile as often as it has pixels
+        times = bound.tiled_b.selectExpr("pair_id", "ty", "tx", "cast(bh * bw as bigint) as times")
+        hot = hot_tiles(times, ["pair_id"], bound.tile_partitions, edge)
+    tables = _frames_of(bound, options, False, hot)
+    state = _start_tiled(bound, options, given, tables, rounds > 0)
+    for done in range(1, rounds + 1):
+        statement = _next_tiled("{state}", bound, options, done < rounds, "hot" in tables)
+        state = _run_sql(statement, {"state": state, **tables})
+        if done < rounds and done % options.rounds_per_checkpoint == 0:
             state = cut_lineage(state)
-            if whole:
-                state = state.repartition(bound.partitions, "pair_id")
+            own = state.where(f"ay div {edge} = aty and ax div {edge} = atx")
+            tables = _frames_of(bound, options, False, matched_tiles(own, bound, options))
+            state = state.repartition(bound.tile_partitions, *_A_TILE)
+    return state
+
+
+def _run(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFrame | None, whole: bool) -> DataFrame:
+    state = (_run_whole if whole else _run_tiled)(bound, options, rounds, given)
     return state.withColumn("d", F.expr(distance_of("score", options.scale))).select(*FIELD_COLUMNS)
 
 

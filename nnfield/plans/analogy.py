@@ -15,4 +15,4 @@ def analogy(pairs: DataFrame, pixels: DataFrame, options: SearchOptions, rounds:
     The field lives on the grid of ``a_img`` and points into ``b_img``, whose primed version is read.
     """
     field = search_rounds(bind_pairs(pairs, pixels, options), options, rounds)
-    return gather(field, pair_blocks(pairs, pixels, prime_column))
+    return gather(field, pair_blocks(pairs, pixels, prime_column), pairs=pairs)

@@ -227,7 +227,7 @@ def field_resume(spark, sf_dir):
 
 def _gathered(spark, sf_dir):
     pairs = fx.pairs(spark, sf_dir, "analogy")
-    return gather(_field(spark, sf_dir, "analogy"), pair_blocks(pairs, fx.embedding_images(spark, sf_dir), "prime_img"))
+    return gather(_field(spark, sf_dir, "analogy"), pair_blocks(pairs, fx.embedding_images(spark, sf_dir), "prime_img"), pairs=pairs)
 
 
 def gather_query(spark, sf_dir):
