@@ -152,17 +152,15 @@ def hot_tiles(times: DataFrame, keys: list[str], tasks: int, edge: int = BLOCK_E
     answered = max(min(-(-total // (4 * tasks)), 2 * edge * edge), -(-total // HOT_TILES), 1)
     hot = times.where(F.col("times") > answered)
     if around:
-        beside = "array(struct(0 as dy, 0 as dx), struct(1, 0), struct(-1, 0), struct(0, 1), struct(0, -1))"
+        beside = "array(" + ", ".join(f"struct({dy} as dy, {dx} as dx)" for dy, dx in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))) + ")"
         hot = hot.selectExpr(*keys, "ty", "tx", "times", f"inline({beside})").selectExpr(*keys, "ty + dy as ty", "tx + dx as tx", "times")
         hot = hot.groupBy(*keys, "ty", "tx").agg(F.max("times").alias("times"))
     hot = cut_lineage(hot.selectExpr(*keys, "ty", "tx", f"cast(ceil(times / {answered}) as int) as copies"))
     return None if hot.isEmpty() else hot
 
 
-def copied_blocks(blocks: DataFrame, keys: list[str], hot: DataFrame | None) -> DataFrame:
+def copied_blocks(blocks: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
     """Blocks under ``salt`` 0 to copies - 1; those that aren't hot once, under 0."""
-    if hot is None:
-        return blocks.withColumn("salt", F.lit(0))
     met = blocks.join(F.broadcast(hot), [*keys, "ty", "tx"], "left")
     return met.selectExpr(*blocks.columns, "explode(sequence(0, coalesce(copies, 1) - 1)) as salt")
 

@@ -267,22 +267,35 @@ def _scored_whole(source: str, bound: BoundPairs, options: SearchOptions, keep:
     )
 
 
+def _b_tile(hot: bool) -> list[str]:
+    """Key of a tile of B, with the number of the copy where tiles have any."""
+    return ["pair_id", "bty", "btx", *(["salt"] if hot else [])]
+
+
 def _in_tiles(source: str, options: SearchOptions) -> str:
     """The tile of A of every row, for rows that don't carry it."""
     edge = options.tile_edge
     return subquery(["*", f"cast(ay div {edge} as int) as aty", f"cast(ax div {edge} as int) as atx"], source)
 
 
-def _scored_tiled(source: str, bound: BoundPairs, options: SearchOptions, keep: list[str], hot: bool) -> str:
-    """The same for ``tiled``, from rows that carry their tile of A: the patch is cut from that tile, then
+def _a_tile_columns(bound: BoundPairs) -> list[str]:
+    return ["y0", "x0", "stride", *bound.weights, *[f"pa_{f}" for f in bound.features]]
+
+
+def _met_a(source: str, bound: BoundPairs) -> str:
+    """Rows that carry (aty, atx) next to that tile of A."""
+    columns = ", ".join(f"t.{c}" for c in _a_tile_columns(bound))
+    return f"(select /*+ shuffle_hash(t) */ r.*, {columns} from {source} r join {{a_tiles}} t using (pair_id, aty, atx))"
+
+
+def _scored_tiled(met: str, bound: BoundPairs, options: SearchOptions, keep: list[str], hot: bool) -> str:
+    """The same for ``tiled``, from rows next to their tile of A: the patch is cut from that tile, then
     meets the tile of B, or one of its copies if there is a table ``hot``."""
     edge, r, c = options.tile_edge, options.halo, options.channels
     length = (2 * r + 1) * c
     carry = list(dict.fromkeys([*keep, *_PLACE]))
     met_a = subquery(
-        ["/*+ shuffle_hash(t) */ " + carry[0], *carry[1:], *bound.weights, *[f"pa_{f}" for f in bound.features],
-         *_row_bases("ia", "ay", "ax", "y0", "x0", options)],
-        f"{source} join {{a_tiles}} t using (pair_id, aty, atx)",
+        [*carry, *bound.weights, *[f"pa_{f}" for f in bound.features], *_row_bases("ia", "ay", "ax", "y0", "x0", options)], met
     )
     cut = {
         f: ", ".join(f"slice(pa_{f}, ia{row} + 1, {length})" for row in range(2 * r + 1)) for f in bound.features
@@ -294,11 +307,12 @@ def _scored_tiled(source: str, bound: BoundPairs, options: SearchOptions, keep:
     )
     if hot:
         carried = f"(select /*+ broadcast(k) */ * from {carried} r left join {{hot}} k using (pair_id, bty, btx))"
-    salted = subquery(["*", f"{copy_of(['ay', 'ax']) if hot else '0'} as salt"], carried)
+        carried = subquery(["*", f"{copy_of(['ay', 'ax'])} as salt"], carried)
+    tile = _b_tile(hot)
     return subquery(
-        ["/*+ shuffle_hash(t) */ " + carry[0], *carry[1:], "bty", "btx", "salt", *bound.weights, *bound.arrays,
+        ["/*+ shuffle_hash(t) */ " + carry[0], *carry[1:], *tile[1:], *bound.weights, *bound.arrays,
          *_row_flags(options), *_row_bases("ib", "by", "bx", "y0", "x0", options)],
-        f"{salted} join {{b_tiles}} t using (pair_id, bty, btx, salt)",
+        f"{carried} join {{b_tiles}} t using ({', '.join(tile)})",
     )
 
 
@@ -310,13 +324,17 @@ def _frames_of(bound: BoundPairs, options: SearchOptions, whole: bool, hot: Data
         "pair_id", "ty as aty", "tx as atx", "y0", "x0", "stride", *bound.weights,
         *[f"pa_{f}" for f in bound.features],
     )
-    b_tiles = copied_blocks(bound.tiled_b, ["pair_id"], hot).selectExpr(
-        "pair_id", "ty as bty", "tx as btx", "salt", "y0", "x0", "stride", *[f"pb_{f}" for f in bound.features]
+    a_tries = bound.tiled_a.selectExpr("pair_id", "ty as aty", "tx as atx", f"{_tries(options)} as tries")
+    b_tiles = bound.tiled_b if hot is None else copied_blocks(bound.tiled_b, ["pair_id"], hot)
+    b_tiles = b_tiles.withColumnsRenamed({"ty": "bty", "tx": "btx"}).select(
+        *_b_tile(hot is not None), "y0", "x0", "stride", *[f"pb_{f}" for f in bound.features]
     )
     # The number of partitions follows the packed bytes: a hash build doesn't spill.
     frames = {
         "a_tiles": a_tiles.repartition(bound.tile_partitions, *_A_TILE),
-        "b_tiles": b_tiles.repartition(bound.tile_partitions, "pair_id", "bty", "btx", "salt"),
+        # what a pixel offers is evaluated once per tile, not per pixel
+        "tries": a_tries.repartition(bound.tile_partitions, *_A_TILE),
+        "b_tiles": b_tiles.repartition(bound.tile_partitions, *_b_tile(hot is not None)),
     }
     if hot is not None:
         frames["hot"] = hot.withColumnsRenamed({"ty": "bty", "tx": "btx"})
@@ -338,7 +356,7 @@ def _scored_rows(bound: BoundPairs, options: SearchOptions, keep: list[str], who
         joined = f"(select /*+ shuffle_hash(i) */ r.*, {_image_columns(bound)} from {{rows}} r join {{images}} i using (pair_id))"
         source = _scored_whole(joined, bound, options, keep)
     else:
-        source = _scored_tiled(_in_tiles("{rows}", options), bound, options, keep, hot)
+        source = _scored_tiled(_met_a(_in_tiles("{rows}", options), bound), bound, options, keep, hot)
     return subquery([*keep, f"{_fresh_score(bound, options, not whole)} as score"], source)
 
 
@@ -417,22 +435,35 @@ def _offered(source: str, options: SearchOptions, passed: list[str], random: boo
     One generator, so the field is read once and nothing is shuffled. Round and jump are columns:
     the generated code is the same for every round and compiled once.
     """
+    return _drawn(_tried(source, options, passed), options, passed, random)
+
+
+def _tried(source: str, options: SearchOptions, passed: list[str], tile_edge: int | None = None) -> str:
+    """The tries one by one that lie inside both images; with ``tile_edge`` only those for pixels of the tile
+    (aty, atx) in ``passed``."""
     base = [*_PLACE, "round", *[c for c in passed if c != "round"]]
     keyed = subquery(
         [*base, "tries", f"coalesce({_stride_of_round(options)}, 0) as far",
          f"{key_of('pair_id', 'ay', 'ax', 'round')} as key"],
         source,
     )
-    moved = [*base, "far", "key", "pri", "uy", "ux", "mag"]
-    inside = (
-        f"{in_bounds('ay + uy * far', 'ax + ux * far', 'h', 'w')}"
-        f" and {in_bounds('by + uy * far', 'bx + ux * far', 'h', 'w')}"
-    )
+    here = in_bounds("ay + uy * far", "ax + ux * far", "h", "w")
+    if tile_edge is not None:
+        here = " and ".join(
+            f"a{p} + u{p} * far >= at{p} * {tile_edge} and a{p} + u{p} * far < least(at{p} * {tile_edge} + {tile_edge}, {size})"
+            for p, size in (("y", "h"), ("x", "w"))
+        )
+    inside = f"{here} and {in_bounds('by + uy * far', 'bx + ux * far', 'h', 'w')}"
     present = [f"coalesce({n}, 0) as {n}" for n in ("pri", "uy", "ux", "mag")]
     tried = subquery([*base, "far", "key", *present], subquery([*base, "far", "key", "inline(tries)"], keyed))
-    tried = subquery(["*"], tried, inside)
+    return subquery(["*"], tried, inside)
+
+
+def _drawn(tried: str, options: SearchOptions, passed: list[str], random: bool = True) -> str:
+    """Pixel and match of every try."""
     by, bx = "by + uy * far", "bx + ux * far"
     if random:
+        moved = [*dict.fromkeys([*_PLACE, "round", *passed]), "far", "key", "pri", "uy", "ux", "mag"]
         salt = f"2 * (pri - {FIRST_RANDOM - 1})"
         tried = with_draws(tried, moved, {"dy": f"{salt} + {SALT_Y}", "dx": f"{salt} + {SALT_X}"})
         extra = " + 1" if options.random == "closed" else ""
@@ -513,12 +544,13 @@ def _next_whole(state: str, bound: BoundPairs, options: SearchOptions) -> str:
     return _settled(source, _fresh_score(bound, options, False), options)
 
 
-def _offered_in_tile(state: str, options: SearchOptions) -> str:
-    """Candidates of the next round for the pixels of each tile of A, from the field rows the tile holds."""
-    edge = options.tile_edge
-    rows = subquery([*_PLACE, "round + 1 as round", "aty", "atx", f"{_tries(options)} as tries"], state)
-    offered = _offered(rows, options, ["round", "aty", "atx"])
-    return subquery(["*"], offered, f"ay div {edge} = aty and ax div {edge} = atx")
+def _offered_in_tile(state: str, bound: BoundPairs, options: SearchOptions) -> str:
+    """Candidates of the next round for the pixels of each tile of A, from the field rows the tile holds, next to it."""
+    ahead = subquery([*_PLACE, "round + 1 as round", "aty", "atx"], state)
+    rows = f"(select /*+ shuffle_hash(t) */ s.*, t.tries from {ahead} s join {{tries}} t using (pair_id, aty, atx))"
+    # the tile is met between the generator and the draws, in one piece they are too long for the JVM to compile
+    tried = _met_a(_tried(rows, options, ["round", "aty", "atx"], options.tile_edge), bound)
+    return _drawn(tried, options, ["round", *_a_tile_columns(bound)])
 
 
 def _tiles_in_need(options: SearchOptions) -> str:
@@ -532,11 +564,11 @@ def _tiles_in_need(options: SearchOptions) -> str:
     return f"if({inner}, array({own}), array_distinct(array({own}, {reached})))"
 
 
-def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, more: bool) -> str:
+def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, more: bool, hot: bool) -> str:
     """The best candidate per pixel, back in the tiles of A: combined where the tile of B is, then sent, then
     combined again. ``more``: another round follows, so that tiles beside a pixel get its match as well."""
     keys = ["pair_id", "h", "w", "ay", "ax", "round"]
-    here = [*keys, "bty", "btx", "salt"]
+    here = list(dict.fromkeys([*keys, *_b_tile(hot)]))
     fresh = _fresh_score(bound, options, True)
     if options.scale is None:
         held = ["m"]
@@ -554,7 +586,9 @@ def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, mo
         spread = subquery([*keys, *held, f"inline({_tiles_in_need(options)})"], ahead)
     else:
         spread = _in_tiles(combined, options)
-    sent = subquery([f"/*+ repartition({bound.tile_partitions}, {', '.join(_A_TILE)}) */ *"], spread)
+    # declared present before the exchange, whose columns the rounds must not change
+    known = subquery([*keys, *held, "coalesce(aty, 0) as aty", "coalesce(atx, 0) as atx"], spread)
+    sent = subquery([f"/*+ repartition({bound.tile_partitions}, {', '.join(_A_TILE)}) */ *"], known)
     tiled = list(dict.fromkeys([*_A_TILE, *keys]))
     settled = subquery([*tiled, *best], sent, group_by=tiled)
     columns = {n: n for n in _STATE[1:]}
@@ -569,8 +603,8 @@ def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, mo
 
 
 def _next_tiled(state: str, bound: BoundPairs, options: SearchOptions, more: bool, hot: bool) -> str:
-    source = _scored_tiled(_offered_in_tile(state, options), bound, options, [*_PLACE, "round", "pri"], hot)
-    return _settled_in_tiles(source, bound, options, more)
+    source = _scored_tiled(_offered_in_tile(state, bound, options), bound, options, [*_PLACE, "round", "pri"], hot)
+    return _settled_in_tiles(source, bound, options, more, hot)
 
 
 def _declared(state: DataFrame) -> DataFrame:
@@ -617,8 +651,8 @@ def _start_tiled(bound: BoundPairs, options: SearchOptions, given: DataFrame | N
         pixels = block_positions(bound.tiled_a, "pair_id", "h", "w", "round").withColumnsRenamed({"y": "ay", "x": "ax"})
         rows = _run_sql(_random_start("{pixels}", pixels.columns), {"pixels": pixels}).select(*keep)
     placed = subquery(["*", "0 as pri"], _in_tiles("{rows}", options))
-    source = _scored_tiled(placed, bound, options, [*keep, "pri"], "hot" in tables)
-    return _run_sql(_settled_in_tiles(source, bound, options, more), {**tables, "rows": rows})
+    source = _scored_tiled(_met_a(placed, bound), bound, options, [*keep, "pri"], "hot" in tables)
+    return _run_sql(_settled_in_tiles(source, bound, options, more, "hot" in tables), {**tables, "rows": rows})
 
 
 def _run_tiled(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFrame | None) -> DataFrame:

@@ -9,10 +9,12 @@ from nnfield import fixtures as fx
 from nnfield.functions import draws
 from nnfield.operators import pairs as pair_module
 from nnfield.operators.apply import gather, pair_blocks
+from nnfield.operators.blocks import hot_tiles
 from nnfield.operators.search import (
     SearchOptions,
     bind_pairs,
     compute_field,
+    matched_tiles,
     resume_field,
     score_candidates,
     search_rounds,
@@ -209,3 +211,43 @@ def test_draws_are_the_documented_hash(spark):
     drawn = spark.sql(draws.with_draws(keyed, ["p", "y", "x", "n", "s"], {"u": "s"})[1:-1], t=frame)
     for r in drawn.collect():
         assert r.u == mix(r.p, r.y, r.x, r.n, r.s)
+
+
+def test_a_tiled_round_shuffles_twice(spark):
+    _, pixels, pairs = small_tables(spark, 13, 9, count=1)
+    options = SearchOptions(whole_edge=4, tile_edge=4)
+    bound = bind_pairs(pairs, pixels, options)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [search_rounds(bound, options, n)._jdf.queryExecution().executedPlan().toString() for n in (1, 2)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # beside the packed tiles, which are shuffled once: candidates to the tiles of B and the best ones back
+    counts = [sum("Exchange hashpartitioning" in line and "ReusedExchange" not in line for line in p.splitlines()) for p in plans]
+    assert counts[1] - counts[0] == 2
+
+
+def test_a_constant_field_is_spread_over_copies(spark):
+    _, pixels, pairs = small_tables(spark, 13, 9, count=1)
+    whole, tiled = SearchOptions(), SearchOptions(whole_edge=4, tile_edge=4)
+    field = pixels.where("image_id = 0").selectExpr(
+        "0L as pair_id", "h", "w", "y as ay", "x as ax", "5 as by", "6 as bx", "4 as round"
+    )
+    bound = bind_pairs(pairs, pixels, tiled)
+    hot = {(r.ty, r.tx): r.copies for r in matched_tiles(field, bound, tiled).collect()}
+    # 117 matches in one tile, a quarter of an eighth of them a copy; the tiles beside it have as many, the others one
+    assert hot == {t: -(-117 // 4) for t in ((1, 1), (0, 1), (2, 1), (1, 0), (1, 2))}
+    fields = [rows_of(search_rounds(bind_pairs(pairs, pixels, o), o, 2, start=field)) for o in (whole, tiled)]
+    assert fields[0] == fields[1] and len(fields[0]) == 117
+    at = pixels.where("image_id = 2 and y = 5 and x = 6").first().v
+    seen = gather(field, pair_blocks(pairs, pixels, "b_img", 4), 4).collect()
+    assert len(seen) == 117 and all(r.v == at for r in seen)
+
+
+def test_the_number_of_copied_tiles_is_bounded(spark, monkeypatch):
+    times = spark.range(400).selectExpr("0L as pair_id", "cast(id as int) as ty", "0 as tx", "if(id < 3, 10000L, 500L) as times")
+    hot = hot_tiles(times, ["pair_id"], tasks=8, edge=16)
+    assert {r.ty: r.copies for r in hot.collect()} == {0: 20, 1: 20, 2: 20}  # 512 lookups a copy
+    monkeypatch.setattr("nnfield.operators.blocks.HOT_TILES", 20)
+    assert hot_tiles(times, ["pair_id"], tasks=8, edge=16) is None
+    assert hot_tiles(times.limit(0), ["pair_id"], tasks=8, edge=16) is None
