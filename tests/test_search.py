@@ -251,3 +251,11 @@ def test_the_number_of_copied_tiles_is_bounded(spark, monkeypatch):
     monkeypatch.setattr("nnfield.operators.blocks.HOT_TILES", 20)
     assert hot_tiles(times, ["pair_id"], tasks=8, edge=16) is None
     assert hot_tiles(times.limit(0), ["pair_id"], tasks=8, edge=16) is None
+
+
+def test_tiles_after_a_checkpoint_give_the_same_field(spark):
+    _, pixels, pairs = small_tables(spark, 13, 9, count=1)
+    whole = SearchOptions()
+    tiled = SearchOptions(whole_edge=4, tile_edge=4, rounds_per_checkpoint=1)
+    fields = [search_rounds(bind_pairs(pairs, pixels, o), o, 2) for o in (whole, tiled)]
+    assert rows_of(fields[0]) == rows_of(fields[1])
