@@ -14,6 +14,9 @@ FRAME_ROLES = ("a", "b", "a_prime", "mask")
 FRAME_PATH = r"(\d+)[-/](a|b|a_prime|mask)[-/](\d+)\.\w+$"
 # The columns of Spark's image source.
 _IMAGE_SCHEMA = "image STRUCT<origin: STRING, height: INT, width: INT, nChannels: INT, mode: INT, data: BINARY>"
+# Pixel rows a file takes, some tens of MB, and the fewest files of a table, so that small ones too arrive in parts.
+FILE_PIXELS = 2_000_000
+LEAST_FILES = 12
 MASK_SCHEMA = "clip_id BIGINT, frame_no INT, ts TIMESTAMP, y INT, x INT, m ARRAY<INT>"
 
 
@@ -76,11 +79,24 @@ def frame_files_to_table(files: DataFrame, path: str, rejected: str, checkpoint:
 
 def write_frames(frames: DataFrame, path: str, clip: str = "clip_id", frames_per_file: int = 64,
                  rows_per_file: int = 256) -> None:
-    """Frames in order within each file, for one role, ``frames_per_file`` frames and a band of pixel rows."""
+    """Frames in order within each file: whole pieces of ``frames_per_file`` frames of one role and a band of pixel rows.
+
+    Small pieces share a file, so that a stream has as many files to take as there is data, not as there are clips.
+    """
     order = [c for c in (clip, "role", "frame_no", "y", "x") if c in frames.columns]
     role = [c for c in ("role",) if c in frames.columns]
     pieces = [F.expr(f"frame_no div {frames_per_file}"), F.expr(f"y div {rows_per_file}")]
-    frames.repartition(clip, *role, *pieces).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(clip).parquet(path)
+    _in_files(frames, clip, *role, *pieces).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+
+
+def write_clips(frames: DataFrame, path: str) -> None:
+    """Append frames or masks with the rows of a clip in one file, beside those of other clips."""
+    _in_files(frames, "clip_id").write.mode("append").parquet(path)
+
+
+def _in_files(frames: DataFrame, *keys) -> DataFrame:
+    """The rows dealt by ``keys`` to as many partitions as they fill files."""
+    return frames.repartition(max(LEAST_FILES, -(-frames.count() // FILE_PIXELS)), *keys)
 
 
 def stream_to_files(stream: DataFrame, path: str, checkpoint: str, name: str | None = None):

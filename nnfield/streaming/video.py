@@ -100,11 +100,13 @@ def _folder(spark: SparkSession, path: str) -> bool:
 def held_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
     """Rows that still waited after the last micro-batch (before ``before``); empty if there was none."""
     empty = spark.createDataFrame([], _HELD)
+    if before is not None:  # the folders of all earlier batches aren't listed
+        path = f"{path}/batch={before - 1}"
     if not _folder(spark, path):
         return empty
-    rows = spark.read.schema(f"{_HELD}, batch BIGINT").parquet(path)
     if before is not None:
-        return rows.where(F.col("batch") == before - 1).drop("batch")
+        return spark.read.schema(_HELD).parquet(path)
+    rows = spark.read.schema(f"{_HELD}, batch BIGINT").parquet(path)
     last = rows.agg(F.max("batch")).first()[0]
     return empty if last is None else rows.where(F.col("batch") == last).drop("batch")
 

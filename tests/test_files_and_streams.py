@@ -9,7 +9,7 @@ from nnfield.operators.search import SearchOptions, bind_pairs, search_rounds
 from nnfield.sources.files import encode_png
 from nnfield.plans.video import warp_video
 from nnfield.sources.fields import read_field, write_field
-from nnfield.sources.frames import MASK_SCHEMA, frame_files_to_table, scan_frames, stream_frame_files, stream_frames, write_frames
+from nnfield.sources.frames import MASK_SCHEMA, frame_files_to_table, scan_frames, stream_frame_files, stream_frames, write_clips, write_frames
 from nnfield.sources.images import assemble_images, byte_values, explode_pixels, scan_images
 from nnfield.streaming.video import (
     base_frame,
@@ -45,6 +45,26 @@ def test_frames_are_read_back_in_order(spark, sf_dir, tmp_path):
     assert back.count() == clips.count()
 
 
+def test_small_clips_share_files(spark, sf_dir, tmp_path):
+    clips = fx.clip_frames(spark, sf_dir).where("frame_no = 0").withColumn("clip_id", F.expr("explode(sequence(clip_id, clip_id + 195, 5))"))
+    write_frames(clips, str(tmp_path / "f"))
+    write_clips(fx.masks(clips), str(tmp_path / "m"))
+    for name, rows in (("f", clips.count()), ("m", clips.count() // 4)):
+        back = spark.read.parquet(str(tmp_path / name)).select("clip_id", F.input_file_name().alias("file"))
+        files = {r.file for r in back.select("file").distinct().collect()}
+        assert 1 < len(files) <= 12 and back.count() == rows
+    assert back.distinct().count() == back.select("clip_id").distinct().count() == 200
+
+
+def test_a_batch_reads_what_the_one_before_held(spark, sf_dir, tmp_path):
+    held = fx.clip_frames(spark, sf_dir).where("clip_id < 2 and frame_no = 0")
+    for batch in (3, 4):
+        held.where(f"clip_id = {batch} - 3").write.parquet(str(tmp_path / f"batch={batch}"))
+    found = held_rows(spark, str(tmp_path), 5)
+    assert {r.clip_id for r in found.collect()} == {1} and all("batch=4" in f for f in found.inputFiles())
+    assert held_rows(spark, str(tmp_path), 3).isEmpty()
+
+
 def test_masked_stream_equals_batch(spark, sf_dir, tmp_path):
     clips = fx.clip_frames(spark, sf_dir)
     field = clip_field(clips, SearchOptions(), 1)
