@@ -49,6 +49,9 @@ LONG = 1024
 CENTERS = 4
 # Rows of a cell up to which pairs are compared one by one.
 FEW = 12
+# Bytes of sketches or bit rows looked at together, and pairs of a cell up to which sets are compared one by one.
+CHUNK_BYTES = 16_000_000
+FEW_PAIRS = 64
 # Sets a task remembers to have seen.
 SEEN_SETS = 500_000
 
@@ -185,15 +188,22 @@ def _cell_pairs(value: int, diagonal: bool, rows: list[_Node], k: int, percent:
             if (diagonal or x.second != y.second) and x.component != y.component
             and 100 * min(x.n, y.n) >= percent * max(x.n, y.n) and min(x.listed & y.listed) == value
         ]
-    else:
-        near = _near(value, diagonal, rows, percent)
-    found = ((rows[i].hits(rows[j], k), i, j) for i, j in near)
-    return [(hits, i, j) for hits, i, j in found if hits >= max(rows[i].needed, rows[j].needed)]
-
-
-def _near(value: int, diagonal: bool, rows: list[_Node], percent: int) -> list[tuple[int, int]]:
-    """Places of the pairs of many rows that share enough values at all, by products of matrices."""
-    n, least, component, side = (np.array(x) for x in zip(*((r.n, r.needed, r.component, r.second) for r in rows)))
+        found = ((rows[i].hits(rows[j], k), i, j) for i, j in near)
+        return [(hits, i, j) for hits, i, j in found if hits >= max(rows[i].needed, rows[j].needed)]
+    least = np.array([r.needed for r in rows])
+    i, j = _near(value, diagonal, rows, percent)
+    enough = np.maximum(least[i], least[j])
+    held = _bits([list(r.sketch) for r in rows])
+    kept = _shared(held, i, j) >= enough
+    i, j, enough = i[kept], j[kept], enough[kept]
+    hits = _union_hits(rows, i, j, k)
+    kept = hits >= enough
+    return list(zip(hits[kept].tolist(), i[kept].tolist(), j[kept].tolist()))
+
+
+def _near(value: int, diagonal: bool, rows: list[_Node], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of many rows that the list of ``value`` answers for."""
+    n, component, side = (np.array(x) for x in zip(*((r.n, r.component, r.second) for r in rows)))
     able = 100 * np.minimum.outer(n, n) >= percent * np.maximum.outer(n, n)
     able &= component[:, None] != component[None, :]
     if not diagonal:
@@ -201,8 +211,43 @@ def _near(value: int, diagonal: bool, rows: list[_Node], percent: int) -> list[t
     able = np.triu(able, 1)
     if able.any():
         able &= _common([[v for v in r.listed if v < value] for r in rows]) == 0
-        able &= _common([list(r.sketch) for r in rows]) >= np.maximum.outer(least, least)
-    return list(zip(*(x.tolist() for x in np.nonzero(able))))
+    return np.nonzero(able)
+
+
+def _bits(lists: list[list]) -> np.ndarray:
+    """A row of bits per list of distinct values, a bit per value that several lists hold."""
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    number: dict = {}
+    column = np.fromiter((number.setdefault(v, len(number)) for x in lists for v in x), np.int64, len(owner))
+    several = np.bincount(column, minlength=1) > 1
+    kept = several[column] if len(column) else np.zeros(0, bool)
+    place = (np.cumsum(several) - 1)[column[kept]]
+    bits = np.zeros((len(lists), -(-int(several.sum()) // 64) * 8), np.uint8)
+    np.bitwise_or.at(bits, (owner[kept], place >> 3), np.left_shift(1, place & 7).astype(np.uint8))
+    return bits.view(np.uint64)
+
+
+def _shared(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many values the lists of each pair of places share."""
+    step = max(1, CHUNK_BYTES // max(8, 8 * bits.shape[1]))
+    parts = [np.bitwise_count(bits[i[at : at + step]] & bits[j[at : at + step]]).sum(axis=1, dtype=np.int64) for at in range(0, len(i), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
+def _union_hits(rows: list[_Node], i: np.ndarray, j: np.ndarray, k: int) -> np.ndarray:
+    """_Node.hits() of each pair of places."""
+    width = max(len(r.sketch) for r in rows)
+    absent = np.iinfo(np.int64).max
+    held = np.full((len(rows), width), absent)
+    for row, r in zip(held, rows):
+        row[: len(r.sketch)] = list(r.sketch)
+    out, step = [np.zeros(0, np.int64)], max(1, CHUNK_BYTES // (16 * width))
+    for at in range(0, len(i), step):
+        both = np.sort(np.concatenate([held[i[at : at + step]], held[j[at : at + step]]], axis=1), axis=1)
+        twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != absent)
+        rank = np.arange(2, 2 * width + 1) - np.cumsum(twice, axis=1)
+        out.append((twice & (rank <= k)).sum(axis=1))
+    return np.concatenate(out)
 
 
 def _common(lists: list[list[int]]) -> np.ndarray:
@@ -230,6 +275,8 @@ def _tied(rows: list[_Node], pairs: list[tuple[int, int, int]], percent: int, sh
 
     sets: dict[int, set[bytes]] = {}
     out = []
+    if len(pairs) > FEW_PAIRS:
+        pairs = _similar(rows, pairs, percent, shingle)
     for _, i, j in sorted(pairs, reverse=True):
         x, y = root(rows[i].component), root(rows[j].component)
         if x == y:
@@ -244,6 +291,19 @@ def _tied(rows: list[_Node], pairs: list[tuple[int, int, int]], percent: int, sh
     return out
 
 
+def _similar(rows: list[_Node], pairs: list[tuple[int, int, int]], percent: int, shingle: int) -> list[tuple[int, int, int]]:
+    """The pairs whose full sets are similar, for many pairs of a cell: the sets become rows of bits."""
+    places = sorted({x for _, *pair in pairs for x in pair})
+    sets = [list(dict.fromkeys(shingles(rows[at].text, shingle))) for at in places]
+    size = np.array([len(x) for x in sets])
+    at = np.full(len(rows), -1)
+    at[places] = np.arange(len(places))
+    i, j = (at[[pair[side] for pair in pairs]] for side in (1, 2))
+    common = _shared(_bits(sets), i, j)
+    kept = 100 * common >= percent * (size[i] + size[j] - common)
+    return [pair for pair, same in zip(pairs, kept.tolist()) if same]
+
+
 def _lists(column: pa.ListArray) -> Iterator[list[int]]:
     values, ends = column.flatten().to_pylist(), column.offsets.to_pylist()
     first = ends[0]

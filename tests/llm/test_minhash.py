@@ -124,6 +124,32 @@ def test_a_cell_gives_fewer_links_than_nodes(count):
         assert minhash._cell_pairs(8, diagonal, rows, minhash.K, 80) == [] or count > minhash.FEW
 
 
+def test_pairs_of_large_cells_are_counted_as_one_by_one(monkeypatch):
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i, words in enumerate(versions(rnd, base, 140, 6)):
+        text = words.encode()
+        sketch = sorted({hash(x) & 0xFFFFFFFF for x in set(minhash.shingles(text))})[: minhash.K]
+        size = len(set(minhash.shingles(text)))
+        rows.append(minhash._Node(i % 2 == 1, i, i // 3, size, minhash.needed(size), [7, *rnd.sample(range(8), 1)], sketch, text))
+    for diagonal in (True, False):
+        many = minhash._cell_pairs(7, diagonal, rows, minhash.K, 80)
+        assert len(many) > minhash.FEW_PAIRS
+        tied = minhash._tied(rows, many, 80, 4)
+        with monkeypatch.context() as plain:
+            plain.setattr(minhash, "FEW", 1000)
+            plain.setattr(minhash, "FEW_PAIRS", 10**6)
+            # (i, j) of either order
+            few = minhash._cell_pairs(7, diagonal, rows, minhash.K, 80)
+            assert sorted((h, *sorted(p)) for h, *p in few) == sorted((h, *sorted(p)) for h, *p in many)
+            # no pair of many rows is looked at one by one
+            assert minhash._tied(rows, many, 80, 4) == tied
+        with monkeypatch.context() as slow:
+            slow.setattr(minhash._Node, "hits", None)
+            assert minhash._cell_pairs(7, diagonal, rows, minhash.K, 80) == many
+
+
 def test_empty_table(docs_of):
     assert minhash.near_duplicates(docs_of([])).collect() == []
     assert answer(minhash.near_duplicates(docs_of([(4, None)]))) == [(4, 0, 4, True)]
