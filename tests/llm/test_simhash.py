@@ -95,3 +95,30 @@ def test_components(spark):
 
 def test_empty_table(docs_of):
     assert simhash.near_duplicates(docs_of([])).collect() == []
+
+
+def test_steps_of_few_edges_are_few_files(spark, monkeypatch):
+    from nnfield.llm import components as module
+
+    files = []
+
+    def counted(df, name):
+        table = stored(df, name)
+        files.append(len(table.inputFiles()))
+        return table
+
+    stored = module.stored
+    monkeypatch.setattr(module, "stored", counted)
+    edges = spark.range(1, 3000).selectExpr("id as a", "id % 10 as b")
+    # without this the partitions of a small shuffle are put together anyway
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert components(edges).select("component").distinct().count() == 10
+        # the edges themselves come as they are; a step before had a file per shuffle partition
+        assert len(files) > 4 and max(files[1:]) == 1
+        files.clear()
+        monkeypatch.setattr(module, "FILE_EDGES", 1500)
+        assert components(edges).select("component").distinct().count() == 10
+        assert 1 < max(files[1:]) <= 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
