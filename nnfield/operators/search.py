@@ -15,11 +15,14 @@ Two layouts give the same field:
   from which the moves of the next round reach into it. So a round cuts the patches of A where the
   field is, sends the candidates to the tiles of B once, and sends back the best of each pixel and tile of B.
   A tile of B that attracts many matches is copied as often as a count of the field asks for.
+  Where the images of each pair stay below ``COPIED_BYTES``, tiles are larger, at most ``COPIES`` of them, and each tile of A
+  has a copy of all tiles of B beside it: draws go all over B, so that sending them with their patches takes far
+  more bytes than the copies. Then a round shuffles the field alone.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -52,11 +55,15 @@ _CODE_BASE = 2**31
 _A_TILE = ["pair_id", "aty", "atx"]
 # Candidates and their patches that meet a byte of an image: what the partitions of tiles are sized by.
 TILE_BYTES = 16
+# Packed bytes of an image up to which it is copied, and the copies of it (or the number of pairs, if there are more).
+COPIED_BYTES = 256 * 1024 * 1024
+COPIES = 64
 
 
 @dataclass(frozen=True)
 class SearchOptions:
-    """Parameters of a search. ``random`` is closed or half_open, ``propagation`` jump or scan."""
+    """Parameters of a search. ``random`` is closed or half_open, ``propagation`` jump or scan. Tiled images are copied
+    if the largest has ``copy_pixels``; ``tile_edge`` is then the least edge of a tile."""
 
     patch_size: int = 3
     channels: int = 1
@@ -67,6 +74,7 @@ class SearchOptions:
     whole_edge: int = WHOLE_EDGE
     tile_edge: int = TILE_EDGE
     rounds_per_checkpoint: int = 4
+    copy_pixels: int = 4096
 
     @property
     def halo(self) -> int:
@@ -85,6 +93,7 @@ class BoundPairs:
     """Pairs with their images packed: ``whole`` and ``tiled`` are None where no pair needs them.
 
     ``violations(pair_id, reason)`` are the pairs that can't be searched and have no rows in any field.
+    ``copied``: all tiles of B stand beside each tile of A; tiles have ``tile_edge``.
     """
 
     whole: DataFrame | None
@@ -94,6 +103,8 @@ class BoundPairs:
     tile_partitions: int
     features: tuple[str, ...]
     violations: DataFrame
+    tile_edge: int
+    copied: bool
 
     @property
     def weights(self) -> list[str]:
@@ -104,6 +115,11 @@ class BoundPairs:
         return [f"{p}_{f}" for p in ("pa", "pb") for f in self.features]
 
 
+def _edges(options: SearchOptions) -> list[int]:
+    """Edges a tile may have."""
+    return [options.tile_edge << k for k in range(31) if options.tile_edge << k < 2**30]
+
+
 def _bytes(images: DataFrame) -> DataFrame:
     """0..255 shifted to a signed byte: differences stay the same, arrays shrink to a quarter."""
     values = "data" if "data" in images.columns else "v"
@@ -164,10 +180,18 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
     facts = pairs.selectExpr(
         f"max({large}) as any_large", f"min({large}) as all_large", "max(w_aux) as aux",
         "sum(cast(h as bigint) * w * c) as total",
+        f"max(if({large}, cast(h as bigint) * w, 0)) as largest", f"count_if({large}) as pairs",
+        *[f"sum(if({large}, ceil(h / {e}) * ceil(w / {e}), 0)) as tiles_{e}" for e in _edges(options)],
     ).first()
     features = ("main", "aux") if facts["aux"] else ("main",)
     partitions = partitions_for(spark, (facts["total"] or 0) * 2 * len(features))
     tile_partitions = partitions_for(spark, (facts["total"] or 0) * len(features) * TILE_BYTES)
+    tile_edge, packed = options.tile_edge, (facts["largest"] or 0) * options.channels * len(features)
+    fit = [e for e in _edges(options) if (facts[f"tiles_{e}"] or 0) <= max(COPIES, facts["pairs"])]
+    copied = bool(fit) and (facts["largest"] or 0) >= options.copy_pixels and packed <= COPIED_BYTES
+    if copied:
+        tile_edge = fit[0]
+        tile_partitions = partitions_for(spark, packed * facts[f"tiles_{tile_edge}"])
     images = _bytes(pixels)
     image_large = large if "h" in pixels.columns else large.replace("h, w", "height, width")
     weights = ["w_main", *(["w_aux"] if facts["aux"] else [])]
@@ -188,7 +212,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         whole = cut_lineage(whole.repartition(partitions, "pair_id"))
     if facts["any_large"]:
         big = pairs.where(large)
-        blocks = image_blocks(images.where(image_large), options.halo, options.tile_edge)
+        blocks = image_blocks(images.where(image_large), options.halo, tile_edge)
         tile = ["h", "w", "ty", "tx", "y0", "x0", "bh", "bw", "stride"]
         rows = bind_roles(big, blocks).selectExpr(
             "pair_id", "left(role, 1) as side", *tile, "struct(length(role) as role, px) as image"
@@ -204,7 +228,7 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         kept = ["pair_id", *numbers]
         tiled_a = tiled.where("side = 'a'").selectExpr(*kept, *[f"p_{f} as pa_{f}" for f in features])
         tiled_b = tiled.where("side = 'b'").selectExpr(*kept, *[f"p_{f} as pb_{f}" for f in features])
-    return BoundPairs(whole, tiled_a, tiled_b, partitions, tile_partitions, features, violations)
+    return BoundPairs(whole, tiled_a, tiled_b, partitions, tile_partitions, features, violations, tile_edge, copied)
 
 
 # ---------------------------------------------------------------- scoring
@@ -316,6 +340,31 @@ def _scored_tiled(met: str, bound: BoundPairs, options: SearchOptions, keep: lis
     )
 
 
+def _scored_copied(met: str, bound: BoundPairs, options: SearchOptions, keep: list[str]) -> str:
+    """The same where all tiles of B stand beside the tile of A: nothing is sent."""
+    edge, width = options.tile_edge, range(2 * options.halo + 1)
+    carry = list(dict.fromkeys([*keep, *_PLACE, "aty", "atx"]))
+    pa, pb = [f"pa_{f}" for f in bound.features], [f"pb_{f}" for f in bound.features]
+    known = [*carry, *bound.weights, *pa, *[f"ia{row}" for row in width]]
+    met_a = subquery([*carry, *bound.weights, *pa, *_row_bases("ia", "ay", "ax", "y0", "x0", options)], met)
+    met_b = f"(select /*+ shuffle_hash(t) */ r.*, {', '.join('t.' + b for b in pb)} from {met_a} r join {{b_tiles}} t using (pair_id, aty, atx))"
+    place = f"cast((by div {edge}) * ((w + {edge - 1}) div {edge}) + bx div {edge} as int)"
+    one = subquery(
+        [*known, *[f"{b}[{place}] as {b}" for b in pb], f"cast(by div {edge} as int) * {edge} as y0", f"cast(bx div {edge} as int) * {edge} as x0",
+         f"least({edge}, w - cast(bx div {edge} as int) * {edge}) + {2 * options.halo} as stride"], met_b)
+    return subquery([*known, *pb, *_row_flags(options), *_row_bases("ib", "by", "bx", "y0", "x0", options)], one)
+
+
+def _beside_tiles(bound: BoundPairs, options: SearchOptions) -> DataFrame:
+    """All tiles of B, row by row, for each tile (aty, atx) of A: both images have one shape."""
+    edge, pb = bound.tile_edge, [f"pb_{f}" for f in bound.features]
+    last = lambda size: f"explode(sequence(0, cast(({size} - 1) div {edge} as int)))"
+    every = bound.tiled_b.selectExpr("pair_id", "ty", "tx", "w", *pb, f"{last('h')} as aty").selectExpr("*", f"{last('w')} as atx")
+    every = every.select(*_A_TILE, "ty", "tx", *pb).repartition(bound.tile_partitions, *_A_TILE)
+    held = every.groupBy(*_A_TILE).agg(F.expr(f"array_sort(collect_list(struct(ty, tx, {', '.join(pb)}))) as tiles"))
+    return held.selectExpr(*_A_TILE, *[f"tiles.{b} as {b}" for b in pb])
+
+
 def _frames_of(bound: BoundPairs, options: SearchOptions, whole: bool, hot: DataFrame | None = None) -> dict[str, DataFrame]:
     """The tables a statement refers to."""
     if whole:
@@ -334,7 +383,7 @@ def _frames_of(bound: BoundPairs, options: SearchOptions, whole: bool, hot: Data
         "a_tiles": a_tiles.repartition(bound.tile_partitions, *_A_TILE),
         # what a pixel offers is evaluated once per tile, not per pixel
         "tries": a_tries.repartition(bound.tile_partitions, *_A_TILE),
-        "b_tiles": b_tiles.repartition(bound.tile_partitions, *_b_tile(hot is not None)),
+        "b_tiles": _beside_tiles(bound, options) if bound.copied else b_tiles.repartition(bound.tile_partitions, *_b_tile(hot is not None)),
     }
     if hot is not None:
         frames["hot"] = hot.withColumnsRenamed({"ty": "bty", "tx": "btx"})
@@ -350,14 +399,18 @@ def matched_tiles(field: DataFrame, bound: BoundPairs, options: SearchOptions) -
     return hot_tiles(times, ["pair_id"], bound.tile_partitions, edge, around=True)
 
 
+def _scored_apart(met: str, bound: BoundPairs, options: SearchOptions, keep: list[str], hot: bool) -> str:
+    return _scored_copied(met, bound, options, keep) if bound.copied else _scored_tiled(met, bound, options, keep, hot)
+
+
 def _scored_rows(bound: BoundPairs, options: SearchOptions, keep: list[str], whole: bool, hot: bool = False) -> str:
     """Statement scoring the rows of table ``rows`` as ``score``."""
     if whole:
         joined = f"(select /*+ shuffle_hash(i) */ r.*, {_image_columns(bound)} from {{rows}} r join {{images}} i using (pair_id))"
         source = _scored_whole(joined, bound, options, keep)
     else:
-        source = _scored_tiled(_met_a(_in_tiles("{rows}", options), bound), bound, options, keep, hot)
-    return subquery([*keep, f"{_fresh_score(bound, options, not whole)} as score"], source)
+        source = _scored_apart(_met_a(_in_tiles("{rows}", options), bound), bound, options, keep, hot)
+    return subquery([*keep, f"{_fresh_score(bound, options, not whole and not bound.copied)} as score"], source)
 
 
 def _image_columns(bound: BoundPairs) -> str:
@@ -373,6 +426,7 @@ def _run_sql(text: str, frames: dict[str, DataFrame]) -> DataFrame:
 def score_candidates(candidates: DataFrame, bound: BoundPairs, options: SearchOptions) -> DataFrame:
     """``candidates(pair_id, h, w, ay, ax, by, bx, ..)`` inside both images, with their distance ``d``."""
     columns = candidates.columns
+    options = replace(options, tile_edge=bound.tile_edge)
     parts = []
     for whole in (True, False):
         if (bound.whole if whole else bound.tiled_a) is None:
@@ -550,7 +604,7 @@ def _offered_in_tile(state: str, bound: BoundPairs, options: SearchOptions) -> s
     rows = f"(select /*+ shuffle_hash(t) */ s.*, t.tries from {ahead} s join {{tries}} t using (pair_id, aty, atx))"
     # the tile is met between the generator and the draws, in one piece they are too long for the JVM to compile
     tried = _met_a(_tried(rows, options, ["round", "aty", "atx"], options.tile_edge), bound)
-    return _drawn(tried, options, ["round", *_a_tile_columns(bound)])
+    return _drawn(tried, options, ["round", *(["aty", "atx"] if bound.copied else []), *_a_tile_columns(bound)])
 
 
 def _tiles_in_need(options: SearchOptions) -> str:
@@ -568,8 +622,8 @@ def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, mo
     """The best candidate per pixel, back in the tiles of A: combined where the tile of B is, then sent, then
     combined again. ``more``: another round follows, so that tiles beside a pixel get its match as well."""
     keys = ["pair_id", "h", "w", "ay", "ax", "round"]
-    here = list(dict.fromkeys([*keys, *_b_tile(hot)]))
-    fresh = _fresh_score(bound, options, True)
+    here = list(dict.fromkeys([*keys, *(_A_TILE if bound.copied else _b_tile(hot))]))
+    fresh = _fresh_score(bound, options, not bound.copied)
     if options.scale is None:
         held = ["m"]
         combined = subquery([*here, f"min(struct({fresh} as score, pri, by, bx)) as m"], source, group_by=here)
@@ -585,7 +639,7 @@ def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, mo
         ahead = subquery([*keys, *held, f"abs(coalesce({_stride_of_round(options, '(round + 1)')}, 0)) as far"], combined)
         spread = subquery([*keys, *held, f"inline({_tiles_in_need(options)})"], ahead)
     else:
-        spread = _in_tiles(combined, options)
+        spread = _in_tiles(subquery([*keys, *held], combined), options)
     # declared present before the exchange, whose columns the rounds must not change
     known = subquery([*keys, *held, "coalesce(aty, 0) as aty", "coalesce(atx, 0) as atx"], spread)
     sent = subquery([f"/*+ repartition({bound.tile_partitions}, {', '.join(_A_TILE)}) */ *"], known)
@@ -603,7 +657,7 @@ def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, mo
 
 
 def _next_tiled(state: str, bound: BoundPairs, options: SearchOptions, more: bool, hot: bool) -> str:
-    source = _scored_tiled(_offered_in_tile(state, bound, options), bound, options, [*_PLACE, "round", "pri"], hot)
+    source = _scored_apart(_offered_in_tile(state, bound, options), bound, options, [*_PLACE, "round", "pri"], hot)
     return _settled_in_tiles(source, bound, options, more, hot)
 
 
@@ -651,13 +705,15 @@ def _start_tiled(bound: BoundPairs, options: SearchOptions, given: DataFrame | N
         pixels = block_positions(bound.tiled_a, "pair_id", "h", "w", "round").withColumnsRenamed({"y": "ay", "x": "ax"})
         rows = _run_sql(_random_start("{pixels}", pixels.columns), {"pixels": pixels}).select(*keep)
     placed = subquery(["*", "0 as pri"], _in_tiles("{rows}", options))
-    source = _scored_tiled(_met_a(placed, bound), bound, options, [*keep, "pri"], "hot" in tables)
+    source = _scored_apart(_met_a(placed, bound), bound, options, [*keep, "pri"], "hot" in tables)
     return _run_sql(_settled_in_tiles(source, bound, options, more, "hot" in tables), {**tables, "rows": rows})
 
 
 def _run_tiled(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFrame | None) -> DataFrame:
     edge = options.tile_edge
-    if given is not None:
+    if bound.copied:
+        hot = None
+    elif given is not None:
         hot = matched_tiles(given, bound, options)
     else:  # random matches meet each tile as often as it has pixels
         times = bound.tiled_b.selectExpr("pair_id", "ty", "tx", "cast(bh * bw as bigint) as times")
@@ -670,7 +726,7 @@ def _run_tiled(bound: BoundPairs, options: SearchOptions, rounds: int, given: Da
         if done < rounds and done % options.rounds_per_checkpoint == 0:
             state = cut_lineage(state)
             own = state.where(f"ay div {edge} = aty and ax div {edge} = atx")
-            tables = _frames_of(bound, options, False, matched_tiles(own, bound, options))
+            tables = _frames_of(bound, options, False, None if bound.copied else matched_tiles(own, bound, options))
             state = state.repartition(bound.tile_partitions, *_A_TILE)
     return state
 
@@ -683,6 +739,7 @@ def _run(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFram
 def search_rounds(bound: BoundPairs, options: SearchOptions, rounds: int, start: DataFrame | None = None) -> DataFrame:
     """Run ``rounds`` rounds from the field ``start``, or from a random one."""
     large = f"greatest(h, w) > {options.whole_edge}"
+    options = replace(options, tile_edge=bound.tile_edge)
     parts = []
     for whole in (True, False):
         if (bound.whole if whole else bound.tiled_a) is not None:

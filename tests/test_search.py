@@ -259,3 +259,35 @@ def test_tiles_after_a_checkpoint_give_the_same_field(spark):
     tiled = SearchOptions(whole_edge=4, tile_edge=4, rounds_per_checkpoint=1)
     fields = [search_rounds(bind_pairs(pairs, pixels, o), o, 2) for o in (whole, tiled)]
     assert rows_of(fields[0]) == rows_of(fields[1])
+
+
+@pytest.mark.parametrize("mode,channels,propagation", [("single", 3, "jump"), ("double", 1, "scan")])
+def test_copied_images_give_the_same_field(spark, monkeypatch, mode, channels, propagation):
+    from nnfield.operators import search
+
+    _, pixels, pairs = small_tables(spark, 23, 9, channels, mode)
+    whole = SearchOptions(channels=channels, propagation=propagation)
+    copied = dataclasses.replace(whole, whole_edge=4, tile_edge=4, copy_pixels=1, rounds_per_checkpoint=2)
+    monkeypatch.setattr(search, "COPIES", 6)
+    bound = bind_pairs(pairs, pixels, copied)
+    assert bound.copied and bound.tile_edge == 16
+    fields = [search_rounds(b, o, 3) for b, o in ((bind_pairs(pairs, pixels, whole), whole), (bound, copied))]
+    assert rows_of(fields[0]) == rows_of(fields[1])
+    again = search_rounds(bound, copied, 1, start=search_rounds(bound, copied, 2))
+    assert rows_of(again) == rows_of(fields[0])
+    monkeypatch.setattr(search, "COPIED_BYTES", 23 * 9)
+    assert bind_pairs(pairs, pixels, copied).copied is False
+
+
+def test_a_copied_round_shuffles_the_field_alone(spark):
+    _, pixels, pairs = small_tables(spark, 13, 9, count=1)
+    options = SearchOptions(whole_edge=4, tile_edge=4, copy_pixels=1)
+    bound = bind_pairs(pairs, pixels, options)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plans = [search_rounds(bound, options, n)._jdf.queryExecution().executedPlan().toString() for n in (1, 2)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    # beside the packed tiles, which are shuffled once: the best candidates to the tiles of A
+    counts = [sum("Exchange hashpartitioning" in line and "ReusedExchange" not in line for line in p.splitlines()) for p in plans]
+    assert counts[1] - counts[0] == 1
