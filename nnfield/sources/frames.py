@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from nnfield.sources.images import explode_pixels
+from nnfield.sources.files import BINARY_SCHEMA, decode_files
+from nnfield.sources.images import explode_pixels, image_columns
 
 FRAME_SCHEMA = (
     "clip_id BIGINT, role STRING, frame_no INT, ts TIMESTAMP, h INT, w INT, y INT, x INT, v ARRAY<INT>"
@@ -34,22 +35,25 @@ def stream_frames(
 
 
 def stream_frame_files(
-    spark: SparkSession, path: str, files_per_trigger: int | None = None, pattern: str = FRAME_PATH
+    spark: SparkSession, path: str, files_per_trigger: int | None = None, pattern: str = FRAME_PATH, png: bool = False
 ) -> DataFrame:
     """Image files below ``path`` as they arrive: (path, clip_id, role, frame_no, height, width, channels, data, reason).
 
     Clip, role and frame number are the groups of ``pattern`` in the path. ``reason`` names why a file is no
-    frame: no image, or a path that says nothing; else it is null. Pixels have the decoder's channel order.
+    frame: no image, or a path that says nothing; else it is null. Pixels have the decoder's channel order. ``png``: the
+    files are such as ``scan_png`` reads, and are read as it does.
     """
-    reader = spark.readStream.schema(_IMAGE_SCHEMA).option("dropInvalid", "false").option("recursiveFileLookup", "true")
+    reader = spark.readStream.option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    files = reader.format("image").load(path)
-    part = lambda k: F.regexp_extract("image.origin", pattern, k)
+    if png:
+        files = decode_files(reader.schema(BINARY_SCHEMA).format("binaryFile").load(path))
+    else:
+        files = image_columns(reader.schema(_IMAGE_SCHEMA).option("dropInvalid", "false").format("image").load(path))
+    part = lambda k: F.regexp_extract("path", pattern, k)
     named = files.select(
-        F.col("image.origin").alias("path"), part(1).try_cast("bigint").alias("clip_id"), part(2).alias("role"), part(3).try_cast("int").alias("frame_no"),
-        F.col("image.height").alias("height"), F.col("image.width").alias("width"),
-        F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
+        "path", part(1).try_cast("bigint").alias("clip_id"), part(2).alias("role"), part(3).try_cast("int").alias("frame_no"),
+        "height", "width", "channels", "data",
     )
     known = F.col("clip_id").isNotNull() & F.col("frame_no").isNotNull() & F.col("role").isin(*FRAME_ROLES)
     reason = F.when(~F.coalesce(known, F.lit(False)), "unknown path").when(F.coalesce(F.col("height"), F.lit(0)) <= 0, "not an image")

@@ -10,7 +10,12 @@ def scan_images(spark: SparkSession, path: str) -> DataFrame:
 
     A file that is no image stays, with ``valid`` false and no pixels.
     """
-    return spark.read.format("image").option("dropInvalid", "false").load(path).select(
+    return image_columns(spark.read.format("image").option("dropInvalid", "false").load(path))
+
+
+def image_columns(files: DataFrame) -> DataFrame:
+    """Rows of Spark's image source as columns."""
+    return files.select(
         F.col("image.origin").alias("path"),
         F.col("image.height").alias("height"),
         F.col("image.width").alias("width"),

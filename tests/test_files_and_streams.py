@@ -1,12 +1,16 @@
 import re
+import struct
+import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from nnfield import fixtures as fx
 from nnfield.functions.pixels import mask_blend, swap_channels
 from nnfield.operators.search import SearchOptions, bind_pairs, search_rounds
-from nnfield.sources.files import encode_png
+from nnfield.queries import QUERIES
+from nnfield.sources.files import SIGNATURE, decode_png, encode_png, scan_png, write_png
 from nnfield.plans.video import warp_video
 from nnfield.sources.fields import read_field, write_field
 from nnfield.sources.frames import MASK_SCHEMA, frame_files_to_table, scan_frames, stream_frame_files, stream_frames, write_clips, write_frames
@@ -196,6 +200,71 @@ def test_all_byte_values_and_undecodable_files(spark, tmp_path):
     assert [(r.height, r.width, r.channels, r.data) for r in back] == [(96, 96, 3, picture.ravel().tolist())]
 
 
+def png(width, height, depth, colour, lines, interlace=0, extra=b""):
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    header = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlace))
+    packed = zlib.compress(bytes(lines))
+    return SIGNATURE + header + extra + chunk(b"IDAT", packed[:5]) + chunk(b"IDAT", packed[5:]) + chunk(b"IEND", b"")
+
+
+def test_png_reader_gives_what_the_image_source_gives(spark, tmp_path):
+    draw, folder = np.random.default_rng(9), tmp_path / "some files"
+    folder.mkdir()
+    for colour, channels in ((0, 1), (2, 3), (6, 4)):
+        (folder / f"plain{channels}.png").write_bytes(encode_png(draw.integers(0, 256, (5, 7, channels))))
+        for width in (1, 13):
+            lines = [[y % 5, *draw.integers(0, 256, width * channels).tolist()] for y in range(20)]
+            (folder / f"differences{channels}-{width}.png").write_bytes(png(width, 20, 8, colour, sum(lines, [])))
+    (folder / "none.png").write_bytes(b"no image")
+    (folder / "empty.png").write_bytes(b"")  # Spark skips it
+    columns = ("path", "height", "width", "channels", "data", "valid")
+    ours, theirs = ({r.path: tuple(r) for r in read(spark, str(folder)).select(*columns).collect()} for read in (scan_png, scan_images))
+    assert ours == theirs and sum(r[5] for r in ours.values()) == 9 and len(ours) == 10
+
+
+def test_png_of_other_kinds_are_named_and_not_misread(spark, tmp_path):
+    whole = encode_png(np.arange(12).reshape(3, 4, 1))
+    key = struct.pack(">I", 2) + b"tRNS" + bytes(2) + struct.pack(">I", zlib.crc32(b"tRNS" + bytes(2)))
+    other = {
+        "cut": whole[:-20], "half": whole[:30], "long": png(4, 3, 8, 0, bytes(16)), "short": png(4, 3, 8, 0, bytes(14)),
+        "filter": png(4, 3, 8, 0, bytes([5, 0, 0, 0, 0]) * 3), "depth": png(4, 3, 16, 0, bytes(27)), "palette": png(4, 3, 8, 3, bytes(15)),
+        "interlaced": png(4, 3, 8, 0, bytes(20), 1), "key": png(4, 3, 8, 0, bytes(15), extra=key),
+    }
+    for name, content in other.items():
+        assert decode_png(content) is None, name
+        (tmp_path / f"{name}.png").write_bytes(content)
+    (tmp_path / "whole.png").write_bytes(whole)
+    files = {r.path.rpartition("/")[2]: r for r in scan_png(spark, f"file://{tmp_path}").collect()}
+    assert {n for n, r in files.items() if r.valid} == {"whole.png"} and bytes(files["whole.png"].data) == bytes(range(12))
+    assert {(r.height, r.width, r.channels, bytes(r.data)) for r in files.values() if not r.valid} == {(-1, -1, -1, b"")}
+
+
+@pytest.mark.parametrize("name", ["image_files", "analogy_files"])
+def test_written_files_are_not_read_by_the_image_source(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan binaryFile" in plan and "FileScan image" not in plan
+
+
+def test_many_small_files_share_tasks_and_are_all_read(spark, tmp_path):
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    count = 32 * tasks + 100
+    made = spark.range(count).selectExpr("id", "1 as height", "2 as width", "1 as channels", "array(cast(id % 256 as int), cast(id div 256 % 256 as int)) as data")
+    assert write_png(made, str(tmp_path / "f"), "id") == count
+    back = scan_png(spark, str(tmp_path / "f"))
+    assert back.rdd.getNumPartitions() <= tasks < spark.read.format("binaryFile").load(str(tmp_path / "f")).rdd.getNumPartitions()
+    got = {int(r.path.rpartition("=")[2][:-4]): bytes(r.data) for r in back.collect()}
+    assert got == {i: bytes([i % 256, i // 256 % 256]) for i in range(count)}
+
+
+def test_batches_end_at_their_bytes(spark, tmp_path, monkeypatch):
+    pictures = {i: np.random.default_rng(i).integers(0, 256, (3, 5, 3)) for i in range(9)}
+    for i, picture in pictures.items():
+        (tmp_path / f"{i}.png").write_bytes(encode_png(picture))
+    monkeypatch.setattr("nnfield.sources.files.BATCH_BYTES", 100)
+    got = {int(r.path.rpartition("/")[2][:-4]): bytes(r.data) for r in scan_png(spark, str(tmp_path)).collect()}
+    assert got == {i: p[:, :, ::-1].astype(np.uint8).tobytes() for i, p in pictures.items()}
+
+
 def test_bad_pairs_are_named_and_the_rest_searched(spark, sf_dir):
     images, pairs = fx.embedding_images(spark, sf_dir), fx.pairs(spark, sf_dir, "single").where("pair_id < 5")
     pixels = explode_pixels(images).where("not (image_id = 2 and y = 3 and x = 3) and image_id not in (4, 8, 9)")
