@@ -245,7 +245,7 @@ def test_written_files_are_not_read_by_the_image_source(spark, sf_dir, name):
     assert "FileScan binaryFile" in plan and "FileScan image" not in plan
 
 
-def test_many_small_files_share_tasks_and_are_all_read(spark, tmp_path):
+def test_many_small_files_share_tasks_and_are_all_read(spark, tmp_path, monkeypatch):
     tasks = 4 * spark.sparkContext.defaultParallelism
     count = 32 * tasks + 100
     made = spark.range(count).selectExpr("id", "1 as height", "2 as width", "1 as channels", "array(cast(id % 256 as int), cast(id div 256 % 256 as int)) as data")
@@ -254,6 +254,9 @@ def test_many_small_files_share_tasks_and_are_all_read(spark, tmp_path):
     assert back.rdd.getNumPartitions() <= tasks < spark.read.format("binaryFile").load(str(tmp_path / "f")).rdd.getNumPartitions()
     got = {int(r.path.rpartition("=")[2][:-4]): bytes(r.data) for r in back.collect()}
     assert got == {i: bytes([i % 256, i // 256 % 256]) for i in range(count)}
+    size = sum(f.stat().st_size for f in (tmp_path / "f").iterdir())
+    monkeypatch.setattr("nnfield.sources.files.TASK_BYTES", size // (tasks + 2))
+    assert tasks + 2 <= scan_png(spark, str(tmp_path / "f")).rdd.getNumPartitions() <= tasks + 3
 
 
 def test_batches_end_at_their_bytes(spark, tmp_path, monkeypatch):
