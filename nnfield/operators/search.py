@@ -17,7 +17,8 @@ Two layouts give the same field:
   A tile of B that attracts many matches is copied as often as a count of the field asks for.
   Where the images of each pair stay below ``COPIED_BYTES``, tiles are larger, at most ``COPIES`` of them, and each tile of A
   has a copy of all tiles of B beside it: draws go all over B, so that sending them with their patches takes far
-  more bytes than the copies. Then a round shuffles the field alone.
+  more bytes than the copies. Then a round shuffles the field alone, packed, and numpy tries the candidates of a tile
+  together (``resident``).
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from nnfield.functions.windows import (
     score_scale,
 )
 from nnfield.functions.text import subquery
+from nnfield.operators import resident
 from nnfield.operators.blocks import block_positions, copied_blocks, copy_of, hot_tiles, image_blocks
 from nnfield.operators.pairs import attach, bind_roles
 from nnfield.operators.validate import pair_violations
@@ -47,6 +49,8 @@ WHOLE_EDGE = 256
 TILE_EDGE = 64
 FIRST_RANDOM = 5
 JUMPS = (8, 4, 2, 1)
+# Fixed values: (pri, uy, ux) of the moves.
+STEPS = {"jump": [(1, 1, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1)], "scan": [(1, 0, 1), (2, 1, 0)]}
 FIELD_COLUMNS = ["pair_id", "h", "w", "ay", "ax", "by", "bx", "d", "round"]
 _STATE = ["pair_id", "h", "w", "ay", "ax", "by", "bx", "score", "round"]
 _PLACE = ["pair_id", "h", "w", "ay", "ax", "by", "bx"]
@@ -399,17 +403,14 @@ def matched_tiles(field: DataFrame, bound: BoundPairs, options: SearchOptions) -
     return hot_tiles(times, ["pair_id"], bound.tile_partitions, edge, around=True)
 
 
-def _scored_apart(met: str, bound: BoundPairs, options: SearchOptions, keep: list[str], hot: bool) -> str:
-    return _scored_copied(met, bound, options, keep) if bound.copied else _scored_tiled(met, bound, options, keep, hot)
-
-
 def _scored_rows(bound: BoundPairs, options: SearchOptions, keep: list[str], whole: bool, hot: bool = False) -> str:
     """Statement scoring the rows of table ``rows`` as ``score``."""
     if whole:
         joined = f"(select /*+ shuffle_hash(i) */ r.*, {_image_columns(bound)} from {{rows}} r join {{images}} i using (pair_id))"
         source = _scored_whole(joined, bound, options, keep)
     else:
-        source = _scored_apart(_met_a(_in_tiles("{rows}", options), bound), bound, options, keep, hot)
+        met = _met_a(_in_tiles("{rows}", options), bound)
+        source = _scored_copied(met, bound, options, keep) if bound.copied else _scored_tiled(met, bound, options, keep, hot)
     return subquery([*keep, f"{_fresh_score(bound, options, not whole and not bound.copied)} as score"], source)
 
 
@@ -457,15 +458,8 @@ def _tries(options: SearchOptions, incumbent: bool = True, moves: bool = True, r
     test the match of the pixel above, below, left and right of them; a scan moves right, then down.
     From priority 5 on come the random draws, one per radius ``mag``.
     """
-    # Fixed values: (pri, uy, ux, mag) per propagation.
-    steps = {
-        "jump": [(1, 1, 0, 0), (2, -1, 0, 0), (3, 0, 1, 0), (4, 0, -1, 0)],
-        "scan": [(1, 0, 1, 0), (2, 1, 0, 0)],
-    }[options.propagation]
-    fixed = ([(0, 0, 0, 0)] if incumbent else []) + (steps if moves else [])
-    structs = ", ".join(
-        f"named_struct('pri', {p}, 'uy', {uy}, 'ux', {ux}, 'mag', {m})" for p, uy, ux, m in fixed
-    )
+    fixed = ([(0, 0, 0)] if incumbent else []) + (STEPS[options.propagation] if moves else [])
+    structs = ", ".join(f"named_struct('pri', {p}, 'uy', {uy}, 'ux', {ux}, 'mag', 0)" for p, uy, ux in fixed)
     parts = [f"array({structs})"] if fixed else []
     if random:
         given = str(options.radius) if options.radius is not None else "cast(null as int)"
@@ -604,7 +598,7 @@ def _offered_in_tile(state: str, bound: BoundPairs, options: SearchOptions) -> s
     rows = f"(select /*+ shuffle_hash(t) */ s.*, t.tries from {ahead} s join {{tries}} t using (pair_id, aty, atx))"
     # the tile is met between the generator and the draws, in one piece they are too long for the JVM to compile
     tried = _met_a(_tried(rows, options, ["round", "aty", "atx"], options.tile_edge), bound)
-    return _drawn(tried, options, ["round", *(["aty", "atx"] if bound.copied else []), *_a_tile_columns(bound)])
+    return _drawn(tried, options, ["round", *_a_tile_columns(bound)])
 
 
 def _tiles_in_need(options: SearchOptions) -> str:
@@ -622,8 +616,8 @@ def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, mo
     """The best candidate per pixel, back in the tiles of A: combined where the tile of B is, then sent, then
     combined again. ``more``: another round follows, so that tiles beside a pixel get its match as well."""
     keys = ["pair_id", "h", "w", "ay", "ax", "round"]
-    here = list(dict.fromkeys([*keys, *(_A_TILE if bound.copied else _b_tile(hot))]))
-    fresh = _fresh_score(bound, options, not bound.copied)
+    here = list(dict.fromkeys([*keys, *_b_tile(hot)]))
+    fresh = _fresh_score(bound, options, True)
     if options.scale is None:
         held = ["m"]
         combined = subquery([*here, f"min(struct({fresh} as score, pri, by, bx)) as m"], source, group_by=here)
@@ -657,7 +651,7 @@ def _settled_in_tiles(source: str, bound: BoundPairs, options: SearchOptions, mo
 
 
 def _next_tiled(state: str, bound: BoundPairs, options: SearchOptions, more: bool, hot: bool) -> str:
-    source = _scored_apart(_offered_in_tile(state, bound, options), bound, options, [*_PLACE, "round", "pri"], hot)
+    source = _scored_tiled(_offered_in_tile(state, bound, options), bound, options, [*_PLACE, "round", "pri"], hot)
     return _settled_in_tiles(source, bound, options, more, hot)
 
 
@@ -705,15 +699,24 @@ def _start_tiled(bound: BoundPairs, options: SearchOptions, given: DataFrame | N
         pixels = block_positions(bound.tiled_a, "pair_id", "h", "w", "round").withColumnsRenamed({"y": "ay", "x": "ax"})
         rows = _run_sql(_random_start("{pixels}", pixels.columns), {"pixels": pixels}).select(*keep)
     placed = subquery(["*", "0 as pri"], _in_tiles("{rows}", options))
-    source = _scored_apart(_met_a(placed, bound), bound, options, [*keep, "pri"], "hot" in tables)
+    source = _scored_tiled(_met_a(placed, bound), bound, options, [*keep, "pri"], "hot" in tables)
     return _run_sql(_settled_in_tiles(source, bound, options, more, "hot" in tables), {**tables, "rows": rows})
 
 
+def _run_copied(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFrame | None) -> DataFrame:
+    jumps = options.jumps if options.propagation == "jump" else None
+    plan = resident.Plan(
+        options.halo, options.channels, options.radius, tuple(STEPS[options.propagation]), jumps, options.random == "closed",
+        options.tile_edge, options.scale, bound.features,
+    )
+    return resident.search(bound.tiled_a, bound.tiled_b, plan, bound.tile_partitions, rounds, given, options.rounds_per_checkpoint)
+
+
 def _run_tiled(bound: BoundPairs, options: SearchOptions, rounds: int, given: DataFrame | None) -> DataFrame:
     edge = options.tile_edge
     if bound.copied:
-        hot = None
-    elif given is not None:
+        return _run_copied(bound, options, rounds, given)
+    if given is not None:
         hot = matched_tiles(given, bound, options)
     else:  # random matches meet each tile as often as it has pixels
         times = bound.tiled_b.selectExpr("pair_id", "ty", "tx", "cast(bh * bw as bigint) as times")
@@ -726,7 +729,7 @@ def _run_tiled(bound: BoundPairs, options: SearchOptions, rounds: int, given: Da
         if done < rounds and done % options.rounds_per_checkpoint == 0:
             state = cut_lineage(state)
             own = state.where(f"ay div {edge} = aty and ax div {edge} = atx")
-            tables = _frames_of(bound, options, False, None if bound.copied else matched_tiles(own, bound, options))
+            tables = _frames_of(bound, options, False, matched_tiles(own, bound, options))
             state = state.repartition(bound.tile_partitions, *_A_TILE)
     return state
 
