@@ -15,13 +15,14 @@ from nnfield.operators.blocks import (
     met_tiles,
     pack_blocks,
 )
-from nnfield.operators.pairs import attach, bind_roles
+from nnfield.operators.pairs import attach, bind_roles, used_images
 from nnfield.session import cut_lineage
 
 
 def pair_blocks(pairs: DataFrame, pixels: DataFrame, image_column: str, edge: int = BLOCK_EDGE) -> DataFrame:
     """Blocks of the image in one pair column, keyed ``pair_id``: few rows per image are shuffled."""
-    return bind_roles(pairs, image_blocks(pixels, edge=edge), {"image": image_column}).drop("role", "image_id")
+    role = {"image": image_column}
+    return bind_roles(pairs, image_blocks(used_images(pairs, pixels, role), edge=edge), role).drop("role", "image_id")
 
 
 def longest_side(sizes: DataFrame, h: str = "h", w: str = "w") -> int:

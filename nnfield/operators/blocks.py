@@ -62,13 +62,19 @@ def pack_blocks(
     ``px`` is row-major and channel-interleaved over the tile and its halo. Beyond the image it
     holds NULL (``clip``), the edge pixel (``edge``) or the mirrored one (``reflect``).
     """
-    placed = (
-        pixels.selectExpr(*keys, "h", "w", "x", "v", f"explode({_placements('y', 'h', edge, halo, border)}) as py")
-        .selectExpr(*keys, "h", "w", "v", "py", f"explode({_placements('x', 'w', edge, halo, border)}) as px")
-        .selectExpr(
-            *keys, "h", "w", "py.tile as ty", "px.tile as tx", "py.at as vy", "px.at as vx", "v"
+    if halo:
+        placed = (
+            pixels.selectExpr(*keys, "h", "w", "x", "v", f"explode({_placements('y', 'h', edge, halo, border)}) as py")
+            .selectExpr(*keys, "h", "w", "v", "py", f"explode({_placements('x', 'w', edge, halo, border)}) as px")
+            .selectExpr(
+                *keys, "h", "w", "py.tile as ty", "px.tile as tx", "py.at as vy", "px.at as vx", "v"
+            )
+        )
+    else:  # one tile a pixel
+        tile = lambda at, size: f"if({at} is null, null, least(cast({at} div {edge} as int), cast(({size} - 1) div {edge} as int)))"
+        placed = pixels.selectExpr(
+            *keys, "h", "w", f"{tile('y', 'h')} as ty", f"{tile('x', 'w')} as tx", "y as vy", "x as vx", "v"
         )
-    )
     if border == "clip" and halo:
         absent = "transform(v, e -> if(false, e, null))"
         placed = placed.selectExpr(
@@ -148,6 +154,7 @@ def hot_tiles(times: DataFrame, keys: list[str], tasks: int, edge: int = BLOCK_E
     all lookups, so few that over HOT_TILES tiles had copies. Tiles met less than that have one copy and aren't listed.
     ``around`` lets the four tiles beside a listed one have as many copies.
     """
+    times = cut_lineage(times)  # a row a tile, read twice
     total = times.agg(F.sum("times")).first()[0] or 0
     answered = max(min(-(-total // (4 * tasks)), 2 * edge * edge), -(-total // HOT_TILES), 1)
     hot = times.where(F.col("times") > answered)

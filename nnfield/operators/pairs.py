@@ -42,6 +42,15 @@ def pair_roles(pairs: DataFrame, roles: dict[str, str] | None = None) -> DataFra
     )
 
 
+def used_images(pairs: DataFrame, images: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+    """The rows of ``images`` that ``bind_roles`` may join, so that others aren't packed first. All of them where the images
+    that pairs use are too many to be broadcast."""
+    ids = pair_roles(pairs, roles).select("image_id").distinct()
+    if ids.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return images
+    return images.join(F.broadcast(ids), "image_id", "left_semi")
+
+
 def bind_roles(pairs: DataFrame, images: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
     """Join image rows (pixels or blocks, keyed ``image_id``) to every pair and role that uses them.
 

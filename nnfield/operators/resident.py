@@ -1,4 +1,4 @@
-"""The tiled search where all of image B stands beside each tile of A, for a whole tile at a time in numpy.
+"""Tiles packed in numpy, and the tiled search where all of image B stands beside each tile of A, for a whole tile at a time in numpy.
 
 The state is a row for each tile of A: its matches and scores as packed arrays. A round meets it with the tile's
 pixels and all tiles of B, tries every candidate for the pixels of the tile together, and keeps the best. What the
@@ -26,6 +26,8 @@ from nnfield.session import cut_lineage
 KEYS = ["pair_id", "aty", "atx"]
 # Pixels whose candidates are scored together: their patches stay in a core's cache.
 CHUNK = 16_384
+# Pixels that are cut into pieces of tiles together.
+PIECE_PIXELS = 200_000
 _WORDS = {1: np.int8, 2: np.int16, 4: np.int32, 8: np.int64}
 # What a message holds: matches drawn at random, the state of the tile, or (from 1 on) what a move brings.
 _DRAWN, _OWN = -1, 0
@@ -66,6 +68,105 @@ class Plan:
         return [top >> k for k in range(top.bit_length())] if top > 0 else []
 
 
+# ---------------------------------------------------------------- packing
+
+
+def _spread(at: np.ndarray, size: int, edge: int, halo: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which, tile): the tiles in which each coordinate lies, halos included."""
+    first, last = np.maximum(at - halo, 0) // edge, np.minimum((at + halo) // edge, (size - 1) // edge)
+    for k in range(int((last - first).max(initial=-1)) + 1):
+        which = np.flatnonzero(first + k <= last)
+        yield which, first[which] + k
+
+
+def _parts(keys: np.ndarray) -> list[np.ndarray]:
+    """The positions of each value, in order; most often the keys are one value or nearly sorted."""
+    if not len(keys):
+        return []
+    if (keys == keys[0]).all():
+        return [np.arange(len(keys))]
+    order = np.argsort(keys, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(keys[order])) + 1)
+
+
+def _pieces(table: pa.Table, halo: int, edge: int, channels: int) -> Iterator[tuple]:
+    """(image_id, h, w, ty, tx, places, values) of the pixel rows that lie in one tile."""
+    image = table.column("image_id").dictionary_encode().unify_dictionaries().combine_chunks()
+    image = image.chunk(0) if isinstance(image, pa.ChunkedArray) else image
+    size, at = table.column("size").to_numpy(), table.column("at").to_numpy()
+    y, x = at >> 32, at & MASK
+    words = [table.column(f"v{k}").to_numpy().astype("<i8").view(np.int8).reshape(-1, 8) for k in range(-(-channels // 8))]
+    values = (words[0] if len(words) == 1 else np.concatenate(words, axis=1))[:, :channels]
+    for of_image in _parts(image.indices.to_numpy()):
+        image_id = image.dictionary[image.indices[of_image[0]].as_py()].as_py()
+        for of_shape in _parts(size[of_image]):
+            own = of_image[of_shape]
+            high, wide = int(size[own[0]]) >> 32, int(size[own[0]]) & MASK
+            for in_rows, ty in _spread(y[own], high, edge, halo):
+                for in_columns, tx in _spread(x[own][in_rows], wide, edge, halo):
+                    at, row = own[in_rows][in_columns], ty[in_columns]
+                    stride = np.minimum(edge, wide - tx * edge) + 2 * halo
+                    place = ((y[at] - row * edge + halo) * stride + (x[at] - tx * edge + halo)).astype(np.int32)
+                    for part in _parts(row.astype(np.int64) * (wide // edge + 1) + tx):
+                        yield image_id, high, wide, int(row[part[0]]), int(tx[part[0]]), place[part].tobytes(), values[at[part]].tobytes()
+
+
+def packed_tiles(pixels: DataFrame, halo: int, edge: int, channels: int) -> DataFrame:
+    """Tiles like those of ``pack_blocks``, halos beyond the image 0, with ``px`` as BINARY of signed bytes, for images of few tiles.
+
+    ``pixels(image_id, h, w, y, x, v)`` become pieces of tiles where they are read, so that the shuffle has a row for very many
+    pixels. A tile that lacks pixels has an empty ``px``.
+    """
+    kind = dict(pixels.dtypes)["image_id"]
+    whole = ["h", "w", "ty", "tx"]
+    piece = f"image_id {kind}, h int, w int, ty int, tx int, places binary, pixels binary"
+    geometry = ["y0", "x0", "bh", "bw", "stride", "c"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            made = [*_pieces(pa.Table.from_batches(held), halo, edge, channels)]
+            if made:
+                types = [held[0].schema.field("image_id").type, *[pa.int32()] * 4, pa.binary(), pa.binary()]
+                names = ["image_id", *whole, "places", "pixels"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= PIECE_PIXELS:
+                yield from flushed()
+                held, size = [], 0
+        if held:
+            yield from flushed()
+
+    def join(pieces: pa.Table) -> pa.Table:
+        h, w, ty, tx = (pieces.column(c)[0].as_py() for c in whole)
+        y0, x0 = ty * edge, tx * edge
+        bh, bw = min(edge, h - y0), min(edge, w - x0)
+        stride = bw + 2 * halo
+        px, seen = np.zeros(((bh + 2 * halo) * stride, channels), np.int8), np.zeros((bh + 2 * halo) * stride, bool)
+        for places, values in zip(pieces.column("places"), pieces.column("pixels")):
+            at = np.frombuffer(places.as_buffer(), np.int32)
+            px[at], seen[at] = np.frombuffer(values.as_buffer(), np.int8).reshape(-1, channels), True
+        inside = (min(y0 + bh + halo, h) - max(y0 - halo, 0)) * (min(x0 + bw + halo, w) - max(x0 - halo, 0))
+        data = px.tobytes() if seen.sum() == inside else b""
+        numbers = [pa.array([n], pa.int32()) for n in (h, w, ty, tx, y0, x0, bh, bw, stride, channels)]
+        image_id = pieces.column("image_id").combine_chunks().slice(0, 1)
+        return pa.table([image_id, *numbers, pa.array([data], pa.binary())], names=["image_id", *whole, *geometry, "px"])
+
+    # what a task hands over to Python costs by the value: both sizes, both coordinates and up to eight channels are one each
+    two = lambda high, low: f"shiftleft(cast({high} as bigint), 32) | cast({low} as bigint)"
+    byte = lambda k: f"shiftleft(cast(coalesce(cast(v[{k}] - 128 as tinyint), 0Y) & 255 as bigint), {k % 8 * 8})"
+    word = lambda k: " | ".join(byte(i) for i in range(k, min(k + 8, channels)))
+    rows = pixels.where(f"image_id is not null and y >= 0 and x >= 0 and y < h and x < w and size(v) = {channels}").selectExpr(
+        "image_id", f"{two('h', 'w')} as size", f"{two('y', 'x')} as at", *[f"{word(k)} as v{k // 8}" for k in range(0, channels, 8)])
+    pieces = rows.mapInArrow(cut, piece)
+    result = f"image_id {kind}, {', '.join(f'{c} int' for c in (*whole, *geometry))}, px binary"
+    return pieces.groupBy("image_id", *whole).applyInArrow(join, result)
+
+
 # ---------------------------------------------------------------- draws
 
 
@@ -357,18 +458,18 @@ def _packed_rows(plan: Plan, pair_type: pa.DataType) -> Callable[[pa.Table], pa.
     return run
 
 
-def _as_bytes(tiles: DataFrame, columns: list[str]) -> DataFrame:
-    """Arrays of bytes as BINARY."""
+def as_arrays(tiles: DataFrame, columns: list[str]) -> DataFrame:
+    """Packed pixels as arrays of bytes, for SQL."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c in columns:
-                held = batch.column(c)
-                packed = pa.array([held[i].values.to_numpy().tobytes() for i in range(len(held))], pa.binary())
-                batch = batch.set_column(batch.schema.get_field_index(c), c, packed)
+                held = [np.frombuffer(b.as_buffer(), np.int8) for b in batch.column(c)]
+                ends = np.cumsum([0, *map(len, held)], dtype=np.int32)
+                batch = batch.set_column(batch.schema.get_field_index(c), c, pa.ListArray.from_arrays(ends, np.concatenate(held or [np.zeros(0, np.int8)])))
             yield batch
 
-    schema = ", ".join(f"{c} binary" if c in columns else f"{c} {kind}" for c, kind in tiles.dtypes)
+    schema = ", ".join(f"{c} array<tinyint>" if c in columns else f"{c} {kind}" for c, kind in tiles.dtypes)
     return tiles.mapInArrow(run, schema)
 
 
@@ -379,7 +480,7 @@ def beside_tiles(tiled_a: DataFrame, tiled_b: DataFrame, plan: Plan, partitions:
     a = tiled_a.selectExpr("'a' as side", *held, *[f"pa_{f} as p_{f}" for f in plan.features])
     b = tiled_b.selectExpr("'b' as side", *held, *[f"pb_{f} as p_{f}" for f in plan.features])
     last = lambda size: f"cast(({size} - 1) div {plan.edge} as int)"
-    every = _as_bytes(a.unionByName(b), pixels).selectExpr(
+    every = a.unionByName(b).selectExpr(
         "*", f"explode(if(side = 'a', array(ty), sequence(0, {last('h')}))) as aty"
     ).selectExpr("*", f"explode(if(side = 'a', array(tx), sequence(0, {last('w')}))) as atx")
     return every.select(*KEYS, "side", *held[1:], *pixels).repartition(partitions, *KEYS)

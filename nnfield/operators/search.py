@@ -40,10 +40,10 @@ from nnfield.functions.windows import (
 from nnfield.functions.text import subquery
 from nnfield.operators import resident
 from nnfield.operators.blocks import block_positions, copied_blocks, copy_of, hot_tiles, image_blocks
-from nnfield.operators.pairs import attach, bind_roles
+from nnfield.operators.pairs import attach, bind_roles, used_images
 from nnfield.operators.validate import pair_violations
 from nnfield.session import cut_lineage, partitions_for
-from nnfield.sources.images import byte_values
+from nnfield.sources.images import byte_values, explode_pixels
 
 WHOLE_EDGE = 256
 TILE_EDGE = 64
@@ -97,7 +97,7 @@ class BoundPairs:
     """Pairs with their images packed: ``whole`` and ``tiled`` are None where no pair needs them.
 
     ``violations(pair_id, reason)`` are the pairs that can't be searched and have no rows in any field.
-    ``copied``: all tiles of B stand beside each tile of A; tiles have ``tile_edge``.
+    ``copied``: all tiles of B stand beside each tile of A; tiles have ``tile_edge`` and their pixels are BINARY.
     """
 
     whole: DataFrame | None
@@ -143,24 +143,23 @@ def _weighted(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _present(columns: dict[str, str]) -> list[str]:
+def _present(columns: dict[str, str], absent: str = "array(0Y)") -> list[str]:
     """Columns that are never NULL, declared so: generated code then carries no null checks."""
-    absent = "array(0Y)"
     return [
         f"coalesce({source}, {absent}) as {name}" if name[:2] in ("p_", "pa", "pb") else f"coalesce({source}, 0) as {name}"
         for name, source in columns.items()
     ]
 
 
-def _role_arrays(names: dict[str, str | int], features: tuple[str, ...]) -> dict[str, str]:
-    """Array column per role; a pair without a second image repeats the first with weight 0."""
+def _role_arrays(names: dict[str, str | int], features: tuple[str, ...], packed: bool = False) -> dict[str, str]:
+    """Array column per role (``packed``: BINARY); a pair without a second image repeats the first with weight 0."""
     held = {n: f"get(filter(images, e -> e.role = {role}), 0).px" for n, role in names.items()}
     out = {}
     for name, source in held.items():
         prefix, feature = name.split("_")
         if feature in features:
             value = source if feature == "main" else f"coalesce({source}, {held[prefix + '_main']})"
-            out[name] = f"transform({value}, e -> coalesce(e, 0Y))"
+            out[name] = value if packed else f"transform({value}, e -> coalesce(e, 0Y))"
     return out
 
 
@@ -216,17 +215,22 @@ def bind_pairs(pairs: DataFrame, pixels: DataFrame, options: SearchOptions) -> B
         whole = cut_lineage(whole.repartition(partitions, "pair_id"))
     if facts["any_large"]:
         big = pairs.where(large)
-        blocks = image_blocks(images.where(image_large), options.halo, tile_edge)
+        if copied:
+            rows = used_images(big, pixels.where(image_large))
+            rows = explode_pixels(rows) if "data" in rows.columns else rows
+            blocks = resident.packed_tiles(rows, options.halo, tile_edge, options.channels)
+        else:
+            blocks = image_blocks(images.where(image_large), options.halo, tile_edge)
         tile = ["h", "w", "ty", "tx", "y0", "x0", "bh", "bw", "stride"]
         rows = bind_roles(big, blocks).selectExpr(
             "pair_id", "left(role, 1) as side", *tile, "struct(length(role) as role, px) as image"
         ).groupBy("pair_id", "side", *tile).agg(F.expr("collect_list(image) as images"))
-        arrays = _role_arrays({"p_main": 1, "p_aux": 2}, features)
+        arrays = _role_arrays({"p_main": 1, "p_aux": 2}, features, packed=copied)
         numbers = {**{n: n for n in (*tile, *weights)}, "round": "0"}
         # both sides in one table: the pixels are read and packed once
         tiled = cut_lineage(
             attach(rows, big.select("pair_id", *weights), ["pair_id"], ["ty", "tx"]).selectExpr(
-                "pair_id", "side", *_present({**numbers, **arrays})
+                "pair_id", "side", *_present({**numbers, **arrays}, "X''" if copied else "array(0Y)")
             )
         )
         kept = ["pair_id", *numbers]
@@ -428,6 +432,9 @@ def score_candidates(candidates: DataFrame, bound: BoundPairs, options: SearchOp
     """``candidates(pair_id, h, w, ay, ax, by, bx, ..)`` inside both images, with their distance ``d``."""
     columns = candidates.columns
     options = replace(options, tile_edge=bound.tile_edge)
+    if bound.copied:
+        packed = lambda tiles, side: resident.as_arrays(tiles, [f"{side}_{f}" for f in bound.features])
+        bound = replace(bound, tiled_a=packed(bound.tiled_a, "pa"), tiled_b=packed(bound.tiled_b, "pb"))
     parts = []
     for whole in (True, False):
         if (bound.whole if whole else bound.tiled_a) is None:

@@ -101,3 +101,49 @@ def test_draws_are_those_of_the_sql(spark):
     drawn = spark.sql(draws.with_draws(keyed, ["p", "y", "x", "n", "s"], {"u": "s"})[1:-1], t=frame)
     for r in drawn.collect():
         assert int(_draw(_key(r.p, np.array([r.y]), np.array([r.x]), r.n), r.s)[0]) == r.u
+
+
+@pytest.mark.parametrize("channels,halo,edge", [(1, 0, 4), (3, 1, 4), (10, 3, 2), (2, 1, 64)])
+def test_tiles_packed_in_numpy_hold_the_same_pixels(spark, monkeypatch, channels, halo, edge):
+    from nnfield.operators import resident
+    from nnfield.operators.blocks import pack_blocks
+
+    monkeypatch.setattr(resident, "PIECE_PIXELS", 50)
+    images = {k: random_images(1, h, w, channels, seed=k)[0] for k, (h, w) in enumerate([(11, 5), (1, 9), (7, 3)])}
+    rows = [(i, h, w, y, x, [None if e == 7 else e for e in v]) for i, h, w, y, x, v in image_rows(images)]
+    rows = spark.createDataFrame([rows[(k * 31) % len(rows)] for k in range(len(rows))], PIXELS)  # 31: no order, each once
+    shifted = rows.selectExpr("image_id", "h", "w", "y", "x", "transform(v, e -> cast(e - 128 as tinyint)) as v")
+    columns = ["image_id", "h", "w", "ty", "tx", "y0", "x0", "bh", "bw", "stride", "c"]
+    expected = pack_blocks(shifted, ["image_id"], halo, "clip", edge).selectExpr(*columns, "transform(px, e -> coalesce(e, 0Y)) as px")
+    made = resident.as_arrays(resident.packed_tiles(rows, halo, edge, channels), ["px"])
+    assert sorted(map(tuple, made.select(*columns, "px").collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_a_tile_that_lacks_pixels_is_empty(spark):
+    from nnfield.operators import resident
+
+    rows = spark.createDataFrame(image_rows(random_images(1, 4, 9)), PIXELS).where("not (y = 3 and x = 0)")
+    rows = rows.unionByName(rows.where("y = 0 and x = 0")).selectExpr("image_id", "h", "w", "y", "x", "if(y = 1 and x = 8, array(1, 2), v) as v")
+    made = {(r.ty, r.tx): len(r.px) for r in resident.packed_tiles(rows, 0, 4, 1).collect()}
+    assert made == {(0, 0): 0, (0, 1): 16, (0, 2): 0}
+
+
+def test_images_that_no_pair_uses_are_not_packed(spark, monkeypatch):
+    from nnfield.operators import pairs as pair_module
+    from nnfield.operators.apply import pair_blocks
+
+    _, pixels, pairs = tables(spark, 5, 7)
+    blocks = pair_blocks(pairs, pixels, "b_img")
+    assert "LeftSemi" in blocks._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(pair_module, "BROADCAST_ROWS", 0)
+    every = pair_blocks(pairs, pixels, "b_img")
+    assert sorted(map(tuple, blocks.collect())) == sorted(map(tuple, every.collect())) != []
+
+
+def test_pixels_outside_the_image_lie_in_the_last_tile(spark):
+    from nnfield.operators.blocks import pack_blocks
+
+    rows = spark.createDataFrame([(0, 5, 5, y, x, [1]) for y, x in ((0, 0), (5, 1), (-4, 2), (9, 9), (None, 3))], PIXELS)
+    made = pack_blocks(rows, ["image_id"], 0, "clip", 2).collect()
+    assert sorted((r.ty, r.tx) for r in made if r.ty is not None) == [(-2, 1), (0, 0), (2, 0), (2, 2)]
+    assert [r.tx for r in made if r.ty is None] == [1]
