@@ -45,9 +45,11 @@ def images_of(position: str, size: str, reach: int, border: str) -> str:
     """
     if reach == 0:
         return f"array({position})"
-    beyond = f"sequence(-{reach}, {size} + {reach - 1})"
+    # only positions beyond the edges are tried: the work doesn't grow with the image
     if border in ("edge", "clip"):
-        return f"filter({beyond}, p -> greatest(least(p, {size} - 1), 0) = {position})"
+        first, last = f"if({position} = 0, -{reach}, {position})", f"if({position} = {size} - 1, {size} + {reach - 1}, {position})"
+        return f"if({position} >= 0 and {position} < {size}, sequence({first}, {last}), array())"
     if border == "reflect":
-        return f"filter({beyond}, p -> {mirrored('p', size)} = {position})"
+        tried = f"concat(sequence(-{reach}, -1), array({position}), sequence({size}, {size} + {reach - 1}))"
+        return f"filter({tried}, p -> {mirrored('p', size)} = {position})"
     raise ValueError(f"border must be clip, edge or reflect, not {border!r}")

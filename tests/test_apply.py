@@ -196,3 +196,23 @@ def test_frame_sets_not_only_counts_are_compared(spark):
     assert got == {(1, 0): ("mask", False), (1, 4): ("a,a_prime,b", False), (2, 3): ("", True)}
     assert {tuple(r) for r in clip_violations(clips, masks).collect()} == {(1, 2, 0, "mask"), (2, 1, 3, "ts")}
     assert frame_gaps(clips).isEmpty() and frame_gaps(clips.limit(0), masks.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("border", ["clip", "edge", "reflect"])
+def test_positions_a_border_repeats_are_found_beyond_the_edges_alone(spark, border):
+    from nnfield.functions.coords import images_of
+
+    rows = [(at, size) for size in range(1, 7) for at in range(-2, size + 2)]
+    frame = spark.createDataFrame(rows, "at INT, size INT")
+
+    def source(p, size):
+        if border != "reflect":
+            return max(min(p, size - 1), 0)
+        period = max(2 * (size - 1), 1)
+        return 0 if size == 1 else min(p % period, period - p % period)
+
+    for reach in (1, 2, 9):
+        text = images_of("at", "size", reach, border)
+        for r in frame.selectExpr("at", "size", f"{text} as found").collect():
+            assert r.found == [p for p in range(-reach, r.size + reach) if source(p, r.size) == r.at]
+        assert "sequence(-" not in text or f"{reach}, size" not in text  # no walk over the whole axis
